@@ -24,6 +24,16 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import NO_ID, near_duplicates
+
+    def public(name: str):
+        return F.when(F.col(name) < NO_ID, F.col(name))
+
+    found = near_duplicates(documents(spark, sf_dir))
+    return found.select(public("key").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), public("component").alias("component_id"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judge_quality
 
@@ -34,6 +44,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
+    "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
 }
 
