@@ -179,10 +179,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, min_doc
         yield frame(schema, keys, [sums[1][k] for k in keys], [sums[0][k] for k in keys])
 
     odds = F.log((F.col("bad") + 0.5) / F.lit(bad + 1.0)) - F.log((F.col("good") + 0.5) / F.lit(good + 1.0))
+    share = bad / (bad + good)
+    expected = (F.col("bad") + F.col("good")) * share
+    surprise = (F.col("bad") - expected) / F.sqrt(expected * (1 - share))
     counted = train.repartition(max(1, min(64, n // 500 + 1))).mapInArrow(count, "entry string, bad long, good long").groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     strong = (
         counted.withColumn("weight", odds)
-        .where((F.col("bad") >= min_documents) & (F.col("weight") >= 2.5))
+        .where((F.col("bad") >= min_documents) & (F.col("weight") >= 2.5) & (surprise >= 6))
         .orderBy(F.desc("bad"), F.length("entry"), "entry")
         .limit(max_entries)  # a size of the model, not of the rows that it sees
         .collect()
