@@ -34,66 +34,60 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def repeat_words(words: Column, width: int = 5) -> Column:
-    """Words inside windows of ``width`` words that occur at least twice in the text, each word once."""
+def covered_words(windows: Column, width: int) -> Column:
+    """Words inside the windows (an array of hashes, in order) whose hash occurs at least twice, each word once."""
 
-    def windows(hashes: Column) -> Column:
-        n = F.size(hashes)
-        shifted = F.arrays_zip(*[F.slice(hashes, F.lit(k + 1), F.greatest(n - (width - 1), F.lit(0))).alias(f"s{k}") for k in range(width)])
-        return F.transform(shifted, lambda s: F.xxhash64(*[s[f"s{k}"] for k in range(width)]))
-
-    def covered(found: Column) -> Column:
-        def of_sorted(s: Column) -> Column:
-            n = F.size(s)
-            both = F.arrays_zip(s.alias("a"), F.concat(F.array(F.lit(None)), F.slice(s, F.lit(1), n - 1)).alias("b"), F.concat(F.slice(s, F.lit(2), n - 1), F.array(F.lit(None))).alias("c"))
-            twice = F.filter(both, lambda x: F.coalesce(x["a"]["h"] == x["b"]["h"], F.lit(False)) | F.coalesce(x["a"]["h"] == x["c"]["h"], F.lit(False)))
-            return let(F.array_sort(F.transform(twice, lambda x: x["a"]["i"])), of_positions)
-
-        return let(F.array_sort(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), of_sorted)
+    def of_sorted(s: Column) -> Column:
+        n = F.size(s)
+        both = F.arrays_zip(s.alias("a"), F.concat(F.array(F.lit(None)), F.slice(s, F.lit(1), n - 1)).alias("b"), F.concat(F.slice(s, F.lit(2), n - 1), F.array(F.lit(None))).alias("c"))
+        twice = F.filter(both, lambda x: F.coalesce(x["a"]["h"] == x["b"]["h"], F.lit(False)) | F.coalesce(x["a"]["h"] == x["c"]["h"], F.lit(False)))
+        return let(F.array_sort(F.transform(twice, lambda x: x["a"]["i"])), of_positions)
 
     def of_positions(p: Column) -> Column:
         steps = F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), lambda a, b: F.least(F.lit(width), F.coalesce(b - a, F.lit(width))))
         return F.aggregate(steps, F.lit(0), lambda s, x: s + x)
 
-    repeated = let(windows_of(words, windows), lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(covered(w)))
-    return F.coalesce(repeated, F.lit(0)).cast("long")
-
-
-def windows_of(words: Column, windows: Callable[[Column], Column]) -> Column:
-    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) >= 5, windows(h)).otherwise(F.array().cast("array<bigint>")))
+    return let(F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), of_sorted)
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics that rules read, one row per row of ``docs``, no shuffle."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    """doc_id and the statistics that rules read, one row per row of ``docs``, no shuffle.
 
-    def without(characters: str) -> Column:
-        return F.length(text) - F.length(F.translate(text, characters, ""))
+    Windows of five words are hashed from hashes of two and four, in steps that each read their input twice, so
+    the optimizer keeps them apart; only texts in which some window repeats go on to find the words it covers.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    blanks = " \t\n\x0b\x0c\r"
+    trimmed = F.trim(text, F.lit(blanks))
+    pair = lambda a, b: F.xxhash64(a, b)
+    forms = sorted({f for w in FUNCTION_WORDS for f in (w, w.capitalize(), w.upper())})
+    function_hashes = [r[0] for r in docs.sparkSession.range(1).select(F.explode(F.array(*[F.lit(f) for f in forms])).alias("w")).select(F.xxhash64("w")).collect()]
 
-    def word_statistics(words: Column) -> Column:
-        return F.struct(
-            F.size(words).cast("long").alias("n_words"),
-            repeat_words(words).alias("n_repeat_words"),
-            F.size(F.array_distinct(words)).cast("long").alias("n_distinct"),
-            F.size(F.filter(words, lambda w: F.lower(w).isin(*FUNCTION_WORDS))).cast("long").alias("n_function"),
-        )
+    def after(name: str, k: int) -> Column:
+        return F.slice(F.col(name), F.lit(k), F.col("n"))
 
     def line_statistics(lines: Column) -> Column:
         return F.struct(F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"))
 
-    words = F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
-    return docs.select(
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x, F.lit(blanks))) > 0)
+    spaces = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
+    counted = docs.select(
         "doc_id",
-        let(words, word_statistics).alias("w"),
+        F.when(trimmed == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(trimmed, SPACE + "+"), lambda w: F.xxhash64(w))).alias("h1"),
         let(lines, line_statistics).alias("l"),
-        (F.length(text) - without(" \t\n\x0b\x0c\r")).cast("long").alias("word_chars"),
-        without("#*$%&|<>").cast("long").alias("n_symbols"),
+        (F.length(text) - spaces - F.regexp_count(text, F.lit(r"[\x09-\x0D]"))).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
-        without(".!?:;,").cast("long").alias("n_stops"),
-        without("!").cast("long").alias("n_shouts"),
-        without("0123456789").cast("long").alias("n_digits"),
-    ).select("doc_id", "w.*", "l.*", "word_chars", "n_symbols", "n_upper", "n_stops", "n_shouts", "n_digits")
+        F.regexp_count(text, F.lit("!")).cast("long").alias("n_shouts"),
+    )
+    kept = ["doc_id", "l", "word_chars", "n_symbols", "n_upper", "n_shouts"]
+    one = counted.select(*kept, "h1", F.greatest(F.size("h1"), F.lit(1)).alias("n"), F.size("h1").cast("long").alias("n_words"))
+    two = one.select(*kept, "h1", "n", "n_words", F.zip_with("h1", after("h1", 2), pair).alias("h2"), F.size(F.filter("h1", lambda h: h.isin(*function_hashes))).cast("long").alias("n_function"))
+    kept += ["n_words", "n_function"]
+    four = two.select(*kept, "h1", "n", F.zip_with("h2", after("h2", 3), pair).alias("h4"))
+    five = four.select(*kept, F.slice(F.zip_with("h4", after("h1", 5), pair), F.lit(1), F.greatest(F.size("h4") - 4, F.lit(0))).alias("h5"))
+    repeated = F.when(F.size("h5") > F.size(F.array_distinct("h5")), covered_words(F.col("h5"), 5)).otherwise(F.lit(0))
+    return five.select(*kept, repeated.cast("long").alias("n_repeat_words")).select("doc_id", "n_words", "n_repeat_words", "n_function", "l.*", "word_chars", "n_symbols", "n_upper", "n_shouts")
 
 
 def vote(good: Column, bad: Column) -> Column:
