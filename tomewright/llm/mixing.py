@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, materialize, text_rank
 
 #: Sources up to this count are sent to every executor; more are joined by shuffle.
 BROADCAST_SOURCES = 10_000
@@ -109,11 +109,12 @@ def plan_mix(
     total = sum(r[5] for r in rows) + sum(1 for r in rows if r[6])
     shards = max(1, -(-total // shard_slots))
     plain = sources.select("idx", "blocks", "full_slots", "last_words", (F.col("full_slots") + (F.col("last_words") > 0).cast("long")).alias("slots"))
-    chunk = 1 << 14
+    # Few rows before the explode stand for many after it, so their partitions are counted and not sized.
+    chunk, parts = 1 << 14, text_rank(spark)
     thrown = (
         plain.where("slots > 0")
         .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {chunk}"))).alias("chunk"))
-        .repartition("idx", "chunk")
+        .repartition(parts, "idx", "chunk")
         .select("*", F.explode(F.expr(f"sequence(chunk * {chunk}, least(slots, (chunk + 1) * {chunk}) - 1)")).alias("t"))
         .groupBy("idx", "blocks", "full_slots", "last_words", F.pmod(F.xxhash64(F.lit(seed), "idx", "t"), F.lit(shards)).alias("shard"))
         .agg(F.count(F.lit(1)).alias("n"))
@@ -121,6 +122,7 @@ def plan_mix(
     first = F.sum("n").over(Window.partitionBy("idx").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     slots = (
         thrown.withColumn("first", first)
+        .repartition(parts, "idx", "shard")
         .withColumn("slot", F.explode(F.expr("sequence(first, first + n - 1)")))
         .withColumn("epoch", F.expr("slot div blocks"))
         .select(
@@ -146,7 +148,7 @@ def taken(plan: MixPlan) -> DataFrame:
     low = F.greatest("start", F.col("block") * length)
     high = F.least(F.col("start") + F.col("size") * F.col("copies"), F.col("block") * length + F.col("words"))
     sums = (
-        pieces.join(uses, ["idx", "block"], "left")
+        pieces.join(uses.hint("merge"), ["idx", "block"], "left")
         .groupBy("idx", "doc_id", "digest", "size", "copies", "start")
         .agg(F.coalesce(F.sum(F.greatest(high - low, F.lit(0)) * F.col("uses")), F.lit(0)).alias("all_taken"))
     )
