@@ -1 +1 @@
-"""Tomewright."""
+"""Column functions: text, frontmatter, identifiers, vectors, labels."""
