@@ -1 +1 @@
-"""Tomewright."""
+"""Scanning and parsing of document corpora, path filters, file and table sinks."""

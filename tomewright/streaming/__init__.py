@@ -1 +1 @@
-"""Tomewright."""
+"""Domain events and schedules, in batch and as Structured Streaming."""
