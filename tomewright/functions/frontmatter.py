@@ -86,13 +86,16 @@ def page_number(offset: Column, per_page: int = 3000) -> Column:
 _HEADING = re.compile(r"^(#{1,6})\s+(.+)$", re.MULTILINE)
 
 
-@F.arrow_udf("array<struct<pos:int,level:int,title:string>>")
-def headings(texts: pa.Array) -> pa.Array:
-    """All headings with code-point offsets, which regular expressions of the JVM do not give."""
+def _headings(texts: pa.Array) -> pa.Array:
     kind = pa.list_(pa.struct([("pos", pa.int32()), ("level", pa.int32()), ("title", pa.string())]))
     return pa.array([[{"pos": m.start(), "level": len(m.group(1)), "title": m.group(2).strip()} for m in _HEADING.finditer(t or "")] for t in texts.to_pylist()], kind)
 
 
+def headings(c: Column) -> Column:
+    """All headings with code-point offsets, which regular expressions of the JVM do not give."""
+    return F.arrow_udf(_headings, "array<struct<pos:int,level:int,title:string>>")(c)
+
+
 def section_at(found: Column, offset: Column) -> Column:
     """Title of the nearest heading at or before the offset, null if none."""
     before = F.filter(found, lambda h: h["pos"] <= offset)

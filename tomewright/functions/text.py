@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,14 +33,15 @@ def collapse_blanks(c: Column) -> Column:
     return strip(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
 
 
-@F.arrow_udf("string")
-def nfkc(texts: pa.Array) -> pa.Array:
-    """Compatibility composition; no built-in function has it."""
-    import unicodedata
-
+def _nfkc(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
 
 
+def nfkc(c: Column) -> Column:
+    """Compatibility composition; no built-in function has it."""
+    return F.arrow_udf(_nfkc, "string")(c)
+
+
 def clean(c: Column, unicode: bool = True) -> Column:
     """Line ends, compatibility characters, controls, blanks, in this order."""
     c = unify_line_ends(c)

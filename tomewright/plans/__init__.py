@@ -1 +1,6 @@
-"""Tomewright."""
+"""Named queries over the driver's tables, each with an independent SQL statement where SQL can express it."""
+
+from . import generation_queries, relational_queries, retrieval_queries, text_queries
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "generation_queries", "relational_queries", "retrieval_queries", "text_queries"]

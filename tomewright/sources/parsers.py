@@ -58,14 +58,15 @@ def html_to_text(value: str | None) -> str | None:
     return "\n".join(line for line in lines if line)
 
 
-@F.arrow_udf("string")
-def html_text(values: pa.Array) -> pa.Array:
+def _html_text(values: pa.Array) -> pa.Array:
     return pa.array([html_to_text(v) for v in values.to_pylist()], pa.string())
 
 
-@F.arrow_udf("string")
-def docx_text(contents: pa.Array) -> pa.Array:
-    """Paragraphs of a word-processing package; null where it is damaged."""
+def html_text(c: Column) -> Column:
+    return F.arrow_udf(_html_text, "string")(c)
+
+
+def _docx_text(contents: pa.Array) -> pa.Array:
     import io
     import zipfile
     from xml.etree import ElementTree
@@ -83,6 +84,11 @@ def docx_text(contents: pa.Array) -> pa.Array:
     return pa.array([read(c) for c in contents.to_pylist()], pa.string())
 
 
+def docx_text(c: Column) -> Column:
+    """Paragraphs of a word-processing package; null where it is damaged."""
+    return F.arrow_udf(_docx_text, "string")(c)
+
+
 #: What each kind of parser takes.
 PARSERS: list[Parser] = [
     Parser("pdf", frozenset({".pdf"}), frozenset({"application/pdf"}), None),
