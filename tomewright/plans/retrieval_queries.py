@@ -99,11 +99,11 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-_TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
+_TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '')"
 _BM25 = rf"""
   WITH toks AS (SELECT doc_id AS id, len({_TOKENS}) AS length, unnest({_TOKENS}) AS term FROM documents),
   stats AS (SELECT count(*) AS n_docs, avg(len({_TOKENS})) AS avg_length FROM documents),
-  q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(substr(text, 1, 1000)), '[\p{{L}}\p{{N}}_]+')) AS term FROM benchmark),
+  q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(substr(text, 1, 1000)), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '')) AS term FROM benchmark),
   tf AS (SELECT id, length, term, count(*) AS tf FROM toks WHERE term IN (SELECT term FROM q) GROUP BY ALL),
   df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
   bm AS (SELECT q.query_id, tf.id, round(sum(greatest(0, ln(1 + (n_docs - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg_length))), 6) AS score
