@@ -50,8 +50,8 @@ def slices(batches: Iterable[pa.RecordBatch], *columns: str, step: int = 200) ->
             yield tuple(part.column(c).to_pylist() for c in columns)
 
 
-def frame(schema: pa.Schema, *columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+def frame(schema: pa.Schema, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
 def text_rank(spark: SparkSession) -> int:

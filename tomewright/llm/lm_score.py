@@ -49,7 +49,7 @@ def read_pieces(path: str) -> list[str]:
 
 
 class Lattice:
-    """Piece lookups of a vocabulary, with log probabilities by piece number."""
+    """Piece lookups of a vocabulary: pieces map to their number, beginnings of pieces to -1."""
 
     def __init__(self, pieces: list[str]) -> None:
         self.number: dict[str, int] = {}
@@ -59,67 +59,95 @@ class Lattice:
                 self.bytes[int(p[3:5], 16)] = i
             elif p:
                 self.number[p] = i
-        # Beginnings of pieces map to -1, so that a search along a word stops where no piece goes on.
+        # A search along a word stops where no piece goes on.
         for p in list(self.number):
             for k in range(1, len(p)):
                 self.number.setdefault(p[:k], -1)
 
-    def arcs(self, word: str) -> list[list[tuple[int, int]]]:
-        """For each end position the (start, piece) that lead to it; -1 - start marks a character in bytes."""
-        number, n = self.number.get, len(word)
-        out: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+    def weighted(self, logs: list[float]) -> WeightedLattice:
+        return WeightedLattice(self, logs)
+
+
+class WeightedLattice:
+    """The lattice with log probabilities: one lookup per stretch gives a piece's weight, 1 for a mere beginning."""
+
+    def __init__(self, lattice_: Lattice, logs: list[float]) -> None:
+        self.number, self.bytes = lattice_.number, lattice_.bytes
+        self.weight = {p: (logs[k] if k >= 0 else 1.0) for p, k in self.number.items()}
+        self.byte_logs = [logs[k] for k in self.bytes]
+
+    def spelled(self, char: str) -> float:
+        return sum(self.byte_logs[b] for b in char.encode("utf-8", "surrogatepass"))
+
+    def log_probability(self, word: str) -> float:
+        """Forward recursion: each position sums, in log space, over the pieces that end there."""
+        get, exp, log, n = self.weight.get, math.exp, math.log, len(word)
+        ends: list[list[float]] = [[] for _ in range(n + 1)]
+        a = 0.0
         for i in range(n):
+            if i:
+                terms = ends[i]
+                a = terms[0]
+                if len(terms) > 1:
+                    top = max(terms)
+                    a = top + log(sum([exp(t - top) for t in terms]))
+            w = None
             for j in range(i + 1, n + 1):
-                k = number(word[i:j])
-                if k is None:
+                w = get(word[i:j])
+                if w is None:
                     break
-                if k >= 0:
-                    out[j].append((i, k))
-            else:
-                j = n
-            if not any(a == i for a, _ in out[i + 1]):
-                out[i + 1].append((i, -1))
-        return out
-
-    def spelled(self, char: str, logs: list[float]) -> float:
-        return sum(logs[self.bytes[b]] for b in char.encode("utf-8", "surrogatepass"))
-
-    def forward(self, word: str, arcs: list[list[tuple[int, int]]], logs: list[float]) -> list[float]:
-        exp, log = math.exp, math.log
-        alpha = [0.0] * (len(word) + 1)
-        for j in range(1, len(word) + 1):
-            terms = [alpha[i] + (logs[k] if k >= 0 else self.spelled(word[i], logs)) for i, k in arcs[j]]
-            if len(terms) == 1:
-                alpha[j] = terms[0]
+                if w <= 0.0:
+                    ends[j].append(a + w)
+            w = get(word[i])
+            if w is None or w > 0.0:
+                ends[i + 1].append(a + self.spelled(word[i]))
+        terms = ends[n]
+        top = max(terms)
+        return top + log(sum([exp(t - top) for t in terms]))
+
+    def expected(self, word: str, weight: float, into: dict[str, float], spelled: dict[int, float]) -> None:
+        """Add the expected uses of each piece (and byte) in ``word``, times ``weight``."""
+        get, exp, log, n = self.weight.get, math.exp, math.log, len(word)
+        ends: list[list[tuple[float, int]]] = [[] for _ in range(n + 1)]
+        alpha = [0.0] * (n + 1)
+        for i in range(n + 1):
+            if i:
+                arcs = ends[i]
+                a = arcs[0][0]
+                if len(arcs) > 1:
+                    top = max(arcs)[0]
+                    a = top + log(sum([exp(t - top) for t, _ in arcs]))
+                alpha[i] = a
             else:
-                top = max(terms)
-                alpha[j] = top + log(sum([exp(t - top) for t in terms]))
-        return alpha
-
-    def expected(self, word: str, weight: float, logs: list[float], into: np.ndarray | list[float]) -> None:
-        """Add the expected uses of each piece in ``word``, times ``weight``."""
-        arcs = self.arcs(word)
-        alpha = self.forward(word, arcs, logs)
-        exp = math.exp
-        share = [0.0] * len(alpha)
-        share[-1] = weight
+                a = 0.0
+            if i == n:
+                break
+            for j in range(i + 1, n + 1):
+                w = get(word[i:j])
+                if w is None:
+                    break
+                if w <= 0.0:
+                    ends[j].append((a + w, i))
+            w = get(word[i])
+            if w is None or w > 0.0:
+                ends[i + 1].append((a + self.spelled(word[i]), i))
         # Backwards: the mass at an end position splits over its arcs in proportion to what came through them.
-        for j in range(len(word), 0, -1):
+        share = [0.0] * n + [weight]
+        for j in range(n, 0, -1):
             mass = share[j]
-            if mass < 1e-12:
+            if mass < 1e-9:
                 continue
-            for i, k in arcs[j]:
-                if k >= 0:
-                    part = mass * exp(alpha[i] + logs[k] - alpha[j])
-                    into[k] += part
-                else:
-                    part = mass * exp(alpha[i] + self.spelled(word[i], logs) - alpha[j])
-                    for b in word[i].encode("utf-8", "surrogatepass"):
-                        into[self.bytes[b]] += part
+            arcs, base = ends[j], alpha[j]
+            for t, i in arcs:
+                part = mass if len(arcs) == 1 else mass * exp(t - base)
                 share[i] += part
-
-    def log_probability(self, word: str, logs: list[float]) -> float:
-        return self.forward(word, self.arcs(word), logs)[-1]
+                piece = word[i:j]
+                w = get(piece)
+                if w is not None and w <= 0.0:
+                    into[piece] = into.get(piece, 0.0) + part
+                else:
+                    for b in piece.encode("utf-8", "surrogatepass"):
+                        spelled[b] = spelled.get(b, 0.0) + part
 
 
 _LATTICES: dict[str, Lattice] = {}
@@ -186,12 +214,13 @@ def learn_pieces(table: WordTable, path: str, rounds: int = 2, smoothing: float
         now = logs
 
         def run(batches: Iterator[pa.RecordBatch], now: list[float] = now) -> Iterator[pa.RecordBatch]:
-            own, sums = lattice(path), [0.0] * size
+            own = lattice(path).weighted(now)
+            uses: dict[str, float] = {}
+            spelled: dict[int, float] = {}
             for words, counts in slices(batches, "word", "trained", step=5000):
                 for word, n in zip(words, counts, strict=True):
-                    own.expected(MARK + word.decode("utf-8", "surrogatepass"), float(n), now, sums)
-            used = [i for i, v in enumerate(sums) if v]
-            yield frame(schema, used, [sums[i] for i in used])
+                    own.expected(MARK + word.decode("utf-8", "surrogatepass"), float(n), uses, spelled)
+            yield frame(schema, [*(own.number[p] for p in uses), *(own.bytes[b] for b in spelled)], [*uses.values(), *spelled.values()])
 
         found = trained.mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
         uses = np.full(size, smoothing)
@@ -212,9 +241,9 @@ def score_documents(docs: DataFrame, path: str | None = None, head_words: int =
     schema = pa.schema([("word", pa.binary()), ("seen", pa.int64()), ("trained", pa.int64()), ("lattice", pa.float64())])
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = lattice(vocabulary)
+        own = lattice(vocabulary).weighted(logs)
         for words, seen, trained in slices(batches, "word", "seen", "trained", step=5000):
-            yield frame(schema, words, seen, trained, [own.log_probability(MARK + w.decode("utf-8", "surrogatepass"), logs) / ten for w in words])
+            yield frame(schema, words, seen, trained, [own.log_probability(MARK + w.decode("utf-8", "surrogatepass")) / ten for w in words])
 
     rated = materialize(table.words.mapInArrow(rate, "word binary, seen long, trained long, lattice double"))
     # A bounded head, ties and all: what it holds changes no result, only the road to it.
@@ -229,26 +258,32 @@ def score_documents(docs: DataFrame, path: str | None = None, head_words: int =
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads = shipped.value
         for rows, ids, texts in slices(batches, "row", "doc_id", "text"):
-            out: tuple[list, ...] = tuple([] for _ in part)
-
-            def add(*values) -> None:
-                for column, value in zip(out, values, strict=True):  # noqa: B023
-                    column.append(value)
-
-            for row, doc, text in zip(rows, ids, texts, strict=True):
-                words = tokens(text)
+            lengths, sure, bases, lattices = [], [], [], []
+            words, times, sizes = [], [], []
+            for text in texts:
+                own = tokens(text)
+                counts = Counter(own)
+                tail = [w for w in counts if w not in heads]
+                sizes.append(len(tail))
+                words += tail
+                times += [counts.pop(w) for w in tail]
                 base = lat = 0.0
-                sure = 0
-                for w, times in Counter(words).items():
-                    hit = heads.get(w)
-                    if hit is None:
-                        add(row, doc, w, times, 0, 0, 0.0, 0.0)
-                    else:
-                        base += times * hit[0]
-                        lat += times * hit[1]
-                        sure += times * hit[2]
-                add(row, doc, None, 0, len(words), sure, base, lat)
-            yield frame(part, *out)
+                known_ = 0
+                for w, n in counts.items():
+                    b, x, k = heads[w]
+                    base += n * b
+                    lat += n * x
+                    known_ += n * k
+                lengths.append(len(own))
+                sure.append(known_)
+                bases.append(base)
+                lattices.append(lat)
+            at = np.repeat(np.arange(len(rows)), sizes)
+            n = len(words)
+            row = np.array(rows, np.int64)
+            doc = pa.array(ids, pa.int64())
+            yield frame(part, row, ids, [None] * len(rows), [0] * len(rows), lengths, sure, bases, lattices)
+            yield frame(part, row[at], doc.take(pa.array(at)), words, times, np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n))
 
     numbered = docs.select(F.col("doc_id").cast("long"), "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     parts = materialize(numbered.mapInArrow(split, ddl))
