@@ -101,7 +101,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: x <> '')"
 _BM25 = rf"""
-  WITH toks AS (SELECT doc_id AS id, len({_TOKENS}) AS length, unnest({_TOKENS}) AS term FROM documents),
+  WITH toks AS MATERIALIZED (SELECT id, len(l) AS length, unnest(l) AS term FROM (SELECT doc_id AS id, {_TOKENS} AS l FROM documents)),
   stats AS (SELECT count(*) AS n_docs, avg(len({_TOKENS})) AS avg_length FROM documents),
   q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(substr(text, 1, 1000)), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '')) AS term FROM benchmark),
   tf AS (SELECT id, length, term, count(*) AS tf FROM toks WHERE term IN (SELECT term FROM q) GROUP BY ALL),
