@@ -28,7 +28,7 @@ from .common import crc_mod, frame, materialize, slices
 
 #: Look-alike letters of other scripts and the letters they stand for.
 HOMOGLYPHS = {
-    "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ё": "e", "һ": "h", "н": "h", "і": "i", "ї": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m",
+    "а": "a", "в": "b", "с": "c", "ԁ": "d", "д": "d", "ь": "b", "е": "e", "ё": "e", "һ": "h", "н": "h", "і": "i", "ї": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m",
     "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "т": "t", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y", "ү": "y", "ʏ": "y",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "γ": "y",
     "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʟ": "l", "ɴ": "n", "օ": "o", "ս": "u", "ո": "n", "ց": "g", "հ": "h", "ӧ": "o", "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l",
