@@ -117,8 +117,6 @@ def _ddl(schema: pa.Schema) -> str:
 
 
 ANCHOR = pa.schema([(c, pa.int64()) for c in ("digest", "anchor", "low", "high", "token", "stretch")])
-#: kind 0: all strings of the anchor are repeated; 1: to be compared; 2: stands for those of kind 0 in comparisons.
-PLACE = pa.schema([(c, pa.int64()) for c in ("digest", "anchor", "low", "high", "kind")])
 SUFFIX = pa.schema([("lead", pa.binary()), ("digest", pa.int64()), ("low", pa.int64()), ("ahead", pa.int64()), ("compared", pa.bool_()), ("stretch", pa.binary())])
 RANGE = pa.schema([(c, pa.int64()) for c in ("digest", "start", "stop")])
 
@@ -140,36 +138,22 @@ def anchor_table(docs: DataFrame, length: int) -> DataFrame:
 
 
 def classified(table: DataFrame) -> DataFrame:
-    """PLACE rows of anchors whose token occurs at least twice. Rows stream by; a group is never held."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None  # the last row, whose successor is not known yet: token, stretch, the two before it agree, place
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            token, stretch = (batch.column(c).to_numpy() for c in ("token", "stretch"))
-            place = np.column_stack([batch.column(c).to_numpy() for c in ("digest", "anchor", "low", "high")])
-            if before is not None:
-                token, stretch = np.concatenate(([before[0]], token)), np.concatenate(([before[1]], stretch))
-                place = np.concatenate((before[4][None], place))
-            same_token = token[1:] == token[:-1]
-            same_stretch = same_token & (stretch[1:] == stretch[:-1])
-            token_up = np.concatenate(([before[2] if before is not None else False], same_token))
-            stretch_up = np.concatenate(([before[3] if before is not None else False], same_stretch))
-            before = (token[-1], stretch[-1], token_up[-1], stretch_up[-1], place[-1])
-            # All rows but the last know both neighbours.
-            up, full_up = token_up[:-1], stretch_up[:-1]
-            yield from emit(place[:-1], up | same_token, full_up | same_stretch, ~full_up & same_stretch)
-        if before is not None:
-            yield from emit(before[4][None], np.array([before[2]]), np.array([before[3]]), np.array([False]))
-
-    def emit(place: np.ndarray, token: np.ndarray, stretch: np.ndarray, first: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for kind, mask in ((0, stretch), (1, token & ~stretch), (2, first)):
-            if mask.any():
-                yield frame(PLACE, *place[mask].T, np.full(int(mask.sum()), kind))
-
-    return table.select("token", "stretch", "digest", "anchor", "low", "high").repartition("token").sortWithinPartitions("token", "stretch").mapInArrow(run, _ddl(PLACE))
+    """(digest, anchor, low, high, kind) of anchors whose token occurs at least twice.
+
+    Kind 0: all strings of the anchor are repeated; 1: to be compared; 2: stands for those of kind 0 in comparisons.
+
+    Equal stretches are counted before any shuffle by token, so that a token that very many copies share costs
+    a row; copies meet their count again in a join by (token, stretch) that splits where it is skewed.
+    """
+    place = F.struct("digest", "anchor", "low", "high")
+    stretches = table.groupBy("token", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("place"))
+    tokens = stretches.groupBy("token").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where("total > 1")
+    shared = materialize(stretches.join(tokens, "token").select("token", "stretch", "n", "kinds", "place"))
+    alone = shared.where("n = 1").select("place.*", F.lit(1).cast("long").alias("kind"))
+    standing = shared.where("n > 1 AND kinds > 1").select("place.*", F.lit(2).cast("long").alias("kind"))
+    twice = shared.where("n > 1").select("token", "stretch")
+    whole = table.join(twice, ["token", "stretch"]).select("digest", "anchor", "low", "high", F.lit(0).cast("long").alias("kind"))
+    return alone.unionByName(standing).unionByName(whole)
 
 
 def suffixes(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
