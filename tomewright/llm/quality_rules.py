@@ -90,8 +90,10 @@ def statistics(docs: DataFrame) -> DataFrame:
     return five.select(*kept, repeated.cast("long").alias("n_repeat_words")).select("doc_id", "n_words", "n_repeat_words", "n_function", "l.*", "word_chars", "n_symbols", "n_upper", "n_shouts")
 
 
-def vote(good: Column, bad: Column) -> Column:
-    return F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0))
+def vote(bad: Column, good: Column | None = None) -> Column:
+    """-1 where the rule speaks against a text, 1 where it speaks for it, else it abstains."""
+    out = F.when(bad, F.lit(-1))
+    return (out if good is None else out.when(good, F.lit(1))).otherwise(F.lit(0))
 
 
 def ratio(a: str, b: str) -> Column:
@@ -104,15 +106,16 @@ class Rule:
     vote: Callable[[], Column]
 
 
+#: What a rule does not look at is no evidence for a text, so most rules only ever speak against one.
 RULES = (
-    Rule("length", lambda: vote(F.col("n_words").between(20, 100_000), F.col("n_words") < 10)),
-    Rule("word_length", lambda: vote(ratio("word_chars", "n_words").between(3, 10), ~ratio("word_chars", "n_words").between(2, 14))),
-    Rule("symbols", lambda: vote(ratio("n_symbols", "n_words") < 0.05, ratio("n_symbols", "n_words") > 0.1)),
-    Rule("duplicate_lines", lambda: vote(ratio("n_dup_lines", "n_lines") < 0.1, ratio("n_dup_lines", "n_lines") > 0.3)),
-    Rule("repetition", lambda: vote(ratio("n_repeat_words", "n_words") < 0.05, ratio("n_repeat_words", "n_words") > 0.2)),
-    Rule("upper_case", lambda: vote(ratio("n_upper", "word_chars") < 0.15, ratio("n_upper", "word_chars") > 0.4)),
-    Rule("shouting", lambda: vote(ratio("n_shouts", "n_words") < 0.05, ratio("n_shouts", "n_words") > 0.3)),
-    Rule("function_words", lambda: vote(ratio("n_function", "n_words") > 0.1, ratio("n_function", "n_words") < 0.01)),
+    Rule("length", lambda: vote(F.col("n_words") < 10, F.col("n_words").between(50, 100_000))),
+    Rule("word_length", lambda: vote(~ratio("word_chars", "n_words").between(2, 14))),
+    Rule("symbols", lambda: vote(ratio("n_symbols", "n_words") > 0.1)),
+    Rule("duplicate_lines", lambda: vote(ratio("n_dup_lines", "n_lines") > 0.3)),
+    Rule("repetition", lambda: vote(ratio("n_repeat_words", "n_words") > 0.2)),
+    Rule("upper_case", lambda: vote(ratio("n_upper", "word_chars") > 0.4)),
+    Rule("shouting", lambda: vote(ratio("n_shouts", "n_words") > 0.3)),
+    Rule("function_words", lambda: vote((ratio("n_function", "n_words") < 0.01) & (F.col("n_words") >= 50), ratio("n_function", "n_words") > 0.1)),
 )
 
 
@@ -134,11 +137,11 @@ class LabelModel:
 def fit_label_model(patterns: list[tuple[tuple[int, ...], int]], iterations: int = 50, smoothing: float = 1.0) -> LabelModel:
     """Expectation-maximisation over counted vote patterns.
 
-    The start is the majority vote; each accuracy has a smoothing prior at which votes are better than chance,
-    which also settles which of the two classes is the good one.
+    The start trusts votes against a text more than votes for it; each accuracy has a smoothing prior at which
+    votes are better than chance. Both settle which of the two classes is the good one.
     """
     rules = len(patterns[0][0]) if patterns else len(RULES)
-    belief = {p: 1 / (1 + math.exp(-1.5 * sum(p))) for p, _ in patterns}
+    belief = {p: 1 / (1 + math.exp(-(1.0 + p.count(1) - 3.0 * p.count(-1)))) for p, _ in patterns}
     model = None
     for _ in range(iterations):
         good = sum(belief[p] * n for p, n in patterns)
@@ -146,7 +149,7 @@ def fit_label_model(patterns: list[tuple[tuple[int, ...], int]], iterations: int
         prior = min(0.99, max(0.01, (good + smoothing) / (total + 2 * smoothing)))
         chances = []
         for r in range(rules):
-            sums = [{-1: smoothing, 0: smoothing, 1: smoothing / 2}, {-1: smoothing / 2, 0: smoothing, 1: smoothing}]
+            sums = [{-1: smoothing, 0: smoothing, 1: smoothing / 4}, {-1: smoothing / 4, 0: smoothing, 1: smoothing}]
             for p, n in patterns:
                 sums[1][p[r]] += belief[p] * n
                 sums[0][p[r]] += (1 - belief[p]) * n
