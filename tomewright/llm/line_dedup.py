@@ -180,18 +180,26 @@ def clusters(fps: DataFrame) -> DataFrame:
 
 
 def verified_links(members: DataFrame) -> DataFrame:
-    """(a, b) links of keys from (cluster, key, words): a spanning forest of what is similar within each cluster."""
+    """(a, b) links of keys from (cluster, key, fp, line): a spanning forest of what is similar within each cluster.
+
+    Only neighbours are compared, those whose fingerprints lie within the distance, and of them only what no
+    link connects yet.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = [], []
         for _, table in grouped(batches, "cluster"):
-            rows = sorted(((line.split(" "), k) for line, k in zip(table.column("line").to_pylist(), table.column("key").to_pylist(), strict=True)), key=lambda r: (len(r[0]), r[1]))
+            keys, lines = table.column("key").to_pylist(), table.column("line").to_pylist()
+            order = sorted(range(len(keys)), key=lambda i: (lines[i].count(" "), keys[i]))
+            rows = [(lines[i].split(" "), keys[i]) for i in order]
+            fps = table.column("fp").to_numpy().view(np.uint64)[order]
             comp = np.arange(len(rows))
             sizes = np.array([len(r[0]) for r in rows])
             for i in range(len(rows) - 1):
                 upto = int(np.searchsorted(sizes, sizes[i] / SIMILARITY + 1e-6, side="right"))
-                for j in (np.nonzero(comp[i + 1 : upto] != comp[i])[0] + i + 1).tolist():
+                near = np.bitwise_count(fps[i + 1 : upto] ^ fps[i]) <= DISTANCE
+                for j in (np.nonzero(near & (comp[i + 1 : upto] != comp[i]))[0] + i + 1).tolist():
                     if comp[j] != comp[i] and edit_similar(rows[i][0], rows[j][0]):
                         comp[comp == comp[j]] = comp[i]
                         left.append(rows[i][1])
@@ -211,7 +219,7 @@ def removed_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     distinct = materialize(lines.groupBy("key").agg(F.min("fp").alias("fp"), F.min(occurrence).alias("first"), F.countDistinct("digest", "line").alias("n")))
     per_fp = distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("keys"))
     near = materialize(clusters(per_fp.select("fp")).unionByName(per_fp.where("keys > 1").select(F.xxhash64("fp").alias("cluster"), "fp")))
-    members = distinct.join(near, "fp").select("cluster", "key", "first.digest", "first.line")
+    members = distinct.join(near, "fp").select("cluster", "key", "fp", "first.digest", "first.line")
 
     # The text of a near line is fetched once per line from its first row, and sent to its clusters.
     wanted = members.select("digest", "line", "key").distinct().groupBy("digest").agg(F.collect_list(F.struct("line", "key")).alias("wanted"))
@@ -228,7 +236,7 @@ def removed_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
             yield frame(schema, keys, found)
 
     texts = docs.select(row_digest().alias("digest"), "text").join(wanted, "digest").select("text", "wanted").mapInArrow(fetch, "key long, line string").dropDuplicates(["key"])
-    links = verified_links(members.select("cluster", "key").join(texts, "key"))
+    links = verified_links(members.select("cluster", "key", "fp").join(texts, "key"))
     groups = connected_components(links).select(F.col("node").alias("key"), F.col("component"))
     keyed = distinct.join(groups, "key", "left").withColumn("root", F.coalesce("component", "key"))
     firsts = keyed.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("all"))

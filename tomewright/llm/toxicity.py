@@ -21,10 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, frame, materialize, slices
+from .quality_rules import let
 
 #: Look-alike letters of other scripts and the letters they stand for.
 HOMOGLYPHS = {
@@ -148,13 +149,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return beta
 
 
+def copy_key() -> Column:
+    """The least hash of four words in a row: near copies mostly share it, and would each lend weight to their rare words."""
+
+    def pairs(a: Column, by: int) -> Column:
+        return F.zip_with(a, F.slice(a, F.lit(by), F.greatest(F.size(a), F.lit(1))), lambda x, y: F.xxhash64(x, y))
+
+    words = F.transform(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"\s+"), lambda w: F.xxhash64(w))
+    return let(let(words, lambda h: pairs(h, 2)), lambda p: F.array_min(F.slice(pairs(p, 3), F.lit(1), F.greatest(F.size(p) - 3, F.lit(1)))))
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, min_documents: int = 4, max_entries: int = 2000) -> ToxicityModel:
     """Fit on the documents that ``labels`` (doc_id, toxic) names, at most about ``sample_rows`` of them."""
     one = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = one.count()
     part = min(1.0, sample_rows / max(1, n))
     chosen = one.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) < int(part * (1 << 30))).select(F.col("doc_id").alias("_id"), "toxic")
-    train = materialize(docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select("text", "toxic"))
+    named = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select("text", "toxic", copy_key().alias("copy"))
+    train = materialize(named.groupBy("copy").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "toxic")).alias("x")).select("x.text", "x.toxic"))
     totals = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     folded = {fold(w): w for w in INSULTS}
