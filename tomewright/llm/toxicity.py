@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon, matched by an Aho-Corasick automaton over folded text.
 
-Folding maps homoglyphs, accents and digit substitutions to plain letters (i, l and 1 are one letter), so
-disguised spellings meet their entry. Entries are words and word beginnings, learned with their log-odds
+Folding maps homoglyphs, foreign accents and digit substitutions to plain letters (i, l and 1 are one letter),
+so disguised spellings meet their entry; letters of the corpus's own languages stay. Entries are words and word beginnings, learned with their log-odds
 weights from labelled documents, over a fixed list of insults that holds where labels say nothing. Hits inside
 exception phrases do not count. The score is logistic in the weight of the hits and in that weight per word.
 
@@ -32,11 +32,13 @@ HOMOGLYPHS = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "д": "d", "ь": "b", "е": "e", "ё": "e", "һ": "h", "н": "h", "і": "i", "ї": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m",
     "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "т": "t", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y", "ү": "y", "ʏ": "y",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "γ": "y",
-    "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʟ": "l", "ɴ": "n", "օ": "o", "ս": "u", "ո": "n", "ց": "g", "հ": "h", "ӧ": "o", "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l",
+    "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʟ": "l", "ɴ": "n", "օ": "o", "ս": "u", "ո": "n", "ց": "g", "հ": "h", "ӧ": "o", "ł": "l",
 }
 #: Digits and signs that stand for letters.
 SUBSTITUTIONS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "l": "i", "|": " "}
 SIGNS = {"@": "a", "$": "s", "!": "i"}
+#: Letters of the corpus's languages in their own right, which tell words apart and are not folded.
+OWN_LETTERS = frozenset("àâäáçéèêëíîïñóôöúùûüÿßæœ")
 #: Insults that count where the labels have not enough to say.
 INSULTS = (
     "idiot idiots moron morons stupid pathetic loser losers worthless disgusting scum trash clown clowns imbecile dumbass retard bastard "
@@ -56,6 +58,8 @@ def _table() -> dict[int, str]:
     out = {ord(k): v for k, v in (HOMOGLYPHS | SUBSTITUTIONS).items()}
     for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
         base = unicodedata.normalize("NFKD", chr(c))[0].lower()
+        if chr(c) in OWN_LETTERS:
+            continue
         if "a" <= base <= "z":
             out.setdefault(c, SUBSTITUTIONS.get(base, base))
     for c in range(26):  # full-width letters
@@ -159,8 +163,12 @@ def copy_key() -> Column:
     return let(let(words, lambda h: pairs(h, 2)), lambda p: F.array_min(F.slice(pairs(p, 3), F.lit(1), F.greatest(F.size(p) - 3, F.lit(1)))))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, min_documents: int = 4, max_entries: int = 2000) -> ToxicityModel:
-    """Fit on the documents that ``labels`` (doc_id, toxic) names, at most about ``sample_rows`` of them."""
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, min_documents: int = 4, min_share: float = 0.015, max_entries: int = 2000) -> ToxicityModel:
+    """Fit on the documents that ``labels`` (doc_id, toxic) names, at most about ``sample_rows`` of them.
+
+    An entry must be in ``min_documents`` toxic documents and in a ``min_share`` of them, so that no rare word of
+    a few of them counts as an insult.
+    """
     one = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = one.count()
     part = min(1.0, sample_rows / max(1, n))
@@ -182,7 +190,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, min_doc
         for texts, toxic in slices(batches, "text", "toxic"):
             for text, y in zip(texts, toxic, strict=True):
                 words = set(fold(text).split())
-                sums[1 if y else 0].update({f" {w} " for w in words} | {" " + w[:k] for w in words for k in (4, 5, 6) if len(w) > k})
+                sums[1 if y else 0].update({f" {w} " for w in words} | {" " + w[:k] for w in words for k in (4, 5, 6, 7, 8) if len(w) > k})
             if len(sums[0]) + len(sums[1]) > 200_000:
                 keys = list(sums[0] | sums[1])
                 yield frame(schema, keys, [sums[1][k] for k in keys], [sums[0][k] for k in keys])
@@ -197,20 +205,19 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, min_doc
     counted = train.repartition(max(1, min(64, n // 500 + 1))).mapInArrow(count, "entry string, bad long, good long").groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     strong = (
         counted.withColumn("weight", odds)
-        .where((F.col("bad") >= min_documents) & (F.col("weight") >= 2.5) & (surprise >= 6))
-        .orderBy(F.desc("bad"), F.length("entry"), "entry")
+        .where((F.col("bad") >= max(min_documents, min_share * bad)) & (F.col("weight") >= 2.5) & (surprise >= 6))
+        .orderBy(F.desc(F.round(F.col("bad") * F.col("weight"), 6)), F.length("entry"), "entry")
         .limit(max_entries)  # a size of the model, not of the rows that it sees
         .collect()
     )
     weak = {r["entry"] for r in counted.where(F.col("entry").isin(list(folded)) & (F.col("good") >= 3) & (odds < 1.0)).collect()}
     entries = {k: w for k, w in prior.items() if k not in weak}
+    # The entries that explain most come first; others that begin alike say the same of the same words.
     begun: list[str] = []
     for r in strong:
         entry = r["entry"]
-        if any(entry.startswith(b) for b in begun):
-            continue
-        entries[entry] = round(min(8.0, r["weight"]), 6)
-        if not entry.endswith(" "):
+        if not any(entry.startswith(b) or b.startswith(entry) for b in begun):
+            entries[entry] = round(min(8.0, r["weight"]), 6)
             begun.append(entry)
     model = ToxicityModel(entries, exceptions, (0.0, 0.0, 0.0))
     xs = np.array(weigh(train, model, "toxic").select("weight", "words", "toxic").collect(), float).reshape(-1, 3)
