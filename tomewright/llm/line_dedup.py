@@ -36,17 +36,30 @@ _DIGIT = re.compile(r"\d")
 
 
 def normalise(line: str) -> list[str]:
-    return _WORDS.findall(_DIGIT.sub("0", line.lower()))
+    line = line.lower()
+    return _WORDS.findall(_DIGIT.sub("0", line) if _DIGIT.search(line) else line)
+
+
+class _Digests(dict):
+    """Hashes of words as bytes, those of frequent words remembered."""
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= 200_000:
+            self.clear()
+        self[word] = out = xxhash.xxh3_64_digest(word)
+        return out
+
+
+_DIGESTS = _Digests()
 
 
 def line_fingerprints(lines: list[list[str]]) -> np.ndarray:
     """SimHash over the words of each line, all lines at once."""
     if not lines:
         return np.zeros(0, np.uint64)
-    h = xxhash.xxh3_64_intdigest
-    hashes = np.array([h(w) for words in lines for w in words], ">u8")
+    hashes = b"".join([b"".join(map(_DIGESTS.__getitem__, words)) for words in lines])
     sizes = np.array([len(words) for words in lines])
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
+    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
     sums = np.add.reduceat(bits, np.concatenate(([0], np.cumsum(sizes)[:-1])), axis=0, dtype=np.int32)
     return np.packbits(2 * sums > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
