@@ -552,3 +552,38 @@ def test_pipeline(spark, tmp_path):
     for r in rows:
         filled[r.sequence_id] += r.length
     assert max(filled.values()) <= 1024
+
+
+def test_line_dedup_loses_no_similar_line(spark):
+    from tomewright.llm import line_dedup as m
+
+    # Lines with up to a fifth of their words replaced, taken out or put in, most of them beyond three bits of SimHash.
+    rng = random.Random(8)
+    lines = []
+    for n in (5, 6, 9, 10, 14, 20, 31, 50, 93, 160):
+        for edits in {1, n // 10 or 1, n // 5}:
+            words = [f"w{rng.choice('abcdefghijklmnop') * rng.randrange(1, 30)}" for _ in range(n)]
+            lines.append(" ".join(words))
+            other = list(words)
+            for at in sorted(rng.sample(range(n), edits), reverse=True):
+                kind = rng.randrange(3) if n > 9 else 0
+                other[at : at + 1] = [["x" + "y" * at], [], [other[at], "z" * (at + 1)]][kind]
+            lines.append(" ".join(other))
+    lines += [" ".join(rng.choice("the of and to in it is was".split()) for _ in range(7)) for _ in range(60)]
+    words = [m.normalise(x) for x in lines]
+    root = list(range(len(lines)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(range(len(lines)), 2):
+        if m.edit_similar(*sorted((words[a], words[b]), key=len)):
+            root[find(b)] = find(a)
+    least = {}
+    for i in range(len(lines)):
+        least[find(i)] = min(least.get(find(i), i), i)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r.doc_id for r in m.dedup_lines(docs).collect()} == set(least.values())
+    assert len(least) < len(lines) - 20

@@ -1,11 +1,16 @@
-"""Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, one occurrence per connected group.
+"""Fuzzy line deduplication: SimHash and word prefixes, edit similarity, one occurrence per connected group.
 
 Lines of at least ``min_words`` words are normalised (lower case, digits as one, words only). Equal lines meet
 by hash and count as one. The SimHash of a line has four blocks of 16 bits; two that differ in at most three
 bits agree in one of them, so each distinct fingerprint is sent to four postings, which split further by blocks
-of 12 bits where they are long. Postings yield clusters of neighbours; the lines of a cluster are compared by
-word edit similarity (0.8 or more), one pair per two unconnected groups, so a cluster gives the links of a
-spanning forest and not all pairs. Of each connected group the first occurrence by (id, line) stays.
+of 12 bits where they are long. Most lines at the least similarity differ in more bits, so each distinct line
+is also sent to the postings of its leading words in one order of all words, rare ones first: of a line of n
+words at most n // 5 are not in a line similar to it, so two similar lines share one of their first n // 5 + 1.
+Such a posting compares lengths and the parity of words in 128 bits (of long lines 512), of which an edit changes
+two at most.
+Postings yield clusters of neighbours; the lines of a cluster are compared by word edit similarity (0.8 or
+more), one pair per two unconnected groups, so a cluster gives the links of a spanning forest and not all
+pairs. No similar pair is lost. Of each connected group the first occurrence by (id, line) stays.
 
 Defined results: shorter lines always stay; a null text stays null; rows agreeing in id and text are one
 occurrence and keep the same lines; rows without an id come last; a text that loses all its lines is dropped
@@ -17,6 +22,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import xor
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +31,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import frame, materialize, slices
+from .common import crc_mod, frame, materialize, slices
 from .components import connected_components
 
 DISTANCE = 3
 SIMILARITY = 0.8
 #: Fingerprints of a posting that are compared at once.
 BLOCK = 1024
+#: Frequent words that are told to all workers; their order costs time only, never a pair.
+FREQUENT = 50_000
+#: Words from which on parity has 512 bits.
+LONG = 80
+#: Rows of word postings that are compared at once; a longer posting is held whole.
+ROWS = 200_000
 _WORDS = re.compile(r"\w+")
 _DIGIT = re.compile(r"\d")
 
@@ -64,6 +77,50 @@ def line_fingerprints(lines: list[list[str]]) -> np.ndarray:
     return np.packbits(2 * sums > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
+class _Places(dict):
+    """Place of a word in the order of all words (known counts above, hash below) and its parity bit, remembered."""
+
+    def __init__(self, counts: dict[str, int]):
+        self.counts = counts
+
+    def __missing__(self, word: str) -> tuple[int, int]:
+        if len(self) >= 200_000:
+            self.clear()
+        h = xxhash.xxh3_64_intdigest(word)
+        self[word] = out = (self.counts.get(word, 0) << 32 | h >> 32, 1 << (h & 511))
+        return out
+
+
+def parity(words: list[str], places: _Places) -> bytes:
+    """512 bits: whether the words of each bit are odd in number."""
+    return reduce(xor, [places[w][1] for w in words], 0).to_bytes(64, "little")
+
+
+def folded(bits: np.ndarray) -> np.ndarray:
+    """Rows of 512 bits as rows of 128."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, 4, 2), axis=1)
+
+
+def sketch(words: list[str], places: _Places) -> bytes:
+    """Parity, then the hashes (32 bits) of the leading words."""
+    leading = sorted({places[w][0] for w in words})[: len(words) // 5 + 1]
+    bits = parity(words, places)
+    if len(words) < LONG:
+        bits = folded(np.frombuffer(bits, "<u8")).tobytes()
+    return bits + (np.array(leading, np.uint64) & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+
+
+def frequent_words(docs: DataFrame) -> dict[str, int]:
+    """Counts of the most frequent words in one of fifty documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (texts,) in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array([w for t in texts for w in normalise(t or "")], pa.string())], names=["word"])
+
+    counted = docs.where(crc_mod("doc_id", 50) == 0).select("text").mapInArrow(run, "word string").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return {r.word: r.n for r in counted.where("n > 1").orderBy(F.desc("n"), "word").limit(FREQUENT).collect()}
+
+
 def edit_similar(a: list[str], b: list[str], least: float = SIMILARITY) -> bool:
     """Whether the word edit distance is at most (1 - least) of the longer line (bit-parallel recurrence)."""
     n, m = len(a), len(b)
@@ -133,10 +190,12 @@ def row_digest() -> Column:
 
 
 def line_table(docs: DataFrame, min_words: int) -> DataFrame:
-    """(digest, doc_id, line, key, fp): the lines that can be duplicates."""
-    schema = pa.schema([("digest", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("key", pa.int64()), ("fp", pa.int64())])
+    """(digest, doc_id, line, key, fp, n, sketch): the lines that can be duplicates, with their number of words."""
+    schema = pa.schema([("digest", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary())])
+    counts = frequent_words(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = _Places(counts)
         for digests, ids, texts in slices(batches, "digest", "doc_id", "text", step=100):
             found = []
             for digest, doc, text in zip(digests, ids, texts, strict=True):
@@ -145,9 +204,10 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
                     if len(words) >= min_words:
                         found.append((digest, doc, k, words))
             keys = np.array([xxhash.xxh3_64_intdigest(" ".join(f[3])) for f in found], np.uint64).view(np.int64)
-            yield frame(schema, [f[0] for f in found], [f[1] for f in found], [f[2] for f in found], keys, line_fingerprints([f[3] for f in found]).view(np.int64))
+            words = [f[3] for f in found]
+            yield frame(schema, [f[0] for f in found], [f[1] for f in found], [f[2] for f in found], keys, line_fingerprints(words).view(np.int64), [len(w) for w in words], [sketch(w, places) for w in words])
 
-    return docs.select(row_digest().alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "digest long, doc_id long, line int, key long, fp long")
+    return docs.select(row_digest().alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "digest long, doc_id long, line int, key long, fp long, n int, sketch binary")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
@@ -192,26 +252,118 @@ def clusters(fps: DataFrame) -> DataFrame:
     return postings.mapInArrow(run, "cluster long, fp long").distinct()
 
 
+def word_clusters(ends: np.ndarray, sizes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Label per row: rows that may be similar, in one posting (rows up to ``ends``, ascending by size), have one label.
+
+    ``bits`` are eight words a row; of short lines the first two count.
+    """
+    short, long = np.where((sizes >= LONG)[:, None], folded(bits), bits[:, :2]), bits
+
+    def odd(of: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(of[a] ^ of[b]).sum(axis=1, dtype=np.int64)
+
+    label = np.arange(len(ends))
+    longest = sizes + sizes // 4
+    at = np.nonzero(label + 1 < ends)[0]
+    step = 1
+    while len(at):
+        other = at + step
+        fits = (other < ends[at]) & (sizes[np.minimum(other, len(ends) - 1)] <= longest[at])
+        at = at[fits]
+        open_ = at[label[at] != label[at + step]]
+        near = open_[odd(short, open_, open_ + step) <= 2 * (sizes[open_ + step] // 5)]
+        both = sizes[near] >= LONG
+        near = near[~both | (odd(long, np.where(both, near, 0), np.where(both, near + step, 0)) <= 2 * (sizes[near + step] // 5))]
+        for i in near.tolist():
+            j = i + step
+            while label[i] != i:
+                i = label[i]
+            while label[j] != j:
+                j = label[j]
+            label[max(i, j)] = min(i, j)
+        if len(near):
+            while (label[label] != label).any():
+                label = label[label]
+        step += 1
+    return label
+
+
+def clusters_by_words(lines: DataFrame) -> DataFrame:
+    """(cluster, key) for distinct lines (key, n, sketch) with one that may be similar."""
+    rows = pa.schema([("word", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("bits", pa.binary())])
+    schema = pa.schema([("cluster", pa.int64()), ("key", pa.int64())])
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = batch.column("sketch").to_pylist()
+            n = batch.column("n").to_numpy()
+            wide = np.where(n < LONG, 16, 64).tolist()
+            words = np.frombuffer(b"".join(s[w:] for s, w in zip(made, wide, strict=True)), "<i4")
+            each = np.repeat(np.arange(len(made)), [(len(s) - w) // 4 for s, w in zip(made, wide, strict=True)])
+            bits = pa.array([s[:w] for s, w in zip(made, wide, strict=True)], pa.binary()).take(pa.array(each))
+            for at in range(0, len(each), 10_000):
+                part = each[at : at + 10_000]
+                yield frame(rows, words[at : at + 10_000], n[part], batch.column("key").to_numpy()[part], bits.slice(at, 10_000))
+
+    def close(table: pa.Table) -> pa.RecordBatch:
+        word, n, key = (table.column(c).to_numpy() for c in ("word", "n", "key"))
+        bits = np.frombuffer(b"".join(b.ljust(64, b"\0") for b in table.column("bits").to_pylist()), "<u8").reshape(-1, 8)
+        cuts = np.concatenate((np.nonzero(np.diff(word))[0] + 1, [len(word)]))
+        ends = cuts[np.searchsorted(cuts, np.arange(len(word)), side="right")]
+        label = word_clusters(ends, n.astype(np.int64), bits)
+        order = np.lexsort((key, label))
+        label = label[order]
+        ids, members = [], []
+        starts = np.concatenate(([0], np.nonzero(np.diff(label))[0] + 1))
+        stops = np.concatenate((starts[1:], [len(label)]))
+        for a, b in zip(starts[stops - starts > 1].tolist(), stops[stops - starts > 1].tolist(), strict=True):
+            found = key[order[a:b]]
+            ids.append(np.full(b - a, np.array([xxhash.xxh3_64_intdigest(found.tobytes())], np.uint64).view(np.int64)[0]))
+            members.append(found)
+        return frame(schema, np.concatenate(ids) if ids else [], np.concatenate(members) if members else [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            if size >= ROWS:
+                table = pa.Table.from_batches(held).combine_chunks()
+                word = table.column("word").to_numpy()
+                whole = int(np.searchsorted(word, word[-1]))
+                if whole:
+                    yield close(table.slice(0, whole))
+                held = table.slice(whole).to_batches()
+                size -= whole
+        if held:
+            yield close(pa.Table.from_batches(held))
+
+    postings = lines.select("key", "n", "sketch").mapInArrow(post, "word int, n int, key long, bits binary")
+    return postings.repartition("word").sortWithinPartitions("word", "n").mapInArrow(run, "cluster long, key long").distinct()
+
+
 def verified_links(members: DataFrame) -> DataFrame:
-    """(a, b) links of keys from (cluster, key, fp, line): a spanning forest of what is similar within each cluster.
+    """(a, b) links of keys from (cluster, key, line): a spanning forest of what is similar within each cluster.
 
-    Only neighbours are compared, those whose fingerprints lie within the distance, and of them only what no
-    link connects yet.
+    Only what can be similar by the parity of its words is compared, and of it only what no link connects yet.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = [], []
+        places = _Places({})
         for _, table in grouped(batches, "cluster"):
             keys, lines = table.column("key").to_pylist(), table.column("line").to_pylist()
             order = sorted(range(len(keys)), key=lambda i: (lines[i].count(" "), keys[i]))
             rows = [(lines[i].split(" "), keys[i]) for i in order]
-            fps = table.column("fp").to_numpy().view(np.uint64)[order]
+            bits = np.frombuffer(b"".join(parity(r[0], places) for r in rows), "<u8").reshape(-1, 8)
             comp = np.arange(len(rows))
             sizes = np.array([len(r[0]) for r in rows])
             for i in range(len(rows) - 1):
                 upto = int(np.searchsorted(sizes, sizes[i] / SIMILARITY + 1e-6, side="right"))
-                near = np.bitwise_count(fps[i + 1 : upto] ^ fps[i]) <= DISTANCE
+                near = np.bitwise_count(bits[i + 1 : upto] ^ bits[i]).sum(axis=1, dtype=np.int64) <= 2 * (sizes[i + 1 : upto] // 5)
                 for j in (np.nonzero(near & (comp[i + 1 : upto] != comp[i]))[0] + i + 1).tolist():
                     if comp[j] != comp[i] and edit_similar(rows[i][0], rows[j][0]):
                         comp[comp == comp[j]] = comp[i]
@@ -229,10 +381,12 @@ def removed_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """(digest, lines): numbers of the lines that go, per row digest."""
     lines = materialize(line_table(docs, min_words))
     occurrence = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest", "line")
-    distinct = materialize(lines.groupBy("key").agg(F.min("fp").alias("fp"), F.min(occurrence).alias("first"), F.countDistinct("digest", "line").alias("n")))
+    distinct = materialize(lines.groupBy("key").agg(F.min("fp").alias("fp"), F.min("n").alias("words"), F.min("sketch").alias("sketch"), F.min(occurrence).alias("first"), F.countDistinct("digest", "line").alias("n")))
     per_fp = distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("keys"))
     near = materialize(clusters(per_fp.select("fp")).unionByName(per_fp.where("keys > 1").select(F.xxhash64("fp").alias("cluster"), "fp")))
-    members = distinct.join(near, "fp").select("cluster", "key", "fp", "first.digest", "first.line")
+    by_words = materialize(clusters_by_words(distinct.select("key", F.col("words").alias("n"), "sketch")))
+    found = near.join(distinct.select("fp", "key"), "fp").select("cluster", "key").unionByName(by_words)
+    members = distinct.select("key", "first").join(found, "key").select("cluster", "key", "first.digest", "first.line")
 
     # The text of a near line is fetched once per line from its first row, and sent to its clusters.
     wanted = members.select("digest", "line", "key").distinct().groupBy("digest").agg(F.collect_list(F.struct("line", "key")).alias("wanted"))
@@ -249,7 +403,7 @@ def removed_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
             yield frame(schema, keys, found)
 
     texts = docs.select(row_digest().alias("digest"), "text").join(wanted, "digest").select("text", "wanted").mapInArrow(fetch, "key long, line string").dropDuplicates(["key"])
-    links = verified_links(members.select("cluster", "key", "fp").join(texts, "key"))
+    links = verified_links(members.select("cluster", "key").join(texts, "key"))
     groups = connected_components(links).select(F.col("node").alias("key"), F.col("component"))
     keyed = distinct.join(groups, "key", "left").withColumn("root", F.coalesce("component", "key"))
     firsts = keyed.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("all"))
