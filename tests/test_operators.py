@@ -255,3 +255,9 @@ def test_oracles(spark, name):
     clean = lambda v: round(v, 6) if isinstance(v, float) else v
     got = sorted((tuple(clean(r[c]) for c in columns) for r in rows.collect()), key=repr)
     assert got == sorted((tuple(clean(v) for v in r) for r in want.project(", ".join(f'"{c}"' for c in columns)).fetchall()), key=repr)
+
+
+def test_extractive_answer_reads_whole_contexts(spark):
+    late = "filler " * 300 + "green turtles nest here"
+    row = spark.createDataFrame([("where do green turtles nest", ["turtles swim", late])], "q string, c array<string>").select(rag.extractive_answer(F.col("q"), F.col("c")).alias("a")).first()
+    assert row.a == late + " [2]"

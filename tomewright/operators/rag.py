@@ -95,7 +95,7 @@ def answer_guard(answer: Column, n_contexts: Column, least_contexts: int = 1) ->
 def extractive_answer(question: Column, contexts: Column) -> Column:
     """A deterministic stand-in for a model: the context that shares most words with the question, with its number."""
     words = F.array_distinct(text.query_tokens(question))
-    scored = F.transform(contexts, lambda c, i: F.struct(F.size(F.array_intersect(words, F.array_distinct(text.query_tokens(c)))).alias("n"), (-i).alias("at"), c.alias("text")))
+    scored = F.transform(contexts, lambda c, i: F.struct(F.size(F.array_intersect(words, F.array_distinct(text.query_tokens(c, 1 << 30)))).alias("n"), (-i).alias("at"), c.alias("text")))
     best = F.array_max(scored)
     return F.when(F.size(contexts) == 0, F.lit("I do not know.")).otherwise(F.concat(best["text"], F.lit(" ["), (1 - best["at"]).cast("string"), F.lit("]")))
 
