@@ -486,17 +486,8 @@ def test_edit_similarity():
         assert edit_similar(a, b) == (distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9))
 
 
-def test_line_dedup(docs, none):
-    from tomewright.llm import line_dedup as m
-
-    # Brute force: equal normalised lines, or fingerprints within the distance and similar enough.
-    lines = []
-    for i, r in enumerate(ROWS):
-        for k, line in enumerate((r[1] or "").split("\n")):
-            words = m.normalise(line)
-            if len(words) >= 5:
-                lines.append((i, k, words))
-    prints = m.line_fingerprints([x[2] for x in lines]).tolist()
+def _groups(lines, m):
+    """Component number per line by brute force: equal, or similar by edit distance alone."""
     root = list(range(len(lines)))
 
     def find(i):
@@ -505,32 +496,95 @@ def test_line_dedup(docs, none):
         return i
 
     for a, b in itertools.combinations(range(len(lines)), 2):
-        if lines[a][2] == lines[b][2] or ((prints[a] ^ prints[b]).bit_count() <= 3 and m.edit_similar(*sorted((lines[a][2], lines[b][2]), key=len))):
+        if lines[a] == lines[b] or (min(len(lines[a]), len(lines[b])) >= 0.75 * max(len(lines[a]), len(lines[b])) and m.edit_similar(*sorted((lines[a], lines[b]), key=len))):
             root[find(b)] = find(a)
+    return [find(i) for i in range(len(lines))]
+
+
+def test_line_dedup(docs, none):
+    from tomewright.llm import line_dedup as m
+
+    lines = []
+    for i, r in enumerate(ROWS):
+        for k, line in enumerate((r[1] or "").split("\n")):
+            words = m.normalise(line)
+            if len(words) >= 5 or sum(len(w.decode()) for w in words) >= 30:
+                lines.append((i, k, words))
     groups = defaultdict(set)
-    for i, (row, k, _) in enumerate(lines):
-        groups[find(i)].add((ROWS[row][0] is None, ROWS[row][0] or 0, ROWS[row][1], k))
-    # The same row twice is one occurrence; of a group one occurrence stays.
-    want = sum(len(g) - 1 for g in groups.values())
-    gone = m.removed_lines(docs).collect()
-    assert sum(len(r.lines) for r in gone) == want > 3
-    for g in groups.values():
-        ids = sorted(x[:2] for x in g)
-        assert ids
+    for g, (row, k, _) in zip(_groups([x[2] for x in lines], m), lines, strict=True):
+        groups[g].add((ROWS[row][0] is None, ROWS[row][0] or 0, ROWS[row][1], k))
+    # The same row twice is one occurrence; of a group the first one stays.
+    stays = {x for g in groups.values() for x in [min(g, key=lambda x: x[:2])] if sum(y[:2] == x[:2] for y in g) == 1}
+    loose = {x[:3] for g in groups.values() for x in g if sum(y[:2] == min(g)[:2] for y in g) > 1}
+    gone = {x for g in groups.values() for x in g} - stays
+    want = Counter()
+    for doc, text, *_ in ROWS:
+        kept = [x for k, x in enumerate((text or "").split("\n")) if (doc is None, doc or 0, text, k) not in gone]
+        if (doc is None, doc or 0, text) not in loose:
+            want[doc, len((text or "").split("\n")), len((text or "").split("\n")) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()] += 1
+    found = multiset(m.line_digests(docs).collect())
+    assert not want - found and sum(found.values()) == len(ROWS)
+    assert sum(want.values()) > len(ROWS) - 8 and sum(k[2] for k in want) > 3
     out = m.dedup_lines(docs)
     assert out.columns == docs.columns and out.count() < len(ROWS)
-    assert m.line_digests(docs).count() == len(ROWS)
+    clash = docs.withColumnsRenamed({"digest": "gone", "fp": "kept", "size": "Digest", "key": "_gone"})
+    assert m.dedup_lines(clash).columns == clash.columns
     assert m.dedup_lines(none).count() == 0 and m.line_digests(none).count() == 0
 
 
-def test_long_line_postings_lose_no_cluster(monkeypatch):
+def test_long_postings_of_lines_lose_no_link(spark, monkeypatch):
     from tomewright.llm import line_dedup as m
 
-    rng = np.random.default_rng(1)
-    fps = np.unique(np.concatenate([(rng.integers(0, 1 << 48, 10, np.uint64)[rng.integers(0, 10, 500)]) ^ np.array([1 << int(b) for b in rng.integers(0, 48, 500)], np.uint64), rng.integers(0, 1 << 48, 100, np.uint64)]))
-    whole = {tuple(sorted(c.tolist())) for c in m.neighbour_clusters(fps)}
-    monkeypatch.setattr(m, "BLOCK", 8)
-    assert {tuple(sorted(c.tolist())) for c in m.neighbour_clusters(fps)} == whole
+    rng = random.Random(3)
+    shared = "alpha bravo charlie delta echo foxtrot golf hotel india juliett kilo lima".split()
+    lines = []
+    for k in range(40):
+        own = [c + chr(97 + k // 26) + chr(97 + k % 26) for c in "abcdefgh"]
+        base = shared + own
+        lines += [" ".join(base), " ".join(base[:-1] + ["other"]), " ".join(base[:5] + base[6:])]
+    rng.shuffle(lines)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    whole = sorted(r.doc_id for r in m.dedup_lines(docs).collect())
+    assert len(whole) == 40
+    monkeypatch.setattr(m, "BLOCK", 16)
+    assert sorted(r.doc_id for r in m.dedup_lines(docs).collect()) == whole
+
+
+def test_line_dedup_recall(spark):
+    """Links between distinct lines of sf0.01, all pairs compared by edit similarity alone."""
+    from tomewright.llm import line_dedup as m
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    lines = {}
+    for r in docs.collect():
+        for line in (r.text or "").split("\n"):
+            words = m.normalise(line)
+            if len(words) >= 5:
+                lines[b" ".join(words)] = words
+    own = sorted(lines.values(), key=len)
+    bits = np.frombuffer(b"".join(map(m.parity, own)), "<u8").reshape(-1, 8)
+    first, sizes = np.bitwise_xor.reduce(bits, axis=1), np.array([len(w) for w in own])
+    pairs = []
+    for i in range(len(own) - 1):
+        upto = int(np.searchsorted(sizes, sizes[i] * 1.25 + 1e-6, side="right"))
+        near = np.flatnonzero(np.bitwise_count(first[i + 1 : upto] ^ first[i]) <= 2 * (sizes[i + 1 : upto] // 5)) + i + 1
+        pairs += [(i, j) for j in near.tolist() if np.bitwise_count(bits[i] ^ bits[j]).sum() <= 2 * (sizes[j] // 5) and m.edit_similar(own[i], own[j])]
+    numbered = spark.createDataFrame([(i, b" ".join(w).decode()) for i, w in enumerate(own)], "doc_id long, text string")
+    stay = {r.doc_id for r in m.dedup_lines(numbered).collect()}
+    root = list(range(len(own)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in pairs:
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    want = {i for i in range(len(own)) if find(i) != i}
+    assert len(pairs) > 300
+    found = set(range(len(own))) - stay
+    assert found <= want and len(found) >= 0.99 * len(want)
 
 
 def test_pipeline(spark, tmp_path):
@@ -570,20 +624,9 @@ def test_line_dedup_loses_no_similar_line(spark):
                 other[at : at + 1] = [["x" + "y" * at], [], [other[at], "z" * (at + 1)]][kind]
             lines.append(" ".join(other))
     lines += [" ".join(rng.choice("the of and to in it is was".split()) for _ in range(7)) for _ in range(60)]
-    words = [m.normalise(x) for x in lines]
-    root = list(range(len(lines)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for a, b in itertools.combinations(range(len(lines)), 2):
-        if m.edit_similar(*sorted((words[a], words[b]), key=len)):
-            root[find(b)] = find(a)
     least = {}
-    for i in range(len(lines)):
-        least[find(i)] = min(least.get(find(i), i), i)
+    for i, g in enumerate(_groups([m.normalise(x) for x in lines], m)):
+        least[g] = min(least.get(g, i), i)
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     assert {r.doc_id for r in m.dedup_lines(docs).collect()} == set(least.values())
     assert len(least) < len(lines) - 20

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +18,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own for a single machine."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else, on a single machine only, one of our own."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = os.path.join(tempfile.gettempdir(), "tomewright-checkpoints")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -37,6 +40,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has, whatever the case of its letters."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of an id written as decimal text, modulo ``n``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
@@ -57,3 +72,46 @@ def frame(schema: pa.Schema, *columns) -> pa.RecordBatch:
 def text_rank(spark: SparkSession) -> int:
     """Partitions for a shuffle by our own keys."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_RANDOM = np.random.default_rng(20240607)
+_BYTE = _RANDOM.integers(0, 2**64, 256, np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_POWERS.get("up", ())) < n:
+        size = 1 << max(12, int(n - 1).bit_length())
+        inverse = pow(_BASE, -1, 1 << 64)
+        for name, base in (("up", _BASE), ("down", inverse)):
+            out = np.ones(size, np.uint64)
+            k = 1
+            while k < size:
+                out[k : 2 * k] = out[:k] * np.uint64(pow(base, k, 1 << 64))
+                k *= 2
+            _POWERS[name] = out
+    return _POWERS["up"], _POWERS["down"]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit values spread over all bits, one to one."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+class Stretches:
+    """Polynomial fingerprints of any stretch of an array of bytes or of 64-bit values, from prefix sums."""
+
+    def __init__(self, raw: np.ndarray) -> None:
+        up, self.down = _powers(len(raw) + 1)
+        self.sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((_BYTE[raw] if raw.dtype == np.uint8 else raw) * up[: len(raw)], out=self.sums[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.sums[end] - self.sums[start]) * self.down[start]
+
+    def all(self, width: int) -> np.ndarray:
+        n = len(self.sums) - width
+        return (self.sums[width:] - self.sums[:n]) * self.down[:n]

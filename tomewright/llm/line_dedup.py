@@ -1,26 +1,23 @@
-"""Fuzzy line deduplication: SimHash and word prefixes, edit similarity, one occurrence per connected group.
-
-Lines of at least ``min_words`` words are normalised (lower case, digits as one, words only). Equal lines meet
-by hash and count as one. The SimHash of a line has four blocks of 16 bits; two that differ in at most three
-bits agree in one of them, so each distinct fingerprint is sent to four postings, which split further by blocks
-of 12 bits where they are long. Most lines at the least similarity differ in more bits, so each distinct line
-is also sent to the postings of its leading words in one order of all words, rare ones first: of a line of n
-words at most n // 5 are not in a line similar to it, so two similar lines share one of their first n // 5 + 1.
-Such a posting compares lengths and the parity of words in 128 bits (of long lines 512), of which an edit changes
-two at most.
-Postings yield clusters of neighbours; the lines of a cluster are compared by word edit similarity (0.8 or
-more), one pair per two unconnected groups, so a cluster gives the links of a spanning forest and not all
-pairs. No similar pair is lost. Of each connected group the first occurrence by (id, line) stays.
-
-Defined results: shorter lines always stay; a null text stays null; rows agreeing in id and text are one
-occurrence and keep the same lines; rows without an id come last; a text that loses all its lines is dropped
-from the documents; an empty table gives an empty result; further columns stay as they are, and n_chars, where
-there is one, follows the text.
+"""Fuzzy line deduplication: window SimHashes as pigeonhole blocks, edit similarity, one occurrence per connected group.
+
+Lines are normalised (lower case, digits as one, words only); equal lines meet by hash and count as one. The
+SimHash of every window of three words of a line (taken around its end) is a block: an edit of a word touches at
+most three of n blocks, so a line and one at the least similarity have some in common. Each distinct line is
+posted under the ``POSTED`` blocks of least rank, those of few letters last, and lines meet in the postings that
+two or more share. The pairs of a posting are compared by the parity of their words, which no similar pair can
+fail, and by word edit similarity (0.8 or more): one pair per two unconnected groups, each pair in one posting
+only, so a posting gives the links of a spanning forest and not all pairs. Postings longer than ``BLOCK`` are
+dealt to tasks as pairs of parts. Of each connected group the first occurrence by (id, line) stays.
+
+Defined results: lines below ``min_words`` words and ``min_chars`` letters always stay; of lines below five words
+only equal ones are similar; a null text stays null; rows agreeing in id and text are one occurrence and keep
+the same lines; rows without an id come last; a text that loses all its lines is dropped from the documents; an
+empty table gives an empty result; further columns stay as they are, whatever their names, and n_chars, where
+there is one, follows the text. Equal lines are told by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import reduce
 from operator import xor
@@ -31,103 +28,87 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, frame, materialize, slices
+from .common import Stretches, frame, fresh, materialize, mixed, slices
 from .components import connected_components
 
-DISTANCE = 3
 SIMILARITY = 0.8
-#: Fingerprints of a posting that are compared at once.
-BLOCK = 1024
-#: Frequent words that are told to all workers; their order costs time only, never a pair.
-FREQUENT = 50_000
-#: Words from which on parity has 512 bits.
-LONG = 80
-#: Rows of word postings that are compared at once; a longer posting is held whole.
-ROWS = 200_000
-_WORDS = re.compile(r"\w+")
-_DIGIT = re.compile(r"\d")
-
-
-def normalise(line: str) -> list[str]:
-    line = line.lower()
-    return _WORDS.findall(_DIGIT.sub("0", line) if _DIGIT.search(line) else line)
-
-
-class _Digests(dict):
-    """Hashes of words as bytes, those of frequent words remembered."""
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= 200_000:
-            self.clear()
-        self[word] = out = xxhash.xxh3_64_digest(word)
-        return out
-
-
-_DIGESTS = _Digests()
-
-
-def line_fingerprints(lines: list[list[str]]) -> np.ndarray:
-    """SimHash over the words of each line, all lines at once."""
-    if not lines:
-        return np.zeros(0, np.uint64)
-    hashes = b"".join([b"".join(map(_DIGESTS.__getitem__, words)) for words in lines])
-    sizes = np.array([len(words) for words in lines])
-    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
-    sums = np.add.reduceat(bits, np.concatenate(([0], np.cumsum(sizes)[:-1])), axis=0, dtype=np.int32)
-    return np.packbits(2 * sums > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
-
-
-class _Places(dict):
-    """Place of a word in the order of all words (known counts above, hash below) and its parity bit, remembered."""
-
-    def __init__(self, counts: dict[str, int]):
-        self.counts = counts
-
-    def __missing__(self, word: str) -> tuple[int, int]:
-        if len(self) >= 200_000:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
-        self[word] = out = (self.counts.get(word, 0) << 32 | h >> 32, 1 << (h & 511))
-        return out
-
-
-def parity(words: list[str], places: _Places) -> bytes:
-    """512 bits: whether the words of each bit are odd in number."""
-    return reduce(xor, [places[w][1] for w in words], 0).to_bytes(64, "little")
-
-
-def folded(bits: np.ndarray) -> np.ndarray:
-    """Rows of 512 bits as rows of 128."""
-    return np.bitwise_xor.reduce(bits.reshape(-1, 4, 2), axis=1)
-
-
-def sketch(words: list[str], places: _Places) -> bytes:
-    """Parity, then the hashes (32 bits) of the leading words."""
-    leading = sorted({places[w][0] for w in words})[: len(words) // 5 + 1]
-    bits = parity(words, places)
-    if len(words) < LONG:
-        bits = folded(np.frombuffer(bits, "<u8")).tobytes()
-    return bits + (np.array(leading, np.uint64) & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
-
-
-def frequent_words(docs: DataFrame) -> dict[str, int]:
-    """Counts of the most frequent words in one of fifty documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (texts,) in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([pa.array([w for t in texts for w in normalise(t or "")], pa.string())], names=["word"])
-
-    counted = docs.where(crc_mod("doc_id", 50) == 0).select("text").mapInArrow(run, "word string").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return {r.word: r.n for r in counted.where("n > 1").orderBy(F.desc("n"), "word").limit(FREQUENT).collect()}
-
-
-def edit_similar(a: list[str], b: list[str], least: float = SIMILARITY) -> bool:
+#: Words of a window, blocks that a line is posted under, letters below which a window ranks last.
+WIDTH, POSTED, FEW_LETTERS = 3, 6, 16
+#: Lines of a posting, or of each of two parts of a longer one, that are compared in one task.
+BLOCK = 2048
+#: From so many lines on, a posting is compared by arrays.
+MANY = 16
+_NONE = np.uint64(2**64 - 1)
+_TABLE = bytes(10 if c == 10 else 48 if 48 <= c < 58 else c + 32 if 65 <= c < 91 else c if c == 95 or 97 <= c < 123 or c >= 128 else 32 for c in range(256))
+
+
+def plain(text: str) -> bytes:
+    """Lower case, digits as 0, every other sign below 128 as a space; line feeds stay."""
+    return (text if text.isascii() else text.lower()).encode("utf-8", "surrogatepass").translate(_TABLE)
+
+
+def normalise(line: str) -> list[bytes]:
+    return plain(line).split()
+
+
+def window_blocks(hashes: np.ndarray, letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A row of ``POSTED`` ranks per line from the hashes and lengths of its words; lines have at least ``WIDTH`` words."""
+    start = np.cumsum(sizes) - sizes
+    first, n = np.repeat(start, sizes), np.repeat(sizes, sizes)
+    at = np.arange(len(hashes)) - first
+    follows = [first + np.where(at + k < n, at + k, at + k - n) for k in range(1, WIDTH)]
+    a, (b, c) = hashes, (hashes[f] for f in follows)
+    # The SimHash of three words: each bit as most of them have it.
+    rank = mixed((a & b) | (b & c) | (a & c)) >> np.uint64(1)
+    short = letters + sum(letters[f] for f in follows) < FEW_LETTERS
+    rank |= short.astype(np.uint64) << np.uint64(63)
+    out = np.empty((len(sizes), POSTED), np.uint64)
+    for k in range(POSTED):
+        out[:, k] = np.minimum.reduceat(rank, start)
+        rank[rank == np.repeat(out[:, k], sizes)] = _NONE
+    return out
+
+
+def lines_of(texts: list[str | None], min_words: int, min_chars: int) -> tuple[np.ndarray, ...]:
+    """(text, line, key, words, blocks) of the lines that can be duplicates, by place in ``texts``."""
+    raws = [plain(t or "") for t in texts]
+    data = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)
+    inside = data > 32
+    edges = np.flatnonzero(np.diff(inside, prepend=False))
+    begin, end = edges[::2], edges[1::2]
+    breaks = np.flatnonzero(data == 10)
+    line = np.searchsorted(breaks, begin)
+    hashes = mixed(Stretches(data).of(begin, end))
+    letters = np.concatenate(([0], np.cumsum(inside & ((data & 0xC0) != 0x80))))
+    letters = letters[end] - letters[begin]
+    n = np.bincount(line, minlength=len(breaks))
+    chars = np.bincount(line, weights=letters, minlength=len(breaks))
+    wanted = (n >= min_words) | ((n > 0) & (chars >= min_chars))
+    chosen = np.flatnonzero(wanted)
+    upto = np.cumsum(n)
+    keys = mixed(Stretches(hashes).of(upto[chosen] - n[chosen], upto[chosen]) + n[chosen].astype(np.uint64))
+    blocks = np.full((len(chosen), POSTED), _NONE)
+    near = n[chosen] >= 5
+    if near.any():
+        ours = (wanted & (n >= 5))[line]
+        blocks[near] = window_blocks(hashes[ours], letters[ours], n[chosen[near]])
+    starts = np.cumsum([0] + [r.count(b"\n") + 1 for r in raws])
+    text = np.searchsorted(starts, chosen, side="right") - 1
+    return text, chosen - starts[text], keys, n[chosen], blocks
+
+
+def parity(words: list[bytes]) -> bytes:
+    """512 bits: whether the words of each bit are odd in number. An edit changes two of them at most."""
+    return reduce(xor, [1 << (xxhash.xxh3_64_intdigest(w) & 511) for w in words], 0).to_bytes(64, "little")
+
+
+def edit_similar(a: list, b: list, least: float = SIMILARITY) -> bool:
     """Whether the word edit distance is at most (1 - least) of the longer line (bit-parallel recurrence)."""
     n, m = len(a), len(b)
     allowed = int((1 - least) * max(n, m) + 1e-9)
     if abs(n - m) > allowed:
         return False
-    where: dict[str, int] = {}
+    where: dict = {}
     for i, w in enumerate(a):
         where[w] = where.get(w, 0) | 1 << i
     full, top = (1 << n) - 1, 1 << (n - 1)
@@ -147,292 +128,177 @@ def edit_similar(a: list[str], b: list[str], least: float = SIMILARITY) -> bool:
     return distance <= allowed
 
 
-def neighbour_clusters(fps: np.ndarray) -> list[np.ndarray]:
-    """Connected clusters (of two or more) of distinct fingerprints within the distance, which share a block."""
-    label = np.arange(len(fps))
-
-    def root(i: int) -> int:
-        while label[i] != i:
-            label[i] = label[label[i]]
-            i = label[i]
-        return i
-
-    def compare(at: np.ndarray) -> None:
-        for i in range(0, len(at), BLOCK):
-            for j in range(i, len(at), BLOCK):
-                x, y = np.nonzero(np.bitwise_count(fps[at[i : i + BLOCK], None] ^ fps[None, at[j : j + BLOCK]]) <= DISTANCE)
-                off = x + i < y + j
-                for a, b in zip(at[x[off] + i].tolist(), at[y[off] + j].tolist(), strict=True):
-                    a, b = root(a), root(b)
-                    if a != b:
-                        label[max(a, b)] = min(a, b)
-
-    # All agree in a block of 16 bits; of any five blocks of 12 to 13 bits over the word, two within the distance agree in two.
-    def split(at: np.ndarray, first: int, depth: int) -> None:
-        if len(at) <= BLOCK or depth == 2:
-            compare(at)
-            return
-        for k in range(first, 5):
-            part = (fps[at] >> np.uint64(13 * k)) & np.uint64(0x1FFF)
-            order = np.argsort(part, kind="stable")
-            for group in np.split(at[order], np.nonzero(np.diff(part[order]))[0] + 1):
-                if len(group) > 1:
-                    split(group, k + 1, depth + 1)
-
-    split(np.arange(len(fps)), 0, 0)
-    roots = np.array([root(i) for i in range(len(fps))])
-    order = np.argsort(roots, kind="stable")
-    return [fps[g] for g in np.split(order, np.nonzero(np.diff(roots[order]))[0] + 1) if len(g) > 1]
-
-
 def row_digest() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), "text")
 
 
-def line_table(docs: DataFrame, min_words: int) -> DataFrame:
-    """(digest, doc_id, line, key, fp, n, sketch): the lines that can be duplicates, with their number of words."""
-    schema = pa.schema([("digest", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("key", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary())])
-    counts = frequent_words(docs)
+BLOCKS = [f"b{k}" for k in range(POSTED)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = _Places(counts)
-        for digests, ids, texts in slices(batches, "digest", "doc_id", "text", step=100):
-            found = []
-            for digest, doc, text in zip(digests, ids, texts, strict=True):
-                for k, line in enumerate((text or "").split("\n")):
-                    words = normalise(line)
-                    if len(words) >= min_words:
-                        found.append((digest, doc, k, words))
-            keys = np.array([xxhash.xxh3_64_intdigest(" ".join(f[3])) for f in found], np.uint64).view(np.int64)
-            words = [f[3] for f in found]
-            yield frame(schema, [f[0] for f in found], [f[1] for f in found], [f[2] for f in found], keys, line_fingerprints(words).view(np.int64), [len(w) for w in words], [sketch(w, places) for w in words])
-
-    return docs.select(row_digest().alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "digest long, doc_id long, line int, key long, fp long, n int, sketch binary")
-
-
-def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
-    """Runs of equal ``key`` in rows sorted by it."""
-    held, at = [], None
-    for batch in batches:
-        values = batch.column(key).to_numpy()
-        cuts = np.concatenate(([0], np.nonzero(np.diff(values))[0] + 1, [len(values)])).tolist()
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if a == b:
-                continue
-            if at is not None and values[a] != at:
-                yield at, pa.Table.from_batches(held)
-                held = []
-            at = int(values[a])
-            held.append(batch.slice(a, b - a))
-    if at is not None:
-        yield at, pa.Table.from_batches(held)
-
-
-def clusters(fps: DataFrame) -> DataFrame:
-    """(cluster, fp) for distinct fingerprints with a neighbour; a cluster that several postings find appears once."""
-    masks = [(0xFFFF << (16 * i)) - (1 << 64) * (i == 3) for i in range(4)]
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
-    postings = fps.select("fp", F.explode(keys).alias("posting")).repartition("posting").sortWithinPartitions("posting")
-    schema = pa.schema([("cluster", pa.int64()), ("fp", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, members = [], []
-        for _, table in grouped(batches, "posting"):
-            if table.num_rows > 1:
-                for c in neighbour_clusters(np.unique(table.column("fp").to_numpy().view(np.uint64))):
-                    c = np.sort(c)
-                    name = np.array([xxhash.xxh3_64_intdigest(c.tobytes())], np.uint64).view(np.int64)[0]
-                    ids += [int(name)] * len(c)
-                    members += c.view(np.int64).tolist()
-            if len(ids) > 50_000:
-                yield frame(schema, ids, members)
-                ids, members = [], []
-        yield frame(schema, ids, members)
-
-    return postings.mapInArrow(run, "cluster long, fp long").distinct()
-
-
-def word_clusters(ends: np.ndarray, sizes: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Label per row: rows that may be similar, in one posting (rows up to ``ends``, ascending by size), have one label.
-
-    ``bits`` are eight words a row; of short lines the first two count.
-    """
-    short, long = np.where((sizes >= LONG)[:, None], folded(bits), bits[:, :2]), bits
-
-    def odd(of: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(of[a] ^ of[b]).sum(axis=1, dtype=np.int64)
-
-    label = np.arange(len(ends))
-    longest = sizes + sizes // 4
-    at = np.nonzero(label + 1 < ends)[0]
-    step = 1
-    while len(at):
-        other = at + step
-        fits = (other < ends[at]) & (sizes[np.minimum(other, len(ends) - 1)] <= longest[at])
-        at = at[fits]
-        open_ = at[label[at] != label[at + step]]
-        near = open_[odd(short, open_, open_ + step) <= 2 * (sizes[open_ + step] // 5)]
-        both = sizes[near] >= LONG
-        near = near[~both | (odd(long, np.where(both, near, 0), np.where(both, near + step, 0)) <= 2 * (sizes[near + step] // 5))]
-        for i in near.tolist():
-            j = i + step
-            while label[i] != i:
-                i = label[i]
-            while label[j] != j:
-                j = label[j]
-            label[max(i, j)] = min(i, j)
-        if len(near):
-            while (label[label] != label).any():
-                label = label[label]
-        step += 1
-    return label
-
-
-def clusters_by_words(lines: DataFrame) -> DataFrame:
-    """(cluster, key) for distinct lines (key, n, sketch) with one that may be similar."""
-    rows = pa.schema([("word", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("bits", pa.binary())])
-    schema = pa.schema([("cluster", pa.int64()), ("key", pa.int64())])
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = batch.column("sketch").to_pylist()
-            n = batch.column("n").to_numpy()
-            wide = np.where(n < LONG, 16, 64).tolist()
-            words = np.frombuffer(b"".join(s[w:] for s, w in zip(made, wide, strict=True)), "<i4")
-            each = np.repeat(np.arange(len(made)), [(len(s) - w) // 4 for s, w in zip(made, wide, strict=True)])
-            bits = pa.array([s[:w] for s, w in zip(made, wide, strict=True)], pa.binary()).take(pa.array(each))
-            for at in range(0, len(each), 10_000):
-                part = each[at : at + 10_000]
-                yield frame(rows, words[at : at + 10_000], n[part], batch.column("key").to_numpy()[part], bits.slice(at, 10_000))
-
-    def close(table: pa.Table) -> pa.RecordBatch:
-        word, n, key = (table.column(c).to_numpy() for c in ("word", "n", "key"))
-        bits = np.frombuffer(b"".join(b.ljust(64, b"\0") for b in table.column("bits").to_pylist()), "<u8").reshape(-1, 8)
-        cuts = np.concatenate((np.nonzero(np.diff(word))[0] + 1, [len(word)]))
-        ends = cuts[np.searchsorted(cuts, np.arange(len(word)), side="right")]
-        label = word_clusters(ends, n.astype(np.int64), bits)
-        order = np.lexsort((key, label))
-        label = label[order]
-        ids, members = [], []
-        starts = np.concatenate(([0], np.nonzero(np.diff(label))[0] + 1))
-        stops = np.concatenate((starts[1:], [len(label)]))
-        for a, b in zip(starts[stops - starts > 1].tolist(), stops[stops - starts > 1].tolist(), strict=True):
-            found = key[order[a:b]]
-            ids.append(np.full(b - a, np.array([xxhash.xxh3_64_intdigest(found.tobytes())], np.uint64).view(np.int64)[0]))
-            members.append(found)
-        return frame(schema, np.concatenate(ids) if ids else [], np.concatenate(members) if members else [])
+def line_table(docs: DataFrame, min_words: int, min_chars: int) -> DataFrame:
+    """(digest, doc_id, line, key, n, b0, ...): the lines that can be duplicates, with their number of words and their blocks."""
+    schema = pa.schema([("digest", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("key", pa.int64()), ("n", pa.int32()), *[(b, pa.int64()) for b in BLOCKS]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            size += batch.num_rows
-            if size >= ROWS:
-                table = pa.Table.from_batches(held).combine_chunks()
-                word = table.column("word").to_numpy()
-                whole = int(np.searchsorted(word, word[-1]))
-                if whole:
-                    yield close(table.slice(0, whole))
-                held = table.slice(whole).to_batches()
-                size -= whole
-        if held:
-            yield close(pa.Table.from_batches(held))
-
-    postings = lines.select("key", "n", "sketch").mapInArrow(post, "word int, n int, key long, bits binary")
-    return postings.repartition("word").sortWithinPartitions("word", "n").mapInArrow(run, "cluster long, key long").distinct()
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                text, line, key, n, blocks = lines_of(part.column("text").to_pylist(), min_words, min_chars)
+                own = part.take(pa.array(text))
+                yield frame(schema, own.column("digest"), own.column("doc_id"), line, key.view(np.int64), n, *blocks.view(np.int64).T)
 
+    ddl = "digest long, doc_id long, line int, key long, n int, " + ", ".join(f"{b} long" for b in BLOCKS)
+    return docs.select(row_digest().alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ddl)
 
-def verified_links(members: DataFrame) -> DataFrame:
-    """(a, b) links of keys from (cluster, key, line): a spanning forest of what is similar within each cluster.
 
-    Only what can be similar by the parity of its words is compared, and of it only what no link connects yet.
+def postings(distinct: DataFrame) -> DataFrame:
+    """(block, key, left, right): lines of distinct ``key`` under the blocks that two or more have.
+
+    A posting above BLOCK lines is cut into parts by a hash of the key, and each pair of parts (left <= right) is one
+    unit of work; a part is then in as many units as there are parts.
     """
+    rows = distinct.select("key", F.explode(F.array(*BLOCKS)).alias("block")).where(F.col("block") != -1)
+    counts = rows.groupBy("block").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1")
+    parts = F.ceil(F.col("lines") / BLOCK).cast("int")
+    met = rows.join(counts, "block").select("block", "key", parts.alias("parts"), F.pmod(F.xxhash64(F.lit(3), "key"), parts).cast("int").alias("part"))
+    other = met.select("block", "key", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return other.select("block", "key", "part", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"))
+
+
+def posting_links(part: list[int], keys: list[int], lines: list[list[bytes]], blocks: np.ndarray, block: int) -> list[tuple[int, int]]:
+    """Links (places) of a spanning forest of what is similar, from lines in order of their number of words.
+
+    Lines of one part meet only where all are of one; a pair is compared under the least of its common blocks.
+    """
+    n = len(keys)
+    cross = len(set(part)) > 1
+    comp = np.zeros(n, np.int64) + np.arange(n)
+    sizes = [len(w) for w in lines]
+    out = []
+    many = n > MANY
+    if many:
+        bits = np.frombuffer(b"".join(map(parity, lines)), "<u8").reshape(-1, 8)
+        counts, sides = np.array(sizes), np.array(part)
+        limit = np.searchsorted(counts, counts / SIMILARITY + 1e-6, side="right").tolist()
+    sets: dict[int, set] = {}
+
+    def words(i: int) -> set:
+        if i not in sets:
+            sets[i] = set(lines[i])
+        return sets[i]
+
+    for i in range(n - 1):
+        if many:
+            rest = slice(i + 1, limit[i])
+            open_ = comp[rest] != comp[i]
+            if cross:
+                open_ &= sides[rest] != part[i]
+            near = np.flatnonzero(open_) + i + 1
+            allowed = (1 - SIMILARITY) * counts[near] + 1e-9
+            near = near[np.bitwise_count(bits[near] ^ bits[i]).sum(axis=1, dtype=np.int64) <= 2 * allowed.astype(np.int64)].tolist()
+        else:
+            near = [j for j in range(i + 1, n) if sizes[i] >= SIMILARITY * sizes[j] - 1e-6 and (not cross or part[i] != part[j])]
+        for j in near:
+            if comp[i] == comp[j] or len(words(i) ^ words(j)) > 2 * int((1 - SIMILARITY) * sizes[j] + 1e-9):
+                continue
+            if np.intersect1d(blocks[i], blocks[j])[0] == block and edit_similar(lines[i], lines[j]):
+                comp[comp == comp[j]] = comp[i]
+                out.append((i, j))
+    return out
+
+
+def verified_links(members: DataFrame) -> DataFrame:
+    """(a, b) links of keys from (block, left, right, part, key, blocks, words): those of each unit of work."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    key = ["block", "left", "right"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        held: list[tuple] = []
+        at = None
+
+        def close() -> None:
+            if len(held) < 2:
+                return
+            held.sort(key=lambda r: (len(r[2]), r[1]))
+            part, keys, lines, blocks = zip(*held, strict=True)
+            for i, j in posting_links(list(part), list(keys), list(lines), np.frombuffer(b"".join(blocks), "<i8").reshape(-1, POSTED), at[0]):
+                a.append(keys[i])
+                b.append(keys[j])
+
+        for block, left, right, part, keys, blocks, words in slices(batches, *key, "part", "key", "blocks", "words", step=2000):
+            for unit, row in zip(zip(block, left, right, strict=True), zip(part, keys, words, blocks, strict=True), strict=True):
+                if unit != at:
+                    close()
+                    held, at = [], unit
+                held.append((row[0], row[1], row[2].split(), row[3]))
+            if a:
+                yield frame(schema, a, b)
+                a, b = [], []
+        close()
+        yield frame(schema, a, b)
+
+    return members.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long").distinct()
+
+
+def line_words(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(key, blocks, words): normalised lines of (digest, line, key, b0, ...), each place read once."""
+    wanted = places.groupBy("digest").agg(F.collect_list(F.struct("line", "key", *BLOCKS)).alias("wanted"))
+    schema = pa.schema([("key", pa.int64()), ("blocks", pa.binary()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right = [], []
-        places = _Places({})
-        for _, table in grouped(batches, "cluster"):
-            keys, lines = table.column("key").to_pylist(), table.column("line").to_pylist()
-            order = sorted(range(len(keys)), key=lambda i: (lines[i].count(" "), keys[i]))
-            rows = [(lines[i].split(" "), keys[i]) for i in order]
-            bits = np.frombuffer(b"".join(parity(r[0], places) for r in rows), "<u8").reshape(-1, 8)
-            comp = np.arange(len(rows))
-            sizes = np.array([len(r[0]) for r in rows])
-            for i in range(len(rows) - 1):
-                upto = int(np.searchsorted(sizes, sizes[i] / SIMILARITY + 1e-6, side="right"))
-                near = np.bitwise_count(bits[i + 1 : upto] ^ bits[i]).sum(axis=1, dtype=np.int64) <= 2 * (sizes[i + 1 : upto] // 5)
-                for j in (np.nonzero(near & (comp[i + 1 : upto] != comp[i]))[0] + i + 1).tolist():
-                    if comp[j] != comp[i] and edit_similar(rows[i][0], rows[j][0]):
-                        comp[comp == comp[j]] = comp[i]
-                        left.append(rows[i][1])
-                        right.append(rows[j][1])
-            if len(left) > 50_000:
-                yield frame(schema, left, right)
-                left, right = [], []
-        yield frame(schema, left, right)
-
-    return members.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(run, "a long, b long").distinct()
-
-
-def removed_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
-    """(digest, lines): numbers of the lines that go, per row digest."""
-    lines = materialize(line_table(docs, min_words))
-    occurrence = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest", "line")
-    distinct = materialize(lines.groupBy("key").agg(F.min("fp").alias("fp"), F.min("n").alias("words"), F.min("sketch").alias("sketch"), F.min(occurrence).alias("first"), F.countDistinct("digest", "line").alias("n")))
-    per_fp = distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("keys"))
-    near = materialize(clusters(per_fp.select("fp")).unionByName(per_fp.where("keys > 1").select(F.xxhash64("fp").alias("cluster"), "fp")))
-    by_words = materialize(clusters_by_words(distinct.select("key", F.col("words").alias("n"), "sketch")))
-    found = near.join(distinct.select("fp", "key"), "fp").select("cluster", "key").unionByName(by_words)
-    members = distinct.select("key", "first").join(found, "key").select("cluster", "key", "first.digest", "first.line")
-
-    # The text of a near line is fetched once per line from its first row, and sent to its clusters.
-    wanted = members.select("digest", "line", "key").distinct().groupBy("digest").agg(F.collect_list(F.struct("line", "key")).alias("wanted"))
-    schema = pa.schema([("key", pa.int64()), ("line", pa.string())])
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts, asked in slices(batches, "text", "wanted"):
-            keys, found = [], []
+            keys, blocks, words = [], [], []
             for text, some in zip(texts, asked, strict=True):
-                own = (text or "").split("\n")
+                own = plain(text or "").split(b"\n")
                 for x in some:
                     keys.append(x["key"])
-                    found.append(" ".join(normalise(own[x["line"]])))
-            yield frame(schema, keys, found)
+                    blocks.append(np.array([x[b] for b in BLOCKS], "<i8").tobytes())
+                    words.append(b" ".join(own[x["line"]].split()))
+            yield frame(schema, keys, blocks, words)
 
-    texts = docs.select(row_digest().alias("digest"), "text").join(wanted, "digest").select("text", "wanted").mapInArrow(fetch, "key long, line string").dropDuplicates(["key"])
-    links = verified_links(members.select("cluster", "key").join(texts, "key"))
+    return docs.select(row_digest().alias("digest"), "text").join(wanted, "digest").select("text", "wanted").mapInArrow(run, "key long, blocks binary, words binary").dropDuplicates(["key"])
+
+
+def removed_lines(docs: DataFrame, min_words: int = 5, min_chars: int = 30) -> DataFrame:
+    """(digest, lines): numbers of the lines that go, per row digest."""
+    lines = materialize(line_table(docs, min_words, min_chars))
+    occurrence = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest", "line", *BLOCKS)
+    distinct = materialize(lines.groupBy("key").agg(F.min(occurrence).alias("first"), F.countDistinct("digest", "line").alias("n")).select("key", "first", "n", *[F.col(f"first.{b}").alias(b) for b in BLOCKS]))
+    met = materialize(postings(distinct))
+    places = distinct.join(met.select("key").distinct(), "key").select("key", "first.digest", "first.line", *BLOCKS)
+    links = verified_links(met.join(line_words(docs, places), "key"))
     groups = connected_components(links).select(F.col("node").alias("key"), F.col("component"))
-    keyed = distinct.join(groups, "key", "left").withColumn("root", F.coalesce("component", "key"))
+    keyed = distinct.join(groups, "key", "left").select("key", "first", "n", F.coalesce("component", "key").alias("root"))
     firsts = keyed.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("all"))
     losing = keyed.join(firsts.where("all > 1"), "root").select("key", F.col("kept.digest").alias("kept_digest"), F.col("kept.line").alias("kept_line"))
-    gone = lines.join(losing, "key").where((F.col("digest") != F.col("kept_digest")) | (F.col("line") != F.col("kept_line")))
+    gone = lines.select("digest", "line", "key").join(losing, "key").where((F.col("digest") != F.col("kept_digest")) | (F.col("line") != F.col("kept_line")))
     return materialize(gone.groupBy("digest").agg(F.collect_set("line").alias("lines")))
 
 
-def _applied(docs: DataFrame, min_words: int) -> DataFrame:
-    gone = removed_lines(docs, min_words).select(F.col("digest").alias("_digest"), F.col("lines").alias("_gone"))
-    joined = docs.join(gone, row_digest() == F.col("_digest"), "left")
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    return joined.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
+def _applied(docs: DataFrame, **options) -> tuple[DataFrame, str, str]:
+    """``docs`` with the numbers of the lines that go and the array of those that stay, both null where none goes."""
+    digest, gone, kept = fresh(docs, "digest", "gone", "kept")
+    found = removed_lines(docs.select("doc_id", "text"), **options).select(F.col("digest").alias(digest), F.col("lines").alias(gone))
+    joined = docs.withColumn(digest, row_digest()).join(found, digest, "left")
+    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(gone), i))
+    return joined.withColumn(kept, F.when(F.col(gone).isNotNull(), left)), gone, kept
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without repeated lines; texts with nothing left are dropped."""
-    found = _applied(docs, min_words).where("_gone IS NULL OR size(_kept) > 0")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))
-    columns = [text.alias("text") if c == "text" else F.when(F.col("_gone").isNull(), F.col(c)).otherwise(F.length(text).cast(t)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, t in docs.dtypes]
-    return found.select(*columns)
+    found, gone, kept = _applied(docs, **options)
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    columns = [text.alias("text") if c == "text" else F.when(F.col(gone).isNull(), F.col(c)).otherwise(F.length(text).cast(t)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, t in docs.dtypes]
+    return found.where(F.col(gone).isNull() | (F.size(kept) > 0)).select(*columns)
 
 
-def line_digests(docs: DataFrame, min_words: int = 5) -> DataFrame:
+def line_digests(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_lines, n_removed and the SHA-256 of the remaining text of every row of ``docs``."""
-    found = _applied(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), min_words)
+    found, gone, kept = _applied(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), **options)
     return found.select(
         "doc_id",
         F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.sha2(F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")).cast("binary"), 256).alias("kept_sha256"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"),
+        F.sha2(F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).cast("binary"), 256).alias("kept_sha256"),
     )

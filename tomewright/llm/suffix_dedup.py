@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frame, materialize, slices
+from .common import Stretches, frame, materialize, mixed, slices
 
 LENGTH = 400
 #: Bytes of an anchor's leading token, and of the tokens that a round of sorting compares.
@@ -38,48 +38,6 @@ CHUNK = 1 << 19
 #: Strings that are sorted at once.
 STRINGS = 1 << 20
 
-_RANDOM = np.random.default_rng(20240607)
-_BYTE = _RANDOM.integers(0, 2**64, 256, np.uint64)
-_BASE = 0x9E3779B97F4A7C15
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
-        inverse = pow(_BASE, -1, 1 << 64)
-        for name, base in (("up", _BASE), ("down", inverse)):
-            out = np.ones(size, np.uint64)
-            k = 1
-            while k < size:
-                out[k : 2 * k] = out[:k] * np.uint64(pow(base, k, 1 << 64))
-                k *= 2
-            _POWERS[name] = out
-    return _POWERS["up"], _POWERS["down"]
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-class Fingerprints:
-    """Fingerprints of any stretch of a byte array, from prefix sums."""
-
-    def __init__(self, raw: np.ndarray) -> None:
-        up, self.down = _powers(len(raw) + 1)
-        self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE[raw] * up[: len(raw)], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.down[start]
-
-    def all(self, width: int) -> np.ndarray:
-        n = len(self.sums) - width
-        return (self.sums[width:] - self.sums[:n]) * self.down[:n]
-
-
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     n = len(x)
     padded = np.full(-(-n // width) * width, np.iinfo(np.uint64).max, np.uint64)
@@ -95,8 +53,8 @@ def anchors(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     data = np.frombuffer(raw, np.uint8)
     parts = []
     for at in range(0, max(0, len(data) - length + 1), CHUNK):
-        some = Fingerprints(data[at : at + CHUNK + length - 1])
-        tokens = _mixed(some.all(LEAD))
+        some = Stretches(data[at : at + CHUNK + length - 1])
+        tokens = mixed(some.all(LEAD))
         places = np.arange(len(tokens), dtype=np.uint64)
         least = _sliding_min(tokens >> np.uint64(20) << np.uint64(20) | places, length - LEAD + 1)
         anchor = (least & np.uint64((1 << 20) - 1)).astype(np.int64)
@@ -104,7 +62,7 @@ def anchors(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
         high = np.concatenate((low[1:] - 1, [len(anchor) - 1]))
         anchor = anchor[low]
         shape = ((high - low).astype(np.uint64) << np.uint64(32)) | (anchor - low).astype(np.uint64)
-        stretch = _mixed(some.of(low, high + length) ^ _mixed(shape))
+        stretch = mixed(some.of(low, high + length) ^ mixed(shape))
         parts.append((anchor + at, low + at, high + at, tokens[anchor], stretch))
     if not parts:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
@@ -174,7 +132,7 @@ def suffixes(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
     return docs.join(wanted, "digest").select("digest", "text", "wanted").mapInArrow(run, _ddl(SUFFIX))
 
 
-def _tied(first: np.ndarray, starts: np.ndarray, prints: Fingerprints, length: int) -> np.ndarray:
+def _tied(first: np.ndarray, starts: np.ndarray, prints: Stretches, length: int) -> np.ndarray:
     """Which strings equal another one of the same ``first`` key: multikey quicksort over their tokens."""
     out = np.zeros(len(first), bool)
     at = np.arange(len(first))
@@ -204,7 +162,7 @@ def repeated_ranges(bucketed: DataFrame, length: int) -> DataFrame:
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         """``rows``: (group, digest, low, ahead, compared, stretch) of whole groups."""
         raw = np.frombuffer(b"".join(r[5] for r in rows), np.uint8)
-        prints = Fingerprints(raw)
+        prints = Stretches(raw)
         sizes = np.array([len(r[5]) for r in rows])
         begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         strings = sizes - length + 1
