@@ -165,7 +165,7 @@ def postings(distinct: DataFrame) -> DataFrame:
     return other.select("block", "key", "part", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"))
 
 
-def posting_links(part: list[int], keys: list[int], lines: list[list[bytes]], blocks: np.ndarray, block: int) -> list[tuple[int, int]]:
+def posting_links(part: list[int], keys: list[int], lines: list[list[bytes]], blocks: list[frozenset], block: int) -> list[tuple[int, int]]:
     """Links (places) of a spanning forest of what is similar, from lines in order of their number of words.
 
     Lines of one part meet only where all are of one; a pair is compared under the least of its common blocks.
@@ -201,12 +201,16 @@ def posting_links(part: list[int], keys: list[int], lines: list[list[bytes]], bl
         for j in near:
             if comp[i] == comp[j] or len(words(i) ^ words(j)) > 2 * int((1 - SIMILARITY) * sizes[j] + 1e-9):
                 continue
-            if np.intersect1d(blocks[i], blocks[j])[0] == block and edit_similar(lines[i], lines[j]):
+            if min(blocks[i] & blocks[j]) == block and edit_similar(lines[i], lines[j]):
                 comp[comp == comp[j]] = comp[i]
                 out.append((i, j))
     return out
 
 
+def posted(blocks: bytes) -> frozenset:
+    return frozenset(np.frombuffer(blocks, "<i8").tolist()) - {-1}
+
+
 def verified_links(members: DataFrame) -> DataFrame:
     """(a, b) links of keys from (block, left, right, part, key, blocks, words): those of each unit of work."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -222,7 +226,7 @@ def verified_links(members: DataFrame) -> DataFrame:
                 return
             held.sort(key=lambda r: (len(r[2]), r[1]))
             part, keys, lines, blocks = zip(*held, strict=True)
-            for i, j in posting_links(list(part), list(keys), list(lines), np.frombuffer(b"".join(blocks), "<i8").reshape(-1, POSTED), at[0]):
+            for i, j in posting_links(list(part), list(keys), list(lines), [posted(b) for b in blocks], at[0]):
                 a.append(keys[i])
                 b.append(keys[j])
 
