@@ -301,31 +301,71 @@ def _simhash(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def test_simhash(docs, none):
-    from tomewright.llm.simhash import NO_ID, keep_one, near_duplicates
+def test_simhash(spark, docs, none):
+    from tomewright.llm.simhash import near_duplicates
 
-    prints = [_simhash(r[1]) for r in ROWS]
-    root = list(range(len(ROWS)))
+    far = (1 << 62) + 5  # an id that no reserved range may swallow
+    rows_in = [*[(r[0], r[1]) for r in ROWS], (far, "a text with a very large id"), (far + 1, "a text with a very large id"), (-4, ROWS[7][1])]
+    prints = [_simhash(t) for _, t in rows_in]
+    root = list(range(len(rows_in)))
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for i, j in itertools.combinations(range(len(ROWS)), 2):
+    for i, j in itertools.combinations(range(len(rows_in)), 2):
         if (prints[i] ^ prints[j]).bit_count() <= 3:
             root[find(j)] = find(i)
     least = {}
-    for i, r in enumerate(ROWS):
-        least[find(i)] = min(least.get(find(i), NO_ID), NO_ID if r[0] is None else r[0])
-    want = Counter((r[0], prints[i], least[find(i)]) for i, r in enumerate(ROWS))
-    rows = near_duplicates(docs).collect()
-    assert Counter((r.key if r.key < NO_ID else None, r.fp % (1 << 64), min(r.component, NO_ID)) for r in rows) == want
-    kept = keep_one(docs)
-    assert kept.columns == docs.columns
-    # One row per component that has the id as its least; the second text of an id never is alone in a component.
-    assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == {v for v in least.values() if v < NO_ID}
-    assert near_duplicates(none).count() == 0 and keep_one(none).count() == 0
+    for i, (doc, _) in enumerate(rows_in):
+        least[find(i)] = min((x for x in (least.get(find(i)), doc) if x is not None), default=None)
+    want = Counter((doc, prints[i], least[find(i)]) for i, (doc, _) in enumerate(rows_in))
+    rows = near_duplicates(spark.createDataFrame(rows_in, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.fp % (1 << 64), r.component) for r in rows) == want
+    assert near_duplicates(none).count() == 0
+
+
+def _alike(a, b):
+    a, b = (WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) for t in (a, b))
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (a, b))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_keep_one(spark, docs, none):
+    from tomewright.llm.simhash import keep_one
+
+    rng = random.Random(12)
+    base = _prose(rng, 240).split()
+    copies = []
+    for k in range(30):
+        words = list(base)
+        for at in rng.sample(range(240), 2):  # resemblance about 0.92 to the base and 0.84 to each other
+            words[at] = f"edit{k}x{at}"
+        copies.append((1000 + k, " ".join(words)))
+    unlike = [(2000 + k, _prose(rng, 200)) for k in range(40)]
+    rows_in = [*[(r[0], r[1]) for r in ROWS], (999, " ".join(base)), *copies, *unlike]
+    root = list(range(len(rows_in)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows_in)), 2):
+        if _alike(rows_in[i][1], rows_in[j][1]) >= 0.8:
+            root[find(j)] = find(i)
+    groups = defaultdict(list)
+    for i, (doc, text) in enumerate(rows_in):
+        groups[find(i)].append((doc is None, doc or 0, doc, text or ""))
+    kept = keep_one(spark.createDataFrame(rows_in, "doc_id long, text string").repartition(3)).collect()
+    # Each group keeps one row, one of its least id; texts alike by 30,000 words are too long to sketch exactly.
+    assert len(kept) == len(groups)
+    assert Counter(r.doc_id for r in kept) == Counter(min(g)[2] for g in groups.values())
+    assert all(any((r.doc_id, r.text or "") == (x[2], x[3]) for g in groups.values() for x in g if x[:2] == min(g)[:2]) for r in kept)
+    assert sum(r.doc_id is not None and 999 <= r.doc_id < 2000 for r in kept) == 1 and sum(r.doc_id is not None and r.doc_id >= 2000 for r in kept) == 40
+    clash = docs.withColumnsRenamed({"digest": "row", "fp": "_row", "key": "doc", "n": "last"})
+    assert keep_one(clash).columns == clash.columns and keep_one(none).count() == 0
 
 
 @pytest.mark.parametrize("n", [1 << 10, 1 << 25, 1 << 40])
@@ -337,16 +377,15 @@ def test_position_families(n):
         assert any(s <= set(five) for s in family)
 
 
-def test_long_postings_lose_no_link(monkeypatch):
+def test_long_postings_lose_no_link(spark, monkeypatch):
     from tomewright.llm import simhash
 
-    monkeypatch.setattr(simhash, "BLOCK", 16)
     rng = np.random.default_rng(0)
     centres = rng.integers(0, 1 << 40, 12, np.uint64)
-    flips = np.array([1 << int(rng.integers(0, 40)) for _ in range(600)], np.uint64)
-    fps = np.unique(np.concatenate([centres[rng.integers(0, 12, 600)] ^ flips, rng.integers(0, 1 << 40, 200, np.uint64)]))
+    flips = np.array([1 << int(rng.integers(0, 40)) for _ in range(300)], np.uint64)
+    fps = np.unique(np.concatenate([centres[rng.integers(0, 12, 300)] ^ flips, rng.integers(0, 1 << 40, 100, np.uint64)]))
 
-    def components(links):
+    def components(pairs):
         root = {int(f): int(f) for f in fps}
 
         def find(i):
@@ -354,7 +393,7 @@ def test_long_postings_lose_no_link(monkeypatch):
                 i = root[i]
             return i
 
-        for a, b in links:
+        for a, b in pairs:
             root[find(a)] = find(b)
         out = defaultdict(set)
         for f in root:
@@ -362,7 +401,11 @@ def test_long_postings_lose_no_link(monkeypatch):
         return {frozenset(s) for s in out.values()}
 
     every = [(int(a), int(b)) for a, b in itertools.combinations(fps.tolist(), 2) if (a ^ b).bit_count() <= 3]
-    assert components(simhash._posting_links(fps, (0, 1, 2))) == components(every)
+    table = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    for block in (16, 2048):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        found = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(table, len(fps)).collect()]
+        assert components(found) == components(every)
 
 
 def test_components(spark):
@@ -381,7 +424,7 @@ def test_components(spark):
         a, b = sorted((find(a), find(b)))
         root[b] = a
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert found == {x: find(x) for e in edges for x in e if e[0] != e[1]} or all(found.get(x, x) == find(x) for x in root)
+    assert found == {x: find(x) for e in edges for x in e if e[0] != e[1]}
 
 
 def test_quality_rules(docs, none):
@@ -608,7 +651,7 @@ def test_pipeline(spark, tmp_path):
     assert max(filled.values()) <= 1024
 
 
-def test_line_dedup_loses_no_similar_line(spark):
+def test_line_dedup_at_least_similarity(spark):
     from tomewright.llm import line_dedup as m
 
     # Lines with up to a fifth of their words replaced, taken out or put in, most of them beyond three bits of SimHash.
@@ -628,5 +671,8 @@ def test_line_dedup_loses_no_similar_line(spark):
     for i, g in enumerate(_groups([m.normalise(x) for x in lines], m)):
         least[g] = min(least.get(g, i), i)
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    assert {r.doc_id for r in m.dedup_lines(docs).collect()} == set(least.values())
-    assert len(least) < len(lines) - 20
+    stay = {r.doc_id for r in m.dedup_lines(docs).collect()}
+    # Half of the pairs are at the least similarity itself, the hardest for four posted blocks.
+    want = set(range(len(lines))) - set(least.values())
+    assert set(range(len(lines))) - stay <= want and len(want) > 20
+    assert len(stay & want) <= 0.05 * len(want)

@@ -5,9 +5,10 @@ SimHash of every window of three words of a line (taken around its end) is a blo
 most three of n blocks, so a line and one at the least similarity have some in common. Each distinct line is
 posted under the ``POSTED`` blocks of least rank, those of few letters last, and lines meet in the postings that
 two or more share. The pairs of a posting are compared by the parity of their words, which no similar pair can
-fail, and by word edit similarity (0.8 or more): one pair per two unconnected groups, each pair in one posting
-only, so a posting gives the links of a spanning forest and not all pairs. Postings longer than ``BLOCK`` are
-dealt to tasks as pairs of parts. Of each connected group the first occurrence by (id, line) stays.
+fail; of what is left the words are fetched and compared by edit similarity (0.8 or more): one pair per two
+unconnected groups, each pair in one posting only, so a posting gives the links of a spanning forest and not all
+pairs. Postings longer than ``BLOCK`` are dealt to tasks as pairs of parts. Of each connected group the first
+occurrence by (id, line) stays.
 
 Defined results: lines below ``min_words`` words and ``min_chars`` letters always stay; of lines below five words
 only equal ones are similar; a null text stays null; rows agreeing in id and text are one occurrence and keep
@@ -28,12 +29,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stretches, frame, fresh, materialize, mixed, slices
+from .common import Stretches, frame, fresh, materialize, mixed, only_marked, slices
 from .components import connected_components
+from .postings import by_unit, read_units, units
 
 SIMILARITY = 0.8
 #: Words of a window, blocks that a line is posted under, letters below which a window ranks last.
-WIDTH, POSTED, FEW_LETTERS = 3, 6, 16
+WIDTH, POSTED, FEW_LETTERS = 3, 4, 16
 #: Lines of a posting, or of each of two parts of a longer one, that are compared in one task.
 BLOCK = 2048
 #: From so many lines on, a posting is compared by arrays.
@@ -70,7 +72,7 @@ def window_blocks(hashes: np.ndarray, letters: np.ndarray, sizes: np.ndarray) ->
 
 
 def lines_of(texts: list[str | None], min_words: int, min_chars: int) -> tuple[np.ndarray, ...]:
-    """(text, line, key, words, blocks) of the lines that can be duplicates, by place in ``texts``."""
+    """(text, line, key, words, parity, blocks) of the lines that can be duplicates, by place in ``texts``."""
     raws = [plain(t or "") for t in texts]
     data = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)
     inside = data > 32
@@ -88,13 +90,19 @@ def lines_of(texts: list[str | None], min_words: int, min_chars: int) -> tuple[n
     upto = np.cumsum(n)
     keys = mixed(Stretches(hashes).of(upto[chosen] - n[chosen], upto[chosen]) + n[chosen].astype(np.uint64))
     blocks = np.full((len(chosen), POSTED), _NONE)
+    odd = np.zeros((len(chosen), 2), np.uint64)
     near = n[chosen] >= 5
     if near.any():
         ours = (wanted & (n >= 5))[line]
-        blocks[near] = window_blocks(hashes[ours], letters[ours], n[chosen[near]])
+        h, sizes = hashes[ours], n[chosen[near]]
+        blocks[near] = window_blocks(h, letters[ours], sizes)
+        bit = np.uint64(1) << (h & np.uint64(63))
+        high = (h >> np.uint64(6) & np.uint64(1)).astype(bool)
+        for k, half in enumerate((~high, high)):
+            odd[near, k] = np.bitwise_xor.reduceat(np.where(half, bit, np.uint64(0)), np.cumsum(sizes) - sizes)
     starts = np.cumsum([0] + [r.count(b"\n") + 1 for r in raws])
     text = np.searchsorted(starts, chosen, side="right") - 1
-    return text, chosen - starts[text], keys, n[chosen], blocks
+    return text, chosen - starts[text], keys, n[chosen], odd, blocks
 
 
 def parity(words: list[bytes]) -> bytes:
@@ -133,36 +141,59 @@ def row_digest() -> Column:
 
 
 BLOCKS = [f"b{k}" for k in range(POSTED)]
+#: 128 bits: whether the words of each bit are odd in number.
+ODD = ["odd0", "odd1"]
 
 
 def line_table(docs: DataFrame, min_words: int, min_chars: int) -> DataFrame:
-    """(digest, doc_id, line, key, n, b0, ...): the lines that can be duplicates, with their number of words and their blocks."""
-    schema = pa.schema([("digest", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("key", pa.int64()), ("n", pa.int32()), *[(b, pa.int64()) for b in BLOCKS]])
+    """(digest, doc_id, line, key, words, odd0, ..., b0, ...): the lines that can be duplicates, with their number of words."""
+    names = [*ODD, *BLOCKS]
+    schema = pa.schema([("digest", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("key", pa.int64()), ("words", pa.int32()), *[(b, pa.int64()) for b in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                text, line, key, n, blocks = lines_of(part.column("text").to_pylist(), min_words, min_chars)
+                text, line, key, n, odd, blocks = lines_of(part.column("text").to_pylist(), min_words, min_chars)
                 own = part.take(pa.array(text))
-                yield frame(schema, own.column("digest"), own.column("doc_id"), line, key.view(np.int64), n, *blocks.view(np.int64).T)
+                yield frame(schema, own.column("digest"), own.column("doc_id"), line, key.view(np.int64), n, *odd.view(np.int64).T, *blocks.view(np.int64).T)
 
-    ddl = "digest long, doc_id long, line int, key long, n int, " + ", ".join(f"{b} long" for b in BLOCKS)
+    ddl = "digest long, doc_id long, line int, key long, words int, " + ", ".join(f"{b} long" for b in names)
     return docs.select(row_digest().alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ddl)
 
 
-def postings(distinct: DataFrame) -> DataFrame:
-    """(block, key, left, right): lines of distinct ``key`` under the blocks that two or more have.
-
-    A posting above BLOCK lines is cut into parts by a hash of the key, and each pair of parts (left <= right) is one
-    unit of work; a part is then in as many units as there are parts.
-    """
+def candidates(distinct: DataFrame) -> DataFrame:
+    """(block, key, part, left, right): units of work, without the lines that nothing in their unit can be similar to."""
     rows = distinct.select("key", F.explode(F.array(*BLOCKS)).alias("block")).where(F.col("block") != -1)
-    counts = rows.groupBy("block").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1")
-    parts = F.ceil(F.col("lines") / BLOCK).cast("int")
-    met = rows.join(counts, "block").select("block", "key", parts.alias("parts"), F.pmod(F.xxhash64(F.lit(3), "key"), parts).cast("int").alias("part"))
-    other = met.select("block", "key", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    return other.select("block", "key", "part", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"))
+    met = units(rows, ["block"], "key", BLOCK).join(distinct.select("key", "words", *ODD), "key")
+    schema = pa.schema([("block", pa.int64()), ("key", pa.int64()), ("part", pa.int32()), ("left", pa.int32()), ("right", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for table in read_units(batches, ["block"]):
+            n = table.column("words").to_numpy().astype(np.int64)
+            odd = np.stack([table.column(c).to_numpy() for c in ODD]).view(np.uint64)
+            part = table.column("part").to_numpy()
+            keep = np.zeros(len(n), bool)
+            for at in range(0, len(n), 512):
+                some = slice(at, at + 512)
+                differ = np.bitwise_count(odd[0][some, None] ^ odd[0][None]).astype(np.int64) + np.bitwise_count(odd[1][some, None] ^ odd[1][None])
+                longer = np.maximum(n[some, None], n[None])
+                near = (differ <= 2 * (longer // 5)) & (np.minimum(n[some, None], n[None]) >= SIMILARITY * longer - 1e-6)
+                near[np.arange(near.shape[0]), np.arange(at, at + near.shape[0])] = False
+                if part[0] != part[-1] or (part != part[0]).any():
+                    near &= part[some, None] != part[None]
+                keep[some] |= near.any(axis=1)
+            if keep.any():
+                held.append(table.select(schema.names).filter(pa.array(keep)))
+                size += int(keep.sum())
+                if size > 20_000:
+                    yield from pa.concat_tables(held).combine_chunks().cast(schema).to_batches()
+                    held, size = [], 0
+        if held:
+            yield from pa.concat_tables(held).combine_chunks().cast(schema).to_batches()
+
+    return by_unit(met, ["block"]).mapInArrow(run, "block long, key long, part int, left int, right int")
 
 
 def posting_links(part: list[int], keys: list[int], lines: list[list[bytes]], blocks: list[frozenset], block: int) -> list[tuple[int, int]]:
@@ -214,40 +245,26 @@ def posted(blocks: bytes) -> frozenset:
 def verified_links(members: DataFrame) -> DataFrame:
     """(a, b) links of keys from (block, left, right, part, key, blocks, words): those of each unit of work."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    key = ["block", "left", "right"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
-        held: list[tuple] = []
-        at = None
-
-        def close() -> None:
-            if len(held) < 2:
-                return
-            held.sort(key=lambda r: (len(r[2]), r[1]))
-            part, keys, lines, blocks = zip(*held, strict=True)
-            for i, j in posting_links(list(part), list(keys), list(lines), [posted(b) for b in blocks], at[0]):
+        for table in read_units(batches, ["block"]):
+            rows = sorted(zip([w.split() for w in table.column("words").to_pylist()], *(table.column(c).to_pylist() for c in ("key", "part", "blocks")), strict=True), key=lambda r: (len(r[0]), r[1]))
+            lines, keys, part, blocks = zip(*rows, strict=True)
+            for i, j in posting_links(list(part), list(keys), list(lines), [posted(x) for x in blocks], table.column("block")[0].as_py()):
                 a.append(keys[i])
                 b.append(keys[j])
-
-        for block, left, right, part, keys, blocks, words in slices(batches, *key, "part", "key", "blocks", "words", step=2000):
-            for unit, row in zip(zip(block, left, right, strict=True), zip(part, keys, words, blocks, strict=True), strict=True):
-                if unit != at:
-                    close()
-                    held, at = [], unit
-                held.append((row[0], row[1], row[2].split(), row[3]))
-            if a:
+            if len(a) > 20_000:
                 yield frame(schema, a, b)
                 a, b = [], []
-        close()
         yield frame(schema, a, b)
 
-    return members.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long").distinct()
+    return by_unit(members, ["block"]).mapInArrow(run, "a long, b long").distinct()
 
 
 def line_words(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(key, blocks, words): normalised lines of (digest, line, key, b0, ...), each place read once."""
-    wanted = places.groupBy("digest").agg(F.collect_list(F.struct("line", "key", *BLOCKS)).alias("wanted"))
+    wanted = materialize(places.groupBy("digest").agg(F.collect_list(F.struct("line", "key", *BLOCKS)).alias("wanted")))
     schema = pa.schema([("key", pa.int64()), ("blocks", pa.binary()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,21 +278,24 @@ def line_words(docs: DataFrame, places: DataFrame) -> DataFrame:
                     words.append(b" ".join(own[x["line"]].split()))
             yield frame(schema, keys, blocks, words)
 
-    return docs.select(row_digest().alias("digest"), "text").join(wanted, "digest").select("text", "wanted").mapInArrow(run, "key long, blocks binary, words binary").dropDuplicates(["key"])
+    texts = only_marked(docs.select(row_digest().alias("digest"), "text"), wanted, "digest")
+    return texts.join(wanted, "digest").select("text", "wanted").mapInArrow(run, "key long, blocks binary, words binary").dropDuplicates(["key"])
 
 
 def removed_lines(docs: DataFrame, min_words: int = 5, min_chars: int = 30) -> DataFrame:
     """(digest, lines): numbers of the lines that go, per row digest."""
     lines = materialize(line_table(docs, min_words, min_chars))
-    occurrence = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest", "line", *BLOCKS)
-    distinct = materialize(lines.groupBy("key").agg(F.min(occurrence).alias("first"), F.countDistinct("digest", "line").alias("n")).select("key", "first", "n", *[F.col(f"first.{b}").alias(b) for b in BLOCKS]))
-    met = materialize(postings(distinct))
-    places = distinct.join(met.select("key").distinct(), "key").select("key", "first.digest", "first.line", *BLOCKS)
+    place = ["last", "doc_id", "digest", "line"]
+    occurrence = F.struct(F.col("doc_id").isNull().alias("last"), *place[1:], "words", *ODD, *BLOCKS)
+    distinct = materialize(lines.groupBy("key").agg(F.min(occurrence).alias("first"), F.count(F.lit(1)).alias("n")).select("key", "n", "first.*"))
+    met = materialize(candidates(distinct))
+    places = distinct.join(met.select("key").distinct(), "key").select("key", "digest", "line", *BLOCKS)
     links = verified_links(met.join(line_words(docs, places), "key"))
     groups = connected_components(links).select(F.col("node").alias("key"), F.col("component"))
-    keyed = distinct.join(groups, "key", "left").select("key", "first", "n", F.coalesce("component", "key").alias("root"))
-    firsts = keyed.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("all"))
-    losing = keyed.join(firsts.where("all > 1"), "root").select("key", F.col("kept.digest").alias("kept_digest"), F.col("kept.line").alias("kept_line"))
+    # A line that occurs once and is like no other neither goes nor lets one go.
+    keyed = distinct.select("key", "n", *place).join(groups, "key", "left").where("n > 1 OR component IS NOT NULL").select("key", "n", F.struct(*place).alias("first"), F.coalesce("component", "key").alias("root"))
+    firsts = keyed.groupBy("root").agg(F.min("first").alias("kept"))
+    losing = keyed.join(firsts, "root").select("key", F.col("kept.digest").alias("kept_digest"), F.col("kept.line").alias("kept_line"))
     gone = lines.select("digest", "line", "key").join(losing, "key").where((F.col("digest") != F.col("kept_digest")) | (F.col("line") != F.col("kept_line")))
     return materialize(gone.groupBy("digest").agg(F.collect_set("line").alias("lines")))
 

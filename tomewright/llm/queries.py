@@ -61,13 +61,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .simhash import NO_ID, near_duplicates
-
-    def public(name: str):
-        return F.when(F.col(name) < NO_ID, F.col(name))
+    from .simhash import near_duplicates
 
     found = near_duplicates(documents(spark, sf_dir))
-    return found.select(public("key").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), public("component").alias("component_id"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

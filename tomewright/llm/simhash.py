@@ -2,18 +2,25 @@
 
 Fingerprints of 64 bits are eight bytes. Two that differ in at most three bits agree in at least five byte
 positions. The index maps (positions, their bytes) to fingerprints, for a family of position subsets such that
-any five positions contain one of them; per candidate pair the shared positional bytes are tallied, pairs that
-reach five are kept and verified by their Hamming distance. The subsets grow from three to five positions with
-the number of distinct fingerprints, so that a posting stays short at any size; each family is exact.
-
-Documents with equal fingerprints meet first (an aggregate), so copies cost one row. A posting with many
-fingerprints is split by further byte positions, and yields the links of a spanning forest in place of all
-pairs: nothing connected is lost. Components come from ``components.connected_components``.
-
-Defined results: null and blank texts have fingerprint zero and link like any other; a document of one or two
-words has one shingle, the whole sequence; rows repeating an id are one document each and share the component;
-a null id is linked as any other, and is never the smallest id unless its component has no other (then null);
-an empty table gives an empty result.
+any five positions contain one of them; per pair of a posting the shared positional bytes are tallied, pairs that
+reach five are kept and verified. The subsets grow from three to five positions with the number of distinct
+fingerprints, so that a posting stays short at any size; each family finds the same pairs.
+
+``near_duplicates`` links SimHash fingerprints by their Hamming distance. ``similar_documents`` links texts by
+the resemblance of their five-word shingles: at 0.8 a SimHash differs in about ten bits, which no byte survives
+for sure, so there each byte is the hash of one shingle, the least under its own order, and agrees with
+probability equal to the resemblance. The same index and tally find the candidates (at a resemblance of 0.8
+94 in 100, at 0.9 99), and bottom-k sketches verify them, exactly for texts of up to ``SKETCH`` distinct shingles.
+
+What is equal meets first (an aggregate), so copies cost one row. Long postings are dealt to tasks as pairs of
+parts, and a posting yields the links of a spanning forest in place of all pairs: nothing connected is lost.
+Components come from ``components.connected_components``.
+
+Defined results: null and blank texts have fingerprint zero and link like any other, and are copies of each other;
+a document of fewer words than a shingle has one shingle, the whole sequence; rows repeating an id are one
+document each and share the component; a null id is linked as any other, and is never the smallest id unless its
+component has no other (then null); an empty table gives an empty result; of other columns only ``keep_one``
+takes notice, and keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,17 +31,24 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frame, materialize, slices
+from .common import Stretches, frame, fresh, materialize, mixed, only_marked, slices
 from .components import connected_components
+from .postings import by_unit, read_units, units
 
 DISTANCE = 3
-#: Byte positions in which fingerprints at this distance agree at least.
+#: Byte positions in which linked fingerprints agree at least.
 MATCHES = 8 - DISTANCE
-#: Rows of a posting that are compared block by block at once.
+#: Rows of a posting, or of each of two parts of a longer one, that are compared in one task.
 BLOCK = 2048
+#: Hashes of a sketch.
+SKETCH = 256
+RESEMBLANCE = 0.8
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
+_SALTS = np.random.default_rng(88).integers(0, 2**64, 8, np.uint64)
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -78,121 +92,169 @@ def position_family(n: int) -> list[tuple[int, ...]]:
     if n < 1 << 24:
         return [*combinations(left, 3), *combinations(right, 3)]
     if n < 1 << 32:
-        mixed = {a + b for a in ((0, 1), (2, 3)) for b in combinations(right, 2)} | {a + b for a in combinations(left, 2) for b in ((4, 5), (6, 7))}
-        return [left, right, *sorted(mixed)]
+        mixed_ = {a + b for a in ((0, 1), (2, 3)) for b in combinations(right, 2)} | {a + b for a in combinations(left, 2) for b in ((4, 5), (6, 7))}
+        return [left, right, *sorted(mixed_)]
     return list(combinations(range(8), 5))
 
 
-def _root(parent: np.ndarray, i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
-
-
-def _posting_links(fps: np.ndarray, shared: tuple[int, ...]) -> list[tuple[int, int]]:
-    """Links of a spanning forest over the fingerprints (distinct, uint64) of one posting."""
-    out: list[tuple[int, int]] = []
-    parent = np.arange(len(fps))
-
-    def join(a: int, b: int) -> None:
-        a, b = _root(parent, a), _root(parent, b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append((int(fps[a]), int(fps[b])))
-
-    def compare(at: np.ndarray) -> None:
-        own = fps[at]
-        lanes = own[:, None].view(np.uint8).reshape(-1, 8)
-        for i in range(0, len(at), BLOCK):
-            for j in range(i, len(at), BLOCK):
-                tally = np.zeros((min(BLOCK, len(at) - i), min(BLOCK, len(at) - j)), np.uint8)
-                for k in range(8):
-                    tally += lanes[i : i + BLOCK, k, None] == lanes[None, j : j + BLOCK, k]
-                x, y = np.nonzero(tally >= MATCHES)
-                x, y = x + i, y + j
-                near = (x < y) & (np.bitwise_count(own[x] ^ own[y]) <= DISTANCE)
-                for a, b in zip(at[x[near]].tolist(), at[y[near]].tolist(), strict=True):
-                    join(a, b)
-
-    def split(at: np.ndarray, known: tuple[int, ...]) -> None:
-        if len(at) <= BLOCK or len(known) >= MATCHES:
-            compare(at)
-            return
-        for k in range(8):
-            # Any further common position leads on; those before the last one added are covered by another order.
-            if k in known or (len(known) > len(shared) and k < known[-1]):
-                continue
-            byte = fps[at].view(np.uint8).reshape(-1, 8)[:, 7 - k]
-            order = np.argsort(byte, kind="stable")
-            for group in np.split(at[order], np.nonzero(np.diff(byte[order]))[0] + 1):
-                if len(group) > 1:
-                    split(group, (*known, k))
-
-    split(np.arange(len(fps)), shared)
+def index(distinct: DataFrame, node: str, n: int) -> DataFrame:
+    """The units of work (family, bytes, left, right) of rows (node, fp), for about ``n`` rows."""
+    masks = [sum(0xFF << (8 * (7 - p)) for p in s) for s in position_family(n)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    entries = F.array(*[F.struct(F.lit(i).cast("int").alias("family"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for i, m in enumerate(signed)])
+    return units(distinct.select(*distinct.columns, F.inline(entries)), ["family", "bytes"], node, BLOCK)
+
+
+def tallies(fps: np.ndarray) -> np.ndarray:
+    """Per pair, the byte positions in which both agree: each position's list of bytes is gone through once."""
+    lanes = np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8)
+    out = np.zeros((len(fps), len(fps)), np.uint8)
+    for k in range(8):
+        out += lanes[:, k, None] == lanes[None, :, k]
     return out
 
 
+def forest(fps: np.ndarray, parts: np.ndarray, verified) -> list[tuple[int, int]]:
+    """Places of the links of a spanning forest: pairs that reach the tally and that ``verified(i, places)`` confirms.
+
+    Rows of one part meet only where all are of one.
+    """
+    cross = len(np.unique(parts)) > 1
+    tally = tallies(fps) >= MATCHES
+    comp = np.arange(len(fps))
+    out = []
+    # Rows that many others are close to come first and join most of them.
+    for i in np.argsort(-tally.sum(axis=1), kind="stable").tolist():
+        open_ = tally[i] & (comp != comp[i])
+        if cross:
+            open_ &= parts != parts[i]
+        for j in verified(i, np.flatnonzero(open_)):
+            if comp[i] != comp[j]:
+                comp[comp == comp[j]] = comp[i]
+                out.append((i, j))
+    return out
+
+
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
 def links(distinct: DataFrame, n: int) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp), enough to connect all that are linked."""
-    family = position_family(n)
-    masks = [sum(0xFF << (8 * (7 - p)) for p in s) for s in family]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    entries = F.array(*[F.struct(F.lit(i).cast("int").alias("family"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for i, m in enumerate(signed)])
-    postings = distinct.select("fp", F.inline(entries)).repartition("family", "bytes").sortWithinPartitions("family", "bytes")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(key: tuple[int, int], parts: list[np.ndarray]) -> tuple[list, list]:
-            fps = np.unique(np.concatenate(parts))
-            found = _posting_links(fps, family[key[0]]) if len(fps) > 1 else []
-            pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-            return pairs[:, 0].tolist(), pairs[:, 1].tolist()
-
-        key, parts = None, []
-        for batch in batches:
-            fam, by = batch.column("family").to_numpy(), batch.column("bytes").to_numpy()
-            fps = batch.column("fp").to_numpy().view(np.uint64)
-            cuts = np.concatenate(([0], np.nonzero((np.diff(fam) != 0) | (np.diff(by) != 0))[0] + 1, [len(fps)]))
-            left, right = [], []
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if a == b:
-                    continue
-                this = (int(fam[a]), int(by[a]))
-                if this != key:
-                    if key is not None and sum(map(len, parts)) > 1:
-                        x, y = close(key, parts)
-                        left += x
-                        right += y
-                    key, parts = this, []
-                parts.append(fps[a:b].copy())
-            yield frame(schema, left, right)
-        if key is not None and sum(map(len, parts)) > 1:
-            yield frame(schema, *close(key, parts))
-
-    return postings.mapInArrow(run, "a long, b long").distinct()
-
-
-#: Rows without an id are told apart by their text; such keys lie above all ids.
-NO_ID = 1 << 62
-
-
-def row_key() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID))
+        for table in read_units(batches, ["family", "bytes"]):
+            fps = table.column("fp").to_numpy().view(np.uint64)
+            found = forest(fps, table.column("part").to_numpy(), lambda i, at, fps=fps: at[np.bitwise_count(fps[at] ^ fps[i]) <= DISTANCE].tolist())
+            if found:
+                a, b = np.array(found).T
+                yield frame(LINKS, fps[a].view(np.int64), fps[b].view(np.int64))
+
+    return by_unit(index(distinct, "fp", n), ["family", "bytes"]).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(key, fp, component) per row of ``docs``: row_key(), and the smallest of its component."""
-    own = materialize(fingerprints(docs.select(row_key().alias("doc_id"), "text"), width).withColumnRenamed("doc_id", "key"))
-    groups = materialize(own.groupBy("fp").agg(F.min("key").alias("least")))
-    edges = links(groups, groups.count())
+    """(doc_id, fp, component) per row of ``docs``, component being the smallest id of what is connected to it."""
+    own = materialize(fingerprints(docs, width))
+    groups = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    edges = links(groups.select("fp"), groups.count())
     joined = connected_components(edges)
     labelled = groups.join(joined, groups["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     named = labelled.groupBy("root").agg(F.min("least").alias("component"))
-    return own.join(labelled.join(named, "root").select("fp", "component"), "fp").select("key", "fp", "component")
+    return own.join(labelled.join(named, "root").select("fp", "component"), "fp").select("doc_id", "fp", "component")
+
+
+def shingles(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, counts, digests): the shingle hashes of all texts in order, how many each has, and a hash of its words."""
+    raws = [(t or "").encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts]
+    data = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
+    edges = np.flatnonzero(np.diff(~_SPACE[data], prepend=False))
+    begin, end = edges[::2], edges[1::2]
+    words = mixed(Stretches(data).of(begin, end))
+    stops = np.cumsum([len(r) + 1 for r in raws])
+    upto = np.searchsorted(begin, stops)
+    n = np.diff(upto, prepend=0)
+    sums = Stretches(words)
+    digests = mixed(sums.of(upto - n, upto) + n.astype(np.uint64))
+    counts = np.where(n > width, n - width + 1, np.minimum(n, 1))
+    first = np.repeat(upto - n, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return mixed(sums.of(first, np.minimum(first + width, np.repeat(upto, counts)))), counts, digests
+
+
+def resemblance(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of common hashes among the ``SKETCH`` smallest of both sketches together."""
+    union = np.union1d(a, b)[:SKETCH]
+    if not len(union):
+        return 1.0
+    return float(np.count_nonzero(np.intersect1d(a, b, assume_unique=True) <= union[-1]) / len(union))
+
+
+def similar_documents(docs: DataFrame, width: int = 5, least: float = RESEMBLANCE) -> DataFrame:
+    """(doc_id, row, root) per row of ``docs``, ``row`` being a hash of its text: rows have one root that a chain of resemblances of ``least`` connects.
+
+    Texts that differ in blanks and case (A-Z) only are copies.
+    """
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("digest", pa.int64()), ("fp", pa.int64())])
+        for ids, texts, rows in slices(batches, "doc_id", "text", "row"):
+            hashes, counts, digests = shingles(texts, width)
+            some = counts > 0
+            lanes = np.zeros((len(texts), 8), np.uint8)
+            if some.any():
+                starts = (np.cumsum(counts) - counts)[some]
+                for k, salt in enumerate(_SALTS):
+                    lanes[some, k] = (np.minimum.reduceat(mixed(hashes ^ salt), starts) & np.uint64(0xFF)).astype(np.uint8)
+            yield frame(schema, ids, rows, digests.view(np.int64), lanes.view(np.int64).ravel())
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("digest", pa.int64()), ("sketch", pa.binary())])
+        for (texts,) in slices(batches, "text"):
+            hashes, counts, digests = shingles(texts, width)
+            made = [np.unique(h)[:SKETCH].tobytes() for h in np.split(hashes, np.cumsum(counts)[:-1])]
+            yield frame(schema, digests.view(np.int64), made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in read_units(batches, ["family", "bytes"]):
+            nodes = table.column("digest").to_numpy()
+            made = [np.frombuffer(s, np.uint64) for s in table.column("sketch").to_pylist()]
+            sets: dict[int, frozenset] = {}
+
+            def of(i: int, made: list = made, sets: dict = sets) -> frozenset:
+                if i not in sets:
+                    sets[i] = frozenset(made[i].tolist())
+                return sets[i]
+
+            def verified(i: int, at: np.ndarray, made: list = made, of=of) -> Iterator[int]:
+                for j in at.tolist():
+                    # What the union's smallest have in common, both sketches have in common.
+                    if len(of(i) & of(j)) >= least * max(len(made[i]), len(made[j])) - 1e-9 and resemblance(made[i], made[j]) >= least:
+                        yield j
+
+            found = forest(table.column("fp").to_numpy().view(np.uint64), table.column("part").to_numpy(), verified)
+            if found:
+                a, b = np.array(found).T
+                yield frame(LINKS, nodes[a], nodes[b])
+
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row"))
+    own = materialize(text.mapInArrow(prints, "doc_id long, row long, digest long, fp long"))
+    groups = own.groupBy("digest").agg(F.min("fp").alias("fp"), F.min("row").alias("row"))
+    met = materialize(index(groups.select("digest", "fp"), "digest", own.count()))
+    # Sketches are made of those texts only that share a posting, once per text.
+    wanted = materialize(groups.join(met.select("digest").distinct(), "digest", "left_semi").select("row"))
+    texts = only_marked(text.select("row", "text"), wanted, "row").join(wanted, "row", "left_semi").dropDuplicates(["row"])
+    edges = by_unit(met.join(texts.select("text").mapInArrow(sketches, "digest long, sketch binary"), "digest"), ["family", "bytes"]).mapInArrow(run, "a long, b long").distinct()
+    joined = connected_components(edges)
+    return own.join(joined, own["digest"] == joined["node"], "left").select("doc_id", "row", F.coalesce("component", "digest").alias("root"))
 
 
-def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
-    """One row of ``docs`` per component, the one with the smallest id; rows repeating an id are one row."""
-    keep = near_duplicates(docs, width).where("key = component").select(F.col("key").alias("_keep")).distinct()
-    return docs.withColumn("_key", row_key()).join(keep, F.col("_key") == F.col("_keep"), "left_semi").dropDuplicates(["_key"]).drop("_key")
+def keep_one(docs: DataFrame, width: int = 5, least: float = RESEMBLANCE) -> DataFrame:
+    """One row of ``docs`` per group of ``similar_documents``: that of the smallest id (none last), then of the least text hash.
+
+    Rows that agree in id and text are one. Rows that repeat an id with other texts are told apart.
+    """
+    chosen = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("x")
+    doc, row = fresh(docs, "doc", "row")
+    keep = materialize(similar_documents(docs.select("doc_id", "text"), width, least).groupBy("root").agg(chosen).select(F.col("x.doc_id").alias(doc), F.col("x.row").alias(row)))
+    marked = only_marked(docs.withColumn(row, F.xxhash64("text")), keep, row)
+    met = marked.join(keep, (marked[row] == keep[row]) & F.col("doc_id").cast("long").eqNullSafe(keep[doc]), "left_semi")
+    return met.dropDuplicates(["doc_id", row]).select(*[F.col(f"`{c}`") for c in docs.columns])
