@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -84,6 +83,10 @@ def fold(text: str | None) -> str:
     return " " + " ".join(_WORDS.findall(low.translate(TABLE))) + " "
 
 
+def word_count(folded: str) -> int:
+    return 0 if folded.isspace() else folded.count(" ") - 1
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     """Entries are ' word ' or ' beginning'; ``coefficients``: constant, log weight, log weight per word."""
@@ -139,14 +142,14 @@ def _score(model: ToxicityModel, weight: float, words: int) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, c[0] + c[1] * a + c[2] * b))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Newton's method with a ridge on all but the constant."""
+def _logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Newton's method over weighted rows, with a ridge on all but the constant."""
     x = np.column_stack([np.ones(len(x)), x])
     beta = np.zeros(x.shape[1])
     penalty = np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + penalty, x.T @ (y - p) - penalty @ beta)
+        step = np.linalg.solve(x.T @ (x * (weights * p * (1 - p))[:, None]) + penalty, x.T @ (weights * (y - p)) - penalty @ beta)
         beta += step
         if np.abs(step).max() < 1e-8:
             break
@@ -163,19 +166,21 @@ def copy_key() -> Column:
     return let(let(words, lambda h: pairs(h, 2)), lambda p: F.array_min(F.slice(pairs(p, 3), F.lit(1), F.greatest(F.size(p) - 3, F.lit(1)))))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, min_documents: int = 4, min_share: float = 0.015, max_entries: int = 2000) -> ToxicityModel:
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, min_documents: int = 4, min_share: float = 0.015) -> ToxicityModel:
     """Fit on the documents that ``labels`` (doc_id, toxic) names, at most about ``sample_rows`` of them.
 
-    An entry must be in ``min_documents`` toxic documents and in a ``min_share`` of them, so that no rare word of
-    a few of them counts as an insult.
+    Each of n near copies counts as 1 / n of a document. An entry must be in ``min_documents`` toxic documents and in
+    a ``min_share`` of them, so that no rare word of a few of them counts as an insult; the share also bounds how
+    many entries there can be, by the words of a document and not by the corpus.
     """
-    one = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    one = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = one.count()
     part = min(1.0, sample_rows / max(1, n))
     chosen = one.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) < int(part * (1 << 30))).select(F.col("doc_id").alias("_id"), "toxic")
-    named = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select("text", "toxic", copy_key().alias("copy"))
-    train = materialize(named.groupBy("copy").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "toxic")).alias("x")).select("x.text", "x.toxic"))
-    totals = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    named = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "toxic", copy_key().alias("copy"))
+    named = materialize(named)
+    train = materialize(named.join(named.groupBy("copy").agg((1 / F.count(F.lit(1))).alias("share")), "copy").select("text", "toxic", "share"))
+    totals = {r["toxic"]: r["n"] for r in train.groupBy((F.col("toxic") != 0).cast("int").alias("toxic")).agg(F.sum("share").alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     folded = {fold(w): w for w in INSULTS}
     exceptions = tuple(dict.fromkeys(fold(p) for p in EXCEPTIONS))
@@ -183,31 +188,39 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, min_doc
     if not bad or not good:
         return ToxicityModel(prior, exceptions, (-4.0, 1.0, 1.0))
 
-    schema = pa.schema([("entry", pa.string()), ("bad", pa.int64()), ("good", pa.int64())])
+    schema = pa.schema([("entry", pa.string()), ("bad", pa.float64()), ("good", pa.float64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: tuple[Counter, Counter] = (Counter(), Counter())
-        for texts, toxic in slices(batches, "text", "toxic"):
-            for text, y in zip(texts, toxic, strict=True):
+        sums: tuple[dict, dict] = ({}, {})
+
+        def flush() -> pa.RecordBatch:
+            keys = list(sums[0] | sums[1])
+            out = frame(schema, keys, [sums[1].get(k, 0.0) for k in keys], [sums[0].get(k, 0.0) for k in keys])
+            sums[0].clear()
+            sums[1].clear()
+            return out
+
+        for texts, toxic, shares in slices(batches, "text", "toxic", "share"):
+            for text, y, share_ in zip(texts, toxic, shares, strict=True):
                 words = set(fold(text).split())
-                sums[1 if y else 0].update({f" {w} " for w in words} | {" " + w[:k] for w in words for k in (4, 5, 6, 7, 8) if len(w) > k})
+                own = sums[1 if y else 0]
+                for k in {f" {w} " for w in words} | {" " + w[:k] for w in words for k in (4, 5, 6, 7, 8) if len(w) > k}:
+                    own[k] = own.get(k, 0.0) + share_
             if len(sums[0]) + len(sums[1]) > 200_000:
-                keys = list(sums[0] | sums[1])
-                yield frame(schema, keys, [sums[1][k] for k in keys], [sums[0][k] for k in keys])
-                sums = (Counter(), Counter())
-        keys = list(sums[0] | sums[1])
-        yield frame(schema, keys, [sums[1][k] for k in keys], [sums[0][k] for k in keys])
+                yield flush()
+        yield flush()
 
     odds = F.log((F.col("bad") + 0.5) / F.lit(bad + 1.0)) - F.log((F.col("good") + 0.5) / F.lit(good + 1.0))
     share = bad / (bad + good)
     expected = (F.col("bad") + F.col("good")) * share
     surprise = (F.col("bad") - expected) / F.sqrt(expected * (1 - share))
-    counted = train.repartition(max(1, min(64, n // 500 + 1))).mapInArrow(count, "entry string, bad long, good long").groupBy("entry").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    # Sums of shares may differ in their last digits from run to run, thresholds must not.
+    counted = train.repartition(max(1, min(64, n // 500 + 1))).mapInArrow(count, "entry string, bad double, good double").groupBy("entry").agg(F.round(F.sum("bad"), 6).alias("bad"), F.round(F.sum("good"), 6).alias("good"))
+    counted = materialize(counted.where((F.col("bad") >= max(min_documents, min_share * bad)) | F.col("entry").isin(list(folded))))
     strong = (
         counted.withColumn("weight", odds)
         .where((F.col("bad") >= max(min_documents, min_share * bad)) & (F.col("weight") >= 2.5) & (surprise >= 6))
         .orderBy(F.desc(F.round(F.col("bad") * F.col("weight"), 6)), F.length("entry"), "entry")
-        .limit(max_entries)  # a size of the model, not of the rows that it sees
         .collect()
     )
     weak = {r["entry"] for r in counted.where(F.col("entry").isin(list(folded)) & (F.col("good") >= 3) & (odds < 1.0)).collect()}
@@ -220,15 +233,16 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, min_doc
             entries[entry] = round(min(8.0, r["weight"]), 6)
             begun.append(entry)
     model = ToxicityModel(entries, exceptions, (0.0, 0.0, 0.0))
-    xs = np.array(weigh(train, model, "toxic").select("weight", "words", "toxic").collect(), float).reshape(-1, 3)
-    beta = _logistic(np.array([features(w, int(k)) for w, k, _ in xs]), xs[:, 2])
+    xs = np.array(sorted(tuple(r) for r in weigh(train, model, "toxic", "share").select("weight", "words", "toxic", "share").collect()), float).reshape(-1, 4)
+    beta = _logistic(np.array([features(w, int(k)) for w, k, *_ in xs]), (xs[:, 2] != 0).astype(float), xs[:, 3])
     return ToxicityModel(entries, exceptions, tuple(float(b) for b in beta))
 
 
 def weigh(docs: DataFrame, model: ToxicityModel, *keep: str) -> DataFrame:
-    """Kept integer columns, with the weight of the hits, the words, and the score of each row."""
+    """Kept columns, with the weight of the hits, the words, and the score of each row."""
     names = list(keep)
-    schema = pa.schema([*[(k, pa.int64()) for k in names], ("weight", pa.float64()), ("words", pa.int64()), ("score", pa.float64())])
+    kinds = {k: "double" if k == "share" else "long" for k in names}
+    schema = pa.schema([*[(k, pa.float64() if kinds[k] == "double" else pa.int64()) for k in names], ("weight", pa.float64()), ("words", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = automaton(model)
@@ -236,13 +250,13 @@ def weigh(docs: DataFrame, model: ToxicityModel, *keep: str) -> DataFrame:
             weights, words, scores = [], [], []
             for text in texts:
                 folded = fold(text)
-                w, n = hits(folded, made), max(0, folded.count(" ") - 1)
+                w, n = hits(folded, made), word_count(folded)
                 weights.append(w)
                 words.append(n)
                 scores.append(_score(model, w, n))
             yield frame(schema, *kept, weights, words, scores)
 
-    return docs.select(*[F.col(k).cast("long") for k in names], "text").mapInArrow(run, ", ".join(f"{k} long" for k in names) + ", " * bool(names) + "weight double, words long, score double")
+    return docs.select(*[F.col(k).cast(kinds[k]) for k in names], "text").mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in names) + ", " * bool(names) + "weight double, words long, score double")
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
@@ -268,7 +282,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **opt
             for (texts,) in slices([batch], "text"):
                 for text in texts:
                     folded = fold(text)
-                    keep.append(_score(model, hits(folded, made), max(0, folded.count(" ") - 1)) < threshold)
+                    keep.append(_score(model, hits(folded, made), word_count(folded)) < threshold)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(verdict, docs.schema)
