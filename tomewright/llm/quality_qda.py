@@ -68,6 +68,14 @@ def document_statistics(text: str | None) -> list[float]:
     ]
 
 
+def forward_substitution(lower: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The solution of lower @ z = right for a lower triangular matrix, a row after the other."""
+    z = np.empty_like(right)
+    for i in range(len(lower)):
+        z[i] = (right[i] - lower[i, :i] @ z[:i]) / lower[i, i]
+    return z
+
+
 @dataclass(frozen=True)
 class Discriminant:
     """Per class (bad, good): log prior, mean, Cholesky factor of the shrunk covariance, half its log determinant."""
@@ -80,7 +88,7 @@ class Discriminant:
     def posterior(self, x: np.ndarray) -> np.ndarray:
         logs = []
         for y in (0, 1):
-            z = np.linalg.solve(self.factors[y], (x - self.means[y]).T)
+            z = forward_substitution(self.factors[y], (x - self.means[y]).T)
             logs.append(self.log_priors[y] - self.half_logdets[y] - 0.5 * (z * z).sum(axis=0))
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
 
@@ -128,7 +136,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 50_000) -> Disc
         for c in (0, 1):
             yield frame(schema, [c] * len(sums[c]), list(range(len(sums[c]))), sums[c].tolist())
 
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select("text", "quality").mapInArrow(gather, "quality long, at int, value double")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "quality").mapInArrow(gather, "quality long, at int, value double")
     found = rows.groupBy("quality", "at").agg(F.sum("value").alias("value")).collect()
     moments = {}
     for y in (0, 1):
