@@ -3,9 +3,10 @@
 The pieces of an existing public vocabulary span a lattice over each word; its probability is the sum over all
 segmentations of the product of piece probabilities, by a forward recursion in log space. Words are
 independent given their order, so a text's marginal is the product over its words and its end: it is computed
-once per distinct word. Piece probabilities start from the vocabulary's own order (its scores are ranks) and
-are re-estimated on the training words by expectation-maximisation over the same lattices. Every piece keeps a
-share, and characters outside the vocabulary are spelled in byte pieces, so no text has probability zero.
+once per distinct word, for many words at a time. The vocabulary's scores are negative ranks; by Zipf's law a
+piece starts with a probability inverse to its rank, and expectation-maximisation over the same lattices and all
+training words goes on until a round gains less than ``tolerance`` nats per token. Every piece keeps a share, and
+characters outside the vocabulary are spelled in byte pieces, so no text has probability zero.
 
 The corpus yields a table of distinct words and counts. The most frequent ``head_words`` of them (a bound) go to
 the workers; the rest meet their documents in a join by word, counted per document first.
@@ -27,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, frame, materialize, slices
+from .common import crc_mod, frame, materialize, slices, text_rank
 
 MARK = "▁"
 HELD_CLASS, CLASSES = 2, 7
 FLUSH = 150_000
+#: Words whose lattices are gone through at once.
+STEP = 10_000
 
 
 def default_vocabulary() -> str:
@@ -40,114 +43,133 @@ def default_vocabulary() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
-def read_pieces(path: str) -> list[str]:
-    """Pieces in the vocabulary's order; control and unknown pieces are empty, byte pieces read <0xNN>."""
+def read_pieces(path: str) -> tuple[list[str], np.ndarray]:
+    """Pieces with the vocabulary's scores; control and unknown pieces are empty, byte pieces read <0xNN>."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return ["" if model.is_control(i) or model.is_unknown(i) else model.id_to_piece(i) for i in range(model.vocab_size())]
+    size = range(model.vocab_size())
+    return ["" if model.is_control(i) or model.is_unknown(i) else model.id_to_piece(i) for i in size], np.array([model.get_score(i) for i in size])
 
 
 class Lattice:
-    """Piece lookups of a vocabulary: pieces map to their number, beginnings of pieces to -1."""
+    """Piece lookups of a vocabulary: a tree of characters as sorted (node, character) keys."""
 
     def __init__(self, pieces: list[str]) -> None:
-        self.number: dict[str, int] = {}
-        self.bytes = [0] * 256
+        self.size = len(pieces)
+        self.bytes = np.zeros(256, np.int64)
+        children: list[dict[int, int]] = [{}]
+        number = [-1]
         for i, p in enumerate(pieces):
             if len(p) == 6 and p.startswith("<0x") and p.endswith(">"):
                 self.bytes[int(p[3:5], 16)] = i
-            elif p:
-                self.number[p] = i
-        # A search along a word stops where no piece goes on.
-        for p in list(self.number):
-            for k in range(1, len(p)):
-                self.number.setdefault(p[:k], -1)
-
-    def weighted(self, logs: list[float]) -> WeightedLattice:
-        return WeightedLattice(self, logs)
-
-
-class WeightedLattice:
-    """The lattice with log probabilities: one lookup per stretch gives a piece's weight, 1 for a mere beginning."""
-
-    def __init__(self, lattice_: Lattice, logs: list[float]) -> None:
-        self.number, self.bytes = lattice_.number, lattice_.bytes
-        self.weight = {p: (logs[k] if k >= 0 else 1.0) for p, k in self.number.items()}
-        self.byte_logs = [logs[k] for k in self.bytes]
-
-    def spelled(self, char: str) -> float:
-        return sum(self.byte_logs[b] for b in char.encode("utf-8", "surrogatepass"))
-
-    def log_probability(self, word: str) -> float:
-        """Forward recursion: each position sums, in log space, over the pieces that end there."""
-        get, exp, log, n = self.weight.get, math.exp, math.log, len(word)
-        ends: list[list[float]] = [[] for _ in range(n + 1)]
-        a = 0.0
-        for i in range(n):
-            if i:
-                terms = ends[i]
-                a = terms[0]
-                if len(terms) > 1:
-                    top = max(terms)
-                    a = top + log(sum([exp(t - top) for t in terms]))
-            w = None
-            for j in range(i + 1, n + 1):
-                w = get(word[i:j])
-                if w is None:
-                    break
-                if w <= 0.0:
-                    ends[j].append(a + w)
-            w = get(word[i])
-            if w is None or w > 0.0:
-                ends[i + 1].append(a + self.spelled(word[i]))
-        terms = ends[n]
-        top = max(terms)
-        return top + log(sum([exp(t - top) for t in terms]))
-
-    def expected(self, word: str, weight: float, into: dict[str, float], spelled: dict[int, float]) -> None:
-        """Add the expected uses of each piece (and byte) in ``word``, times ``weight``."""
-        get, exp, log, n = self.weight.get, math.exp, math.log, len(word)
-        ends: list[list[tuple[float, int]]] = [[] for _ in range(n + 1)]
-        alpha = [0.0] * (n + 1)
-        for i in range(n + 1):
-            if i:
-                arcs = ends[i]
-                a = arcs[0][0]
-                if len(arcs) > 1:
-                    top = max(arcs)[0]
-                    a = top + log(sum([exp(t - top) for t, _ in arcs]))
-                alpha[i] = a
-            else:
-                a = 0.0
-            if i == n:
-                break
-            for j in range(i + 1, n + 1):
-                w = get(word[i:j])
-                if w is None:
-                    break
-                if w <= 0.0:
-                    ends[j].append((a + w, i))
-            w = get(word[i])
-            if w is None or w > 0.0:
-                ends[i + 1].append((a + self.spelled(word[i]), i))
-        # Backwards: the mass at an end position splits over its arcs in proportion to what came through them.
-        share = [0.0] * n + [weight]
-        for j in range(n, 0, -1):
-            mass = share[j]
-            if mass < 1e-9:
                 continue
-            arcs, base = ends[j], alpha[j]
-            for t, i in arcs:
-                part = mass if len(arcs) == 1 else mass * exp(t - base)
-                share[i] += part
-                piece = word[i:j]
-                w = get(piece)
-                if w is not None and w <= 0.0:
-                    into[piece] = into.get(piece, 0.0) + part
-                else:
-                    for b in piece.encode("utf-8", "surrogatepass"):
-                        spelled[b] = spelled.get(b, 0.0) + part
+            node = 0
+            for c in map(ord, p):
+                if c not in children[node]:
+                    children[node][c] = len(children)
+                    children.append({})
+                    number.append(-1)
+                node = children[node][c]
+            if p:
+                number[node] = i
+        edges = sorted((node << 21 | c, to) for node, own in enumerate(children) for c, to in own.items())
+        self.keys, self.to = np.array([k for k, _ in edges], np.int64), np.array([t for _, t in edges], np.int64)
+        self.number = np.array(number, np.int64)
+        self.inner = np.array([bool(own) for own in children])
+
+    def read(self, words: list[str]) -> Words:
+        return Words(self, words)
+
+
+class Words:
+    """The lattices of many words: ``arcs[d - 1]`` has at each place the piece of d characters that starts there, else -1.
+
+    Words lie one after the other, the longest first, each with a place for its end; characters that no piece
+    stands for have numbers above the pieces.
+    """
+
+    def __init__(self, own: Lattice, words: list[str]) -> None:
+        self.own = own
+        self.order = sorted(range(len(words)), key=lambda i: -len(words[i]))
+        self.sizes = np.array([len(words[i]) for i in self.order], np.int64)
+        self.base = np.cumsum(self.sizes + 1) - self.sizes - 1
+        text = np.frombuffer("".join([words[i] for i in self.order]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        self.places = int((self.sizes + 1).sum())
+        at = np.repeat(self.base - (np.cumsum(self.sizes) - self.sizes), self.sizes) + np.arange(len(text))
+        chars = np.zeros(self.places, np.int64)
+        chars[at] = text
+        ends = np.zeros(self.places, np.int64)
+        ends[at] = np.repeat(self.base + self.sizes, self.sizes)
+        self.arcs: list[np.ndarray] = []
+        node = np.zeros(len(at), np.int64)
+        start = at
+        while len(start):
+            d = len(self.arcs) + 1
+            inside = start + d <= ends[start]
+            start, node = start[inside], node[inside]
+            key = node << 21 | chars[start + d - 1]
+            found = np.minimum(np.searchsorted(own.keys, key), len(own.keys) - 1)
+            hit = own.keys[found] == key
+            start, node = start[hit], own.to[found[hit]]
+            arc = np.full(self.places, -1, np.int64)
+            arc[start] = own.number[node]
+            self.arcs.append(arc)
+            goes_on = own.inner[node]
+            start, node = start[goes_on], node[goes_on]
+        if not self.arcs:
+            self.arcs.append(np.full(self.places, -1, np.int64))
+        bare = at[self.arcs[0][at] < 0]
+        spelled, which = np.unique(chars[bare], return_inverse=True)
+        self.arcs[0][bare] = own.size + which
+        self.spelled = [own.bytes[list(chr(c).encode("utf-8", "surrogatepass"))] for c in spelled.tolist()]
+
+    def weights(self, logs: np.ndarray) -> np.ndarray:
+        """Log probabilities by piece number, then of spelled characters; the last (-1) is that of no piece."""
+        return np.concatenate((logs, [logs[b].sum() for b in self.spelled], [-np.inf]))
+
+    def steps(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(j, places of the j-th ends) of the words that are so long."""
+        for j in range(1, int(self.sizes[0]) + 1 if len(self.sizes) else 0):
+            yield j, self.base[: len(self.sizes) - int(np.searchsorted(self.sizes[::-1], j))] + j
+
+    def into(self, j: int, ends: np.ndarray, logs: np.ndarray, forward: np.ndarray) -> np.ndarray:
+        """A row per length of piece: log mass that comes to ``ends`` by pieces of that length."""
+        return np.stack([forward[ends - d] + logs[self.arcs[d - 1][ends - d]] for d in range(1, min(j, len(self.arcs)) + 1)])
+
+    def forward(self, logs: np.ndarray) -> np.ndarray:
+        """Forward recursion in log space over the pieces that end at each place."""
+        out = np.zeros(self.places)
+        for j, ends in self.steps():
+            terms = self.into(j, ends, logs, out)
+            top = terms.max(axis=0)
+            out[ends] = top + np.log(np.exp(terms - top).sum(axis=0))
+        return out
+
+    def log_probabilities(self, logs: np.ndarray) -> np.ndarray:
+        """The marginal log probability of each word, in the order given."""
+        out = np.empty(len(self.sizes))
+        out[self.order] = self.forward(self.weights(logs))[self.base + self.sizes]
+        return out
+
+    def expected(self, logs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:
+        """(expected uses of each piece, log likelihood) of words that occur ``counts`` times."""
+        weights = self.weights(logs)
+        forward = self.forward(weights)
+        counts = np.asarray(counts, float)[self.order]
+        mass, uses = np.zeros(self.places), np.zeros(len(weights))
+        mass[self.base + self.sizes] = counts
+        # Backwards: the mass at an end splits over its arcs in proportion to what came through them.
+        for j, ends in reversed(list(self.steps())):
+            share = mass[ends] * np.exp(self.into(j, ends, weights, forward) - forward[ends])
+            for d in range(1, len(share) + 1):
+                mass[ends - d] += share[d - 1]
+            pieces = np.stack([self.arcs[d - 1][ends - d] for d in range(1, len(share) + 1)])
+            uses += np.bincount(pieces.ravel() % len(weights), share.ravel(), len(weights))
+        out = uses[: self.own.size].copy()
+        for b, n in zip(self.spelled, uses[self.own.size :], strict=False):
+            np.add.at(out, b, n)
+        return out, float(counts @ forward[self.base + self.sizes])
 
 
 _LATTICES: dict[str, Lattice] = {}
@@ -155,7 +177,7 @@ _LATTICES: dict[str, Lattice] = {}
 
 def lattice(path: str) -> Lattice:
     if path not in _LATTICES:
-        _LATTICES[path] = Lattice(read_pieces(path))
+        _LATTICES[path] = Lattice(read_pieces(path)[0])
     return _LATTICES[path]
 
 
@@ -195,43 +217,60 @@ def count_words(docs: DataFrame) -> WordTable:
                 yield flush()
         yield flush()
 
-    ends = rows.where("train").count()
-    counted = rows.mapInArrow(run, "word binary, seen long, trained long").groupBy("word").agg(F.sum("seen").alias("seen"), F.sum("trained").alias("trained"))
+    sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("train").alias("ends")).first()
+    ends = sizes["ends"]
+    # Tasks have counted already; partitions follow the number of texts, so that none grows with the corpus.
+    parts = max(text_rank(docs.sparkSession), sizes["n"] // 8192)
+    counted = rows.mapInArrow(run, "word binary, seen long, trained long").repartition(parts, "word").groupBy("word").agg(F.sum("seen").alias("seen"), F.sum("trained").alias("trained"))
     words = materialize(counted)
     total = words.agg(F.coalesce(F.sum("trained"), F.lit(0)).alias("n"), F.count_if(F.col("trained") > 0).alias("v")).first()
     return WordTable(words, total["n"] + ends, total["v"] + (1 if ends else 0), ends)
 
 
-def learn_pieces(table: WordTable, path: str, rounds: int = 2, smoothing: float = 0.01) -> tuple[list[float], float]:
-    """Natural log probabilities of the pieces, and of a text's end."""
-    size = len(read_pieces(path))
-    start = np.array([1.0 / (i + 10) for i in range(size)])
-    logs = np.log(start / start.sum() * 0.99).tolist()
+def initial_weights(scores: np.ndarray) -> np.ndarray:
+    """Log probabilities by Zipf's law, from scores that are negative ranks (all pieces and a hundredth for the end sum to one)."""
+    ranks = np.argsort(np.argsort(-scores, kind="stable"), kind="stable")
+    start = 1.0 / (ranks + 10)
+    return np.log(start / start.sum() * 0.99)
+
+
+def learn_pieces(table: WordTable, path: str, rounds: int = 12, tolerance: float = 0.01, smoothing: float = 0.01) -> tuple[np.ndarray, float]:
+    """Natural log probabilities of the pieces, and of a text's end; ``rounds`` bounds expectation-maximisation."""
+    logs = initial_weights(read_pieces(path)[1])
     end = math.log(0.01)
     schema = pa.schema([("piece", pa.int32()), ("uses", pa.float64())])
     trained = table.words.where("trained > 0").select("word", "trained")
+    before = -math.inf
     for _ in range(rounds if table.train_tokens else 0):
         now = logs
 
-        def run(batches: Iterator[pa.RecordBatch], now: list[float] = now) -> Iterator[pa.RecordBatch]:
-            own = lattice(path).weighted(now)
-            uses: dict[str, float] = {}
-            spelled: dict[int, float] = {}
-            for words, counts in slices(batches, "word", "trained", step=5000):
-                for word, n in zip(words, counts, strict=True):
-                    own.expected(MARK + word.decode("utf-8", "surrogatepass"), float(n), uses, spelled)
-            yield frame(schema, [*(own.number[p] for p in uses), *(own.bytes[b] for b in spelled)], [*uses.values(), *spelled.values()])
+        def run(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
+            own = lattice(path)
+            uses, likelihood = np.zeros(own.size), 0.0
+            for words, counts in slices(batches, "word", "trained", step=STEP):
+                some, more = own.read([MARK + w.decode("utf-8", "surrogatepass") for w in words]).expected(now, counts)
+                uses += some
+                likelihood += more
+            at = np.flatnonzero(uses)
+            yield frame(schema, [*at.tolist(), -1], [*uses[at].tolist(), likelihood])
 
         found = trained.mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
-        uses = np.full(size, smoothing)
+        uses = np.full(len(logs), smoothing)
+        likelihood = table.ends * end
         for r in found:
-            uses[r["piece"]] += r["uses"]
+            if r["piece"] < 0:
+                likelihood += r["uses"]
+            else:
+                uses[r["piece"]] += r["uses"]
+        if likelihood - before < tolerance * table.train_tokens:
+            break
+        before = likelihood
         total = uses.sum() + table.ends
-        logs, end = np.log(uses / total).tolist(), math.log(max(table.ends, smoothing) / total)
+        logs, end = np.log(uses / total), math.log(max(table.ends, smoothing) / total)
     return logs, end
 
 
-def score_documents(docs: DataFrame, path: str | None = None, head_words: int = 100_000, rounds: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, path: str | None = None, head_words: int = 100_000, rounds: int = 12) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``."""
     vocabulary = path or default_vocabulary()
     table = count_words(docs)
@@ -241,9 +280,9 @@ def score_documents(docs: DataFrame, path: str | None = None, head_words: int =
     schema = pa.schema([("word", pa.binary()), ("seen", pa.int64()), ("trained", pa.int64()), ("lattice", pa.float64())])
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = lattice(vocabulary).weighted(logs)
-        for words, seen, trained in slices(batches, "word", "seen", "trained", step=5000):
-            yield frame(schema, words, seen, trained, [own.log_probability(MARK + w.decode("utf-8", "surrogatepass")) / ten for w in words])
+        own = lattice(vocabulary)
+        for words, seen, trained in slices(batches, "word", "seen", "trained", step=STEP):
+            yield frame(schema, words, seen, trained, own.read([MARK + w.decode("utf-8", "surrogatepass") for w in words]).log_probabilities(logs) / ten)
 
     rated = materialize(table.words.mapInArrow(rate, "word binary, seen long, trained long, lattice double"))
     # A bounded head, ties and all: what it holds changes no result, only the road to it.
