@@ -243,6 +243,37 @@ def test_mixing(docs, none):
     assert mix_sources(none).count() == 0 and mix_documents(none).count() == 0
 
 
+def test_mix_by_brute_force(spark, docs, monkeypatch):
+    """Every word of every slot counted on its own, from spans that must follow each other without a gap."""
+    from tomewright.llm import mixing as m
+
+    small = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    table = small.unionByName(docs.select("doc_id", "text", "source"))
+    for group, threshold in ((1024, 10_000), (2, 3)):
+        monkeypatch.setattr(m, "SHARD_GROUP", group)
+        monkeypatch.setattr(m, "BROADCAST_SOURCES", threshold)
+        plan = m.plan_mix(table, shard_slots=64, bucket_docs=16)
+        owners = defaultdict(list)
+        for r in sorted(plan.documents.collect(), key=lambda r: (r.idx, r.start, r["size"])):
+            if r["size"]:
+                assert r.start == len(owners[r.idx])
+                owners[r.idx] += [(r.doc_id, r.digest)] * (r["size"] * r.copies)
+        slots = plan.slots.collect()
+        per_source = defaultdict(list)
+        want = Counter()
+        for r in slots:
+            per_source[r.idx].append(r.slot)
+            want.update((r.idx, *x) for x in owners[r.idx][64 * r.block : 64 * r.block + r.words])
+        assert all(sorted(x) == list(range(len(x))) for x in per_source.values())
+        found = Counter()
+        for r in m.taken(plan).collect():
+            found[r.idx, r.doc_id, r.digest] += r.taken
+        assert +found == want
+        goal = {r.idx: r.target for r in plan.sources.collect()}
+        for idx, target in goal.items():
+            assert abs(sum(n for k, n in want.items() if k[0] == idx) - target) <= 64
+
+
 def test_toxicity_folding():
     from tomewright.llm.toxicity import EXCEPTIONS, INSULTS, ToxicityModel, automaton, fold, hits
 

@@ -18,10 +18,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, text_rank
+from .common import WORD, fresh, materialize, text_rank
 
 #: Sources up to this count are sent to every executor; more are joined by shuffle.
 BROADCAST_SOURCES = 10_000
+#: Output shards whose slots are numbered together.
+SHARD_GROUP = 1024
 ROUNDS = 24
 
 
@@ -30,11 +32,30 @@ class MixPlan:
     """``documents``: a row per distinct (id, source, text) with its word span; ``slots``: a row per block that a shard holds."""
 
     sources: DataFrame
+    n_sources: int
     documents: DataFrame
     slots: DataFrame
     block_words: int
 
 
+def sized(small: DataFrame, n: int) -> DataFrame:
+    """A table of ``n`` rows, marked for broadcast where that is known to be small."""
+    return F.broadcast(small) if n <= BROADCAST_SOURCES else small
+
+
+def running(rows: DataFrame, of: Column, group: Column, by: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with ``upto``: the sum of ``of`` up to and with each row in the order of (group, order) within ``by``.
+
+    Sums by group run first, then those within each group, so that no task has more than a group of a hot key.
+    """
+    rows = rows.withColumn("group", group).withColumn("part", of)
+    sums = rows.groupBy(*by, "group").agg(F.sum("part").alias("whole"))
+    before = F.coalesce(F.sum("whole").over(Window.partitionBy(*by).orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select(*by, "group", before.alias("before"))
+    inner = Window.partitionBy(*by, "group").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("within", F.sum("part").over(inner)).join(offsets, [*by, "group"]).withColumn("upto", F.col("before") + F.col("within")).drop("group", "part", "within", "before")
+
+
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...], share: float, cap: float) -> list[float]:
     """Words wanted of each source: ``share`` of all words by weight, never above ``cap`` times the source's own."""
     left, open_ = share * sum(n for _, n in sizes), list(range(len(sizes)))
@@ -71,10 +92,13 @@ def plan_mix(
     cap: float = 2.0,
     block_words: int = 64,
     shard_slots: int = 4096,
-    bucket_docs: int = 2048,
+    bucket_docs: int = 4096,
     seed: int = 20240,
 ) -> MixPlan:
-    """Plan the mix of ``docs`` (doc_id, text, source). The driver sees one row per source, nothing else."""
+    """Plan the mix of ``docs`` (doc_id, text, source).
+
+    The driver sees one row per source, nothing else: weights go round by the global order of the sources.
+    """
     spark = docs.sparkSession
     base = materialize(
         docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("digest"))
@@ -92,18 +116,14 @@ def plan_mix(
         last = int(round((exact - full) * block_words)) if full < cap * blocks else 0
         rows.append((i, r.source, r.words, float(t), blocks, full, max(0, last), -(-r.rows // bucket_docs)))
     sources = spark.createDataFrame(rows, "idx int, source string, source_size long, target double, blocks long, full_slots long, last_words long, buckets long")
-    small = F.broadcast(sources) if len(rows) <= BROADCAST_SOURCES else sources
+    small = sized(sources, len(rows))
 
     # Word spans: sums by bucket, running over the buckets of a source, then running within each bucket.
     keyed = base.join(small, base["source"].eqNullSafe(sources["source"])).select(
         "idx", "doc_id", "size", "digest", "copies", F.pmod(F.xxhash64("doc_id", "digest"), "buckets").alias("bucket")
     )
     span = F.col("size") * F.col("copies")
-    sums = keyed.groupBy("idx", "bucket").agg(F.sum(span).alias("words"))
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("idx").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sums.select("idx", "bucket", before.alias("before"))
-    inner = Window.partitionBy("idx", "bucket").orderBy("doc_id", "size", "digest").rowsBetween(Window.unboundedPreceding, 0)
-    documents = keyed.withColumn("upto", F.sum(span).over(inner)).join(offsets, ["idx", "bucket"]).withColumn("start", F.col("before") + F.col("upto") - span)
+    documents = running(keyed, span, F.col("bucket"), ["idx"], ["doc_id", "size", "digest"]).withColumn("start", F.col("upto") - span)
 
     # Slots: thrown at shards, counted, numbered per source over the shards, permuted.
     total = sum(r[5] for r in rows) + sum(1 for r in rows if r[6])
@@ -119,9 +139,9 @@ def plan_mix(
         .groupBy("idx", "blocks", "full_slots", "last_words", F.pmod(F.xxhash64(F.lit(seed), "idx", "t"), F.lit(shards)).alias("shard"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    first = F.sum("n").over(Window.partitionBy("idx").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    numbered = running(thrown, F.col("n"), F.expr(f"shard div {SHARD_GROUP}"), ["idx"], ["shard"])
     slots = (
-        thrown.withColumn("first", first)
+        numbered.withColumn("first", F.col("upto") - F.col("n"))
         .repartition(parts, "idx", "shard")
         .withColumn("slot", F.explode(F.expr("sequence(first, first + n - 1)")))
         .withColumn("epoch", F.expr("slot div blocks"))
@@ -133,7 +153,7 @@ def plan_mix(
             F.when(F.col("slot") < F.col("full_slots"), F.lit(block_words).cast("long")).otherwise(F.col("last_words")).alias("words"),
         )
     )
-    return MixPlan(sources, documents, slots, block_words)
+    return MixPlan(sources, len(rows), documents, slots, block_words)
 
 
 def taken(plan: MixPlan) -> DataFrame:
@@ -161,7 +181,7 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """A row per document: doc_id, source, size, source_size, target, taken."""
     plan = plan_mix(docs, **options)
     small = plan.sources.select("idx", "source", "source_size", "target")
-    return taken(plan).join(F.broadcast(small), "idx").select("doc_id", "source", "size", "source_size", "target", "taken")
+    return taken(plan).join(sized(small, plan.n_sources), "idx").select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def mix_documents(docs: DataFrame, seed: int = 20240, **options) -> DataFrame:
@@ -173,9 +193,10 @@ def mix_documents(docs: DataFrame, seed: int = 20240, **options) -> DataFrame:
     plan = plan_mix(docs, seed=seed, **options)
     whole = taken(plan).groupBy("idx", "doc_id", "digest").agg(F.max("size").alias("size"), F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("copies"))
     chance = F.pmod(F.xxhash64(F.lit(seed + 2), "doc_id", "digest"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    times = whole.join(F.broadcast(plan.sources.select("idx", F.col("source").alias("_s"))), "idx").select(
-        F.col("doc_id").alias("_d"), F.col("digest").alias("_g"), "_s",
-        F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / (F.col("size") * F.col("copies")) + chance)).cast("int").alias("_n"),
-    ).where("_n > 0")
-    on = docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_g")) & docs["source"].eqNullSafe(F.col("_s"))
-    return docs.join(times, on).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[docs[c] for c in docs.columns])
+    doc, digest, source, times, row = fresh(docs, "doc", "digest", "source_of", "times", "row")
+    often = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / (F.col("size") * F.col("copies")) + chance)).cast("int")
+    small = sized(plan.sources.select("idx", F.col("source").alias(source)), plan.n_sources)
+    wanted = whole.join(small, "idx").select(F.col("doc_id").alias(doc), F.col("digest").alias(digest), source, often.alias(times)).where(F.col(times) > 0)
+    on = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(row) == F.col(digest)) & F.col("source").eqNullSafe(F.col(source))
+    met = docs.withColumn(row, F.xxhash64("text")).join(wanted, on)
+    return met.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times))).alias(times)).drop(times)
