@@ -504,7 +504,7 @@ def test_long_postings_lose_no_link(spark, monkeypatch):
 
     every = [(int(a), int(b)) for a, b in itertools.combinations(fps.tolist(), 2) if (a ^ b).bit_count() <= 3]
     table = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
-    for block in (16, 2048):
+    for block in (16, 1024):
         monkeypatch.setattr(simhash, "BLOCK", block)
         found = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(table, len(fps)).collect()]
         assert components(found) == components(every)

@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 
 from .common import Stretches, frame, fresh, materialize, mixed, only_marked, slices
 from .components import connected_components
-from .postings import by_unit, read_units, units
+from .postings import by_unit, read_units, spans, units
 
 SIMILARITY = 0.8
 #: Words of a window, blocks that a line is posted under, letters below which a window ranks last.
 WIDTH, POSTED, FEW_LETTERS = 3, 4, 16
 #: Lines of a posting, or of each of two parts of a longer one, that are compared in one task.
-BLOCK = 2048
+BLOCK = 512
 #: From so many lines on, a posting is compared by arrays.
 MANY = 16
 _NONE = np.uint64(2**64 - 1)
@@ -169,41 +169,36 @@ def candidates(distinct: DataFrame) -> DataFrame:
     schema = pa.schema([("block", pa.int64()), ("key", pa.int64()), ("part", pa.int32()), ("left", pa.int32()), ("right", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for table in read_units(batches, ["block"]):
+        for table, upto in read_units(batches, ["block"]):
             n = table.column("words").to_numpy().astype(np.int64)
-            odd = np.stack([table.column(c).to_numpy() for c in ODD]).view(np.uint64)
+            odd = [table.column(c).to_numpy().view(np.uint64) for c in ODD]
             part = table.column("part").to_numpy()
+            cross = (table.column("left").to_numpy() != table.column("right").to_numpy())
             keep = np.zeros(len(n), bool)
-            for at in range(0, len(n), 512):
-                some = slice(at, at + 512)
-                differ = np.bitwise_count(odd[0][some, None] ^ odd[0][None]).astype(np.int64) + np.bitwise_count(odd[1][some, None] ^ odd[1][None])
-                longer = np.maximum(n[some, None], n[None])
-                near = (differ <= 2 * (longer // 5)) & (np.minimum(n[some, None], n[None]) >= SIMILARITY * longer - 1e-6)
-                near[np.arange(near.shape[0]), np.arange(at, at + near.shape[0])] = False
-                if part[0] != part[-1] or (part != part[0]).any():
-                    near &= part[some, None] != part[None]
-                keep[some] |= near.any(axis=1)
+            # Each row with the next, the one after it, and so on to the end of its unit, all units at once.
+            at, step = np.flatnonzero(np.arange(len(n)) + 1 < upto), 1
+            while len(at):
+                other = at + step
+                longer = np.maximum(n[at], n[other])
+                near = np.bitwise_count(odd[0][at] ^ odd[0][other]).astype(np.int64) + np.bitwise_count(odd[1][at] ^ odd[1][other]) <= 2 * (longer // 5)
+                near &= (np.minimum(n[at], n[other]) >= SIMILARITY * longer - 1e-6) & (~cross[at] | (part[at] != part[other]))
+                keep[at[near]] = keep[other[near]] = True
+                step += 1
+                at = at[at + step < upto[at]]
             if keep.any():
-                held.append(table.select(schema.names).filter(pa.array(keep)))
-                size += int(keep.sum())
-                if size > 20_000:
-                    yield from pa.concat_tables(held).combine_chunks().cast(schema).to_batches()
-                    held, size = [], 0
-        if held:
-            yield from pa.concat_tables(held).combine_chunks().cast(schema).to_batches()
+                yield from table.select(schema.names).filter(pa.array(keep)).cast(schema).combine_chunks().to_batches()
 
     return by_unit(met, ["block"]).mapInArrow(run, "block long, key long, part int, left int, right int")
 
 
-def posting_links(part: list[int], keys: list[int], lines: list[list[bytes]], blocks: list[frozenset], block: int) -> list[tuple[int, int]]:
+def posting_links(part: list[int], lines: list[list[bytes]], blocks: list[frozenset], block: int) -> list[tuple[int, int]]:
     """Links (places) of a spanning forest of what is similar, from lines in order of their number of words.
 
     Lines of one part meet only where all are of one; a pair is compared under the least of its common blocks.
     """
-    n = len(keys)
+    n = len(lines)
     cross = len(set(part)) > 1
-    comp = np.zeros(n, np.int64) + np.arange(n)
+    comp = np.arange(n)
     sizes = [len(w) for w in lines]
     out = []
     many = n > MANY
@@ -238,22 +233,21 @@ def posting_links(part: list[int], keys: list[int], lines: list[list[bytes]], bl
     return out
 
 
-def posted(blocks: bytes) -> frozenset:
-    return frozenset(np.frombuffer(blocks, "<i8").tolist()) - {-1}
-
-
 def verified_links(members: DataFrame) -> DataFrame:
     """(a, b) links of keys from (block, left, right, part, key, blocks, words): those of each unit of work."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
-        for table in read_units(batches, ["block"]):
-            rows = sorted(zip([w.split() for w in table.column("words").to_pylist()], *(table.column(c).to_pylist() for c in ("key", "part", "blocks")), strict=True), key=lambda r: (len(r[0]), r[1]))
-            lines, keys, part, blocks = zip(*rows, strict=True)
-            for i, j in posting_links(list(part), list(keys), list(lines), [posted(x) for x in blocks], table.column("block")[0].as_py()):
-                a.append(keys[i])
-                b.append(keys[j])
+        for table, upto in read_units(batches, ["block"]):
+            keys, part, block, blocks = (table.column(c).to_pylist() for c in ("key", "part", "block", "blocks"))
+            words = [w.split() for w in table.column("words").to_pylist()]
+            sets = [frozenset(x) - {-1} for x in np.frombuffer(b"".join(blocks), "<i8").reshape(-1, POSTED).tolist()]
+            for start, stop in spans(upto):
+                order = sorted(range(start, stop), key=lambda i: (len(words[i]), keys[i]))
+                for i, j in posting_links([part[i] for i in order], [words[i] for i in order], [sets[i] for i in order], block[start]):
+                    a.append(keys[order[i]])
+                    b.append(keys[order[j]])
             if len(a) > 20_000:
                 yield frame(schema, a, b)
                 a, b = [], []

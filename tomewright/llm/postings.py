@@ -31,21 +31,41 @@ def by_unit(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys)
 
 
-def read_units(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
-    """The rows of each unit of two or more, from rows in the order of ``by_unit``."""
+def read_units(batches: Iterator[pa.RecordBatch], by: list[str], rows: int = 50_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole units of two or more, about ``rows`` rows at once, with the end of the unit of each row; from rows in the order of ``by_unit``."""
     held: list[pa.RecordBatch] = []
-    last: tuple | None = None
+    size = 0
+
+    def ends(table: pa.Table) -> np.ndarray:
+        keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in (*by, "left", "right")])
+        cuts = np.append(np.flatnonzero((np.diff(keys, axis=1) != 0).any(axis=0)) + 1, table.num_rows)
+        return cuts[np.searchsorted(cuts, np.arange(table.num_rows), side="right")]
+
+    def shared(table: pa.Table, upto: np.ndarray) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        many = np.bincount(upto, minlength=len(upto) + 1)[upto] > 1
+        if many.any():
+            place = np.cumsum(many)
+            yield table.filter(pa.array(many)), place[upto[many] - 1]
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (*by, "left", "right")])
-        cuts = [0, *(np.flatnonzero((np.diff(keys, axis=1) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            this = tuple(keys[:, a].tolist())
-            if this != last:
-                if sum(x.num_rows for x in held) > 1:
-                    yield pa.Table.from_batches(held)
-                held, last = [], this
-            held.append(batch.slice(a, b - a))
-    if sum(x.num_rows for x in held) > 1:
-        yield pa.Table.from_batches(held)
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            table = pa.Table.from_batches(held).combine_chunks()
+            upto = ends(table)
+            whole = int(np.searchsorted(upto, table.num_rows))
+            if whole:
+                yield from shared(table.slice(0, whole), upto[:whole])
+            held = table.slice(whole).to_batches()
+            size -= whole
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield from shared(table, ends(table))
+
+
+def spans(upto: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of each unit, from the end of the unit of each row."""
+    stops = np.unique(upto).tolist()
+    return list(zip([0, *stops[:-1]], stops, strict=True))

@@ -36,13 +36,13 @@ from pyspark.sql import functions as F
 
 from .common import Stretches, frame, fresh, materialize, mixed, only_marked, slices
 from .components import connected_components
-from .postings import by_unit, read_units, units
+from .postings import by_unit, read_units, spans, units
 
 DISTANCE = 3
 #: Byte positions in which linked fingerprints agree at least.
 MATCHES = 8 - DISTANCE
 #: Rows of a posting, or of each of two parts of a longer one, that are compared in one task.
-BLOCK = 2048
+BLOCK = 1024
 #: Hashes of a sketch.
 SKETCH = 256
 RESEMBLANCE = 0.8
@@ -142,12 +142,15 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp), enough to connect all that are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in read_units(batches, ["family", "bytes"]):
-            fps = table.column("fp").to_numpy().view(np.uint64)
-            found = forest(fps, table.column("part").to_numpy(), lambda i, at, fps=fps: at[np.bitwise_count(fps[at] ^ fps[i]) <= DISTANCE].tolist())
+        for table, upto in read_units(batches, ["family", "bytes"]):
+            every, parts = table.column("fp").to_numpy().view(np.uint64), table.column("part").to_numpy()
+            found = []
+            for start, stop in spans(upto):
+                fps = every[start:stop]
+                found += [(start + i, start + j) for i, j in forest(fps, parts[start:stop], lambda i, at, fps=fps: at[np.bitwise_count(fps[at] ^ fps[i]) <= DISTANCE].tolist())]
             if found:
                 a, b = np.array(found).T
-                yield frame(LINKS, fps[a].view(np.int64), fps[b].view(np.int64))
+                yield frame(LINKS, every[a].view(np.int64), every[b].view(np.int64))
 
     return by_unit(index(distinct, "fp", n), ["family", "bytes"]).mapInArrow(run, "a long, b long").distinct()
 
@@ -214,8 +217,8 @@ def similar_documents(docs: DataFrame, width: int = 5, least: float = RESEMBLANC
             yield frame(schema, digests.view(np.int64), made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in read_units(batches, ["family", "bytes"]):
-            nodes = table.column("digest").to_numpy()
+        for table, upto in read_units(batches, ["family", "bytes"], 5_000):
+            nodes, fps, parts = table.column("digest").to_numpy(), table.column("fp").to_numpy().view(np.uint64), table.column("part").to_numpy()
             made = [np.frombuffer(s, np.uint64) for s in table.column("sketch").to_pylist()]
             sets: dict[int, frozenset] = {}
 
@@ -230,7 +233,9 @@ def similar_documents(docs: DataFrame, width: int = 5, least: float = RESEMBLANC
                     if len(of(i) & of(j)) >= least * max(len(made[i]), len(made[j])) - 1e-9 and resemblance(made[i], made[j]) >= least:
                         yield j
 
-            found = forest(table.column("fp").to_numpy().view(np.uint64), table.column("part").to_numpy(), verified)
+            found = []
+            for start, stop in spans(upto):
+                found += [(start + i, start + j) for i, j in forest(fps[start:stop], parts[start:stop], lambda i, at, start=start, v=verified: (j - start for j in v(start + i, start + at)))]
             if found:
                 a, b = np.array(found).T
                 yield frame(LINKS, nodes[a], nodes[b])
