@@ -76,8 +76,31 @@ def test_suffix_dedup(docs, none):
                 gone[i : i + length] = b"\1" * length
         kept = bytes(b for b, g in zip(raw, gone, strict=True) if not g)
         want.append((doc, len(raw), len(raw) - len(kept), sum(k for k, _ in itertools.groupby(gone)), hashlib.sha256(kept).hexdigest()))
-    assert multiset(repeat_digests(docs).collect()) == multiset(want)
+    rows = repeat_digests(docs).collect()
+    assert multiset(r[:5] for r in rows) == multiset(want)
     assert sum(w[2] for w in want) > 2000
+    # Words in strings of 50 (44 at least) that a row with another id or text has.
+    words = [(r[0], (r[1] or "").split()) for r in ROWS]
+    places = {size: defaultdict(set) for size in (44, 50)}
+    for k, (_, w) in enumerate(words):
+        for size in (44, 50):
+            for i in range(len(w) - size + 1):
+                places[size][tuple(w[i : i + size])].add((words[k][0], ROWS[k][1]))
+    bounds = Counter()
+    for k, (doc, w) in enumerate(words):
+        covered = []
+        for size in (50, 44):
+            own = set()
+            for i in range(len(w) - size + 1):
+                if len(places[size][tuple(w[i : i + size])]) > 1:
+                    own.update(range(i, i + size))
+            covered.append(len(own))
+        bounds[doc, len((ROWS[k][1] or "").encode()), *covered] += 1
+    found = Counter((r.doc_id, r.n_bytes, r.shared_words) for r in rows)
+    for doc, n, at_least, at_most in bounds:
+        # At steps of six words up to five at each end of a passage are not counted.
+        assert any(0.8 * at_least <= x[2] <= at_most for x in found if x[:2] == (doc, n))
+    assert sum(at_least > 0 for _, _, at_least, _ in bounds) > 5 and sum(r.shared_words > 0 and r.n_removed == 0 for r in rows) >= 0
     assert repeat_digests(none).count() == 0
 
 

@@ -69,23 +69,32 @@ def frame(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
+def bit_map(keys: DataFrame, key: str, bits: int) -> np.ndarray:
+    """A map of fixed size (2 ** bits bits, in 64-bit words) that marks the ``key`` hashes of ``keys``."""
+    place = F.pmod(F.col(key), F.lit(1 << bits))
+    words = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(p & 63 AS INT)))").alias("m")).toArrow()
+    marks = np.zeros(1 << (bits - 6), np.int64)
+    marks[words.column("w").to_numpy()] = words.column("m").to_numpy()
+    return marks
+
+
+def is_marked(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    places = keys.astype(np.int64) & (64 * len(marks) - 1)
+    return (marks[places >> 6] >> (places & 63) & 1).astype(bool)
+
+
 def only_marked(rows: DataFrame, wanted: DataFrame, key: str, bits: int = 24) -> DataFrame:
     """``rows`` without most of those whose ``key`` (a hash) is not in ``wanted``, so that they need no shuffle to the join.
 
     The marks are a bit map of fixed size (2 MB); more keys fill it and let more rows through, and lose none.
     """
-    place = F.pmod(F.col(key), F.lit(1 << bits))
-    words = wanted.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, CAST(p & 63 AS INT)))").alias("m")).toArrow()
-    marks = np.zeros(1 << (bits - 6), np.int64)
-    marks[words.column("w").to_numpy()] = words.column("m").to_numpy()
-    shipped = rows.sparkSession.sparkContext.broadcast(marks)
+    shipped = rows.sparkSession.sparkContext.broadcast(bit_map(wanted, key, bits))
 
     @F.arrow_udf("boolean")
-    def marked(places: pa.Array) -> pa.Array:
-        p = places.to_numpy(zero_copy_only=False)
-        return pa.array((shipped.value[p >> 6] >> (p & 63) & 1).astype(bool))
+    def marked(keys: pa.Array) -> pa.Array:
+        return pa.array(is_marked(shipped.value, keys.to_numpy(zero_copy_only=False)))
 
-    return rows.where(marked(place))
+    return rows.where(marked(F.col(key)))
 
 
 def text_rank(spark: SparkSession) -> int:

@@ -14,7 +14,15 @@ strings have their anchor at the same distance from their start. A text has abou
    tied at the end is repeated. Long groups are sorted by ranges of distances, so memory follows the number of
    suffixes and not of strings.
 
-Tokens are compared by 64-bit polynomial fingerprints. Defined results: null text is the empty text; texts
+Tokens are compared by 64-bit polynomial fingerprints.
+
+Beside the bytes, ``shared_passages`` tells which words stand in passages of ``WORDS`` words or more that another
+document has too, many of which are shorter than ``length`` bytes. It takes anchors of word strings in the same way;
+those whose leading words occur once go first, by a bit map of fixed size; the others are compared by hashes of
+the strings around them, at steps of ``STEP`` words, so that a passage of ``WORDS - STEP`` words may count and none of
+``WORDS`` is lost.
+
+Defined results: null text is the empty text; texts
 below ``length`` bytes lose nothing; rows agreeing in id and text repeat each other like any others; an empty
 table gives an empty result; further columns are ignored by the digest and kept by ``remove_repeats``.
 """
@@ -29,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stretches, frame, materialize, mixed, slices
+from .common import Stretches, bit_map, frame, is_marked, materialize, mixed, slices
 
 LENGTH = 400
 #: Bytes of an anchor's leading token, and of the tokens that a round of sorting compares.
@@ -37,6 +45,8 @@ LEAD, TOKEN = 32, 80
 CHUNK = 1 << 19
 #: Strings that are sorted at once.
 STRINGS = 1 << 20
+#: Words of a passage, of an anchor's leading words, and between the strings that are compared around it.
+WORDS, LEAD_WORDS, STEP = 50, 4, 6
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     n = len(x)
@@ -219,6 +229,64 @@ def repeated_ranges(bucketed: DataFrame, length: int) -> DataFrame:
     return bucketed.mapInArrow(run, _ddl(RANGE))
 
 
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    data = np.frombuffer(raw + b" ", np.uint8)
+    edges = np.flatnonzero(np.diff(~_BLANK[data], prepend=False))
+    return mixed(Stretches(data).of(edges[::2], edges[1::2]))
+
+
+def word_anchors(hashes: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(place, token) of the anchors of all strings of ``words`` words: the least of their runs of ``LEAD_WORDS``."""
+    if len(hashes) < words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    tokens = mixed(Stretches(hashes).all(LEAD_WORDS))
+    width = words - LEAD_WORDS + 1
+    least = _sliding_min(tokens, width)
+    chosen = np.zeros(len(tokens), bool)
+    for k in range(width):
+        chosen[k : k + len(least)] |= tokens[k : k + len(least)] == least
+    at = np.flatnonzero(chosen)
+    return at, tokens[at].view(np.int64)
+
+
+def shared_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(digest, starts): first words of strings of ``words - STEP`` words that another digest of ``docs`` (digest, text) has too."""
+    size = words - STEP
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("token", pa.int64())])
+        for (texts,) in slices(batches, "text"):
+            yield frame(schema, np.concatenate([word_anchors(word_hashes(t.encode("utf-8", "surrogatepass")), words)[1] for t in texts]))
+
+    tokens = docs.select("text").mapInArrow(first, "token long")
+    twice = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shipped = docs.sparkSession.sparkContext.broadcast(bit_map(twice, "token", 26))
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("digest", pa.int64()), ("start", pa.int32()), ("string", pa.int64())])
+        for digests, texts in slices(batches, "digest", "text"):
+            rows, starts, strings = [], [], []
+            for digest, text in zip(digests, texts, strict=True):
+                hashes = word_hashes(text.encode("utf-8", "surrogatepass"))
+                at, token = word_anchors(hashes, words)
+                at = at[is_marked(shipped.value, token)]
+                begin = np.unique((at[:, None] - np.arange(0, words - LEAD_WORDS, STEP)).ravel())
+                begin = begin[(begin >= 0) & (begin + size <= len(hashes))]
+                if len(begin):
+                    rows.append(np.full(len(begin), digest, np.int64))
+                    starts.append(begin)
+                    strings.append(mixed(Stretches(hashes).of(begin, begin + size)).view(np.int64))
+            if rows:
+                yield frame(schema, np.concatenate(rows), np.concatenate(starts).astype(np.int32), np.concatenate(strings))
+
+    strings = materialize(docs.select("digest", "text").mapInArrow(second, "digest long, start int, string long"))
+    common = strings.groupBy("string").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("string")
+    return strings.join(common, "string").groupBy("digest").agg(F.collect_set("start").alias("starts"))
+
+
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(digest, ranges) of removed bytes per digest of ``docs`` (digest, text without nulls)."""
     places = materialize(classified(materialize(anchor_table(docs, length))))
@@ -248,20 +316,24 @@ def _cut(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def repeat_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs``."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and shared_words of every row of ``docs``; the last counts words in shared passages."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     own = own.select(F.xxhash64("doc_id", "text").alias("digest"), "doc_id", "text")
     found = repeats(own.select("digest", "text"), length)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+    passages = shared_passages(own.select("digest", "text"))
+    # One table of what was found, so that texts meet it in one join.
+    both = materialize(found.join(passages, "digest", "full").select("digest", "ranges", "starts"))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("shared_words", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, ranges in slices(batches, "doc_id", "text", "ranges"):
+        for ids, texts, ranges, starts in slices(batches, "doc_id", "text", "ranges", "starts"):
             out: tuple[list, ...] = tuple([] for _ in schema)
-            for doc, text, some in zip(ids, texts, ranges, strict=True):
+            for doc, text, some, at in zip(ids, texts, ranges, starts, strict=True):
                 raw, spans = text.encode("utf-8", "surrogatepass"), _merged(some)
                 kept = _cut(raw, spans)
-                for column, value in zip(out, (doc, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()), strict=True):
+                shared = sum(b - a for a, b in _merged([{"start": x, "stop": x + WORDS - STEP} for x in at or ()]))
+                for column, value in zip(out, (doc, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), shared), strict=True):
                     column.append(value)
             yield frame(schema, *out)
 
-    return own.join(found, "digest", "left").select("doc_id", "text", "ranges").mapInArrow(run, _ddl(schema))
+    return own.join(both, "digest", "left").select("doc_id", "text", "ranges", "starts").mapInArrow(run, _ddl(schema))
