@@ -68,9 +68,9 @@ def decode_bytes(content: Column) -> Column:
     return F.when(F.is_valid_utf8(text), text).otherwise(F.decode(content, "ISO-8859-1"))
 
 
-def query_tokens(c: Column, max_length: int = 1000) -> Column:
-    """Lower-cased letters-and-digits tokens of a query cut to a length."""
-    return F.regexp_extract_all(F.lower(F.substring(c, 1, max_length)), F.lit(r"([\p{L}\p{N}_]+)"), 1)
+def query_tokens(c: Column, max_length: int | None = None) -> Column:
+    """Lower-cased letters-and-digits tokens of a query, cut to a length where one is given."""
+    return F.regexp_extract_all(F.lower(c if max_length is None else F.substring(c, 1, max_length)), F.lit(r"([\p{L}\p{N}_]+)"), 1)
 
 
 def normalise_query(c: Column, max_length: int = 1000) -> Column:

@@ -7,7 +7,9 @@ chunker is a column expression; the greedy ones are sequential within a text and
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -29,30 +31,60 @@ def _checked(size: int, overlap: int = 0) -> None:
         raise InvalidChunkConfig(f"size {size}, overlap {overlap}")
 
 
+#: Windows that are cut out of one stretch of a text; each cut walks its stretch from the start, not the whole text.
+STRETCH = 64
+
+
 def fixed(c: Column, size: int, overlap: int = 0) -> Column:
     """Windows of ``size`` characters every ``size - overlap``; the last one ends the text."""
     _checked(size, overlap)
     step, n = size - overlap, F.length(c)
-    starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1 - overlap), F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(s + size, n).alias("end"), F.substr(c, s + 1, F.lit(size)).alias("text")))
-
-
-def split_by_tokens(value: str, max_tokens: int) -> list[Span]:
-    """Greedy windows of ``4 * max_tokens`` characters, cut after the last line feed, else the last space, else hard."""
-    if not value:
-        return []
-    if max(1, round(len(value) / 4.0)) <= max_tokens:
-        return [(0, len(value))]
-    out, at, n, width = [], 0, len(value), int(max_tokens * 4.0)
-    while at < n:
-        end = min(at + width, n)
-        if end < n:
-            cut = value.rfind("\n", at, end)
-            if cut <= at:
-                cut = value.rfind(" ", at, end)
-            end = cut + 1 if cut > at else end
-        out.append((at, end))
-        at = end
+    last = F.greatest(F.lit(0), n - 1 - overlap)
+
+    def windows(at: Column) -> Column:
+        def cut(stretch: Column) -> Column:
+            starts = F.sequence(at, F.least(last, at + (STRETCH - 1) * step), F.lit(step))
+            return F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(s + size, n).alias("end"), F.substr(stretch, s - at + 1, F.lit(size)).alias("text")))
+
+        # The stretch is evaluated once, as the element of an array.
+        return F.get(F.transform(F.array(F.substr(c, at + 1, F.lit((STRETCH - 1) * step + size))), cut), F.lit(0))
+
+    stretches = F.when(n > 0, F.sequence(F.lit(0), last, F.lit(STRETCH * step))).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(stretches, windows))
+
+
+def token_spans(value: str, max_tokens: int) -> list[Span]:
+    """Spans of at most ``max_tokens`` estimated tokens that end after a line feed where there is one, else after a space.
+
+    All places where a span may end are found first; an end is then the last of its window, line feeds before
+    spaces, and the window itself where it has neither. A text within the estimate is one span.
+    """
+    size = len(value)
+    if round(size / text.CHARS_PER_TOKEN) <= max_tokens:
+        return [(0, size)] * (size > 0)
+    stops = [[m.end() for m in re.finditer(sign, value)] for sign in ("\n", " ")]
+    width = int(max_tokens * text.CHARS_PER_TOKEN)
+
+    def end_of(start: int) -> int:
+        if start + width >= size:
+            return size
+        last = (ends[bisect_right(ends, start + width) - 1] if ends and ends[0] <= start + width else 0 for ends in stops)
+        return next((end for end in last if end > start + 1), start + width)
+
+    ends = [0]
+    while ends[-1] < size:
+        ends.append(end_of(ends[-1]))
+    return list(pairwise(ends))
+
+
+def overlapping(value: str, spans: list[Span], tokens: int) -> list[Span]:
+    """``spans`` of which each but the first begins up to ``tokens`` estimated tokens earlier, at the start of a word where there is one."""
+    back = int(tokens * text.CHARS_PER_TOKEN)
+    out = spans[:1]
+    for (before, _), (start, end) in pairwise(spans):
+        low = max(before, start - back)
+        word = re.compile(r"(?<!\S)\S").search(value, low, start)
+        out.append((word.start() if word else low, end))
     return out
 
 
@@ -124,7 +156,7 @@ SPLITTERS: dict[str, Callable[[str, int], list[Span]]] = {
     "sentence": sentence_spans,
     "markdown": section_spans,
     "adaptive": adaptive_spans,
-    "tokens": split_by_tokens,
+    "tokens": token_spans,
 }
 
 
@@ -143,14 +175,21 @@ def _stripped(value: str, spans: list[Span]) -> list[dict]:
     return out
 
 
-def greedy(name: str, size: int) -> Callable[[Column], Column]:
-    """An Arrow function that applies a registered splitter; blank chunks are dropped, others stripped."""
-    _checked(size)
+def greedy(name: str, size: int, overlap_tokens: int = 0) -> Callable[[Column], Column]:
+    """An Arrow function that applies a registered splitter; blank chunks are dropped, others stripped.
+
+    With an overlap each chunk also holds that many estimated tokens of the text before it.
+    """
+    _checked(size if name != "tokens" else int(size * text.CHARS_PER_TOKEN), int(overlap_tokens * text.CHARS_PER_TOKEN))
     splitter = SPLITTERS[name]
 
+    def spans(value: str) -> list[Span]:
+        found = splitter(value, size)
+        return overlapping(value, found, overlap_tokens) if overlap_tokens else found
+
     @F.arrow_udf(_DDL)
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([_stripped(t, splitter(t, size)) if t else [] for t in texts.to_pylist()], _KIND)
+        return pa.array([_stripped(t, spans(t)) if t else [] for t in texts.to_pylist()], _KIND)
 
     return run
 

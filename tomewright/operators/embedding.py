@@ -13,16 +13,29 @@ from pyspark.sql import functions as F
 Provider = Callable[[list[str]], np.ndarray]
 
 
+class _Places(dict):
+    """Place of a token's count: its bucket, behind all buckets where its sign is positive; those of frequent tokens remembered."""
+
+    def __init__(self, dimension: int) -> None:
+        self.dimension = dimension
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        h = int(hashlib.md5(token.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()[:8], 16)
+        self[token] = out = h % self.dimension + (self.dimension if h >> 31 else 0)
+        return out
+
+
 def hashing_provider(dimension: int = 64) -> Provider:
-    """Signed feature hashing of lower-cased tokens: deterministic on every machine."""
+    """Signed feature hashing of lower-cased tokens, by MD5: the same on every machine."""
+    places = _Places(dimension)
 
     def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dimension), np.float32)
+        out = np.zeros((len(texts), 2 * dimension))
         for i, t in enumerate(texts):
-            for token in (t or "").lower().split():
-                h = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big")
-                out[i, h % dimension] += 1.0 if h >> 63 else -1.0
-        return out
+            out[i] = np.bincount([places[w] for w in (t or "").lower().split()], minlength=2 * dimension)
+        return out[:, dimension:] - out[:, :dimension]
 
     return encode
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, text
 
-#: One bracket with one or more numbers, each bracket optionally headed by a word for source.
+#: Fixed values, which results depend on: the form of a citation. One bracket with one or more numbers, each bracket optionally headed by a word for source.
 MARKER = r"(?i)\[(?:Source\s*)?(\d+(?:\s*,\s*\d+)*)\]"
 #: Instructions per strategy, in our own words.
 STRATEGIES = {

@@ -6,9 +6,14 @@ Ranked lists are rows (query_id, id, score, rank, strategy).
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,38 +34,90 @@ class Options:
     epsilon: float = 0.0
     fusion: str = "rrf"
     rrf_k: int = 60
-    max_query_length: int = 1000
+    max_query_length: int | None = None
 
 
-def postings(docs: DataFrame, id_: str = "id", column: str = "text") -> DataFrame:
-    """(id, term, tf, length): one row per distinct term of a text."""
-    tokens = docs.select(F.col(id_).alias("id"), F.regexp_extract_all(F.lower(column), F.lit(TOKEN), 1).alias("tokens"))
-    return tokens.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def corpus_statistics(docs: DataFrame, id_: str = "id", column: str = "text") -> DataFrame:
+def corpus_statistics(docs: DataFrame, column: str = "text") -> DataFrame:
     """One row: texts and their mean length in tokens."""
     n = F.size(F.regexp_extract_all(F.lower(column), F.lit(TOKEN), 1))
     return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(n).alias("avg_length"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, options: Options = Options(), digits: int = 6) -> DataFrame:
-    """Okapi scores with idf ln(1 + (N - df + 0.5) / (df + 0.5)), not below ``epsilon``.
+_TOKEN = regex.compile(TOKEN)
+COUNTS = pa.schema([("term", pa.int32()), ("n", pa.int64())])
+
+
+def _counter(terms: dict[str, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts that have each term; -1 counts texts, -2 their tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, texts, tokens = np.zeros(len(terms), np.int64), 0, 0
+        for batch in batches:
+            for t in batch.column("text"):
+                own = _TOKEN.findall(t.as_py() or "")
+                texts, tokens = texts + 1, tokens + len(own)
+                found[[terms[w] for w in terms.keys() & set(own)]] += 1
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1, -2], pa.int32()), pa.array([*found[at].tolist(), texts, tokens])], schema=COUNTS)
+
+    return run
+
+
+def _scorer(asked: pa.Table, terms: dict[str, int], idf: np.ndarray, mean: float, options: Options, digits: int, k: int, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = asked.column("query_id").combine_chunks()
+    has = np.zeros((len(terms), len(names)))
+    for q, own in enumerate(asked.column("terms").to_pylist()):
+        has[[terms[w] for w in own], q] = 1.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = vectorstore.Best(names, schema, k)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                weight = np.zeros((some.num_rows, len(terms)))
+                for i, t in enumerate(some.column("text").to_pylist()):
+                    own = _TOKEN.findall(t or "")
+                    tf = Counter(w for w in own if w in terms)
+                    n = np.fromiter(tf.values(), float, len(tf))
+                    weight[i, [terms[w] for w in tf]] = n * (options.k1 + 1) / (n + options.k1 * (1 - options.b + options.b * len(own) / mean)) if len(tf) else 0
+                scores = np.round((weight * idf) @ has, digits).T
+                met = (weight > 0).astype(np.float32) @ has.astype(np.float32) > 0
+                yield best.keep(some.column("id"), np.where(met.T, scores, -np.inf))
+
+    return run
+
+
+#: Queries whose terms go to every task of a scan at once.
+QUERY_BLOCK = 256
+
+
+def bm25(docs: DataFrame, queries: DataFrame, options: Options = Options(), digits: int = 6, top: int | None = None) -> DataFrame:
+    """(query_id, id, score): Okapi scores with idf ln(1 + (N - df + 0.5) / (df + 0.5)), not below ``epsilon``.
 
-    Tokens of texts that no query has are dropped before anything is shuffled; the query terms are a stated set
-    and travel to the scan.
+    Queries are a stated set: blocks of QUERY_BLOCK go to every task of two scans. The first counts texts per query
+    term before anything is shuffled; the second scores whole texts in matrix products, exactly, and sends on what
+    can be among the ``top`` of a query, so no table of queries by texts is ever shuffled. All pairs with a common
+    term without ``top``.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(text.query_tokens(F.col("text"), options.max_query_length))).alias("term"))
-    terms = asked.select("term").distinct()
-    tokens = docs.select("id", F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), 1).alias("tokens"))
-    hits = tokens.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(terms, "term", "left_semi")
-    counted = hits.groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    frequency = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = corpus_statistics(docs)
-    idf = F.greatest(F.lit(options.epsilon), F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    weight = idf * F.col("tf") * (options.k1 + 1) / (F.col("tf") + options.k1 * (1 - options.b + options.b * F.col("length") / F.col("avg_length")))
-    weighted = counted.join(frequency, "term").crossJoin(F.broadcast(stats)).select("term", "id", weight.alias("weight"))
-    return asked.join(weighted, "term").groupBy("query_id", "id").agg(F.round(F.sum("weight"), digits).alias("score"))
+    asked = queries.select("query_id", F.array_distinct(text.query_tokens(F.col("text"), options.max_query_length)).alias("terms")).where(F.size("terms") > 0)
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    texts = docs.select("id", F.lower("text").alias("text"))
+    schema, ddl = vectorstore.scored_schema(queries.schema["query_id"].dataType, docs.schema["id"].dataType)
+    parts = []
+    for b in range(blocks):
+        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
+        terms = {w: i for i, w in enumerate(sorted({w for own in some.column("terms").to_pylist() for w in own}))}
+        if not terms:
+            continue
+        counts = {r.term: r.n for r in texts.select("text").mapInArrow(_counter(terms), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        n = counts.get(-1, 0)
+        df = np.array([counts.get(i, 0) for i in range(len(terms))], float)
+        idf = np.maximum(options.epsilon, np.log(1 + (n - df + 0.5) / (df + 0.5)))
+        mean = counts.get(-2, 0) / n if n else 1.0
+        parts.append(texts.mapInArrow(_scorer(some, terms, idf, mean or 1.0, options, digits, top or 1 << 40, schema), ddl))
+    if not parts:
+        return docs.sparkSession.createDataFrame([], ddl)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def ranked(scored: DataFrame, strategy: str, limit: int | None = None) -> DataFrame:
@@ -101,7 +158,7 @@ def dense(docs: DataFrame, queries: DataFrame, options: Options, where: vectorst
 
 def sparse(docs: DataFrame, queries: DataFrame, options: Options, where: vectorstore.Filter | None = None) -> DataFrame:
     kept = docs if where is None or where.is_empty() else docs.where(where.column())
-    return ranked(bm25(kept, queries, options), "sparse", options.candidates)
+    return ranked(bm25(kept, queries, options, top=options.candidates), "sparse", options.candidates)
 
 
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {"dense": dense, "sparse": sparse}

@@ -103,7 +103,7 @@ _TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), l
 _BM25 = rf"""
   WITH toks AS MATERIALIZED (SELECT id, len(l) AS length, unnest(l) AS term FROM (SELECT doc_id AS id, {_TOKENS} AS l FROM documents)),
   stats AS (SELECT count(*) AS n_docs, avg(len({_TOKENS})) AS avg_length FROM documents),
-  q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(substr(text, 1, 1000)), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '')) AS term FROM benchmark),
+  q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda x: x <> '')) AS term FROM benchmark),
   tf AS (SELECT id, length, term, count(*) AS tf FROM toks WHERE term IN (SELECT term FROM q) GROUP BY ALL),
   df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
   bm AS (SELECT q.query_id, tf.id, round(sum(greatest(0, ln(1 + (n_docs - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg_length))), 6) AS score
@@ -121,7 +121,7 @@ _VEC = f"""
 @query(_BM25 + "SELECT query_id, id, score FROM sparse WHERE rank <= 10")
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RET02, AGG15: benchmark passages as queries against all documents."""
-    found = retrieval.ranked(retrieval.bm25(corpus(spark, sf_dir), questions(spark, sf_dir)), "sparse", 10)
+    found = retrieval.ranked(retrieval.bm25(corpus(spark, sf_dir), questions(spark, sf_dir), top=10), "sparse", 10)
     return found.select("query_id", "id", "score")
 
 
@@ -158,7 +158,26 @@ def sparse_only_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.sparse_only(corpus(spark, sf_dir), questions(spark, sf_dir)).select("query_id", "id", "rank")
 
 
-@query()
+def _hashed(table: str, key: str) -> str:
+    """Hashed and normalised embeddings of the texts of a table, as (id, v)."""
+    return f"""SELECT id, list_transform(v, lambda x: CAST(x / greatest(1e-300, sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS FLOAT)) AS v FROM (
+      SELECT id, list(coalesce(n, 0) ORDER BY bucket) AS v FROM (SELECT {key} AS id, unnest(range(64)) AS bucket FROM {table}) LEFT JOIN (
+        SELECT id, h % 64 AS bucket, sum(CASE WHEN h >= 2147483648 THEN 1.0 ELSE -1.0 END)::DOUBLE AS n FROM (
+          SELECT id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS h FROM (SELECT {key} AS id, unnest(string_split_regex(lower(text), '\\s+')) AS w FROM {table}) WHERE w <> '') GROUP BY ALL) USING (id, bucket) GROUP BY id)"""
+
+
+_HYBRID = f"""
+  , ed AS MATERIALIZED ({_hashed("documents", "doc_id")}), eq AS MATERIALIZED ({_hashed("benchmark", "item_id")}),
+  knn AS (SELECT a.id AS query_id, b.id AS id, round(list_sum(list_transform(range(1, 65), lambda i: CAST(a.v[i] AS DOUBLE) * CAST(b.v[i] AS DOUBLE))) /
+      (sqrt(list_sum(list_transform(a.v, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform(b.v, lambda x: CAST(x AS DOUBLE) * x)))), 6) AS score FROM eq a, ed b),
+  dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM knn WHERE NOT isnan(score)),
+  lists AS (SELECT query_id, id, rank FROM dense WHERE rank <= 100 UNION ALL SELECT query_id, id, rank FROM sparse WHERE rank <= 100)
+  SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(sum(0.5 / (60 + rank)), 8) DESC, id) AS INTEGER) AS rank, round(round(sum(0.5 / (60 + rank)), 8), 6) AS score FROM lists GROUP BY query_id, id
+  QUALIFY rank <= 20
+"""
+
+
+@query(_BM25 + _HYBRID.replace("QUALIFY rank <= 20", "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(sum(0.5 / (60 + rank)), 8) DESC, id) <= 20"))
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RET01-RET07, EMB01: hashed embeddings and BM25, fused by rank, through the facade."""
     encode = embedding.encode(embedding.hashing_provider())
@@ -176,7 +195,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM n LEFT JOIN per USING (query_id)""")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG16 over BM25 results with labelled documents as relevant ones."""
-    found = retrieval.ranked(retrieval.bm25(corpus(spark, sf_dir), questions(spark, sf_dir)), "sparse", 10)
+    found = retrieval.ranked(retrieval.bm25(corpus(spark, sf_dir), questions(spark, sf_dir), top=10), "sparse", 10)
     good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 40).alias("slot"))
     rel = questions(spark, sf_dir).select("query_id", (F.col("query_id") % 40).alias("slot")).join(good, "slot").select("query_id", "id")
     return evaluation.retrieval_metrics(found, rel, 10)
