@@ -131,3 +131,28 @@ def state_label(c: Column) -> Column:
     for k, v in STATE_LABELS.items():
         out = F.when(F.upper(c) == k, F.lit(v)) if out is None else out.when(F.upper(c) == k, F.lit(v))
     return out.otherwise(F.initcap(F.replace(c, F.lit("_"), F.lit(" "))))
+
+
+def joined_tags(tags: Column) -> Column:
+    return F.array_join(tags, ",")
+
+
+def split_tags(c: Column) -> Column:
+    """Tags of a comma-separated text; none in an empty one."""
+    return F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(c, ","))
+
+
+def error_kind(status: Column, own_code: Column, transport_code: Column, is_request: Column, is_error: Column) -> Column:
+    """Code and status of a failure: the service's own code, a timeout, no answer, a bare status, else the client's own."""
+    def kind(code: Column, at: Column) -> Column:
+        return F.struct(code.alias("code"), at.cast("int").alias("status"))
+
+    answered = status.isNotNull()
+    return (
+        F.when(is_request & own_code.isNotNull(), kind(F.when(own_code == "", F.lit("API_ERROR")).otherwise(own_code), F.coalesce(status, F.lit(0))))
+        .when(is_request & transport_code.eqNullSafe(F.lit("ECONNABORTED")), kind(F.lit("TIMEOUT"), F.lit(408)))
+        .when(is_request & ~answered, kind(F.lit("NETWORK_ERROR"), F.lit(0)))
+        .when(is_request, kind(F.concat(F.lit("HTTP_"), status.cast("string")), status))
+        .when(is_error, kind(F.lit("CLIENT_ERROR"), F.lit(0)))
+        .otherwise(kind(F.lit("UNKNOWN_ERROR"), F.lit(0)))
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,7 +54,8 @@ def missing(df: DataFrame, keys: DataFrame, *on: str) -> DataFrame:
 
 
 def insert_if_absent(df: DataFrame, new: DataFrame, *key: str) -> DataFrame:
-    first = new.dropDuplicates(list(key))
+    """``df`` with the rows of ``new`` whose key it lacks; of several with one key the one of the least hash."""
+    first = first_of(new.select(*df.columns), list(key), [F.xxhash64(*df.columns), *[F.col(c) for c in df.columns]])
     return df.unionByName(missing(first, df, *key))
 
 
@@ -124,3 +127,77 @@ def with_defaults(chunks: DataFrame) -> DataFrame:
 
 def first_of(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def permissions_of(permissions: DataFrame, resource: str) -> DataFrame:
+    """Permissions of one resource, by code."""
+    return permissions.where(F.col("resource") == resource.strip().lower()).orderBy("code")
+
+
+def contains(column: str, words: str) -> Column:
+    """Whether a column holds ``words``, whatever the case; signs of patterns stand for themselves."""
+    return F.contains(F.lower(F.col(column)), F.lit(words.strip().lower()))
+
+
+def toggled(df: DataFrame, include_deleted: bool = False, is_active: bool | None = None, query: str | None = None, columns: tuple[str, ...] = ("name",)) -> DataFrame:
+    """Rows under those filters that are set; ``query`` must be in one of the columns."""
+    out = df if include_deleted else alive(df)
+    out = out if is_active is None else out.where(F.col("is_active") == is_active)
+    return out.where(reduce(lambda a, b: a | b, [contains(c, query) for c in columns])) if query and query.strip() else out
+
+
+def document_list(documents: DataFrame, category: str | None = None, statuses: tuple[str, ...] = (), search: str | None = None) -> DataFrame:
+    """Documents of a category, in one of the statuses, with a text in their title; a filter that is not set keeps all."""
+    out = documents if category is None else documents.where(F.col("category") == category)
+    out = out.where(F.col("status").isin(*statuses)) if statuses else out
+    return out.where(contains("title", search)) if search and search.strip() else out
+
+
+def is_active_user() -> Column:
+    return F.coalesce(F.col("is_active") & ~F.col("is_deleted"), F.lit(False))
+
+
+def shown(users: DataFrame, *more: str) -> DataFrame:
+    """What others may see of users: never a password's hash, whatever else the table holds."""
+    names = ["id", "email", "full_name", "is_active", "is_verified", "is_superuser", *more, "created_at", "last_login_at"]
+    if "hashed_password" in names:
+        raise ValueError("hashed_password is never shown")
+    return users.select(*names)
+
+
+def overridden(options: dict | None, **forced: object) -> dict:
+    """Options of which the forced ones count whatever was given."""
+    return {**(options or {}), **forced}
+
+
+def chunks_of(chunks: DataFrame, document_id: object) -> DataFrame:
+    """Chunks of a document in order; the filter reaches the scan."""
+    return chunks.where(F.col("document_id") == F.lit(document_id)).orderBy("chunk_index")
+
+
+def with_document(chunks: DataFrame, documents: DataFrame, *columns: str) -> DataFrame:
+    """Chunks with columns of their document; a chunk without one keeps nulls."""
+    return chunks.join(documents.select("document_id", *columns), "document_id", "left")
+
+
+def embedding_totals(batches: DataFrame) -> DataFrame:
+    """One row over batches (texts, embedded, latency_ms): totals and texts per second."""
+    totals = batches.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("texts", "total_texts"), ("embedded", "successful_embeddings"), ("latency_ms", "latency_ms"))])
+    return totals.withColumn("throughput_texts_per_sec", F.when(F.col("latency_ms") > 0, F.col("total_texts") * 1000 / F.col("latency_ms")).otherwise(F.lit(0.0)))
+
+
+STAGES = ("parsing", "cleaning", "chunking", "embedding", "vector_upload", "database")
+
+
+def ingestion_totals(reports: DataFrame) -> DataFrame:
+    """One row over reports (status, total_chunks, total_vectors_stored, token_count, a duration per stage): counts, sums and time per stage."""
+    stages = [F.coalesce(F.sum(f"{s}_duration_ms"), F.lit(0.0)).alias(f"{s}_duration_ms") for s in STAGES]
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total_chunks", "total_vectors_stored", "token_count")]
+    found = reports.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("status") == "COMPLETED").alias("completed"), F.count_if(F.col("status") == "FAILED").alias("failed"), *sums, *stages)
+    return found.withColumn("total_duration_ms", sum((F.col(f"{s}_duration_ms") for s in STAGES), F.lit(0.0)))
+
+
+def seed_counts(**tables: DataFrame) -> DataFrame:
+    """One row with the rows of each table."""
+    counts = [t.agg(F.count(F.lit(1)).alias(f"{name}_count")) for name, t in tables.items()]
+    return reduce(lambda a, b: a.crossJoin(b), counts)

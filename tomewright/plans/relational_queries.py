@@ -136,7 +136,9 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.sessions(table(spark, sf_dir, "events"))
 
 
-@query()
+@query("""SELECT sha256(concat(job_id, ':', f)) AS schedule_id, job_id, f AS frequency, true AS is_active, CAST(NULL AS VARCHAR) AS cron_expression, TIMESTAMP '2024-01-01 00:00:00' AS created_at,
+  CASE WHEN f IN ('hourly', 'daily') THEN TIMESTAMP '2024-01-02 12:00:00' END AS last_run_at, CASE f WHEN 'hourly' THEN TIMESTAMP '2024-01-02 13:00:00' WHEN 'daily' THEN TIMESTAMP '2024-01-03 12:00:00' WHEN 'weekly' THEN TIMESTAMP '2024-01-08 00:00:00' END AS next_run_at
+  FROM (SELECT concat('job', s_suppkey) AS job_id, list_extract(['hourly', 'daily', 'weekly', 'manual', 'custom'], s_suppkey % 5 + 1) AS f FROM supplier)""")
 def schedule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STM05, FLT16: entries, those that are due, and their next run."""
     now = F.lit("2024-01-01 00:00:00").cast("timestamp")

@@ -98,10 +98,10 @@ def frontmatter_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", F.explode(frontmatter.header_map(F.col("marked"))))
 
 
-@query(f"SELECT doc_id, source AS title, upper(lang) AS language, sha256(regexp_replace(split_part({MARKED_SQL}, '---', 3) || coalesce('---' || nullif(array_to_string(list_slice(string_split({MARKED_SQL}, '---'), 4, 1000000), '---'), ''), ''), '^\\s+|\\s+$', '', 'g')) AS body_sha FROM documents WHERE strpos(text, '---') = 0")
+@query(f"SELECT doc_id, source AS title, upper(lang) AS language, sha256(regexp_replace(split_part({MARKED_SQL}, '---', 3) || coalesce('---' || nullif(array_to_string(list_slice(string_split({MARKED_SQL}, '---'), 4, 1000000), '---'), ''), ''), '^\\s+|\\s+$', '', 'g')) AS body_sha FROM documents")
 def frontmatter_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title, language and body of Markdown with a header."""
-    marked = docs(spark, sf_dir).where(~F.contains("text", F.lit("---"))).select("doc_id", F.expr(MARKED).alias("marked"))
+    marked = docs(spark, sf_dir).select("doc_id", F.expr(MARKED).alias("marked"))
     split = marked.select("doc_id", frontmatter.header_map(F.col("marked")).alias("m"), frontmatter.body(F.col("marked")).alias("body"))
     return split.select("doc_id", frontmatter.title(F.col("m"), F.col("body")).alias("title"), frontmatter.value_of(F.col("m"), "lang", "language").alias("language"), ids.sha256_hex(F.col("body")).alias("body_sha"))
 
@@ -118,7 +118,8 @@ def heading_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.sections_as_of(made, heads)
 
 
-@query()
+@query(rf"""SELECT doc_id, CAST(pos AS INTEGER) AS pos, CAST(length(regexp_extract(line, '^(#{{1,6}})', 1)) AS INTEGER) AS level, trim(regexp_extract(line, '^#{{1,6}}\s+(.+)$', 1)) AS title FROM (
+  SELECT doc_id, l[i] AS line, coalesce(list_sum(list_transform(l[1:i - 1], lambda x: length(x) + 1)), 0) AS pos FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split({MARKED_SQL}, chr(10)) AS l FROM documents)) WHERE l[i] LIKE '#%') WHERE regexp_matches(line, '^#{{1,6}}\s+.+$')""")
 def markdown_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings with code-point offsets."""
     marked = docs(spark, sf_dir).select("doc_id", frontmatter.headings(F.expr(MARKED)).alias("h"))
@@ -134,8 +135,44 @@ def _chunker(name: str, size: int):
     return run
 
 
+#: Windows of 512 characters, each ended by its last line feed, else its last space; blank ends are cut off afterwards.
+_TOKENS_SQL = f"""WITH RECURSIVE m AS (SELECT doc_id, {MARKED_SQL} AS t FROM documents),
+  c(doc_id, t, a, b) AS (SELECT doc_id, t, 0, 0 FROM m WHERE length(t) > 0 UNION ALL
+    SELECT doc_id, t, b, CASE WHEN b + 512 >= length(t) OR round_even(length(t) / 4.0, 0) <= 128 THEN length(t) WHEN n > 1 THEN b + n WHEN s > 1 THEN b + s ELSE b + 512 END
+    FROM (SELECT *, CASE WHEN contains(w, chr(10)) THEN length(w) - strpos(reverse(w), chr(10)) + 1 ELSE 0 END AS n, CASE WHEN contains(w, ' ') THEN length(w) - strpos(reverse(w), ' ') + 1 ELSE 0 END AS s
+          FROM (SELECT *, substr(t, b + 1, 512) AS w FROM c WHERE b < length(t)))),
+  p AS (SELECT doc_id, a, substr(t, a + 1, b - a) AS x FROM c WHERE b > a),
+  q AS (SELECT doc_id, a + length(x) - length(regexp_replace(x, '^\\s+', '')) AS a, regexp_replace(x, '^\\s+|\\s+$', '', 'g') AS x FROM p)
+  SELECT doc_id AS document_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS INTEGER) AS chunk_index, CAST(a AS INTEGER) AS start_offset, CAST(a + length(x) AS INTEGER) AS end_offset, sha256(x) AS checksum FROM q WHERE x <> ''"""
+
 for _name, _size in (("recursive", 800), ("paragraph", 800), ("sentence", 400), ("markdown", 1000), ("adaptive", 800), ("tokens", 128)):
-    query()(_chunker(_name, _size))
+    query(_TOKENS_SQL if _name == "tokens" else None)(_chunker(_name, _size))
+
+
+@query()
+def overlapping_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN07, CHK07: paragraphs that also hold up to 20 tokens of the text before them."""
+    made = chunking.chunks(docs(spark, sf_dir), chunking.greedy("paragraph", 800, 20)(F.col("text")), "doc_id")
+    return made.select("document_id", "chunk_index", "start_offset", "end_offset", ids.sha256_hex(F.col("text")).alias("checksum"))
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source WHEN doc_id % 3 = 1 THEN concat('T', source) END AS title, CASE WHEN doc_id % 3 = 0 THEN upper(lang) WHEN doc_id % 3 = 1 THEN lang END AS language, 1 AS page_count,
+  CASE WHEN doc_id % 3 = 0 THEN 'a: b' END AS my_key, CASE WHEN doc_id % 3 = 0 THEN TIMESTAMP '2024-03-05 00:00:00' END AS creation_date FROM documents""")
+def parsed_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC17, SRC18, SRC24: text and metadata in one pass over Markdown, HTML and plain files made of the documents."""
+    kind = F.col("doc_id") % 3
+    content = (
+        F.when(kind == 0, F.regexp_replace(F.expr(MARKED), "# note", "date: 20240305"))
+        .when(kind == 1, F.concat(F.lit("<html lang='"), F.col("lang"), F.lit("'><head><title> T"), F.col("source"), F.lit("\n</title></head><body>x</body></html>")))
+        .otherwise(F.concat(F.lit("x"), F.col("text")))
+    )
+    path = F.concat(F.col("doc_id").cast("string"), F.element_at(F.array(F.lit(".md"), F.lit(".html"), F.lit(".txt")), (kind + 1).cast("int")))
+    parsed = parsers.parse(docs(spark, sf_dir).select(path.alias("path"), content.cast("binary").alias("content")))
+    m = F.col("metadata")
+    return parsed.select(
+        F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("doc_id"), m["title"].alias("title"), m["language"].alias("language"), m["page_count"].alias("page_count"),
+        F.try_element_at(m["extra_metadata"], F.lit("my_key")).alias("my_key"), m["creation_date"].alias("creation_date"),
+    )
 
 
 @query()
@@ -189,12 +226,12 @@ def numbered_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.with_batches(docs(spark, sf_dir).select("doc_id", "source"), "doc_id", "source", 32)
 
 
-@query(r"""SELECT doc_id, CASE WHEN b < 1024 THEN printf('%d B', CAST(b AS BIGINT)) WHEN b < 1048576 THEN printf('%.1f KB', b / 1024.0) ELSE printf('%.1f MB', b / 1048576.0) END AS size_label,
-  concat(regexp_replace(CASE WHEN b < 1024 THEN printf('%.1f', b) ELSE printf('%.1f', b / 1024.0) END, '\.0$', ''), CASE WHEN b < 1024 THEN ' B' ELSE ' KB' END) AS short_label,
+@query(r"""SELECT doc_id, CASE WHEN b < 1024 THEN printf('%d B', CAST(b AS BIGINT)) WHEN b < 1048576 THEN printf('%.1f KB', round(b / 1024.0, 1)) ELSE printf('%.1f MB', round(b / 1048576.0, 1)) END AS size_label,
+  concat(regexp_replace(printf('%.1f', round(CASE WHEN b < 1024 THEN b WHEN b < 1048576 THEN b / 1024.0 ELSE b / 1048576.0 END, 1)), '\.0$', ''), CASE WHEN b < 1024 THEN ' B' WHEN b < 1048576 THEN ' KB' ELSE ' MB' END) AS short_label,
   CASE WHEN s < 1 THEN printf('%.0fms', s * 1000) WHEN s < 60 THEN printf('%.2fs', s) WHEN s < 3600 THEN printf('%dm %.1fs', CAST(floor(s / 60) AS INTEGER), s - 60 * floor(s / 60)) ELSE printf('%dh %dm', CAST(floor(s / 3600) AS INTEGER), CAST(floor((s - 3600 * floor(s / 3600)) / 60) AS INTEGER)) END AS duration_label,
   concat(substr(h, 1, 8), '...', substr(h, 59, 6)) AS hash_label
-  FROM (SELECT doc_id, CAST(n_chars * 64 + 7 AS DOUBLE) AS b, CAST(n_chars AS DOUBLE) AS s, sha256(text) AS h FROM documents) t WHERE b < 1048576 AND (b * 10) % 1024 <> 512""")
+  FROM (SELECT doc_id, CAST(n_chars * 64 + 7 AS DOUBLE) AS b, CAST(n_chars AS DOUBLE) AS s, sha256(text) AS h FROM documents) t""")
 def format_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes, durations, hashes as people read them."""
-    base = docs(spark, sf_dir).select("doc_id", (F.col("n_chars") * 64 + 7).cast("double").alias("b"), F.col("n_chars").cast("double").alias("s"), ids.sha256_hex(F.col("text")).alias("h")).where("b < 1048576 AND (b * 10) % 1024 <> 512")
+    base = docs(spark, sf_dir).select("doc_id", (F.col("n_chars") * 64 + 7).cast("double").alias("b"), F.col("n_chars").cast("double").alias("s"), ids.sha256_hex(F.col("text")).alias("h"))
     return base.select("doc_id", labels.size_label(F.col("b")).alias("size_label"), labels.size_label_short(F.col("b")).alias("short_label"), labels.duration_label(F.col("s")).alias("duration_label"), labels.hash_label(F.col("h")).alias("hash_label"))

@@ -133,8 +133,33 @@ def parser_for(name: Column, mime_type: Column | None = None) -> Column:
     return out
 
 
+_METADATA = "title string, author string, creation_date timestamp, modification_date timestamp, page_count int, language string, extra_metadata map<string,string>"
+_METADATA_TYPE = f"struct<{','.join(':'.join(f.split()) for f in _METADATA.split(', '))}>"
+
+
+def _metadata(kind: Column, whole: Column, m: Column, markdown_body: Column) -> Column:
+    """What a document says of itself: header entries of Markdown, the title of HTML; one page, and nothing else, of the others."""
+
+    def struct(title: Column, author: Column, made: Column, changed: Column, language: Column, extra: Column) -> Column:
+        columns = (title, author, made, changed, F.lit(1), language, extra)
+        return F.struct(*[c.alias(f.split()[0]) for c, f in zip(columns, _METADATA.split(", "), strict=True)]).cast(_METADATA_TYPE)
+
+    none = F.lit(None).cast("string")
+    no_time = F.lit(None).cast("timestamp")
+    empty = F.create_map().cast("map<string,string>")
+    markdown = struct(
+        frontmatter.title(m, markdown_body), frontmatter.value_of(m, "author"), frontmatter.iso_date(frontmatter.value_of(m, "date", "created")),
+        frontmatter.iso_date(frontmatter.value_of(m, "updated", "modified")), frontmatter.value_of(m, "lang", "language"), frontmatter.residual(m),
+    )
+    head = F.nullif(text.strip(F.regexp_replace(F.regexp_extract(whole, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " ")), F.lit(""))
+    author = F.nullif(F.regexp_extract(whole, r"(?is)<meta\s+name=[\"']author[\"']\s+content=[\"']([^\"']*)", 1), F.lit(""))
+    language = F.nullif(F.regexp_extract(whole, r"(?is)<html[^>]*\slang=[\"']([^\"']*)", 1), F.lit(""))
+    html = struct(head, author, no_time, no_time, language, empty)
+    return F.when(kind == "markdown", markdown).when(kind == "html", html).otherwise(struct(none, none, no_time, no_time, none, empty))
+
+
 def parse(files: DataFrame, mime_type: str | None = None) -> DataFrame:
-    """(path, parser, raw_text, error_code) from (path, content): one branch per parser, rejects with a code."""
+    """(path, parser, raw_text, metadata, error_code) from (path, content): one branch per parser, rejects with a code and no metadata."""
     kind = files.withColumn("parser", parser_for(F.col("path"), F.col(mime_type) if mime_type else None))
     raw = None
     for p in PARSERS:
@@ -147,10 +172,18 @@ def parse(files: DataFrame, mime_type: str | None = None) -> DataFrame:
         .when(F.col("raw_text").isNull(), F.lit("CORRUPTED_DOCUMENT"))
         .when(text.strip(F.col("raw_text")) == "", F.lit("EMPTY_DOCUMENT"))
     )
-    return with_text.select("path", "parser", "raw_text", code.alias("error_code"))
+    coded = with_text.withColumn("error_code", code)
+    whole = F.when(F.col("parser").isin("markdown", "html"), text.decode_bytes(F.col("content"))).otherwise(F.lit(""))
+    # Header and body are columns of their own, so that each is evaluated once.
+    marked = F.when(F.col("parser") == "markdown", F.col("whole")).otherwise(F.lit(""))
+    coded = coded.withColumn("whole", whole).withColumn("header", frontmatter.header_map(marked)).withColumn("body", frontmatter.body(marked))
+    metadata = F.when(F.col("error_code").isNull(), _metadata(F.col("parser"), F.col("whole"), F.col("header"), F.col("body")))
+    return coded.select("path", "parser", "raw_text", metadata.alias("metadata"), "error_code")
 
 
 def processed(parsed: DataFrame) -> DataFrame:
-    """Raw and clean text with counts, of the rows without an error."""
+    """Raw and clean text with counts and metadata, of the rows without an error."""
     good = parsed.where("error_code IS NULL").withColumn("clean_text", text.clean(F.col("raw_text")))
-    return good.select("path", "parser", "raw_text", "clean_text", F.lit(1).alias("page_count"), text.count_words(F.col("clean_text")).alias("word_count"), F.length("clean_text").alias("character_count"))
+    return good.select(
+        "path", "parser", "raw_text", "clean_text", "metadata", F.col("metadata.page_count").alias("page_count"), text.count_words(F.col("clean_text")).alias("word_count"), F.length("clean_text").alias("character_count")
+    )

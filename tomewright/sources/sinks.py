@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.rag import violations
@@ -49,9 +47,24 @@ def export(df: DataFrame, path: str, kind: str = "parquet") -> None:
     writer.option("header", "true").csv(path) if kind == "csv" else getattr(writer, kind)(path)
 
 
-def delete_file(path: str) -> bool:
-    try:
-        os.remove(path)
-    except FileNotFoundError:
-        return False
-    return True
+def _hadoop(spark: SparkSession, path: str):
+    """Path and file system of a name in any store that Spark reads."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, store = _hadoop(spark, path)
+    return store.exists(at)
+
+
+def delete_file(spark: SparkSession, path: str) -> bool:
+    """Whether there was a file to delete."""
+    at, store = _hadoop(spark, path)
+    return store.exists(at) and store.delete(at, False)
+
+
+def read_files(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, content) of stored files, read by the executors."""
+    return spark.read.format("binaryFile").load(list(paths)).select("path", "content")
