@@ -1,6 +1,7 @@
 """Operators, sources and streams on small tables."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -261,3 +262,126 @@ def test_extractive_answer_reads_whole_contexts(spark):
     late = "filler " * 300 + "green turtles nest here"
     row = spark.createDataFrame([("where do green turtles nest", ["turtles swim", late])], "q string, c array<string>").select(rag.extractive_answer(F.col("q"), F.col("c")).alias("a")).first()
     assert row.a == late + " [2]"
+
+
+def test_token_spans_end_at_lines_then_words():
+    from tomewright.operators.chunking import overlapping, token_spans
+
+    rng = random.Random(2)
+    for _ in range(300):
+        value = "".join(rng.choice("ab \n" if rng.random() < 0.3 else "abcdef") for _ in range(rng.randrange(0, 200)))
+        size = rng.randrange(1, 12)
+        spans = token_spans(value, size)
+        assert "".join(value[a:b] for a, b in spans) == value
+        if round(len(value) / 4) <= size:
+            assert len(spans) == (1 if value else 0)
+            continue
+        for a, b in spans:
+            assert 0 < b - a <= 4 * size
+            window = value[a : a + 4 * size]
+            if a + 4 * size < len(value):
+                sign = next((x for x in "\n " if window.rfind(x) > 0), None)
+                assert b == (a + window.rfind(sign) + 1 if sign else a + 4 * size)
+        wide = overlapping(value, spans, 2)
+        assert [b for _, b in wide] == [b for _, b in spans]
+        assert all(a - 8 <= x <= a for (x, _), (a, _) in zip(wide, spans, strict=True))
+
+
+def test_fixed_chunks_of_long_texts(spark):
+    from tomewright.operators import chunking
+
+    value = "".join(chr(97 + i % 26) if i % 11 else "é😀"[i % 2] for i in range(7001))
+    rows = spark.createDataFrame([(value,), ("",), ("abc",)], "t string").select(chunking.fixed(F.col("t"), 20, 5).alias("s")).collect()
+    want = [(i, min(i + 20, len(value)), value[i : i + 20]) for i in range(0, len(value) - 5, 15)]
+    assert [tuple(x) for x in rows[0].s] == want and rows[1].s == [] and [tuple(x) for x in rows[2].s] == [(0, 3, "abc")]
+
+
+def test_upsert_keeps_one_of_repeated_ids(spark):
+    from tomewright.operators import vectorstore
+
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    new = spark.createDataFrame([(1, "x"), (1, "y"), (3, "z")], "id long, v string")
+    rows = vectorstore.upsert(base, new).collect()
+    assert sorted(r.id for r in rows) == [1, 2, 3] and rows == vectorstore.upsert(base, new.repartition(3)).collect() or sorted(rows) == sorted(vectorstore.upsert(base, new.repartition(3)).collect())
+
+
+def test_collections_survive_a_failed_change(spark):
+    from tomewright.operators.vectorstore import Collections, Filter
+
+    store = Collections(spark, "t2_")
+    store.recreate("c", schema="id long, v string")
+    store.upsert("c", spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string"))
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO|division|ArithmeticException"):
+        store.replace("c", spark.range(1).select("id", F.expr("CAST(assert_true(false) AS STRING)").alias("v"), F.expr("1 div 0").cast("string").alias("w")))
+    assert sorted(r.v for r in store.read("c").collect()) == ["a", "b"]
+    assert store.delete("c", Filter().equals("v", "a")) == 1 and store.delete("c", Filter().equals("v", "a")) == 0
+    assert [r.v for r in store.read("c").collect()] == ["b"]
+    assert store.drop("c") and not store.exists("c") and not store._tables("c")
+
+
+def test_search_by_brute_force(spark):
+    from tomewright.operators import vectorstore
+
+    rng = random.Random(4)
+    vectors = [(i, [float(rng.randrange(-3, 4)) for _ in range(5)]) for i in range(300)] + [(900 + i, [1.0, 0.0, 0.0, 0.0, 0.0]) for i in range(40)] + [(990, [0.0] * 5), (991, None)]
+    c = spark.createDataFrame(vectors, "id long, vector array<double>").repartition(3)
+    q = c.where("id IN (3, 77, 905, 990)").selectExpr("id AS query_id", "vector")
+
+    def cosine(a, b):
+        n = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / n, 6) if n else None
+
+    want = set()
+    for query in (3, 77, 905):
+        scored = [(cosine(dict(vectors)[query], v), i) for i, v in vectors if v]
+        best = sorted(((-s, i) for s, i in scored if s is not None))[:7]
+        want |= {(query, i, -s, k + 1) for k, (s, i) in enumerate(best)}
+    assert {(r.query_id, r.id, r.score, r["rank"]) for r in vectorstore.search(c, q, 7).collect()} == want
+
+
+def test_jobs_keep_errors_apart(spark):
+    import time
+
+    from tomewright.operators import jobs
+
+    def late():
+        time.sleep(20)
+
+    def fails():
+        raise RuntimeError("no")
+
+    began = time.monotonic()
+    out = jobs.run_all(spark, {"good": lambda: spark.range(10).count(), "bad": fails, "late": late}, seconds=5)
+    assert time.monotonic() - began < 15
+    assert out["good"].value == 10 and out["bad"].error_code == "STRATEGY_FAILED" and out["late"].error_code == "RETRIEVAL_TIMEOUT"
+    pieces = list(jobs.answers(spark.createDataFrame([(1, "x" * 100), (2, None)], "query_id long, answer string"), piece=64))
+    assert pieces == [(1, 0, "x" * 64), (1, 1, "x" * 36)]
+
+
+def test_datasets_and_stored_files(spark, tmp_path):
+    from tomewright.sources import connectors, sinks
+
+    with pytest.raises(ValueError):
+        connectors.jdbc_options("jdbc:x", "t", "id")
+    assert connectors.jdbc_options("jdbc:x", "t", "id", (0, 9), 4)["numPartitions"] == "4"
+    made = connectors.build_dataset(spark.createDataFrame([("1", "q", None, None)], "question_id string, question string, expected_answer string, tags array<string>"), spark.createDataFrame([("1", 5), ("1", 4)], "question_id string, id long"))
+    made.write.json(str(tmp_path / "d"))
+    row = connectors.read_dataset(spark, str(tmp_path / "d")).first()
+    assert row.relevant_ids == ["4", "5"] and row.tags == []
+    path = tmp_path / "f.bin"
+    path.write_bytes(b"abc")
+    assert sinks.exists(spark, str(path)) and bytes(sinks.read_files(spark, str(path)).first().content) == b"abc"
+    assert sinks.delete_file(spark, str(path)) and not sinks.delete_file(spark, str(path)) and not sinks.exists(spark, str(path))
+
+
+def test_roles_of_users(spark):
+    """A user with two roles has the codes of both, once each; deleted roles give none."""
+    from tomewright.operators import catalog
+
+    users = spark.createDataFrame([(1, False), (2, False)], "user_id long, is_superuser boolean")
+    pairs = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "user_id long, role_id long")
+    roles = spark.createDataFrame([(1, "editor", False), (2, "viewer", False), (3, "gone", True)], "role_id long, name string, is_deleted boolean")
+    links = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (3, 3)], "role_id long, permission_id long")
+    codes = spark.createDataFrame([(1, "documents:write"), (2, "documents:read"), (3, "all:delete")], "permission_id long, code string")
+    found = {r.user_id: (r.role_names, r.permission_codes) for r in catalog.user_permissions(users, pairs, roles, links, codes).collect()}
+    assert found == {1: (["editor", "viewer"], ["documents:read", "documents:write"]), 2: ([], [])}
