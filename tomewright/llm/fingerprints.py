@@ -24,6 +24,8 @@ from .common import frame, slices, text_rank
 
 K = 256
 WIDTH = 5
+#: Bytes of the texts of about two ranges.
+RANGE_BYTES = 64 << 20
 _EMPTY = np.zeros(0, np.uint64)
 
 
@@ -127,7 +129,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     2 the first of all, which ends the last range.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = text_rank(docs.sparkSession)
+    # Ranges follow the bytes of the texts, so that no task grows with the corpus.
+    size = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(text_rank(docs.sparkSession), -(-size // RANGE_BYTES))
     bounds = np.array(sorted(set(own.approxQuantile("doc_id", [i / (2 * parts) for i in range(1, 2 * parts)], 0.1 / parts))), np.int64)
     lowest = np.iinfo(np.int64).min
 
@@ -154,7 +158,7 @@ def with_next(docs: DataFrame) -> DataFrame:
         return pa.array(out, pa.list_(pa.struct([("bucket", pa.int32()), ("role", pa.int32())])))
 
     dealt = own.select("doc_id", "text", F.inline(routes("doc_id")))
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "role", F.desc_nulls_last("doc_id"), "text")
+    return dealt.repartition(2 * parts, "bucket").sortWithinPartitions("bucket", "role", F.desc_nulls_last("doc_id"), "text")
 
 
 def edited(text: str, after: str) -> str:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stretches, frame, fresh, materialize, mixed, only_marked, slices
+from .common import Stretches, discard, frame, fresh, materialize, mixed, only_marked, slices
 from .components import connected_components
 from .postings import by_unit, read_units, spans, units
 
@@ -291,7 +291,10 @@ def removed_lines(docs: DataFrame, min_words: int = 5, min_chars: int = 30) -> D
     firsts = keyed.groupBy("root").agg(F.min("first").alias("kept"))
     losing = keyed.join(firsts, "root").select("key", F.col("kept.digest").alias("kept_digest"), F.col("kept.line").alias("kept_line"))
     gone = lines.select("digest", "line", "key").join(losing, "key").where((F.col("digest") != F.col("kept_digest")) | (F.col("line") != F.col("kept_line")))
-    return materialize(gone.groupBy("digest").agg(F.collect_set("line").alias("lines")))
+    out = materialize(gone.groupBy("digest").agg(F.collect_set("line").alias("lines")))
+    for table in (lines, distinct, met):
+        discard(table)
+    return out
 
 
 def _applied(docs: DataFrame, **options) -> tuple[DataFrame, str, str]:

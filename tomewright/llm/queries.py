@@ -81,6 +81,22 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir))
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op4: sizes and targets."""
+    found = op4_mix_sources(spark, sf_dir)
+    return found.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op9: the statistics and the base rules."""
+    return op9_quality_rules(spark, sf_dir).drop("kept", "posterior")
+
+
+def lm_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op10: counts and the base score."""
+    return op10_lm_score(spark, sf_dir).select("doc_id", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_pack": op2_pack,
@@ -92,6 +108,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
     "op10_lm_score": op10_lm_score,
+    "mix_targets": mix_targets,
+    "quality_base": quality_base,
+    "lm_base": lm_base,
 }
 
-ORACLE: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE: dict[str, str] = {
+    # Sources are filled in the order of cap over weight: those before the level are at their cap.
+    "mix_targets": f"""
+  WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size FROM documents),
+  s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w FROM d GROUP BY 1),
+  r AS (SELECT *, 2.0 * source_size / w AS level, coalesce(sum(2 * source_size) OVER (ORDER BY 2.0 * source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(w) OVER (ORDER BY 2.0 * source_size / w DESC, source DESC) AS open FROM s),
+  l AS (SELECT coalesce(arg_min(height, (level, source)) FILTER (height <= level), 1e300) AS found FROM (SELECT *, (1.5 * (SELECT sum(size) FROM d) - before) / open AS height FROM r))
+  SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(least(2.0 * source_size, found * w), 3) AS target FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source, l""",
+    "quality_base": rf"""
+  WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS words FROM documents),
+  g AS (SELECT doc_id, i, list_aggregate(words[i:i + 4], 'string_agg', ' ') AS five FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM d WHERE len(words) >= 5)),
+  twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, five) AS n FROM g) WHERE n > 1),
+  covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY 1),
+  l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY 1)
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    coalesce(l.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, len(words) < 10 OR 100 * coalesce(covered.n, 0) > 20 * len(words) AS base_failed
+  FROM d LEFT JOIN l USING (doc_id) LEFT JOIN covered USING (doc_id)""",
+    # DuckDB has no crc32, so the training rows are told by a table of it, made bit by bit.
+    "lm_base": rf"""
+  WITH RECURSIVE step(i, k, v) AS (SELECT CAST(r AS UBIGINT), 0, CAST(r AS UBIGINT) FROM range(256) t(r) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END FROM step WHERE k < 8),
+  crc(i, v) AS (SELECT i, v FROM step WHERE k = 8),
+  walk(doc_id, k, v) AS (SELECT doc_id, 0, 4294967295::UBIGINT FROM documents UNION ALL
+    SELECT w.doc_id, w.k + 1, xor(c.v, w.v >> 8) FROM walk w JOIN crc c ON c.i = xor(w.v & 255, CAST(ascii(substr(CAST(w.doc_id AS VARCHAR), w.k + 1, 1)) AS UBIGINT)) WHERE w.k < length(CAST(w.doc_id AS VARCHAR))),
+  train AS (SELECT doc_id, xor(v, 4294967295::UBIGINT) % 7 <> 2 AS used FROM walk WHERE k = length(CAST(doc_id AS VARCHAR))),
+  t AS MATERIALIZED (SELECT doc_id, used, unnest(list_append(list_transform({_WORDS}, lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), chr(10))) AS w FROM documents JOIN train USING (doc_id)),
+  c AS (SELECT w, count(*) AS n FROM t WHERE used GROUP BY 1),
+  z AS (SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS types FROM c)
+  SELECT doc_id, count(*) AS n_tokens, count(n) AS n_known, any_value(total) AS train_tokens, round(sum(log10((coalesce(n, 0) + 1) / (total + types + 1))), 4) AS base_score FROM t LEFT JOIN c USING (w), z GROUP BY doc_id""",
+}
