@@ -208,7 +208,15 @@ def test_fingerprints(docs, none):
         edited, after = want[r.doc_id, r.n_chars, r.edited_sha256][0]
         assert abs(r.near_edited - edited) < 0.12
         assert abs(r.near_next - after) < 0.12 or len(want[r.doc_id, r.n_chars, r.edited_sha256]) > 1
-        prints[r.doc_id, r.n_chars].add(r.fingerprint)
+        prints[r.edited_sha256].add(r.edited_fingerprint)
+    # Equal texts have equal fingerprints, and the sketch of a text is made of its shingles alone.
+    assert all(len(p) == 1 for p in prints.values())
+    by_id = defaultdict(set)
+    for r in rows:
+        by_id[r.doc_id, r.n_chars].add(r.fingerprint)
+    for doc, text in order:
+        hashes = sorted({xxhash.xxh3_64_intdigest(" ".join(x).encode()) for x in (shingles(text) if len(WORD.findall(text)) >= 5 else [WORD.findall(text)] if WORD.search(text) else [])})[:256]
+        assert "".join(f"{h:016x}" for h in hashes) in by_id[doc, len(text)]
     assert compare_edited(none).count() == 0
 
 
@@ -571,6 +579,59 @@ def test_quality_rules(docs, none):
     assert judge_quality(none, materialize).count() == 0
 
 
+def test_quality_verdicts_by_brute_force(spark):
+    """Votes from the texts by themselves, posteriors by plain expectation-maximisation over all documents one by one."""
+    from tomewright.llm.common import materialize
+    from tomewright.llm.quality_rules import FUNCTION_WORDS, judge_quality
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    forms = {f for w in FUNCTION_WORDS for f in (w, w.capitalize(), w.upper())}
+    votes, failed = {}, {}
+    for r in docs.collect():
+        text = r.text or ""
+        w = WORD.findall(text)
+        n, size = max(1, len(w)), sum(map(len, w))
+        seen = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+        repeat = len({k for i in range(len(w) - 4) if seen[tuple(w[i : i + 5])] > 1 for k in range(i, i + 5)})
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        function = sum(x in forms for x in w)
+        upper = sum(c.isupper() and c.isalpha() for c in text)
+
+        def against(bad, good=False):
+            return -1 if bad else 1 if good else 0
+
+        votes[r.doc_id] = (
+            against(len(w) < 10, 50 <= len(w) <= 100_000), against(not 2 <= size / n <= 14), against(len(re.findall(r"[#*$%&|<>]", text)) / n > 0.1),
+            against((len(lines) - len(set(lines))) / max(1, len(lines)) > 0.3), against(repeat / n > 0.2), against(upper / max(1, size) > 0.4),
+            against(text.count("!") / n > 0.3), against(function / n < 0.01 and len(w) >= 50, function / n > 0.1),
+        )
+        failed[r.doc_id] = len(w) < 10 or 100 * repeat > 20 * len(w)
+    belief = {d: 1 / (1 + math.exp(-(1 + v.count(1) - 3 * v.count(-1)))) for d, v in votes.items()}
+    for _ in range(50):
+        good = sum(belief.values())
+        prior = min(0.99, max(0.01, (good + 1) / (len(votes) + 2)))
+        tables = []
+        for k in range(8):
+            own = [{-1: 1.0, 0: 1.0, 1: 0.25}, {-1: 0.25, 0: 1.0, 1: 1.0}]
+            for d, v in votes.items():
+                own[1][v[k]] += belief[d]
+                own[0][v[k]] += 1 - belief[d]
+            tables.append([{x: c / sum(t.values()) for x, c in t.items()} for t in own])
+        moved = 0.0
+        for d, v in votes.items():
+            a = math.log(1 - prior) + sum(math.log(t[0][x]) for t, x in zip(tables, v, strict=True))
+            b = math.log(prior) + sum(math.log(t[1][x]) for t, x in zip(tables, v, strict=True))
+            now = 1 / (1 + math.exp(max(-700, min(700, a - b))))
+            moved, belief[d] = max(moved, abs(now - belief[d])), now
+        if moved < 1e-6:
+            break
+    rows = judge_quality(docs, materialize).collect()
+    assert len(rows) == len(votes)
+    for r in rows:
+        assert abs(r.posterior - belief[r.doc_id]) < 1e-4
+        assert r.kept == (not failed[r.doc_id] and r.posterior >= 0.5)
+
+
 def test_label_model_finds_accuracies():
     from tomewright.llm.quality_rules import fit_label_model
 
@@ -819,6 +880,22 @@ def test_line_dedup_recall(spark):
     assert found <= want and len(found) >= 0.99 * len(want)
 
 
+def test_pipeline_stages_take_awkward_rows(spark, docs, labels, none, tmp_path):
+    """Nulls, blanks, repeated rows and ids, long texts, clashing names, and empty tables pass through each stage."""
+    import corpus_pipeline
+
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    clash = docs.withColumnsRenamed({"key": "toxic", "fp": "times", "component": "digest2", "score": "row", "n": "gone"})
+    for start in (clash, none):
+        now = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, now, str(tmp_path)).collect()
+            assert stage(spark, now, str(tmp_path)).columns == start.columns, name
+            now = spark.createDataFrame(out, start.schema)
+        packed = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
+        assert {r.doc_id for r in packed} == {r.doc_id for r in out}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
