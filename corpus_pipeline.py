@@ -1,7 +1,12 @@
 """From raw documents to packed training sequences, in five stages over whole tables.
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read again as the next
-stage's documents; all but the last keep the columns of documents.
+stage's documents; all but the last keep the columns of documents, whatever further ones there are.
+
+Defined results: null and blank texts are not toxic, keep their lines, are copies of each other of which one stays,
+and stay once in the mix, where they are packed as their end token; rows repeating an id are rows of their own, and
+those that agree in text too are one from near_dedup on; rows without an id come last where the first one stays;
+texts are read whole at any length; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """Of documents that share four fifths of their five-word shingles the one with the least id stays."""
     return keep_one(docs)
 
 
