@@ -151,3 +151,15 @@ def test_names_and_urls(value):
     assert value(labels.snake_case(F.col("x")), x=s("KnowledgeChunk")) == "knowledge_chunk"
     assert value(labels.url_host(F.col("x")), x=s("postgresql://u:p@db.host:5432/x")) == "db.host"
     assert value(labels.url_port(F.col("x")), x=s("postgresql://u:p@db.host:5432/x")) == 5432
+
+
+def test_labels_of_scores_and_times(spark):
+    from tomewright.functions import labels as lb
+
+    row = spark.createDataFrame([(12.34, 1234.5, 0.4567, None, "2024-03-05 10:00:00")], "a double, b double, c double, d double, t string").select(
+        lb.milliseconds_label(F.col("a")).alias("a"), lb.milliseconds_label(F.col("b")).alias("b"), lb.milliseconds_label(F.col("d")).alias("d"), lb.score_label(F.col("c")).alias("c"), lb.score_label(F.col("d")).alias("e"),
+        lb.date_label(F.col("t").cast("timestamp")).alias("t"), lb.relative_label(F.col("t").cast("timestamp"), F.lit("2024-03-05 12:30:00").cast("timestamp")).alias("u"),
+        lb.relative_label(F.lit(None).cast("timestamp"), F.col("t").cast("timestamp")).alias("v"), lb.joined_tags(F.array(F.lit("x"), F.lit("y"))).alias("w"), lb.split_tags(F.lit("x,y")).alias("x"), lb.split_tags(F.lit(None).cast("string")).alias("y"),
+    ).first()
+    assert row[:7] == ("12.3ms", "1.23s", "N/A", "0.4567", "N/A", "Mar 5, 2024", "2 hours ago")
+    assert row[7:] == ("—", "x,y", ["x", "y"], [])

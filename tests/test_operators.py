@@ -385,3 +385,76 @@ def test_roles_of_users(spark):
     codes = spark.createDataFrame([(1, "documents:write"), (2, "documents:read"), (3, "all:delete")], "permission_id long, code string")
     found = {r.user_id: (r.role_names, r.permission_codes) for r in catalog.user_permissions(users, pairs, roles, links, codes).collect()}
     assert found == {1: (["editor", "viewer"], ["documents:read", "documents:write"]), 2: ([], [])}
+
+
+def test_shared_folders_are_read_by_the_engine(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    for name in ("a/x.md", "y.TXT", "a/z.pdf", "_left_out.md"):
+        (tmp_path / name).write_text(name)
+    config = filters.SourceConfig(str(tmp_path), allowed_extensions=("md", ".TXT"))
+    rows = corpus.shared(spark, config).collect()
+    assert {(r.path, r.filename, r.extension, r.size, bytes(r.content)) for r in rows} == {("a/x.md", "x.md", ".md", 6, b"a/x.md"), ("y.TXT", "y.TXT", ".txt", 5, b"y.TXT")}
+
+
+def test_answer_scores(spark):
+    t = spark.createDataFrame([("The cat sat", "a cat sat down", ["the cat", "mat"], [1, 2], [2, 3, 4])], "a string, r string, c array<string>, cited array<int>, relevant array<int>")
+    row = t.select(evaluation.token_f1(F.col("a"), F.col("r")).alias("f"), evaluation.faithfulness(F.col("a"), F.col("c")).alias("h"), evaluation.citation_scores(F.col("cited"), F.col("relevant")).alias("s")).first()
+    assert row.f == pytest.approx(4 / 7, abs=1e-6) and row.h == pytest.approx(2 / 3, abs=1e-6)
+    assert row.s.precision == 0.5 and row.s.recall == pytest.approx(1 / 3)
+
+
+def test_pairs_defaults_and_outputs(spark, tmp_path):
+    pairs = spark.createDataFrame([(1, 1), (1, 2)], "user_id long, role_id long")
+    more = catalog.assign(pairs, spark.createDataFrame([(1, 2), (2, 1)], "user_id long, role_id long"))
+    assert sorted(tuple(r) for r in more.collect()) == [(1, 1), (1, 2), (2, 1)]
+    assert sorted(tuple(r) for r in catalog.withdraw(more, pairs).collect()) == [(2, 1)]
+    row = catalog.with_defaults(spark.createDataFrame([("abc", None, None)], "text string, character_count int, checksum string")).first()
+    assert row.character_count == 3 and len(row.checksum) == 64
+    assert embedding.nonblank(spark.createDataFrame([("a",), (" \n",), ("",)], "text string")).count() == 1
+    sinks.export(pairs, str(tmp_path / "c"), "csv")
+    assert spark.read.option("header", "true").csv(str(tmp_path / "c")).count() == 2
+    with pytest.raises(ValueError):
+        sinks.export(pairs, str(tmp_path / "d"), "xls")
+    sinks.replace_without(pairs, F.col("role_id") == 2, str(tmp_path / "e"))
+    assert spark.read.parquet(str(tmp_path / "e")).count() == 1
+    assert events.unprocessed(spark.createDataFrame([("a",), ("b",)], "checksum string"), spark.createDataFrame([("a",)], "checksum string")).count() == 1
+    assert catalog.overridden({"size": 3, "force_reindex": False}, force_reindex=True) == {"size": 3, "force_reindex": True}
+
+
+def test_registered_parsers_and_strategies(spark):
+    parsers.register_parser(parsers.Parser("upper", frozenset({".up"}), frozenset(), lambda c: F.upper(c.cast("string"))), prepend=True)
+    try:
+        files = spark.createDataFrame([("a.up", bytearray(b"abc")), ("b.docx", bytearray(b"no zip"))], "path string, content binary")
+        rows = {r.path: (r.parser, r.raw_text, r.error_code) for r in parsers.parse(files).collect()}
+        assert rows == {"a.up": ("upper", "ABC", None), "b.docx": ("docx", None, "CORRUPTED_DOCUMENT")}
+    finally:
+        parsers.PARSERS.pop(0)
+    docs = spark.createDataFrame([(1, [1.0, 0.0], "a b"), (2, [0.0, 1.0], "b c")], "id long, vector array<double>, text string")
+    asked = spark.createDataFrame([(9, [1.0, 0.1], "c")], "query_id long, vector array<double>, text string")
+    assert [r.id for r in retrieval.dense_only(docs, asked).orderBy("rank").collect()] == [1, 2]
+    assert [r.id for r in retrieval.sparse_only(docs, asked).collect()] == [2]
+    retrieval.register_strategy(" Sparse ", lambda d, q, o, w: retrieval.ranked(q.select("query_id", F.lit(7).cast("long").alias("id"), F.lit(1.0).alias("score")), "sparse"))
+    try:
+        assert [r.id for r in retrieval.sparse_only(docs, asked).collect()] == [7]
+    finally:
+        retrieval.register_strategy("sparse", retrieval.sparse)
+
+
+def test_word_processing_files(spark):
+    import io
+    import zipfile
+
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>One</w:t></w:r><w:r><w:t> two</w:t></w:r></w:p><w:p/></w:body></w:document>')
+    row = parsers.parse(spark.createDataFrame([("a.docx", bytearray(held.getvalue()))], "path string, content binary")).first()
+    assert (row.parser, row.raw_text.strip(), row.error_code, row.metadata.page_count) == ("docx", "One two", None, 1)
+
+
+def test_deduplicated_streams(spark, tmp_path):
+    path = str(tmp_path / "in")
+    spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:10:00"), ("b", "2024-01-01 00:20:00")], "event_id string, at string").selectExpr("event_id", "CAST(at AS TIMESTAMP) AS occurred_at").write.parquet(path)
+    stream = events.deduplicated(events.stream(spark, path, "event_id string, occurred_at timestamp"))
+    q = stream.writeStream.format("memory").queryName("kept_once").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted(r.event_id for r in spark.table("kept_once").collect()) == ["a", "b"]

@@ -40,8 +40,7 @@ def knn_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN11, LIM03: ten nearest of one vector."""
     c = collection(spark, sf_dir)
     one = c.where("id = 0").select(F.col("vector").alias("query_vector")).limit(1)
-    scored = c.crossJoin(F.broadcast(one)).select("id", F.round(vectors.cosine(F.col("query_vector"), F.col("vector")), 6).alias("score"))
-    return scored.orderBy(F.desc("score"), "id").limit(10)
+    return vectorstore.search_one(c.crossJoin(F.broadcast(one)), F.col("query_vector"), 10).select("id", "score")
 
 
 @query(f"SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round({_COS}, 6) AS score FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0) a, embeddings b)) WHERE rank <= 10")

@@ -1,8 +1,9 @@
 """Corpus data sources: files of a folder with all names, and the connectors that need a network.
 
-File sources of the engine leave out names with a leading underscore or dot, so a folder is listed by our own
-reader: the driver lists, partitions are groups of files, executors read the bytes, and only where the
-content column is asked for.
+File sources of the engine leave out names with a leading underscore or dot, so a folder that all machines mount
+is listed by our own reader: the driver lists, partitions are groups of files, executors read the bytes, and only
+where the content column is asked for. ``shared`` reads a folder of any store that Spark reads, by the engine's own
+file source, which lists in parallel; names with a leading underscore or dot are then left out.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import os
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .filters import SourceConfig, accepted, validate
@@ -114,8 +116,6 @@ def load(spark: SparkSession, config: SourceConfig, source_type: str = "filesyst
 
 
 def _scan(spark: SparkSession, config: SourceConfig, source_type: str, content: bool) -> DataFrame:
-    from pyspark.sql import functions as F
-
     validate(config)
     kind = source(source_type)
     spark.dataSource.register(kind)
@@ -123,5 +123,19 @@ def _scan(spark: SparkSession, config: SourceConfig, source_type: str, content:
     return rows.where(accepted(F.col("path"), config))
 
 
+def shared(spark: SparkSession, config: SourceConfig) -> DataFrame:
+    """Accepted files of a folder in a shared store; the bytes are read only where the content column is asked for."""
+    validate(config)
+    at = spark._jvm.org.apache.hadoop.fs.Path(config.source_path_or_uri)
+    root = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    rows = files.select(
+        F.col("path").alias("source_uri"), F.substring(F.col("path"), len(root) + 2, 1 << 20).alias("path"), name.alias("filename"), F.lower(F.regexp_extract(name, r"^.+(\.[^.]+)$", 1)).alias("extension"),
+        F.col("length").alias("size"), "content",
+    )
+    return rows.where(accepted(F.col("path"), config))
+
+
 def healthy(spark: SparkSession) -> bool:
     return spark.sql("SELECT 1").first()[0] == 1
