@@ -283,7 +283,8 @@ def shared_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 yield frame(schema, np.concatenate(rows), np.concatenate(starts).astype(np.int32), np.concatenate(strings))
 
     strings = materialize(docs.select("digest", "text").mapInArrow(second, "digest long, start int, string long"))
-    common = strings.groupBy("string").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("string")
+    # Written, so that the join reads two shuffles and may split a string that very many copies have.
+    common = materialize(strings.groupBy("string").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("string"))
     return strings.join(common, "string").groupBy("digest").agg(F.collect_set("start").alias("starts"))
 
 
