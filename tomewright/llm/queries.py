@@ -81,6 +81,19 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import lower_ascii, manifest
+
+    drawn = F.col("doc_id").isNotNull() & (common.crc_mod("doc_id", 5) == 0)
+    return manifest(documents(spark, sf_dir), tampered={"text": lower_ascii(F.col("text"))}, where=drawn)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .impact_search import search
+
+    return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op4: sizes and targets."""
     found = op4_mix_sources(spark, sf_dir)
@@ -108,11 +121,52 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
     "op10_lm_score": op10_lm_score,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_ranked_search": op13_ranked_search,
     "mix_targets": mix_targets,
     "quality_base": quality_base,
     "lm_base": lm_base,
 }
 
+#: DuckDB has no crc32; the table of its 256 steps is made bit by bit, and a walk over the digits of each id uses it.
+_CRC = """step(i, k, v) AS (SELECT CAST(r AS UBIGINT), 0, CAST(r AS UBIGINT) FROM range(256) t(r) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END FROM step WHERE k < 8),
+  crc(i, v) AS (SELECT i, v FROM step WHERE k = 8),
+  walk(doc_id, k, v) AS (SELECT doc_id, 0, 4294967295::UBIGINT FROM documents UNION ALL
+    SELECT w.doc_id, w.k + 1, xor(c.v, w.v >> 8) FROM walk w JOIN crc c ON c.i = xor(w.v & 255, CAST(ascii(substr(CAST(w.doc_id AS VARCHAR), w.k + 1, 1)) AS UBIGINT)) WHERE w.k < length(CAST(w.doc_id AS VARCHAR))),
+  crcs AS (SELECT doc_id, xor(v, 4294967295::UBIGINT) AS crc FROM walk WHERE k = length(CAST(doc_id AS VARCHAR)))"""
+
+
+def _merkle_sql(inner: int = 5, outer: int = 3) -> str:
+    """Levels of sixteen, ``inner`` of them within sources and ``outer`` over them; a level that has one node keeps it."""
+    fields = " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}"))
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        _CRC,
+        f"""a0 AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, h) - 1 AS p, row_number() OVER () AS id FROM (
+    SELECT doc_id, coalesce('=' || source, '') AS s, sha256({fields.format(text="text")}) AS h, CASE WHEN crc % 5 = 0 THEN sha256({fields.format(text=low)}) ELSE sha256({fields.format(text="text")}) END AS f FROM documents LEFT JOIN crcs USING (doc_id)))""",
+    ]
+    # Each node knows its run's digests, so its siblings are cut out of them.
+    now = "a0"
+    for j in range(1, inner + 1):
+        parts.append(f"a{j} AS (SELECT s, p // 16 AS p, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY p)) ELSE any_value(h) END AS h, CASE WHEN any_value(n) > 1 THEN string_agg(h, '' ORDER BY p) END AS x FROM (SELECT *, count(*) OVER (PARTITION BY s) AS n FROM {now}) GROUP BY s, p // 16)")
+        now = f"a{j}"
+    parts.append(f"b0 AS (SELECT s, h, row_number() OVER (ORDER BY s) - 1 AS p FROM {now})")
+    now = "b0"
+    for j in range(1, outer + 1):
+        parts.append(f"b{j} AS (SELECT p // 16 AS p, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY p)) ELSE any_value(h) END AS h, CASE WHEN any_value(n) > 1 THEN string_agg(h, '' ORDER BY p) END AS x FROM (SELECT *, count(*) OVER () AS n FROM {now}) GROUP BY p // 16)")
+        now = f"b{j}"
+    steps = [(f"a{j}", f"a{j}.s = a0.s AND a{j}.p = a0.p // {16**j}", f"a0.p // {16 ** (j - 1)}") for j in range(1, inner + 1)] + [(f"b{j}", f"b{j}.p = b0.p // {16**j}", f"b0.p // {16 ** (j - 1)}") for j in range(1, outer + 1)]
+    joins = " ".join(f"JOIN {t} ON {on}" for t, on, _ in steps[:inner]) + " JOIN b0 ON b0.s = a0.s " + " ".join(f"JOIN {t} ON {on}" for t, on, _ in steps[inner:])
+    sides = ", ".join(f"CASE WHEN {t}.x IS NOT NULL THEN substr({t}.x, 1, 64 * CAST({at} % 16 AS INTEGER)) END AS l{k}, substr({t}.x, 64 * CAST({at} % 16 AS INTEGER) + 65) AS r{k}" for k, (t, _, at) in enumerate(steps))
+    parts.append(f"ways AS (SELECT a0.doc_id, a0.h AS leaf, f, b0.h AS subroot, {now}.h AS root, {sides} FROM a0 {joins})")
+    folded = "ways"
+    for k in range(len(steps)):
+        parts.append(f"f{k} AS (SELECT * REPLACE (CASE WHEN l{k} IS NULL THEN f ELSE sha256(l{k} || f || r{k}) END AS f) FROM {folded})")
+        folded = f"f{k}"
+    proof = "sha256(" + " || ".join(f"coalesce(l{k} || r{k}, '')" for k in range(len(steps))) + ")"
+    return f"WITH RECURSIVE {', '.join(parts)} SELECT doc_id, leaf, subroot, root, {proof} AS proof_sha256, f AS folded_root, f = root AS verified FROM {folded}"
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE: dict[str, str] = {
@@ -135,13 +189,19 @@ ORACLE: dict[str, str] = {
   FROM d LEFT JOIN l USING (doc_id) LEFT JOIN covered USING (doc_id)""",
     # DuckDB has no crc32, so the training rows are told by a table of it, made bit by bit.
     "lm_base": rf"""
-  WITH RECURSIVE step(i, k, v) AS (SELECT CAST(r AS UBIGINT), 0, CAST(r AS UBIGINT) FROM range(256) t(r) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END FROM step WHERE k < 8),
-  crc(i, v) AS (SELECT i, v FROM step WHERE k = 8),
-  walk(doc_id, k, v) AS (SELECT doc_id, 0, 4294967295::UBIGINT FROM documents UNION ALL
-    SELECT w.doc_id, w.k + 1, xor(c.v, w.v >> 8) FROM walk w JOIN crc c ON c.i = xor(w.v & 255, CAST(ascii(substr(CAST(w.doc_id AS VARCHAR), w.k + 1, 1)) AS UBIGINT)) WHERE w.k < length(CAST(w.doc_id AS VARCHAR))),
-  train AS (SELECT doc_id, xor(v, 4294967295::UBIGINT) % 7 <> 2 AS used FROM walk WHERE k = length(CAST(doc_id AS VARCHAR))),
+  WITH RECURSIVE {_CRC},
+  train AS (SELECT doc_id, crc % 7 <> 2 AS used FROM crcs),
   t AS MATERIALIZED (SELECT doc_id, used, unnest(list_append(list_transform({_WORDS}, lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), chr(10))) AS w FROM documents JOIN train USING (doc_id)),
   c AS (SELECT w, count(*) AS n FROM t WHERE used GROUP BY 1),
   z AS (SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS types FROM c)
   SELECT doc_id, count(*) AS n_tokens, count(n) AS n_known, any_value(total) AS train_tokens, round(sum(log10((coalesce(n, 0) + 1) / (total + types + 1))), 4) AS base_score FROM t LEFT JOIN c USING (w), z GROUP BY doc_id""",
+    "op12_merkle_manifest": _merkle_sql(),
+    "op13_ranked_search": r"""
+  WITH t AS (SELECT row_number() OVER () AS r, doc_id, list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS own FROM documents),
+  z AS (SELECT count(*) AS many, CAST(sum(len(own)) AS BIGINT) AS total FROM t WHERE len(own) > 0),
+  q AS (SELECT DISTINCT item_id, unnest(list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS term FROM benchmark),
+  p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, CAST(len(own) AS BIGINT) AS n, unnest(own) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+  w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(many) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, z GROUP BY term),
+  s AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * many) // total)))) AS BIGINT) AS score FROM q JOIN p USING (term) JOIN w USING (term), z GROUP BY ALL)
+  SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10""",
 }
