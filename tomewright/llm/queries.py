@@ -81,6 +81,12 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir))
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .merkle import lower_ascii, manifest
 
@@ -121,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_quality_rules": op9_quality_rules,
     "op10_lm_score": op10_lm_score,
+    "op11_minhash": op11_minhash,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_ranked_search": op13_ranked_search,
     "mix_targets": mix_targets,
@@ -195,6 +202,16 @@ ORACLE: dict[str, str] = {
   c AS (SELECT w, count(*) AS n FROM t WHERE used GROUP BY 1),
   z AS (SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS types FROM c)
   SELECT doc_id, count(*) AS n_tokens, count(n) AS n_known, any_value(total) AS train_tokens, round(sum(log10((coalesce(n, 0) + 1) / (total + types + 1))), 4) AS base_score FROM t LEFT JOIN c USING (w), z GROUP BY doc_id""",
+    # Components by the least row reachable, one step at a time; rows of one set are one node.
+    "op11_minhash": r"""
+  WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_transform(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
+  g AS MATERIALIZED (SELECT DISTINCT r, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s FROM (SELECT r, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0)),
+  n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+  met AS (SELECT x.r AS a, y.r AS b, count(*) AS m FROM g x JOIN g y ON x.s = y.s AND x.r <> y.r GROUP BY ALL),
+  e AS MATERIALIZED (SELECT a, b FROM met JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 100 * m >= 80 * (na.n + nb.n - m)),
+  reach(a, b) AS (SELECT r, r FROM d UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+  c AS (SELECT reach.a AS r, min(o.doc_id) AS component_id FROM reach JOIN d o ON o.r = reach.b GROUP BY 1)
+  SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM d LEFT JOIN n USING (r) JOIN c USING (r)""",
     "op12_merkle_manifest": _merkle_sql(),
     "op13_ranked_search": r"""
   WITH t AS (SELECT row_number() OVER () AS r, doc_id, list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS own FROM documents),
