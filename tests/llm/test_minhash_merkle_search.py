@@ -109,21 +109,47 @@ def test_minhash_long_list_of_near_copies(spark, monkeypatch):
     assert found_components(spark, docs) == components(docs)
 
 
-def test_forests_are_disjoint_and_say_what_is_left():
-    sketches = [np.arange(100, dtype=np.uint32) for _ in range(6)]
-    args = (sketches, np.full(6, 100), np.arange(6), np.zeros(6, int))
-    one, left = minhash.forests(*args, 1)
-    assert len(one) == 5 and left
-    all_pairs, left = minhash.forests(*args, 15)
-    assert sorted(all_pairs) == list(combinations(range(6), 2)) and not left
-
-
-def test_minhash_overlaps_count_shared_values():
+def test_forest_connects_what_the_links_connect():
+    rng = np.random.default_rng(1)
+    links = rng.random((60, 60)) < 0.02
+    links |= links.T
+    made = minhash.forest(links)
+    assert all(links[i, j] for i, j in made)
+    reach = np.linalg.matrix_power((links | np.eye(60, dtype=bool)).astype(float), 64) > 0
+    own = np.eye(60, dtype=bool)
+    for i, j in made:
+        own[i, j] = own[j, i] = True
+    assert ((np.linalg.matrix_power(own.astype(float), 64) > 0) == reach).all() and len(made) == 60 - len({tuple(r) for r in reach.tolist()})
+
+
+def test_intersections_and_first_runs():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 900, 300)).astype(np.uint64) for _ in range(30)]
+    got = minhash.intersections(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i, j in combinations(range(30), 2))
+    sketches, _ = minhash.padded([np.unique(rng.integers(0, 60, 50)).astype(np.uint32).tobytes() for _ in range(20)])
+    runs = [{int(a) << 32 | int(b) for a, b in zip(s[: minhash.POSTED - 1], s[1 : minhash.POSTED], strict=False) if b != minhash.PAD} for s in sketches]
+    for key in sorted(runs[0])[:10]:
+        met = minhash.first_met(sketches, key)
+        assert all(met[i, j] == (not any(r < key for r in runs[i] & runs[j])) for i, j in combinations(range(20), 2))
+
+
+def test_minhash_overlaps_and_estimates():
     rng = np.random.default_rng(3)
-    sketches = [np.unique(rng.integers(0, 3000, 128)).astype(np.uint32) for _ in range(40)]
-    want = [[len(np.intersect1d(a, b)) for b in sketches] for a in sketches]
+    own = [np.unique(rng.integers(0, 400 if i < 20 else 3000, 300))[: minhash.SKETCH if i % 3 else 5 + i].astype(np.uint32) for i in range(40)]
+    sketches, lengths = minhash.padded([s.tobytes() for s in own])
+    assert lengths.tolist() == [len(s) for s in own]
     got = minhash.overlaps(sketches)
-    assert all(got[i, j] == want[i][j] for i in range(40) for j in range(40) if i != j)
+    pairs = list(combinations(range(40), 2))
+    i, j = np.array(pairs).T
+    estimates = minhash.resemblances(sketches[i], sketches[j], lengths[i], lengths[j])
+    for (x, y), estimate in zip(pairs, estimates, strict=True):
+        assert got[x, y] == len(np.intersect1d(own[x], own[y]))
+        whole = max(len(own[x]), len(own[y])) < minhash.SKETCH
+        union = np.union1d(own[x], own[y])
+        union = union if whole else union[: minhash.SKETCH]
+        want = np.isin(union, own[x]) & np.isin(union, own[y])
+        assert estimate == (want.mean() if want.mean() >= 0.8 - minhash.margin(len(union), whole) else -1)
 
 
 def h(text):

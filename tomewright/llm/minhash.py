@@ -10,9 +10,9 @@ keeps the lists of frequent words short.
 What a list generates is filtered by the resemblance estimated from the union's sketch (a pair is let go at more than
 ``SIGMAS`` standard errors below the threshold), and what is left is verified on whole sets, exactly. In a first round
 each member of a list meets the list's leader only, which joins groups of near copies at a cost in proportion to
-them. Then lists that still hold several components are compared in bounded units. A unit never gives all its pairs,
-but edge-disjoint spanning forests of those that pass the estimate, best first; pairs that no forest took are tried
-again, with four times the forests, as long as verification has not connected their ends. So no link is lost.
+them. Then lists that still hold several components are compared in units of bounded size: a pair belongs to the unit of
+its first common run, rows that have a pair left after the estimate are given their whole sets there, and all
+intersections of a unit come from one matrix product. A unit gives a spanning forest of its links, never all pairs.
 
 Defined results: a null or blank text has an empty set, which links with nothing, copies included; a text of one word
 has one shingle; texts of equal sets are copies; rows that repeat an id are documents of their own; a null id is linked
@@ -45,6 +45,12 @@ BLOCK = 256
 #: Members of a leader that are verified in one group.
 VERIFIED = 256
 PERCENT = 80
+#: Stands behind the values of a short sketch; no value is as large.
+PAD = np.uint32(0xFFFFFFFF)
+#: Rows of a unit up to which all its pairs are merged; above, overlaps are counted first.
+FEW = 6
+#: Pairs merged at once.
+MERGED = 8192
 
 
 def distinct_shingles(texts: list[str | None], width: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -62,7 +68,7 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, rows, texts in slices(batches, "doc_id", "row", "text"):
             sets, digests = distinct_shingles(texts, width)
-            made = [(s[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets]
+            made = [np.minimum(s[:SKETCH] >> np.uint64(32), PAD - 1).astype(np.uint32).tobytes() for s in sets]
             yield frame(schema, ids, rows, digests.view(np.int64), [len(s) for s in sets], made)
 
     return docs.mapInArrow(run, "doc_id long, row long, node long, n long, sketch binary")
@@ -89,13 +95,28 @@ def margin(n_union, whole):
     return np.where(whole, 1 / n_union, SIGMAS * np.sqrt(t * (1 - t) / n_union))
 
 
-def may_link(a: np.ndarray, b: np.ndarray) -> float:
-    """Resemblance by the smallest values of both sketches together, or -1 where that is too low for a link."""
-    union = np.union1d(a, b)
-    whole = max(len(a), len(b)) < SKETCH
-    union = union if whole else union[:SKETCH]
-    found = np.count_nonzero(np.intersect1d(a, b) <= union[-1]) / len(union)
-    return float(found) if found >= PERCENT / 100 - margin(len(union), whole) else -1.0
+def resemblances(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Per pair of sketches (rows of SKETCH values, PAD behind the first n) the estimate, or -1 where that is too low for a link.
+
+    Both sketches are merged in order; a value of both stands twice, and the first SKETCH different ones are the union's.
+    """
+    both = np.sort(np.concatenate([a, b], axis=1), axis=1)
+    twice = np.zeros(both.shape, bool)
+    twice[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != PAD)
+    rank = np.cumsum(~twice, axis=1)
+    whole = np.maximum(na, nb) < SKETCH
+    union = na + nb - twice.sum(axis=1)
+    within = np.where(whole, union, np.minimum(union, SKETCH))
+    found = (twice & (rank <= within[:, None])).sum(axis=1) / np.maximum(within, 1)
+    return np.where(found >= PERCENT / 100 - margin(np.maximum(within, 1), whole), found, -1.0)
+
+
+def padded(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches as rows of SKETCH values, and how many each has."""
+    lengths = np.array([len(s) // 4 for s in sketches], np.int64)
+    out = np.full((len(sketches), SKETCH), PAD, np.uint32)
+    out[np.repeat(np.arange(len(sketches)), lengths), np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = np.frombuffer(b"".join(sketches), np.uint32)
+    return out, lengths
 
 
 def _sizes_fit(a: str, b: str):
@@ -110,76 +131,163 @@ def led(posts: DataFrame, groups: DataFrame) -> DataFrame:
 
     @F.arrow_udf("boolean")
     def passes(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([may_link(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= 0 for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
+        out = np.zeros(len(a), bool)
+        for at in range(0, len(a), MERGED):
+            (x, nx), (y, ny) = (padded(c.slice(at, MERGED).to_pylist()) for c in (a, b))
+            out[at : at + MERGED] = resemblances(x, y, nx, ny) >= 0
+        return pa.array(out)
 
     both = pairs.join(own.withColumnsRenamed({"node": "a", "sketch": "sa"}), "a").join(own.withColumnsRenamed({"node": "b", "sketch": "sb"}), "b")
     return both.where(passes("sa", "sb")).select("a", "b")
 
 
-def overlaps(sketches: list[np.ndarray]) -> np.ndarray:
-    """Retained values that each two sketches share: of each value's list, all its members get one more in common."""
-    values, place, many = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sketches)), [len(s) for s in sketches])
+def shared_values(row: np.ndarray, place: np.ndarray, many: np.ndarray, n: int) -> np.ndarray:
+    """How many values each two of ``n`` rows share: of each value's list, all its members get one more in common.
+
+    ``row`` and ``place`` are the rows and values of all entries, ``many`` how often each value stands.
+    """
     shared = many > 1
     number = np.cumsum(shared) - 1
     keep = shared[place]
     row, place = row[keep], number[place[keep]]
-    out = np.zeros((len(sketches), len(sketches)), np.float32)
+    out = np.zeros((n, n), np.float32)
     order = np.argsort(place, kind="stable")
     row, place = row[order], place[order]
     width = 2048
     for first in range(0, int(shared.sum()), width):
         low, high = np.searchsorted(place, (first, first + width))
-        held = np.zeros((len(sketches), width), np.float32)
+        held = np.zeros((n, min(width, int(shared.sum()) - first)), np.float32)
         held[row[low:high], place[low:high] - first] = 1
         out += held @ held.T
     return out
 
 
-def forests(sketches: list[np.ndarray], sizes: np.ndarray, comps: np.ndarray, parts: np.ndarray, n_forests: int) -> tuple[list[tuple[int, int]], bool]:
-    """(pairs, whether some are left): edge-disjoint spanning forests of the pairs of two components that pass the estimate, best first."""
-    common = overlaps(sketches)
-    lengths = np.array([len(s) for s in sketches])
-    # An estimate is at most the overlap by the larger sketch, and its margin at most that of as many values.
-    larger = np.maximum(np.maximum.outer(lengths, lengths), 1)
-    fit = common >= (PERCENT / 100 - margin(larger, larger < SKETCH)) * larger
-    fit &= (comps[:, None] != comps[None, :]) & (100 * np.minimum.outer(sizes, sizes) >= PERCENT * np.maximum.outer(sizes, sizes))
-    if len(np.unique(parts)) > 1:
-        fit &= parts[:, None] != parts[None, :]
-    pairs = [(value, i, j) for i, j in zip(*np.nonzero(np.triu(fit, 1)), strict=True) if (value := may_link(sketches[i], sketches[j])) >= 0]
-    pairs.sort(key=lambda p: (-p[0], p[1], p[2]))
-    trees = np.tile(np.arange(len(sketches)), (n_forests, 1))
-    out, left = [], False
-    for _, i, j in pairs:
-        apart = np.flatnonzero(trees[:, i] != trees[:, j])
-        if len(apart):
-            tree = trees[apart[0]]
-            tree[tree == tree[j]] = tree[i]
-            out.append((int(i), int(j)))
-        else:
-            left = True
-    return out, left
-
-
-def compared(posts: DataFrame, groups: DataFrame, comps: DataFrame, n_forests: int) -> DataFrame:
-    """(a, b, left): pairs of two components that pass the estimate in a list, as ``forests`` gives them; left marks units with more."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("left", pa.bool_())])
+def overlaps(sketches: np.ndarray) -> np.ndarray:
+    """Retained values that each two sketches share."""
+    row, _ = at = np.nonzero(sketches != PAD)
+    _, place, many = np.unique(sketches[at], return_inverse=True, return_counts=True)
+    return shared_values(row, place, many, len(sketches))
+
+
+def first_met(sketches: np.ndarray, key: int) -> np.ndarray:
+    """Which two rows of a list have no common run of retained values before that of the list."""
+    values = sketches[:, :POSTED].astype(np.uint64)
+    runs = values[:, :-1] << np.uint64(32) | values[:, 1:]
+    row, _ = at = np.nonzero((runs < np.uint64(key)) & (values[:, 1:] != PAD))
+    if not len(row):
+        return np.ones((len(sketches), len(sketches)), bool)
+    _, place, many = np.unique(runs[at], return_inverse=True, return_counts=True)
+    held = np.zeros((len(sketches), int((many > 1).sum())), np.float32)
+    keep = many[place] > 1
+    held[row[keep], (np.cumsum(many > 1) - 1)[place[keep]]] = 1
+    return held @ held.T == 0
+
+
+def candidates(sketches: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, comps: np.ndarray, parts: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a unit's pairs that meet here first, are of two components (of both parts, if there are two), and may link by size and overlap."""
+    i, j = np.triu_indices(len(sizes), 1)
+    fit = (comps[i] != comps[j]) & (100 * np.minimum(sizes[i], sizes[j]) >= PERCENT * np.maximum(sizes[i], sizes[j]))
+    if parts.min() < parts.max():
+        fit &= parts[i] != parts[j]
+    if fit.any():
+        fit &= first_met(sketches, key)[i, j]
+    if len(sizes) > FEW and fit.any():
+        # An estimate is at most the overlap by the larger sketch, and its margin at most that of as many values.
+        larger = np.maximum(lengths[i], lengths[j])
+        fit &= overlaps(sketches)[i, j] >= (PERCENT / 100 - margin(larger, larger < SKETCH)) * larger
+    return i[fit], j[fit]
+
+
+UNIT_DDL = "node long, n long, key long, comp long, part int, left int, right int"
+
+
+def estimated(posts: DataFrame, groups: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows of units, with their unit, that have a pair left there after the estimate."""
     here = posts.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    open_ = here.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    rows = here.join(open_, "key", "left_semi").join(groups.select("node", "sketch"), "node")
+    several = here.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    rows = here.join(several, "key", "left_semi").join(groups.select("node", "sketch"), "node")
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("comp", pa.int64()), ("part", pa.int32()), ("left", pa.int32()), ("right", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, upto in read_units(batches, ["key"], 5_000):
+            sizes, comps_, parts, keys = (table.column(c).to_numpy() for c in ("n", "comp", "part", "key"))
+            sketches, lengths = padded(table.column("sketch").to_pylist())
+            a, b = [], []
+            for start, stop in spans(upto):
+                i, j = candidates(*(x[start:stop] for x in (sketches, lengths, sizes, comps_, parts)), int(keys[start]) & (1 << 64) - 1)
+                a.append(i + start)
+                b.append(j + start)
+            i, j = np.concatenate(a), np.concatenate(b)
+            some = [resemblances(*(x[y[at : at + MERGED]] for x in (sketches, lengths) for y in (i, j))) >= 0 for at in range(0, len(i), MERGED)]
+            if some:
+                some = np.concatenate(some)
+                left = np.union1d(i[some], j[some])
+                for batch in table.select(schema.names).take(pa.array(left)).cast(schema).to_batches():
+                    yield frame(schema, *batch.columns)
+
+    return by_unit(units(rows, ["key"], "node", BLOCK), ["key"]).mapInArrow(run, UNIT_DDL)
+
+
+def forest(links: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a symmetric matrix of links."""
+    seen = np.zeros(len(links), bool)
+    out = []
+    for root in range(len(links)):
+        if seen[root]:
+            continue
+        seen[root] = True
+        held = [root]
+        while held:
+            at = held.pop()
+            new = np.flatnonzero(links[at] & ~seen)
+            seen[new] = True
+            out += [(at, x) for x in new.tolist()]
+            held += new.tolist()
+    return out
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each two sets, as one matrix product over the values that several hold."""
+    values, place, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    return shared_values(row, place, many, len(sets))
+
+
+def linked(rows: DataFrame, texts: DataFrame, groups: DataFrame, width: int) -> DataFrame:
+    """(a, b): links of units of ``estimated``, by whole sets; enough to connect all that a unit links."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    dealt = by_unit(rows.join(whole_sets(rows.select("node").distinct(), texts, groups, width), "node"), ["key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, upto in read_units(batches, ["key"], 1_000):
             nodes, sizes, comps_, parts = (table.column(c).to_numpy() for c in ("node", "n", "comp", "part"))
-            made = table.column("sketch").to_pylist()
+            made = table.column("set").to_pylist()
+            found = []
             for start, stop in spans(upto):
-                own = [np.frombuffer(s, np.uint32) for s in made[start:stop]]
-                found, left = forests(own, sizes[start:stop], comps_[start:stop], parts[start:stop], n_forests)
-                if found:
-                    a, b = nodes[start:stop][np.array(found).T]
-                    yield frame(schema, np.maximum(a, b), np.minimum(a, b), np.full(len(found), left))
+                met = intersections([np.frombuffer(s, np.uint64) for s in made[start:stop]])
+                n, c, p = sizes[start:stop], comps_[start:stop], parts[start:stop]
+                links = (100 * met >= PERCENT * (n[:, None] + n[None, :] - met)) & (c[:, None] != c[None, :])
+                if p.min() < p.max():
+                    links &= p[:, None] != p[None, :]
+                found += [(start + i, start + j) for i, j in forest(links)]
+            if found:
+                a, b = nodes[np.array(found).T]
+                yield frame(schema, np.maximum(a, b), np.minimum(a, b))
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
-    return by_unit(units(rows, ["key"], "node", BLOCK), ["key"]).mapInArrow(run, "a long, b long, left boolean").groupBy("a", "b").agg(F.max("left").alias("left"))
+
+def whole_sets(nodes: DataFrame, texts: DataFrame, groups: DataFrame, width: int) -> DataFrame:
+    """(node, set): the whole set of each node, made once, from the text of one row."""
+    schema = pa.schema([("node", pa.int64()), ("set", pa.binary())])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, values in slices(batches, "node", "text"):
+            sets, _ = distinct_shingles(values, width)
+            yield frame(schema, own, [s.tobytes() for s in sets])
+
+    wanted = materialize(nodes.join(groups.select("node", "row"), "node"))
+    return only_marked(texts, wanted, "row").join(wanted, "row").dropDuplicates(["node"]).select("node", "text").mapInArrow(make, "node long, set binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, groups: DataFrame, width: int) -> DataFrame:
@@ -191,14 +299,8 @@ def verified(pairs: DataFrame, texts: DataFrame, groups: DataFrame, width: int)
     heads = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / VERIFIED).cast("int").alias("groups"))
     members = pairs.join(heads, "b").select("b", F.pmod(F.xxhash64(F.lit(5), "a"), F.col("groups")).cast("int").alias("group"), F.lit(1).alias("place"), F.col("a").alias("node"))
     first = heads.select("b", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(0).alias("place"), F.col("b").alias("node"))
-    sets_schema = pa.schema([("node", pa.int64()), ("set", pa.binary())])
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for nodes, values in slices(batches, "node", "text"):
-            sets, _ = distinct_shingles(values, width)
-            yield frame(sets_schema, nodes, [s.tobytes() for s in sets])
-
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.zeros(0, np.uint64)
         for bs, places, nodes, sets in slices(batches, "b", "place", "node", "set"):
@@ -215,13 +317,22 @@ def verified(pairs: DataFrame, texts: DataFrame, groups: DataFrame, width: int)
             if a:
                 yield frame(schema, a, b)
 
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(groups.select("node", "row"), "node"))
-    own = only_marked(texts, wanted, "row").join(wanted, "row").dropDuplicates(["node"]).select("node", "text")
-    sets = own.mapInArrow(make, "node long, set binary")
+    sets = whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts, groups, width)
     dealt = members.unionByName(first).join(sets, "node").repartition("b", "group").sortWithinPartitions("b", "group", "place")
     return dealt.mapInArrow(confirm, "a long, b long")
 
 
+def merged(comps: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component) after more ``edges``: components are the nodes of a smaller graph."""
+    label = lambda c: F.coalesce("component", c)
+    known = materialize(edges)
+    a = known.join(comps.withColumnRenamed("node", "a"), "a", "left").select(label("a").alias("x"), "b")
+    links = a.join(comps.withColumnRenamed("node", "b"), "b", "left").select(F.col("x").alias("a"), label("b").alias("b"))
+    roots = materialize(connected_components(links.where("a <> b").distinct()))
+    moved = comps.join(roots.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    return moved.unionByName(roots.join(comps, "node", "left_anti"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs`` (doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("text"))
@@ -229,21 +340,9 @@ def near_duplicates(docs: DataFrame, width: int = 2) -> DataFrame:
     groups = materialize(own.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     posts = materialize(posted(groups))
     rows = texts.select("row", "text")
-    edges = [materialize(verified(materialize(led(posts, groups)), rows, groups, width))]
-    comps = materialize(connected_components(edges[0]))
-    n_forests = 2
-    while True:
-        pairs = materialize(compared(posts, groups, comps, n_forests))
-        left = pairs.agg(F.max("left")).first()[0]
-        if left is None:
-            break
-        edges.append(materialize(verified(pairs.select("a", "b"), rows, groups, width)))
-        known = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        comps = materialize(connected_components(known.unionByName(edges[-1])))
-        discard(pairs)
-        if not left:
-            break
-        n_forests *= 4
+    comps = materialize(connected_components(verified(materialize(led(posts, groups)), rows, groups, width)))
+    left = materialize(estimated(posts, groups, comps))
+    comps = materialize(merged(comps, linked(left, rows, groups, width)))
     discard(posts)
     labelled = groups.select("node", "least").join(comps, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
     named = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
