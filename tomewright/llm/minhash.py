@@ -9,10 +9,11 @@ keeps the lists of frequent words short.
 
 What a list generates is filtered by the resemblance estimated from the union's sketch (a pair is let go at more than
 ``SIGMAS`` standard errors below the threshold), and what is left is verified on whole sets, exactly. In a first round
-each member of a list meets the list's leader only, which joins groups of near copies at a cost in proportion to
-them. Then lists that still hold several components are compared in units of bounded size: a pair belongs to the unit of
-its first common run, rows that have a pair left after the estimate are given their whole sets there, and all
-intersections of a unit come from one matrix product. A unit gives a spanning forest of its links, never all pairs.
+each node meets one leader of its lists only, which joins groups of near copies at a cost in proportion to them. Then
+lists that still hold several components are compared in units of bounded size; of a long list's largest component no
+two rows are compared. A pair belongs to the unit of its first common run, rows that have a pair left after the
+estimate are given their whole sets there, and all intersections of a unit come from one matrix product. A unit gives a
+spanning forest of its links, never all pairs.
 
 Defined results: a null or blank text has an empty set, which links with nothing, copies included; a text of one word
 has one shingle; texts of equal sets are copies; rows that repeat an id are documents of their own; a null id is linked
@@ -26,12 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, frame, materialize, only_marked, slices
 from .components import connected_components
-from .postings import by_unit, read_units, spans, units
+from .postings import by_unit, read_units, spans
 from .simhash import shingles
 
 #: Retained values of a sketch, each as the upper 32 bits of its hash.
@@ -41,7 +42,9 @@ POSTED = 32
 #: Standard errors by which an estimate may be below the threshold.
 SIGMAS = 5.5
 #: Rows of a list, or of each of two parts of a longer one, that are compared in one unit.
-BLOCK = 256
+BLOCK = 1024
+#: Lists in which a node must meet a leader to be compared with it first.
+LED = 4
 #: Members of a leader that are verified in one group.
 VERIFIED = 256
 PERCENT = 80
@@ -75,7 +78,11 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
 
 
 def posted(groups: DataFrame) -> DataFrame:
-    """(key, node, n): a row per run of two of the first retained values. Sets below four shingles link with none but copies."""
+    """(key, node, n): a row per run of two of the first retained values, of lists where a set of fitting size has the run too.
+
+    In the order of sizes a row's neighbours are the nearest of its list, so what fits neither of them fits none.
+    Sets below four shingles link with none but copies.
+    """
     schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +93,10 @@ def posted(groups: DataFrame) -> DataFrame:
             if sum(counts):
                 yield frame(schema, np.concatenate(keys).view(np.int64), np.repeat(nodes, counts), np.repeat(sizes, counts))
 
-    return groups.where("n > 3").select("node", "n", "sketch").mapInArrow(run, "key long, node long, n long").distinct()
+    rows = groups.where("n > 3").select("node", "n", "sketch").mapInArrow(run, "key long, node long, n long")
+    by_size = Window.partitionBy("key").orderBy("n", "node")
+    near = F.coalesce(100 * F.lag("n").over(by_size) >= PERCENT * F.col("n"), F.lit(False)) | F.coalesce(PERCENT * F.lead("n").over(by_size) <= 100 * F.col("n"), F.lit(False))
+    return rows.withColumn("near", near).where("near").drop("near")
 
 
 def margin(n_union, whole):
@@ -124,9 +134,13 @@ def _sizes_fit(a: str, b: str):
 
 
 def led(posts: DataFrame, groups: DataFrame) -> DataFrame:
-    """(a, b): each member of a list with its leader (b), once per pair, if sizes and sketches allow a link."""
-    leaders = posts.groupBy("key").agg(F.min(F.struct("node", "n")).alias("l"), F.count(F.lit(1)).alias("many")).where("many > 1").select("key", F.col("l.node").alias("b"), F.col("l.n").alias("nb"))
-    pairs = posts.join(leaders, "key").select(F.col("node").alias("a"), F.col("n").alias("na"), "b", "nb").where(_sizes_fit("na", "nb")).select("a", "b").distinct()
+    """(a, b): each node with the list leader (b) that it meets in most lists, if in several, and if sizes and sketches allow a link.
+
+    One pair per node, to join what is alike at little cost; no pair is lost by what is left out here.
+    """
+    leaders = posts.groupBy("key").agg(F.min(F.struct("node", "n")).alias("l")).select("key", F.col("l.node").alias("b"), F.col("l.n").alias("nb"))
+    met = posts.join(leaders, "key").select(F.col("node").alias("a"), F.col("n").alias("na"), "b", "nb").where(_sizes_fit("na", "nb")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists"))
+    pairs = met.where(F.col("lists") >= LED).groupBy("a").agg(F.max_by("b", F.struct("lists", "b")).alias("b"))
     own = groups.select("node", "sketch")
 
     @F.arrow_udf("boolean")
@@ -198,14 +212,31 @@ def candidates(sketches: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, com
     return i[fit], j[fit]
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows (key, node, n, comp) of the lists with several components, dealt to units (part, left, right).
+
+    A list of up to BLOCK rows is one unit. In a longer one the rows of its largest component never meet each other: they
+    are cut into parts of BLOCK rows, all others into parts too, and each part of the others meets every part.
+    """
+    sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n_own"))
+    lists = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("n_comps"), F.sum("n_own").alias("n_rows"), F.max(F.struct("n_own", "comp")).alias("most")).where("n_comps > 1")
+    p_rest = F.ceil((F.col("n_rows") - F.col("most.n_own")) / BLOCK).cast("int")
+    p_most = F.ceil(F.col("most.n_own") / BLOCK).cast("int")
+    lists = lists.select("key", (F.col("n_rows") > BLOCK).alias("long"), F.col("most.comp").alias("most"), p_rest.alias("p_rest"), p_most.alias("p_most"))
+    own = F.xxhash64(F.lit(3), "node")
+    major = F.col("comp") == F.col("most")
+    part = F.when(~F.col("long"), 0).when(major, F.col("p_rest") + F.pmod(own, "p_most")).otherwise(F.pmod(own, "p_rest")).cast("int")
+    others = F.when(~F.col("long"), F.array(F.lit(0))).when(major, F.sequence(F.lit(0), F.col("p_rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("p_rest") + F.col("p_most") - 1))
+    met = rows.join(lists, "key").select(*rows.columns, part.alias("part"), F.explode(others).alias("other"))
+    return met.select(*rows.columns, "part", F.least("part", "other").alias("left"), F.greatest("part", "other").alias("right"))
+
+
 UNIT_DDL = "node long, n long, key long, comp long, part int, left int, right int"
 
 
 def estimated(posts: DataFrame, groups: DataFrame, comps: DataFrame) -> DataFrame:
     """Rows of units, with their unit, that have a pair left there after the estimate."""
-    here = posts.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    several = here.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    rows = here.join(several, "key", "left_semi").join(groups.select("node", "sketch"), "node")
+    rows = dealt(posts.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")).join(groups.select("node", "sketch"), "node")
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("comp", pa.int64()), ("part", pa.int32()), ("left", pa.int32()), ("right", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +256,7 @@ def estimated(posts: DataFrame, groups: DataFrame, comps: DataFrame) -> DataFram
                 for batch in table.select(schema.names).take(pa.array(left)).cast(schema).to_batches():
                     yield frame(schema, *batch.columns)
 
-    return by_unit(units(rows, ["key"], "node", BLOCK), ["key"]).mapInArrow(run, UNIT_DDL)
+    return by_unit(rows, ["key"]).mapInArrow(run, UNIT_DDL)
 
 
 def forest(links: np.ndarray) -> list[tuple[int, int]]:
@@ -256,7 +287,7 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 def linked(rows: DataFrame, texts: DataFrame, groups: DataFrame, width: int) -> DataFrame:
     """(a, b): links of units of ``estimated``, by whole sets; enough to connect all that a unit links."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    dealt = by_unit(rows.join(whole_sets(rows.select("node").distinct(), texts, groups, width), "node"), ["key"])
+    whole = by_unit(rows.join(whole_sets(rows.select("node").distinct(), texts, groups, width), "node"), ["key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, upto in read_units(batches, ["key"], 1_000):
@@ -274,7 +305,7 @@ def linked(rows: DataFrame, texts: DataFrame, groups: DataFrame, width: int) ->
                 a, b = nodes[np.array(found).T]
                 yield frame(schema, np.maximum(a, b), np.minimum(a, b))
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return whole.mapInArrow(run, "a long, b long").distinct()
 
 
 def whole_sets(nodes: DataFrame, texts: DataFrame, groups: DataFrame, width: int) -> DataFrame:
@@ -318,8 +349,8 @@ def verified(pairs: DataFrame, texts: DataFrame, groups: DataFrame, width: int)
                 yield frame(schema, a, b)
 
     sets = whole_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts, groups, width)
-    dealt = members.unionByName(first).join(sets, "node").repartition("b", "group").sortWithinPartitions("b", "group", "place")
-    return dealt.mapInArrow(confirm, "a long, b long")
+    grouped = members.unionByName(first).join(sets, "node").repartition("b", "group").sortWithinPartitions("b", "group", "place")
+    return grouped.mapInArrow(confirm, "a long, b long")
 
 
 def merged(comps: DataFrame, edges: DataFrame) -> DataFrame:
