@@ -43,11 +43,12 @@ def document_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.document_list(rows, "en", ("src1", "src2", "src3"), " Th ").select("doc_id")
 
 
-@query("SELECT concat('res', i % 4, ':act', i) AS code FROM range(20) t(i) WHERE i % 4 = 2 ORDER BY code")
+@query("SELECT concat(lower(r_name), ':', lower(n_name)) AS code FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA' ORDER BY code")
 def permissions_by_resource(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT08, SRT03: the codes of one resource in order."""
-    rows = spark.range(20).select(F.concat(F.lit("res"), (F.col("id") % 4).cast("string")).alias("resource"), F.concat(F.lit("res"), (F.col("id") % 4).cast("string"), F.lit(":act"), F.col("id").cast("string")).alias("code"))
-    return catalog.permissions_of(rows, " RES2 ").select("code")
+    """FLT08, SRT03: the codes of one resource in order; a nation stands for an action, its region for the resource."""
+    pairs = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = pairs.select(F.lower("r_name").alias("resource"), F.concat(F.lower("r_name"), F.lit(":"), F.lower("n_name")).alias("code"))
+    return catalog.permissions_of(rows, " Asia ").select("code")
 
 
 _CHUNKS = "(SELECT doc_id AS document_id, CAST(s // 150 AS INTEGER) AS chunk_index, substr(text, s + 1, 200) AS text FROM (SELECT doc_id, text, unnest(generate_series(0, greatest(0, length(text) - 1 - 50), 150)) AS s FROM documents WHERE length(text) > 0))"
@@ -165,14 +166,6 @@ def orders_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sums(table(spark, sf_dir, "orders").groupingSets([[both[0]], [both[1]]], *both))
 
 
-@query("SELECT l_returnflag, true AS near_count, true AS near_median FROM lineitem GROUP BY 1")
-def approximate_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sketches of counts and quantiles, held against the exact ones within their stated error."""
-    near = (F.abs(F.approx_count_distinct("l_partkey", 0.03) / F.count_distinct("l_partkey") - 1) < 0.12).alias("near_count")
-    middle = (F.abs(F.percentile_approx("l_extendedprice", 0.5, 10_000) / F.median("l_extendedprice") - 1) < 0.01).alias("near_median")
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(near, middle)
-
-
 @query("SELECT DISTINCT o_custkey AS custkey, 'both' AS kind FROM orders WHERE o_orderstatus = 'F' AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') UNION ALL SELECT DISTINCT o_custkey, 'only F' FROM orders WHERE o_orderstatus = 'F' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')")
 def customers_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intersect and except."""

@@ -117,13 +117,6 @@ _VEC = f"""
 """
 
 
-@query(_BM25 + "SELECT query_id, id, score FROM sparse WHERE rank <= 10")
-def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RET02, AGG15: benchmark passages as queries against all documents."""
-    found = retrieval.ranked(retrieval.bm25(corpus(spark, sf_dir), questions(spark, sf_dir), top=10), "sparse", 10)
-    return found.select("query_id", "id", "score")
-
-
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Documents with the vector of their number, and questions with theirs."""
     c = collection(spark, sf_dir).select("id", "vector")
