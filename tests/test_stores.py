@@ -94,7 +94,7 @@ def test_patch_touches_its_buckets_only(spark, store):
     assert before.items() <= files_of(store).items()
     with store.begin() as unit:
         unit.upsert("t", spark.createDataFrame([(3, "up", 1), (3, "up", 1), (500, "in", 2)], "k long, flag string, v long"))
-        unit.delete("t", spark.createDataFrame([(0,), (1,), (9999,)], "k long"))
+        assert unit.delete("t", spark.createDataFrame([(0,), (1,), (9999,)], "k long")) == 2
     got = {r.k: r.flag for r in store.read("t").collect()}
     assert got[3] == "up" and got[500] == "in" and 0 not in got and len(got) == 199 and store.read("t").count() == 199
     assert store.vacuum(keep=1) > 0 and store.read("t").count() == 199
@@ -114,6 +114,7 @@ def scanned(spark, docs, queries, k):
 
 def test_search_index_equals_a_scan_through_changes(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(search_index, "BLOCK", 16)
+    monkeypatch.setattr(search_index, "FEW_BLOCKS", 8)
     docs = dict(corpus_rows(500))
     queries = spark.createDataFrame([(1, "w1 w5 w150"), (2, "W0 w0 w3"), (3, "unknown"), (4, None), (5, "w199"), (6, " ".join(f"w{i}" for i in range(40)))], "query_id long, text string")
     index = search_index.opened(spark, spark.createDataFrame(list(docs.items()), "id long, text string"), str(tmp_path / "index"))
@@ -145,6 +146,7 @@ def test_search_index_reads_the_buckets_of_its_terms(spark, tmp_path, monkeypatc
 
 def test_search_index_leaves_blocks_out(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(search_index, "BLOCK", 8)
+    monkeypatch.setattr(search_index, "FEW_BLOCKS", 0)
     docs = [(i, "common " * (1 + i % 3) + ("rare rare rare" if i in (5, 6, 7) else "other words here")) for i in range(400)]
     queries = spark.createDataFrame([(1, "rare common"), (2, "rare")], "query_id long, text string")
     index = search_index.opened(spark, spark.createDataFrame(docs, "id long, text string"), str(tmp_path / "index"))

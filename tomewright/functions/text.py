@@ -77,6 +77,11 @@ def normalise_query(c: Column, max_length: int = 1000) -> Column:
     return F.lower(strip(F.regexp_replace(F.substring(c, 1, max_length), r"(?U)\s+", " ")))
 
 
+def query_preview(c: Column) -> Column:
+    """A query as messages show it: its first hundred characters, and dots where there are more."""
+    return shorten(c, 100, 100)
+
+
 def shorten(c: Column, limit: int, head: int) -> Column:
     """Texts over the limit become their head and three dots."""
     return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, head), F.lit("..."))).otherwise(c)

@@ -82,7 +82,18 @@ def user_permissions(users: DataFrame, user_roles: DataFrame, roles: DataFrame,
 
 
 def may(permission: str) -> Column:
-    return F.col("is_superuser") | F.array_contains("permission_codes", permission)
+    """Whether a user holds a permission; superusers hold all, and where there is no user nothing is held."""
+    return F.coalesce(F.col("is_superuser"), F.lit(False)) | F.coalesce(F.array_contains("permission_codes", permission), F.lit(False))
+
+
+def has_role(role: str) -> Column:
+    """Whether a user is in a role, by its exact name; superusers are in all."""
+    return F.coalesce(F.col("is_superuser"), F.lit(False)) | F.coalesce(F.array_contains("role_names", role), F.lit(False))
+
+
+def system_roles(roles: DataFrame) -> DataFrame:
+    """Roles of the system that are not deleted, by name."""
+    return alive(roles).where("is_system").orderBy("name")
 
 
 def assign(pairs: DataFrame, more: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import asyncio
 import hashlib
 from collections.abc import Callable
 
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.errors import EngineError
+
 Provider = Callable[[list[str]], np.ndarray]
 
 
@@ -59,6 +62,28 @@ def encode(provider: Provider, normalise: bool = True, batch_size: int = 32) ->
     return run
 
 
+def encode_one(provider: Provider, text: str, normalise: bool = True) -> list[float]:
+    """The vector of one text, as ``encode`` gives it in a column."""
+    if not (text or "").strip():
+        raise EngineError("EMPTY_EMBEDDING_INPUT", "there is nothing to embed")
+    m = np.asarray(provider([text]), np.float64)
+    if m.ndim != 2 or len(m) != 1:
+        raise EngineError("EMBEDDING_INFERENCE_FAILED", f"one text gave {m.shape}")
+    n = np.linalg.norm(m[0])
+    return (m[0] / (n if normalise and n else 1)).astype(np.float32).tolist()
+
+
+async def encode_one_async(provider: Provider, text: str, normalise: bool = True) -> list[float]:
+    """The same without holding up the caller's loop."""
+    return await asyncio.to_thread(encode_one, provider, text, normalise)
+
+
+async def encode_batch_async(texts: DataFrame, provider: Provider, column: str = "text", into: str = "vector", normalise: bool = True, batch_size: int = 32) -> pa.Table:
+    """A table of texts with their vectors, encoded on the executors while the caller's loop goes on; for results that fit the caller."""
+    made = texts.withColumn(into, encode(provider, normalise, batch_size)(F.col(column)))
+    return await asyncio.to_thread(made.toArrow)
+
+
 def batch_size_for(lengths: DataFrame, column: str, token_budget: int = 32_768, least: int = 1, most: int = 256) -> DataFrame:
     """One row: texts per batch such that their mean length fills the token budget; none at all give the most."""
     mean = F.greatest(F.lit(1.0), F.avg(column) / 4.0)

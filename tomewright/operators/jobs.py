@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -33,12 +34,13 @@ def run_all(spark: SparkSession, plans: dict[str, Callable[[], object]], seconds
             spark.removeTag(tags[name])
 
     out = {}
+    began = time.monotonic()
     pool = ThreadPoolExecutor(max(1, len(plans)))
     try:
         futures = {name: pool.submit(one, name) for name in plans}
         for name, future in futures.items():
             try:
-                out[name] = Outcome(name, future.result(seconds))
+                out[name] = Outcome(name, future.result(None if seconds is None else max(0.0, began + seconds - time.monotonic())))
             except Late:
                 cancel(spark, tags[name])
                 out[name] = Outcome(name, error_code="RETRIEVAL_TIMEOUT", message=f"not done after {seconds} s")

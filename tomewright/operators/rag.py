@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels, text
+from ..functions.errors import EngineError
 
 #: Fixed values, which results depend on: the form of a citation. One bracket with one or more numbers, each bracket optionally headed by a word for source.
 MARKER = r"(?i)\[(?:Source\s*)?(\d+(?:\s*,\s*\d+)*)\]"
@@ -107,10 +108,54 @@ def register_provider(name: str, provider: Callable[[Column, Column], Column]) -
     PROVIDERS[name.strip().lower()] = provider
 
 
+def provider_of(name: str) -> Callable[[Column, Column], Column]:
+    """A registered provider, whatever the case of its name."""
+    found = PROVIDERS.get(name.strip().lower())
+    if found is None:
+        raise EngineError("RESOURCE_NOT_FOUND", f"no provider {name}")
+    return found
+
+
+def healthy(spark: SparkSession, name: str) -> bool:
+    """Whether a provider answers a probe: a question and a context of one row."""
+    try:
+        probe = spark.range(1).select(provider_of(name)(F.lit("is it there"), F.array(F.lit("it is there"))).alias("answer")).first()
+    except EngineError:
+        raise
+    except Exception:  # noqa: BLE001 - whatever a provider raises, it is not well
+        return False
+    return bool(probe.answer)
+
+
+def health(spark: SparkSession) -> dict[str, bool]:
+    return {name: healthy(spark, name) for name in PROVIDERS}
+
+
 def ask(questions: DataFrame, packed: DataFrame, strategy: str = "standard", provider: str = "extractive") -> DataFrame:
     """(query_id, answer, prompt, tokens, violations) from questions (query_id, text) and packed contexts (query_id, rank, text)."""
     contexts = packed.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("contexts"))
     joined = questions.join(contexts, "query_id", "left").withColumn("contexts", F.coalesce("contexts", F.array().cast("array<string>")))
     numbered = F.array_join(F.transform("contexts", lambda c, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), c)), "\n")
-    out = joined.withColumn("prompt", messages(F.col("text"), numbered, strategy)).withColumn("answer", PROVIDERS[provider.strip().lower()](F.col("text"), F.col("contexts")))
+    out = joined.withColumn("prompt", messages(F.col("text"), numbered, strategy)).withColumn("answer", provider_of(provider)(F.col("text"), F.col("contexts")))
     return out.select("query_id", "answer", "prompt", prompt_tokens(F.col("prompt")).alias("prompt_tokens"), answer_guard(F.col("answer"), F.size("contexts")).alias("violations"))
+
+
+#: Hits that a variant of asking packs at most, and its instructions.
+VARIANTS = {"ask": ("standard", 20), "investigation": ("investigative", 30), "executive_summary": ("executive", 20)}
+
+
+def ask_variant(variant: str, questions: DataFrame, hits: DataFrame, budget: int = 3000, provider: str = "extractive") -> DataFrame:
+    """``ask`` over the leading hits (query_id, rank, text) of a variant, packed into the budget: ask, investigation or executive_summary."""
+    if variant not in VARIANTS:
+        raise EngineError("STRATEGY_NOT_FOUND", variant)
+    strategy, top_k = VARIANTS[variant]
+    packed = pack_context(hits.where(F.col("rank") <= top_k), budget).select("query_id", "rank", "text")
+    return ask(questions, packed, strategy, provider)
+
+
+def ask_investigation(questions: DataFrame, hits: DataFrame, **more) -> DataFrame:
+    return ask_variant("investigation", questions, hits, **more)
+
+
+def ask_executive_summary(questions: DataFrame, hits: DataFrame, **more) -> DataFrame:
+    return ask_variant("executive_summary", questions, hits, **more)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.errors import EngineError
 from . import vectorstore
 
 TOKEN = r"([\p{L}\p{N}_]+)"
@@ -168,18 +169,45 @@ def register_strategy(name: str, strategy: Callable[..., DataFrame]) -> None:
     STRATEGIES[name.strip().lower()] = strategy
 
 
-def search(docs: DataFrame, queries: DataFrame, options: Options = Options(), where: vectorstore.Filter | None = None) -> DataFrame:
-    """Hybrid results; a strategy of weight zero is not planned at all."""
+def strategy_of(name: str) -> Callable[..., DataFrame]:
+    found = STRATEGIES.get(name.strip().lower())
+    if found is None:
+        raise EngineError("STRATEGY_NOT_FOUND", name)
+    return found
+
+
+def search(docs: DataFrame, queries: DataFrame, options: Options = Options(), where: vectorstore.Filter | None = None, strategies: dict[str, Callable[..., DataFrame]] | None = None) -> DataFrame:
+    """Hybrid results; a strategy of weight zero is not planned at all. ``strategies`` stand in for the registered ones.
+
+    What goes wrong while a strategy or the fusion is planned, or runs as part of planning, is raised with its code.
+    """
+    if options.fusion not in FUSIONS:
+        raise EngineError("FUSION_STRATEGY_NOT_FOUND", options.fusion)
     lists = []
-    if options.dense_weight > 0:
-        lists.append(STRATEGIES["dense"](docs, queries, options, where))
-    if options.sparse_weight > 0:
-        lists.append(STRATEGIES["sparse"](docs, queries, options, where))
+    for name, weight in (("dense", options.dense_weight), ("sparse", options.sparse_weight)):
+        if weight > 0:
+            strategy = (strategies or {}).get(name) or strategy_of(name)
+            lists.append(_coded(f"{name.upper()}_RETRIEVAL_ERROR", strategy, docs, queries, options, where))
     if not lists:
-        raise ValueError("no strategy has weight")
+        raise EngineError("VALIDATION_ERROR", "no strategy has weight")
     if len(lists) == 1:
         return lists[0].where(F.col("rank") <= options.top_k)
-    return ranked(FUSIONS[options.fusion](lists[0].unionByName(lists[1]), options), "hybrid", options.top_k)
+    return _coded("FUSION_ERROR", lambda: ranked(FUSIONS[options.fusion](lists[0].unionByName(lists[1]), options), "hybrid", options.top_k))
+
+
+def _coded(code: str, make: Callable[..., DataFrame], *args) -> DataFrame:
+    try:
+        return make(*args)
+    except EngineError:
+        raise
+    except Exception as e:
+        raise EngineError(code, str(e)[:500]) from e
+
+
+def checked_queries(queries: DataFrame, max_length: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Queries that can be searched, and the others with a code and a preview of their text."""
+    bad = F.coalesce(text.strip(F.col("text")) == "", F.lit(True)) | (F.length("text") > max_length)
+    return queries.where(~bad), queries.where(bad).select("query_id", F.lit("INVALID_SEARCH_QUERY").alias("error_code"), text.query_preview(F.col("text")).alias("preview"))
 
 
 def dense_only(docs: DataFrame, queries: DataFrame, options: Options = Options(), where=None) -> DataFrame:

@@ -31,6 +31,8 @@ from . import retrieval, vectorstore
 BLOCK = 1024
 #: Blocks per query that are scored first, for a k-th score to hold others against.
 SEEDS = 4
+#: Blocks up to which bounds cost more than they save, so that all are scored at once.
+FEW_BLOCKS = 64
 #: Scores are rounded, so a bound this much below the k-th score may still belong to it.
 SLACK = 1e-5
 #: Documents per bucket of terms, and between how many buckets a new index is dealt.
@@ -64,10 +66,31 @@ def _blocked(documents: DataFrame, version: int) -> DataFrame:
 
 
 def _postings(documents: DataFrame) -> DataFrame:
-    """A row per term and block; a block bounds what is gathered."""
-    each = documents.select("block", "id", "length", F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select("block", "id", "length", F.col("t.terms").alias("term"), F.col("t.tfs").alias("tf"))
-    rows = each.groupBy("term", "block").agg(F.collect_list(F.struct("id", "length", "tf")).alias("p"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"))
-    return rows.select("term", "block", F.col("p.id").alias("ids"), F.col("p.length").alias("lengths"), F.col("p.tf").alias("tfs"), "max_tf", "min_length")
+    """A row per term and block: the forward rows of one block after another are turned round."""
+    id_type = documents.schema["id"].dataType.simpleString()
+    ddl = f"term string, block long, ids array<{id_type}>, lengths array<int>, tfs array<int>, max_tf int, min_length int"
+    schema = to_arrow_schema(documents.sparkSession.createDataFrame([], ddl).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches):
+            lists = table.column("terms").combine_chunks()
+            if not len(lists.flatten()):
+                continue
+            terms = lists.flatten().dictionary_encode()
+            codes = terms.indices.to_numpy()
+            row = np.repeat(np.arange(table.num_rows), np.diff(lists.offsets.to_numpy()))
+            order = np.argsort(codes, kind="stable")
+            starts = np.concatenate(([0], np.cumsum(np.bincount(codes, minlength=len(terms.dictionary)))))
+            tf = table.column("tfs").combine_chunks().flatten().to_numpy()[order]
+            length = table.column("length").to_numpy()[row[order]]
+            offsets = pa.array(starts, pa.int32())
+            columns = [
+                terms.dictionary, pa.array(np.full(len(terms.dictionary), table.column("block")[0].as_py())), pa.ListArray.from_arrays(offsets, table.column("id").combine_chunks().take(pa.array(row[order]))),
+                pa.ListArray.from_arrays(offsets, pa.array(length)), pa.ListArray.from_arrays(offsets, pa.array(tf)), pa.array(np.maximum.reduceat(tf, starts[:-1])), pa.array(np.minimum.reduceat(length, starts[:-1])),
+            ]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return _by_block(documents.select("block", "id", "length", "terms", "tfs")).mapInArrow(run, ddl)
 
 
 def saturated(tf: np.ndarray, length: np.ndarray, mean: float, options: retrieval.Options) -> np.ndarray:
@@ -77,7 +100,8 @@ def saturated(tf: np.ndarray, length: np.ndarray, mean: float, options: retrieva
 class _Asked:
     """A block of queries as the tasks need it: terms with their idf, and the terms of each query."""
 
-    def __init__(self, names: pa.Array, of: list[list[int]], terms: dict[str, int], idf: np.ndarray, mean: float, options: retrieval.Options) -> None:
+    def __init__(self, names: pa.Array, of: list[list[int]], terms: dict[str, int], idf: np.ndarray, mean: float, options: retrieval.Options, n_docs: int) -> None:
+        self.n_docs = n_docs
         self.names, self.of, self.terms, self.idf, self.mean, self.options = names, [np.array(t, np.int64) for t in of], terms, idf, mean, options
 
     def bounds(self, places: np.ndarray, max_tf: np.ndarray, min_length: np.ndarray) -> np.ndarray:
@@ -176,7 +200,8 @@ class SearchIndex:
         if len(terms) < 4 * n_buckets:
             t = self.spark.createDataFrame([(w,) for w in terms], "term string")
             buckets = [r.b for r in t.select(bucket_of(["term"], n_buckets).alias("b")).distinct().collect()]
-        return self.store._read(manifest, table, buckets).where(F.col("term").isin(terms))
+        # Terms are letters, digits and underscores; one expression is made much faster than as many literals.
+        return self.store._read(manifest, table, buckets).where("term IN (" + ", ".join(f"'{w}'" for w in terms) + ")")
 
     def _asked(self, queries: DataFrame, version: int) -> _Asked | None:
         rows = queries.toArrow()
@@ -184,11 +209,14 @@ class SearchIndex:
         terms = {w: i for i, w in enumerate(sorted({w for own in lists for w in own}))}
         if not terms:
             return None
-        found = {r.term: r.df for r in self.of_terms("frequencies", list(terms), version).groupBy("term").agg(F.sum("df").alias("df")).collect()}
-        n, tokens = self.store.read("totals", version=version).agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
-        df = np.array([found.get(w, 0) for w in terms], float)
+        # A row without a term has the totals.
+        totals = self.store.read("totals", version=version).select(F.lit(None).cast("string").alias("term"), F.col("n_docs").alias("df"), "n_tokens")
+        counted = self.of_terms("frequencies", list(terms), version).select("term", "df", F.lit(0).cast("long").alias("n_tokens")).unionByName(totals)
+        found = {r.term: (r.df, r.tokens) for r in counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("n_tokens").alias("tokens")).collect()}
+        n, tokens = found.get(None, (0, 0))
+        df = np.array([found.get(w, (0, 0))[0] for w in terms], float)
         idf = np.maximum(self.options.epsilon, np.log(1 + (n - df + 0.5) / (df + 0.5)))
-        return _Asked(rows.column("query_id").combine_chunks(), [[terms[w] for w in own] for own in lists], terms, idf, (tokens / n if n else 1.0) or 1.0, self.options)
+        return _Asked(rows.column("query_id").combine_chunks(), [[terms[w] for w in own] for own in lists], terms, idf, (tokens / n if n else 1.0) or 1.0, self.options, n)
 
     def _bounds(self, asked: _Asked, version: int, bar: np.ndarray | None, keep: int | None) -> DataFrame:
         """(query, block, bound): blocks at a query's ``bar`` or above, or per task its ``keep`` best ones. Lists are not read for it."""
@@ -213,11 +241,13 @@ class SearchIndex:
 
         return _by_block(rows).mapInArrow(run, "query int, block long, bound double")
 
-    def _scored(self, asked: _Asked, version: int, blocks: DataFrame, bar: np.ndarray, k: int, digits: int, schema: pa.Schema, ddl: str) -> DataFrame:
-        """(query_id, id, score) of what may be among the ``k`` best, in some blocks (block)."""
-        rows = self.of_terms("postings", list(asked.terms), version).select("block", "term", "ids", "lengths", "tfs").join(blocks, "block", "left_semi")
+    def _scored(self, asked: _Asked, version: int, blocks: DataFrame | None, bar: np.ndarray, k: int, digits: int, schema: pa.Schema, ddl: str) -> DataFrame:
+        """(query_id, id, score) of what may be among the ``k`` best, in some blocks (block) or in all."""
+        rows = self.of_terms("postings", list(asked.terms), version).select("block", "term", "ids", "lengths", "tfs")
+        rows = rows if blocks is None else rows.join(blocks, "block", "left_semi")
         if "gone" in self.store.manifest(version)["tables"]:
-            gone = self.store.read("gone", version=version).join(blocks, "block", "left_semi").groupBy("block").agg(F.collect_list("id").alias("ids"))
+            gone = self.store.read("gone", version=version)
+            gone = (gone if blocks is None else gone.join(blocks, "block", "left_semi")).groupBy("block").agg(F.collect_list("id").alias("ids"))
             none = F.array().cast("array<int>")
             rows = rows.unionByName(gone.select("block", F.lit(None).cast("string").alias("term"), "ids", none.alias("lengths"), none.alias("tfs")))
 
@@ -263,8 +293,11 @@ class SearchIndex:
             asked = self._asked(asked_all.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), version)
             if asked is None:
                 continue
-            bar, _ = self._bar(asked, version, k, digits, schema, ddl)
-            keep = self._bounds(asked, version, bar, None).select("block").distinct()
+            if asked.n_docs <= FEW_BLOCKS * BLOCK:
+                bar, keep = np.full(len(asked.of), -np.inf), None
+            else:
+                bar, _ = self._bar(asked, version, k, digits, schema, ddl)
+                keep = self._bounds(asked, version, bar, None).select("block").distinct()
             parts.append(self._scored(asked, version, keep, bar, k, digits, schema, ddl).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).drop("_n"))
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], ddl)
 

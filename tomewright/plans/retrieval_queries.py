@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import embedding, evaluation, retrieval, vectorstore
+from ..operators import evaluation, retrieval, vectorstore
 from .registry import query, table
 
 
@@ -169,30 +169,6 @@ _HYBRID = f"""
 """
 
 
-@query(_BM25 + _HYBRID.replace("QUALIFY rank <= 20", "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(sum(0.5 / (60 + rank)), 8) DESC, id) <= 20"))
-def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RET01-RET07, EMB01: hashed embeddings and BM25, fused by rank, through the facade."""
-    encode = embedding.encode(embedding.hashing_provider())
-    d = corpus(spark, sf_dir).withColumn("vector", encode(F.col("text")))
-    q = questions(spark, sf_dir).withColumn("vector", encode(F.col("text")))
-    return retrieval.search(d, q).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
-
-
-@query(_BM25 + """, rel AS (SELECT item_id AS query_id, d.doc_id AS id FROM benchmark JOIN labels d ON d.doc_id % 40 = item_id % 40 AND d.quality = 1),
-  n AS (SELECT query_id, count(*) AS n FROM rel GROUP BY 1),
-  hits AS (SELECT s.query_id, s.rank, CASE WHEN r.id IS NULL THEN 0 ELSE 1 END AS rel FROM (SELECT * FROM sparse WHERE rank <= 10) s LEFT JOIN rel r ON r.query_id = s.query_id AND r.id = s.id),
-  per AS (SELECT query_id, sum(rel) AS found, min(CASE WHEN rel = 1 THEN rank END) AS first, sum(rel / log2(rank + 1)) AS dcg FROM hits GROUP BY 1)
-  SELECT n.query_id, round(coalesce(found, 0) / 10, 6) AS precision, round(coalesce(found, 0) / n.n, 6) AS recall, round(coalesce(1.0 / first, 0), 6) AS mrr,
-    round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(10, n.n) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg, CASE WHEN coalesce(found, 0) > 0 THEN 1 ELSE 0 END AS hit
-  FROM n LEFT JOIN per USING (query_id)""")
-def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG16 over BM25 results with labelled documents as relevant ones."""
-    found = retrieval.ranked(retrieval.bm25(corpus(spark, sf_dir), questions(spark, sf_dir), top=10), "sparse", 10)
-    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 40).alias("slot"))
-    rel = questions(spark, sf_dir).select("query_id", (F.col("query_id") % 40).alias("slot")).join(good, "slot").select("query_id", "id")
-    return evaluation.retrieval_metrics(found, rel, 10)
-
-
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of three models on questions, made of the documents."""
     return table(spark, sf_dir, "documents").select((F.col("doc_id") % 200).alias("question"), F.concat(F.lit("m"), (F.col("doc_id") % 3).cast("string")).alias("model"), "lang", (F.col("n_chars") % 100 / 100.0).alias("value"))

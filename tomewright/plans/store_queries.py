@@ -7,8 +7,8 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import payloads
-from ..operators import intervals, metric_index, search_index, sketches, table_functions
+from ..functions import payloads, text
+from ..operators import catalog, embedding, evaluation, intervals, metric_index, retrieval, search_index, sketches, table_functions
 from ..sources.versioned import Store, fingerprint, shared_folder
 from ..streaming import lifecycle
 from . import retrieval_queries
@@ -38,6 +38,30 @@ def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_store(spark, sf_dir).search(retrieval_queries.questions(spark, sf_dir), 10)
 
 
+@query(retrieval_queries._BM25 + retrieval_queries._HYBRID.replace("QUALIFY rank <= 20", "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(sum(0.5 / (60 + rank)), 8) DESC, id) <= 20"))
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RET01-RET07, EMB01: hashed embeddings and BM25, fused by rank, through the facade over the stored index."""
+    encode = embedding.encode(embedding.hashing_provider())
+    d = retrieval_queries.corpus(spark, sf_dir).withColumn("vector", encode(F.col("text")))
+    q = retrieval_queries.questions(spark, sf_dir).withColumn("vector", encode(F.col("text")))
+    return retrieval.search(d, q, strategies={"sparse": search_store(spark, sf_dir).strategy()}).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(retrieval_queries._BM25 + """, rel AS (SELECT item_id AS query_id, d.doc_id AS id FROM benchmark JOIN labels d ON d.doc_id % 40 = item_id % 40 AND d.quality = 1),
+  n AS (SELECT query_id, count(*) AS n FROM rel GROUP BY 1),
+  hits AS (SELECT s.query_id, s.rank, CASE WHEN r.id IS NULL THEN 0 ELSE 1 END AS rel FROM (SELECT * FROM sparse WHERE rank <= 10) s LEFT JOIN rel r ON r.query_id = s.query_id AND r.id = s.id),
+  per AS (SELECT query_id, sum(rel) AS found, min(CASE WHEN rel = 1 THEN rank END) AS first, sum(rel / log2(rank + 1)) AS dcg FROM hits GROUP BY 1)
+  SELECT n.query_id, round(coalesce(found, 0) / 10, 6) AS precision, round(coalesce(found, 0) / n.n, 6) AS recall, round(coalesce(1.0 / first, 0), 6) AS mrr,
+    round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(10, n.n) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg, CASE WHEN coalesce(found, 0) > 0 THEN 1 ELSE 0 END AS hit
+  FROM n LEFT JOIN per USING (query_id)""")
+def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG16 over BM25 results with labelled documents as relevant ones."""
+    found = retrieval.ranked(search_store(spark, sf_dir).search(retrieval_queries.questions(spark, sf_dir), 10), "sparse", 10)
+    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 40).alias("slot"))
+    rel = retrieval_queries.questions(spark, sf_dir).select("query_id", (F.col("query_id") % 40).alias("slot")).join(good, "slot").select("query_id", "id")
+    return evaluation.retrieval_metrics(found, rel, 10)
+
+
 @query(retrieval_queries._BM25.replace("FROM documents", "FROM kept").replace("WITH toks", "WITH kept AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN concat(text, ' ', source, ' added words') ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0), toks") + "SELECT query_id, id, score FROM sparse WHERE rank <= 5")
 def bm25_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index after every seventh document has been deleted and every eleventh one updated, statistics included."""
@@ -156,3 +180,24 @@ def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stateful events: runs of each user through their stages; the stream with keyed state and timers gives the same rows."""
     return lifecycle.runs(table(spark, sf_dir, "events"), MACHINE, "user_id", "ts", "event_id", "event_type")
 
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(text) > 100 THEN concat(substr(text, 1, 100), '...') ELSE text END AS preview FROM conversations WHERE role = 'user'")
+def query_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What users asked, as messages show it."""
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", text.query_preview(F.col("text")).alias("preview"))
+
+
+@query("SELECT c_custkey AS user_id, c_custkey % 50 = 0 OR n_name = 'JAPAN' AS in_japan, c_custkey % 50 = 0 OR r_name = 'ASIA' AS may_read FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
+def role_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT17: roles and permissions with the superusers' bypass; a nation stands for a role and its region for a permission."""
+    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    users = table(spark, sf_dir, "customer").join(places, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 50 == 0).alias("is_superuser"), F.array("n_name").alias("role_names"), F.array("r_name").alias("permission_codes"))
+    return users.select("user_id", catalog.has_role("JAPAN").alias("in_japan"), catalog.may("ASIA").alias("may_read"))
+
+
+@query("SELECT n_nationkey AS role_id, lower(n_name) AS name FROM nation WHERE n_regionkey <> 0 AND n_nationkey % 4 <> 0 ORDER BY name")
+def system_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRT02: roles of the system that are not deleted, by name."""
+    roles = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("role_id"), F.lower("n_name").alias("name"), (F.col("n_regionkey") != 0).alias("is_system"), (F.col("n_nationkey") % 4 == 0).alias("is_deleted"))
+    return catalog.system_roles(roles).select("role_id", "name")

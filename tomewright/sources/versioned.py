@@ -229,12 +229,17 @@ class Unit:
         one = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*last))).where("_n = 1").select(*old.columns)
         self.rewrite(table, buckets, old.join(one.select(*keys), keys, "left_anti").select(*old.columns).unionByName(one))
 
-    def delete(self, table: str, keys: DataFrame) -> None:
+    def delete(self, table: str, keys: DataFrame) -> int:
+        """Take out the rows of some keys; how many there were. Where there are none no file is written."""
         on = self.tables[table]["keys"]
         buckets = self.touched(table, keys)
-        if buckets:
-            old = self.read(table, buckets)
-            self.rewrite(table, buckets, old.join(keys.select(*on).distinct(), on, "left_anti").select(*old.columns))
+        if not buckets or not self.tables[table]["parts"]:
+            return 0
+        old, gone = self.read(table, buckets), keys.select(*on).distinct()
+        n = old.join(gone, on, "left_semi").count()
+        if n:
+            self.rewrite(table, buckets, old.join(gone, on, "left_anti").select(*old.columns))
+        return n
 
     def commit(self) -> int:
         """Make the changes visible. A newer version is followed if it changed none of this unit's tables, else Conflict."""
