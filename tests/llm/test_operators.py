@@ -942,3 +942,24 @@ def test_line_dedup_at_least_similarity(spark):
     want = set(range(len(lines))) - set(least.values())
     assert set(range(len(lines))) - stay <= want and len(want) > 20
     assert len(stay & want) <= 0.05 * len(want)
+
+
+@pytest.mark.parametrize("size", [10, 20, 50, 100, 200])
+@pytest.mark.parametrize("even", [True, False])
+def test_lines_at_the_least_similarity_meet(size, even):
+    """300 pairs of lines of which exactly a fifth of the words is edited, evenly or at random, share a posted block."""
+    from tomewright.llm import line_dedup
+
+    rng = random.Random(size)
+    word = lambda letters: "".join(rng.choices(letters, k=7))
+    first, second = [], []
+    for _ in range(300):
+        a = [word("abcdefghijklmnop") for _ in range(size)]
+        b = list(a)
+        for at in [int((k + 0.5) * 5) for k in range(size // 5)] if even else rng.sample(range(size), size // 5):
+            b[at] = word("qrstuvwxyz")
+        first.append(" ".join(a))
+        second.append(" ".join(b))
+    blocks = [line_dedup.lines_of(["\n".join(x)], 5, 30)[5] for x in (first, second)]
+    met = sum(bool(set(a) & set(b) - {2**64 - 1}) for a, b in zip(blocks[0].tolist(), blocks[1].tolist(), strict=True))
+    assert met >= 270

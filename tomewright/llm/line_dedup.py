@@ -4,7 +4,7 @@ Lines are normalised (lower case, digits as one, words only); equal lines meet b
 SimHash of every window of three words of a line (taken around its end) is a block: an edit of a word touches at
 most three of n blocks, so a line and one at the least similarity have some in common. Each distinct line is
 posted under the ``POSTED`` blocks of least rank, those of few letters last, and lines meet in the postings that
-two or more share. The pairs of a posting are compared by the parity of their words, which no similar pair can
+two or more share: of pairs at exactly the least similarity, edits spread as evenly as can be, 94 in 100 or more do. The pairs of a posting are compared by the parity of their words, which no similar pair can
 fail; of what is left the words are fetched and compared by edit similarity (0.8 or more): one pair per two
 unconnected groups, each pair in one posting only, so a posting gives the links of a spanning forest and not all
 pairs. Postings longer than ``BLOCK`` are dealt to tasks as pairs of parts. Of each connected group the first
@@ -35,7 +35,7 @@ from .postings import by_unit, read_units, spans, units
 
 SIMILARITY = 0.8
 #: Words of a window, blocks that a line is posted under, letters below which a window ranks last.
-WIDTH, POSTED, FEW_LETTERS = 3, 4, 16
+WIDTH, POSTED, FEW_LETTERS = 3, 6, 16
 #: Lines of a posting, or of each of two parts of a longer one, that are compared in one task.
 BLOCK = 512
 #: From so many lines on, a posting is compared by arrays.
