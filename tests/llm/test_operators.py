@@ -492,7 +492,7 @@ def test_keep_one(spark, docs, none):
     for i, (doc, text) in enumerate(rows_in):
         groups[find(i)].append((doc is None, doc or 0, doc, text or ""))
     kept = keep_one(spark.createDataFrame(rows_in, "doc_id long, text string").repartition(3)).collect()
-    # Each group keeps one row, one of its least id; texts alike by 30,000 words are too long to sketch exactly.
+    # Each group keeps one row, one of its least id; texts alike by 30,000 words are compared whole.
     assert len(kept) == len(groups)
     assert Counter(r.doc_id for r in kept) == Counter(min(g)[2] for g in groups.values())
     assert all(any((r.doc_id, r.text or "") == (x[2], x[3]) for g in groups.values() for x in g if x[:2] == min(g)[:2]) for r in kept)
@@ -963,3 +963,27 @@ def test_lines_at_the_least_similarity_meet(size, even):
     blocks = [line_dedup.lines_of(["\n".join(x)], 5, 30)[5] for x in (first, second)]
     met = sum(bool(set(a) & set(b) - {2**64 - 1}) for a, b in zip(blocks[0].tolist(), blocks[1].tolist(), strict=True))
     assert met >= 270
+
+
+@pytest.mark.parametrize("size", [200, 1000, 5000])
+def test_near_copies_at_the_threshold_are_verified_whole(spark, size):
+    """Pairs just above and just below a resemblance of 0.8: most of the former are found, none of the latter."""
+    from tomewright.llm.simhash import similar_documents
+
+    rng = random.Random(size)
+    docs, above, near = [], [], []
+    for p in range(60):
+        words = [f"w{rng.randrange(10**8)}" for _ in range(size)]
+        other = list(words)
+        # An edit apart from others changes five shingles of each side.
+        at_most = lambda j: int((size - 4) * (1 - j) / (1 + j) / 5)
+        edits = [at_most(0.8), at_most(0.85), at_most(0.8) + 1][p % 3]
+        for at in rng.sample(range(4, size - 5, 6), edits):
+            other[at] = f"x{rng.randrange(10**8)}"
+        found = _alike(" ".join(words), " ".join(other))
+        docs += [(2 * p, " ".join(words)), (2 * p + 1, " ".join(other))]
+        (above if found >= 0.8 else near).append(p)
+    rows = {r.doc_id: r.root for r in similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    linked = {p for p in range(60) if rows[2 * p] == rows[2 * p + 1]}
+    assert not linked & set(near) and len(above) >= 30 and near
+    assert len(linked & set(above)) >= 0.85 * len(above)

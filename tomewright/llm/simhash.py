@@ -10,7 +10,8 @@ fingerprints, so that a posting stays short at any size; each family finds the s
 the resemblance of their five-word shingles: at 0.8 a SimHash differs in about ten bits, which no byte survives
 for sure, so there each byte is the hash of one shingle, the least under its own order, and agrees with
 probability equal to the resemblance. The same index and tally find the candidates (at a resemblance of 0.8
-94 in 100, at 0.9 99), and bottom-k sketches verify them, exactly for texts of up to ``SKETCH`` distinct shingles.
+94 in 100, at 0.9 99), and whole shingle sets verify them, exactly: rows that reach the tally with another one are given
+their sets in the unit where they first do, and a matrix product gives all intersections of a unit.
 
 What is equal meets first (an aggregate), so copies cost one row. Long postings are dealt to tasks as pairs of
 parts, and a posting yields the links of a spanning forest in place of all pairs: nothing connected is lost.
@@ -43,8 +44,6 @@ DISTANCE = 3
 MATCHES = 8 - DISTANCE
 #: Rows of a posting, or of each of two parts of a longer one, that are compared in one task.
 BLOCK = 1024
-#: Hashes of a sketch.
-SKETCH = 256
 RESEMBLANCE = 0.8
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 _LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
@@ -183,12 +182,67 @@ def shingles(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarra
     return mixed(sums.of(first, np.minimum(first + width, np.repeat(upto, counts)))), counts, digests
 
 
-def resemblance(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of common hashes among the ``SKETCH`` smallest of both sketches together."""
-    union = np.union1d(a, b)[:SKETCH]
-    if not len(union):
-        return 1.0
-    return float(np.count_nonzero(np.intersect1d(a, b, assume_unique=True) <= union[-1]) / len(union))
+def first_families(fps: np.ndarray, family: int, n: int) -> np.ndarray:
+    """Which two fingerprints of a posting agree in all positions of no earlier family than this one."""
+    out = np.ones((len(fps), len(fps)), bool)
+    for subset in position_family(n)[:family]:
+        own = fps & np.uint64(sum(0xFF << (8 * (7 - p)) for p in subset))
+        out &= own[:, None] != own[None, :]
+    return out
+
+
+PLACE_DDL = "node long, family int, bytes long, part int, left int, right int"
+
+
+def tallied(met: DataFrame, n: int) -> DataFrame:
+    """Rows of units, with their unit, that reach the tally with another row, each pair in its first posting."""
+    schema = pa.schema([("node", pa.int64()), ("family", pa.int32()), ("bytes", pa.int64()), ("part", pa.int32()), ("left", pa.int32()), ("right", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, upto in read_units(batches, ["family", "bytes"]):
+            every, parts, families = table.column("fp").to_numpy().view(np.uint64), table.column("part").to_numpy(), table.column("family").to_numpy()
+            keep = np.zeros(len(every), bool)
+            for start, stop in spans(upto):
+                fps, own = every[start:stop], parts[start:stop]
+                fit = tallies(fps) >= MATCHES
+                np.fill_diagonal(fit, False)
+                if own.min() < own.max():
+                    fit &= own[:, None] != own[None, :]
+                if fit.any():
+                    fit &= first_families(fps, int(families[start]), n)
+                keep[start:stop] = fit.any(axis=1)
+            if keep.any():
+                for batch in table.select(schema.names).filter(pa.array(keep)).cast(schema).to_batches():
+                    yield frame(schema, *batch.columns)
+
+    return by_unit(met, ["family", "bytes"]).mapInArrow(run, PLACE_DDL)
+
+
+def resembling(rows: DataFrame, texts: DataFrame, groups: DataFrame, width: int, least: float) -> DataFrame:
+    """(a, b): links of units of ``tallied`` by whole shingle sets, enough to connect all that a unit links."""
+    from .minhash import forest as spanning
+    from .minhash import intersections, whole_sets
+
+    whole = rows.join(whole_sets(rows.select("node").distinct(), texts, groups, width), "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, upto in read_units(batches, ["family", "bytes"], 500):
+            nodes, parts = table.column("node").to_numpy(), table.column("part").to_numpy()
+            made = table.column("set").to_pylist()
+            found = []
+            for start, stop in spans(upto):
+                sets, own = [np.frombuffer(s, np.uint64) for s in made[start:stop]], parts[start:stop]
+                n = np.array([len(s) for s in sets])
+                met = intersections(sets)
+                links = met >= least * (n[:, None] + n[None, :] - met) - 1e-9
+                if own.min() < own.max():
+                    links &= own[:, None] != own[None, :]
+                found += [(start + i, start + j) for i, j in spanning(links)]
+            if found:
+                a, b = nodes[np.array(found).T]
+                yield frame(LINKS, a, b)
+
+    return by_unit(whole, ["family", "bytes"]).mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
 def similar_documents(docs: DataFrame, width: int = 5, least: float = RESEMBLANCE) -> DataFrame:
@@ -209,46 +263,12 @@ def similar_documents(docs: DataFrame, width: int = 5, least: float = RESEMBLANC
                     lanes[some, k] = (np.minimum.reduceat(mixed(hashes ^ salt), starts) & np.uint64(0xFF)).astype(np.uint8)
             yield frame(schema, ids, rows, digests.view(np.int64), lanes.view(np.int64).ravel())
 
-    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("digest", pa.int64()), ("sketch", pa.binary())])
-        for (texts,) in slices(batches, "text"):
-            hashes, counts, digests = shingles(texts, width)
-            made = [np.unique(h)[:SKETCH].tobytes() for h in np.split(hashes, np.cumsum(counts)[:-1])]
-            yield frame(schema, digests.view(np.int64), made)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, upto in read_units(batches, ["family", "bytes"], 5_000):
-            nodes, fps, parts = table.column("digest").to_numpy(), table.column("fp").to_numpy().view(np.uint64), table.column("part").to_numpy()
-            made = [np.frombuffer(s, np.uint64) for s in table.column("sketch").to_pylist()]
-            sets: dict[int, frozenset] = {}
-
-            def of(i: int, made: list = made, sets: dict = sets) -> frozenset:
-                if i not in sets:
-                    sets[i] = frozenset(made[i].tolist())
-                return sets[i]
-
-            def verified(i: int, at: np.ndarray, made: list = made, of=of) -> Iterator[int]:
-                for j in at.tolist():
-                    # What the union's smallest have in common, both sketches have in common.
-                    if len(of(i) & of(j)) >= least * max(len(made[i]), len(made[j])) - 1e-9 and resemblance(made[i], made[j]) >= least:
-                        yield j
-
-            found = []
-            for start, stop in spans(upto):
-                found += [(start + i, start + j) for i, j in forest(fps[start:stop], parts[start:stop], lambda i, at, start=start, v=verified: (j - start for j in v(start + i, start + at)))]
-            if found:
-                a, b = np.array(found).T
-                yield frame(LINKS, nodes[a], nodes[b])
-
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row"))
     own = materialize(text.mapInArrow(prints, "doc_id long, row long, digest long, fp long"))
-    groups = own.groupBy("digest").agg(F.min("fp").alias("fp"), F.min("row").alias("row"))
-    met = materialize(index(groups.select("digest", "fp"), "digest", own.count()))
-    # Sketches are made of those texts only that share a posting, once per text.
-    wanted = materialize(groups.join(met.select("digest").distinct(), "digest", "left_semi").select("row"))
-    texts = only_marked(text.select("row", "text"), wanted, "row").join(wanted, "row", "left_semi").dropDuplicates(["row"])
-    edges = by_unit(met.join(texts.select("text").mapInArrow(sketches, "digest long, sketch binary"), "digest"), ["family", "bytes"]).mapInArrow(run, "a long, b long").distinct()
-    joined = connected_components(edges)
+    n = own.count()
+    groups = materialize(own.groupBy("digest").agg(F.min("fp").alias("fp"), F.min("row").alias("row")).withColumnRenamed("digest", "node"))
+    left = materialize(tallied(index(groups.select("node", "fp"), "node", n), n))
+    joined = connected_components(resembling(left, text.select("row", "text"), groups, width, least))
     return own.join(joined, own["digest"] == joined["node"], "left").select("doc_id", "row", F.coalesce("component", "digest").alias("root"))
 
 
