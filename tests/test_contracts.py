@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tomewright.functions import errors, text, tokens
-from tomewright.operators import catalog, chunking, embedding, jobs, rag, resumable, retrieval
+from tomewright.operators import catalog, chunking, embedding, jobs, numbering, rag, resumable, retrieval
 from tomewright.sources import connectors, corpus, filters, parsers, sinks
 from tomewright.sources.versioned import Store
 
@@ -161,3 +161,25 @@ def test_table_over_jdbc(spark, tmp_path):
     rows = connectors.read_table(spark, url, "T", partition_column="K", bounds=(1, 101), partitions=4, driver=driver)
     assert rows.rdd.getNumPartitions() == 4 and rows.where("V > 150").count() == 25 and rows.agg(F.sum("V")).first()[0] == 10100
     assert "PushedFilters: [*IsNotNull(V), *GreaterThan(V,150)]" in rows.where("V > 150")._jdf.queryExecution().toString()
+
+
+def test_numbers_within_groups_of_any_size(spark):
+    rows = [(i, None if i % 11 == 0 else "hot" if i % 3 else f"g{i % 7}", (i * 7919) % 1009) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, g string, k long")
+    got = {r.id: r.n for r in numbering.numbered(df, ["g"], ["k", "id"], "n").collect()}
+    by: dict = {}
+    for i, g, k in rows:
+        by.setdefault(g, []).append((k, i))
+    assert got == {i: n for own in by.values() for n, (_, i) in enumerate(sorted(own))}
+    assert numbering.numbered(df.where("id < 0"), ["g"], ["k"]).collect() == []
+
+
+def test_shadowed_kinds_and_stopping_streams(spark, tmp_path):
+    assert parsers.shadowed() == {}
+    parsers.register_parser(parsers.Parser("notes", frozenset({".txt", ".note"}), frozenset({"text/plain"}), text.decode_bytes), prepend=True)
+    try:
+        assert parsers.shadowed() == {".txt": ["notes", "text"], "text/plain": ["notes", "text"]}
+    finally:
+        parsers.PARSERS.pop(0)
+    query = spark.readStream.format("rate").load().writeStream.format("noop").option("checkpointLocation", str(tmp_path)).start()
+    assert query.isActive and jobs.stop(query) in (True, False) and not query.isActive

@@ -143,7 +143,11 @@ def split_tags(c: Column) -> Column:
 
 
 def error_kind(status: Column, own_code: Column, transport_code: Column, is_request: Column, is_error: Column) -> Column:
-    """Code and status of a failure: the service's own code, a timeout, no answer, a bare status, else the client's own."""
+    """Code and status of a failure: the service's own code, a timeout, no answer, a bare status, else the client's own.
+
+    Codes, statuses and the order of cases are fixed values, which results depend on.
+    """
+
     def kind(code: Column, at: Column) -> Column:
         return F.struct(code.alias("code"), at.cast("int").alias("status"))
 

@@ -8,10 +8,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.errors import EngineError
+from .numbering import numbered
 
 Provider = Callable[[list[str]], np.ndarray]
 
@@ -94,8 +95,9 @@ def with_batches(df: DataFrame, key: str, group: str, size: int) -> DataFrame:
     """Batch number and place in it, by ``key`` within each ``group``."""
     if size <= 0:
         raise ValueError("batch size must be positive")
-    at = F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1
-    return df.withColumn("batch_number", F.floor(at / size).cast("int")).withColumn("batch_index", (at % size).cast("int"))
+    at = F.col("_batched")
+    placed = numbered(df, [group], [key], "_batched")
+    return placed.withColumn("batch_number", F.floor(at / size).cast("int")).withColumn("batch_index", (at % size).cast("int")).drop("_batched")
 
 
 def require_dimension(vector: Column, dimension: int) -> Column:

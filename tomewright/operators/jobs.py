@@ -10,6 +10,7 @@ from concurrent.futures import TimeoutError as Late
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 
 @dataclass(frozen=True)
@@ -56,6 +57,16 @@ def cancel(spark: SparkSession, tag: str) -> None:
     spark.interruptTag(tag)
 
 
+def stop(query: StreamingQuery, seconds: float = 30.0) -> bool:
+    """End a stream after the batch that it is in; one that takes longer is interrupted. Whether the batch was let end."""
+    began = time.monotonic()
+    while query.isActive and query.status["isTriggerActive"] and time.monotonic() < began + seconds:
+        time.sleep(0.05)
+    whole = not query.isActive or not query.status["isTriggerActive"]
+    query.stop()
+    return whole
+
+
 def answers(found: DataFrame, column: str = "answer", piece: int = 64) -> Iterator[tuple[object, int, str]]:
     """(query_id, number, text) pieces of answers as their partitions are done; the driver holds one partition at a time."""
     for row in found.select("query_id", column).toLocalIterator(prefetchPartitions=True):

@@ -70,7 +70,8 @@ def search(collection: DataFrame, queries: DataFrame, k: int = 10, where: Filter
 
 
 def _matrix(vectors_: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return np.array(vectors_.to_pylist(), np.float64).reshape(len(vectors_), -1)
+    flat = vectors_.combine_chunks() if isinstance(vectors_, pa.ChunkedArray) else vectors_
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
 class Best:

@@ -109,6 +109,15 @@ def register_parser(parser: Parser, prepend: bool = False) -> None:
     PARSERS.insert(0, parser) if prepend else PARSERS.append(parser)
 
 
+def shadowed() -> dict[str, list[str]]:
+    """Extensions and MIME types that several parsers take, each with the parsers in order: the first one gets them."""
+    takers: dict[str, list[str]] = {}
+    for p in PARSERS:
+        for what in sorted(p.extensions | p.mime_types):
+            takers.setdefault(what, []).append(p.name)
+    return {what: names for what, names in takers.items() if len(names) > 1}
+
+
 def extension_of(name: Column) -> Column:
     """Of a path, a name or a bare extension; Dockerfiles have one of their own."""
     last = file_name(name)

@@ -30,7 +30,7 @@ def ancestors(spark: SparkSession, parents: dict[str, str] | None = None) -> Dat
 def fan_out(events: DataFrame, subscriptions: DataFrame, kinds: DataFrame) -> DataFrame:
     """A row per event and handler (handler, subscribed_type) whose type is the event's or an ancestor, each handler once."""
     matched = kinds.join(subscriptions.dropDuplicates(), kinds["ancestor"] == subscriptions["subscribed_type"]).select("event_type", "handler").distinct()
-    return events.join(F.broadcast(matched) if matched.isStreaming is False else matched, "event_type")
+    return events.join(matched, "event_type")
 
 
 class Dispatcher:
