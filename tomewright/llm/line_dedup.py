@@ -162,10 +162,20 @@ def line_table(docs: DataFrame, min_words: int, min_chars: int) -> DataFrame:
     return docs.select(row_digest().alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ddl)
 
 
+def first_posting(posted: list[np.ndarray], a: np.ndarray, b: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Which pairs of rows (places) have no common block below that of their posting, so that no other posting compares them."""
+    out = np.ones(len(a), bool)
+    for x in posted:
+        below = (x[a] < block[a]) & (x[a] != -1)
+        for y in posted:
+            out &= ~(below & (x[a] == y[b]))
+    return out
+
+
 def candidates(distinct: DataFrame) -> DataFrame:
-    """(block, key, part, left, right): units of work, without the lines that nothing in their unit can be similar to."""
+    """(block, key, part, left, right): units of work, without the lines that nothing in their unit can be similar to and meets there first."""
     rows = distinct.select("key", F.explode(F.array(*BLOCKS)).alias("block")).where(F.col("block") != -1)
-    met = units(rows, ["block"], "key", BLOCK).join(distinct.select("key", "words", *ODD), "key")
+    met = units(rows, ["block"], "key", BLOCK).join(distinct.select("key", "words", *ODD, *BLOCKS), "key")
     schema = pa.schema([("block", pa.int64()), ("key", pa.int64()), ("part", pa.int32()), ("left", pa.int32()), ("right", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,6 +183,8 @@ def candidates(distinct: DataFrame) -> DataFrame:
             n = table.column("words").to_numpy().astype(np.int64)
             odd = [table.column(c).to_numpy().view(np.uint64) for c in ODD]
             part = table.column("part").to_numpy()
+            block = table.column("block").to_numpy()
+            posted = [table.column(c).to_numpy() for c in BLOCKS]
             cross = (table.column("left").to_numpy() != table.column("right").to_numpy())
             keep = np.zeros(len(n), bool)
             # Each row with the next, the one after it, and so on to the end of its unit, all units at once.
@@ -182,7 +194,9 @@ def candidates(distinct: DataFrame) -> DataFrame:
                 longer = np.maximum(n[at], n[other])
                 near = np.bitwise_count(odd[0][at] ^ odd[0][other]).astype(np.int64) + np.bitwise_count(odd[1][at] ^ odd[1][other]) <= 2 * (longer // 5)
                 near &= (np.minimum(n[at], n[other]) >= SIMILARITY * longer - 1e-6) & (~cross[at] | (part[at] != part[other]))
-                keep[at[near]] = keep[other[near]] = True
+                a, b = at[near], other[near]
+                first = first_posting(posted, a, b, block)
+                keep[a[first]] = keep[b[first]] = True
                 step += 1
                 at = at[at + step < upto[at]]
             if keep.any():
@@ -239,7 +253,8 @@ def verified_links(members: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
-        for table, upto in read_units(batches, ["block"]):
+        # Words are held as lists here, so few rows at once.
+        for table, upto in read_units(batches, ["block"], 8_000):
             keys, part, block, blocks = (table.column(c).to_pylist() for c in ("key", "part", "block", "blocks"))
             words = [w.split() for w in table.column("words").to_pylist()]
             sets = [frozenset(x) - {-1} for x in np.frombuffer(b"".join(blocks), "<i8").reshape(-1, POSTED).tolist()]
