@@ -987,3 +987,17 @@ def test_near_copies_at_the_threshold_are_verified_whole(spark, size):
     linked = {p for p in range(60) if rows[2 * p] == rows[2 * p + 1]}
     assert not linked & set(near) and len(above) >= 30 and near
     assert len(linked & set(above)) >= 0.85 * len(above)
+
+
+def test_long_words_go_in_smaller_batches(spark, monkeypatch):
+    from tomewright.llm import lm_score
+
+    rows = [([b"a" * n for n in sizes], list(range(len(sizes)))) for sizes in ([3, 4, 5, 100, 1, 1], [], [7])]
+    monkeypatch.setattr(lm_score, "LETTERS", 8)
+    cut = list(lm_score.within_letters(iter(rows)))
+    assert [[len(w) for w in x[0]] for x in cut] == [[3, 4], [5], [100], [1, 1], [], [7]]
+    assert [i for x in cut for i in x[1]] == [0, 1, 2, 3, 4, 5, 0]
+    docs = spark.createDataFrame([(i, f"{chr(97 + i) * 3000} common words {i}") for i in range(8)], "doc_id long, text string")
+    small = {r.doc_id: r.score for r in lm_score.score_documents(docs).collect()}
+    monkeypatch.undo()
+    assert small == pytest.approx({r.doc_id: r.score for r in lm_score.score_documents(docs).collect()}, rel=1e-9)

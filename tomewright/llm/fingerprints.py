@@ -6,7 +6,8 @@ resemblance (Jaccard), containment and the distinct shingle count. Up to k shing
 
 Defined results: null text is the empty text; two texts without shingles resemble fully, one with and one
 without not at all; rows repeating an id follow each other by text; null ids come after all others; an empty
-table gives an empty result; further columns are ignored.
+table gives an empty result; texts are read whole at any length; rows that tie in id and text are equal, in either order;
+further columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ the workers; the rest meet their documents in a join by word, counted per docume
 
 Defined results: null text is the empty text, which is its end token alone; with no training rows the base has
 N = V = 0 and the pieces keep their initial weights; rows repeating an id each get their row; an empty table
-gives an empty result; further columns are ignored.
+gives an empty result; texts and words are read whole at any length, long words in smaller batches; words that tie in
+count are taken in byte order; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +36,20 @@ HELD_CLASS, CLASSES = 2, 7
 FLUSH = 150_000
 #: Words whose lattices are gone through at once.
 STEP = 10_000
+#: Letters of such words together; a longer word is gone through alone.
+LETTERS = 1_000_000
+
+
+def within_letters(rows: Iterator[tuple[list, ...]]) -> Iterator[tuple[list, ...]]:
+    """The same rows in batches of no more than LETTERS bytes of words, the first column, or of one word."""
+    for lists in rows:
+        start = total = 0
+        for i, word in enumerate(lists[0]):
+            if i > start and total + len(word) > LETTERS:
+                yield tuple(x[start:i] for x in lists)
+                start, total = i, 0
+            total += len(word)
+        yield tuple(x[start:] for x in lists)
 
 
 def default_vocabulary() -> str:
@@ -247,7 +262,7 @@ def learn_pieces(table: WordTable, path: str, rounds: int = 12, tolerance: float
         def run(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
             own = lattice(path)
             uses, likelihood = np.zeros(own.size), 0.0
-            for words, counts in slices(batches, "word", "trained", step=STEP):
+            for words, counts in within_letters(slices(batches, "word", "trained", step=STEP)):
                 some, more = own.read([MARK + w.decode("utf-8", "surrogatepass") for w in words]).expected(now, counts)
                 uses += some
                 likelihood += more
@@ -281,7 +296,7 @@ def score_documents(docs: DataFrame, path: str | None = None, head_words: int =
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(vocabulary)
-        for words, seen, trained in slices(batches, "word", "seen", "trained", step=STEP):
+        for words, seen, trained in within_letters(slices(batches, "word", "seen", "trained", step=STEP)):
             yield frame(schema, words, seen, trained, own.read([MARK + w.decode("utf-8", "surrogatepass") for w in words]).log_probabilities(logs) / ten)
 
     rated = materialize(table.words.mapInArrow(rate, "word binary, seen long, trained long, lattice double"))

@@ -8,7 +8,8 @@ permutation of its block numbers for each epoch, and slots and blocks meet in a
 
 Defined results: null or blank texts have size 0 and are never taken; a null source is a source of its own,
 last in order; rows that agree in id, source and text share what is taken of them as evenly as whole words
-allow; an empty table gives an empty result; further columns are ignored.
+allow; an empty table gives an empty result; texts count whole at any length, a long one as many blocks; documents that
+tie in order are such rows; further columns are ignored.
 """
 
 from __future__ import annotations

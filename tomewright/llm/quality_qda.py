@@ -7,7 +7,8 @@ densities; Mahalanobis distances come from Cholesky factors that are computed on
 Moments are sums, gathered from at most about ``sample_rows`` labelled rows (chosen by a hash of the id).
 Defined results: null and blank texts have the statistics of the empty text; with labels of one class or none,
 the score is that class's share, or one half; of rows repeating a label's id the highest label counts; repeated
-documents each get their row; an empty table gives an empty result; further columns are ignored.
+documents each get their row; an empty table gives an empty result; texts are read whole at any length; texts that tie
+in score are all predicted alike; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ that it is good, in place of a demand that it pass every rule. There are at most
 table that the driver sees is bounded by the rules and not by the documents.
 
 Defined results: a null or blank text has no words, fails the base rules and is not kept; an empty table gives
-an empty result; repeated rows each get their row; further columns are ignored.
+an empty result; repeated rows each get their row; texts are read whole at any length; a posterior at the threshold is kept,
+and texts of equal votes tie in it; further columns are ignored.
 """
 
 from __future__ import annotations

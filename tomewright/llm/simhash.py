@@ -21,7 +21,8 @@ Defined results: null and blank texts have fingerprint zero and link like any ot
 a document of fewer words than a shingle has one shingle, the whole sequence; rows repeating an id are one
 document each and share the component; a null id is linked as any other, and is never the smallest id unless its
 component has no other (then null); an empty table gives an empty result; of other columns only ``keep_one``
-takes notice, and keeps them, whatever their names.
+takes notice, and keeps them, whatever their names. Texts are read whole at any length; a bit that half of the shingles
+have ties, and is 0.
 """
 
 from __future__ import annotations

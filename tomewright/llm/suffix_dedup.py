@@ -24,7 +24,8 @@ the strings around them, at steps of ``STEP`` words, so that a passage of ``WORD
 
 Defined results: null text is the empty text; texts
 below ``length`` bytes lose nothing; rows agreeing in id and text repeat each other like any others; an empty
-table gives an empty result; further columns are ignored by the digest and kept by ``remove_repeats``.
+table gives an empty result; texts are read whole at any length; strings that tie in the order are equal and all go,
+the first as well; further columns are ignored by the digest and kept by ``remove_repeats``.
 """
 
 from __future__ import annotations

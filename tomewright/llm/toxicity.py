@@ -8,7 +8,8 @@ exception phrases do not count. The score is logistic in the weight of the hits
 Learning uses a sample of labelled rows bounded by ``sample_rows`` (chosen by a hash of the id); statistics of
 nothing else are sampled. Defined results: null and blank texts have no hits and get the score of none; without
 any labels the fixed list scores alone; of rows repeating a label's id the highest label counts; repeated
-documents each get their row; an empty table gives an empty result; further columns are ignored.
+documents each get their row; an empty table gives an empty result; texts are read whole at any length, and weights count
+by their length; texts that tie in score are all predicted alike; further columns are ignored.
 """
 
 from __future__ import annotations
