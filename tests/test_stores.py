@@ -132,6 +132,27 @@ def test_search_index_equals_a_scan_through_changes(spark, tmp_path, monkeypatch
     assert rows_of(index.search(queries, 7)) == want and "gone" not in index.store.tables()
 
 
+def test_blocks_stay_whole_where_a_join_turns_to_a_broadcast(spark):
+    """A join by shuffles in the plan that becomes a broadcast when sizes are known, as in searches of large indexes."""
+    settings = {"spark.sql.adaptive.enabled": "true", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+
+    def runs(batches):
+        for table in search_index._runs(batches):
+            yield table.select(["block"]).slice(0, 1).to_batches()[0]
+
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = spark.range(0, 400_000, 1, 8).select((F.col("id") % 40).alias("block"), "id")
+        blocks = spark.range(0, 40, 2).select(F.col("id").alias("block")).where("block < 35")
+        found = search_index._by_block(rows.join(blocks, "block", "left_semi")).mapInArrow(runs, "block long").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted(r.block for r in found) == list(range(0, 35, 2))
+
+
 def test_search_index_reads_the_buckets_of_its_terms(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(search_index, "PER_BUCKET", 20)
     docs = spark.createDataFrame(corpus_rows(300), "id long, text string")

@@ -112,7 +112,12 @@ class _Asked:
 
 
 def _by_block(rows: DataFrame) -> DataFrame:
-    return rows.repartition("block").sortWithinPartitions("block")
+    """A block's rows in one task, one after another.
+
+    Dealt by a hash of their own: dealing by the column itself is left out of a plan whose join already deals by it, and
+    where that join turns to a broadcast while it runs, a block's rows stay wherever they were read.
+    """
+    return rows.repartition(F.xxhash64("block")).sortWithinPartitions("block")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
