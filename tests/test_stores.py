@@ -424,6 +424,28 @@ def test_interval_join_equals_brute_force(spark, heavy):
     assert intervals.interval_join(p, i.where("id < 0").withColumnRenamed("id", "iv"), "x", "low", "high").collect() == []
 
 
+@pytest.mark.parametrize("heavy", [1_000_000, 20])
+@pytest.mark.parametrize("kind", ["long", "double", "timestamp"])
+def test_interval_totals_equal_brute_force(spark, kind, heavy):
+    """Many ranges, intervals over several of them, places that repeat, nulls, keys that repeat, whole numbers and times to the digit."""
+    rng = random.Random(5)
+    points = [(i, rng.choice([None, rng.randint(0, 300)]) if i % 9 == 0 else rng.randint(0, 300), None if i % 7 == 0 else i % 13 - 6.5) for i in range(500)]
+    spans = [(k % 150, a, a + rng.choice([0, 1, 5, 60, 400])) for k in range(200) for a in [rng.randint(-50, 320)]] + [(151, None, 3), (152, 400, 500)]
+    change = {"timestamp": lambda c: F.timestamp_micros(c + (1 << 50))}.get(kind, lambda c: c.cast(kind))
+    p = spark.createDataFrame(points, "id long, at long, v double").withColumn("at", change(F.col("at")))
+    s = spark.createDataFrame(spans, "k long, low long, high long").withColumns({c: change(F.col(c)) for c in ("low", "high")})
+    want = []
+    for k in range(153):
+        own = [(i, v) for key, a, b in spans if key == k and a is not None for i, at, v in points if at is not None and a <= at < b]
+        if own:
+            values = [v for _, v in own if v is not None]
+            want.append((k, len(own), sum(values) if values else None, min(i for i, _ in own)))
+    found = intervals.interval_totals(p, s, "k", "at", "low", "high", "v", "id", size=10, heavy=heavy)
+    assert sorted(tuple(r) for r in found.collect()) == want
+    assert intervals.interval_totals(p.limit(0), s, "k", "at", "low", "high", "v", "id").count() == 0
+    assert intervals.interval_totals(p, s.limit(0), "k", "at", "low", "high", "v", "id").count() == 0
+
+
 def test_sketches_merge_within_their_errors(spark):
     rng = random.Random(2)
     rows = [(f"2024-01-{1 + i % 20:02d}", "ab"[i % 2], rng.randrange(5000), rng.gauss(0, 1)) for i in range(20_000)]

@@ -122,12 +122,12 @@ def patch_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
   (SELECT o_orderkey, TIMESTAMP '2024-01-01' + to_minutes(CAST(o_orderkey % 43200 AS INTEGER)) AS low, TIMESTAMP '2024-01-01' + to_minutes(CAST(o_orderkey % 43200 + CASE WHEN o_orderkey % 50 = 0 THEN 1440 ELSE o_custkey % 60 END AS INTEGER)) AS high FROM orders) o
   JOIN events e ON e.ts >= o.low AND e.ts < o.high GROUP BY 1""")
 def events_within_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval join: events against a window per order, of none to sixty minutes or a day."""
+    """Sums over intervals: events in a window per order, of none to sixty minutes or a day."""
     start = F.timestamp_micros(F.unix_micros(F.lit("2024-01-01").cast("timestamp")) + F.col("o_orderkey") % 43200 * 60_000_000)
     minutes = F.when(F.col("o_orderkey") % 50 == 0, F.lit(1440)).otherwise(F.col("o_custkey") % 60)
     windows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("orderkey"), start.alias("low"), F.timestamp_micros(F.unix_micros(start) + minutes * 60_000_000).alias("high"))
-    met = intervals.interval_join(table(spark, sf_dir, "events").select("event_id", "ts", "value"), windows, "ts", "low", "high")
-    return met.groupBy("orderkey").agg(F.count(F.lit(1)).alias("n_events"), F.round(F.sum("value"), 4).alias("sum_value"), F.min("event_id").alias("first_event"))
+    found = intervals.interval_totals(table(spark, sf_dir, "events"), windows, "orderkey", "ts", "low", "high", "value", "event_id")
+    return found.select("orderkey", F.col("n").alias("n_events"), F.round("total", 4).alias("sum_value"), F.col("first").alias("first_event"))
 
 
 @query("SELECT event_type, date_trunc('week', ts)::DATE AS week, count(*) AS n, count(DISTINCT user_id) AS exact_users, true AS users_near, true AS median_near FROM events GROUP BY ALL")
