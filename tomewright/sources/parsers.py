@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import frontmatter, text
+from ..functions.slices import by_slices
 from .filters import file_name, suffix
 
 
@@ -58,15 +59,14 @@ def html_to_text(value: str | None) -> str | None:
     return "\n".join(line for line in lines if line)
 
 
-def _html_text(values: pa.Array) -> pa.Array:
-    return pa.array([html_to_text(v) for v in values.to_pylist()], pa.string())
+_html_text = by_slices(lambda values: [html_to_text(v) for v in values], pa.string())
 
 
 def html_text(c: Column) -> Column:
     return F.arrow_udf(_html_text, "string")(c)
 
 
-def _docx_text(contents: pa.Array) -> pa.Array:
+def _docx_texts(contents: list[bytes | None]) -> list[str | None]:
     import io
     import zipfile
     from xml.etree import ElementTree
@@ -81,7 +81,10 @@ def _docx_text(contents: pa.Array) -> pa.Array:
             return None
         return "\n".join("".join(t.text or "" for t in p.iter(f"{space}t")) for p in root.iter(f"{space}p"))
 
-    return pa.array([read(c) for c in contents.to_pylist()], pa.string())
+    return [read(c) for c in contents]
+
+
+_docx_text = by_slices(_docx_texts, pa.string())
 
 
 def docx_text(c: Column) -> Column:
@@ -173,7 +176,10 @@ def parse(files: DataFrame, mime_type: str | None = None) -> DataFrame:
     raw = None
     for p in PARSERS:
         if p.extract is not None:
-            raw = F.when(F.col("parser") == p.name, p.extract(F.col("content"))) if raw is None else raw.when(F.col("parser") == p.name, p.extract(F.col("content")))
+            # A Python function is run on all rows, wherever it stands, so each parser is given its own files only.
+            mine = F.col("parser") == p.name
+            made = p.extract(F.when(mine, F.col("content")))
+            raw = F.when(mine, made) if raw is None else raw.when(mine, made)
     with_text = kind.withColumn("raw_text", raw)
     unread = [p.name for p in PARSERS if p.extract is None]
     code = (
