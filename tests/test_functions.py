@@ -163,3 +163,52 @@ def test_labels_of_scores_and_times(spark):
     ).first()
     assert row[:7] == ("12.3ms", "1.23s", "N/A", "0.4567", "N/A", "Mar 5, 2024", "2 hours ago")
     assert row[7:] == ("—", "x,y", ["x", "y"], [])
+
+
+def test_python_holds_few_texts_at_once(monkeypatch):
+    import pyarrow as pa
+
+    from tomewright.functions import slices
+
+    texts = ["a" * (k % 50) for k in range(2000)] + [None, "", "b" * 5000, None]
+    monkeypatch.setattr(slices, "BYTES", 1000)
+    seen = []
+
+    def work(some):
+        seen.append((len(some), sum(len(t or "") for t in some)))
+        return [None if t is None else t.upper() for t in some]
+
+    run = slices.by_slices(work, pa.string())
+    assert run(pa.array(texts)).to_pylist() == [None if t is None else t.upper() for t in texts]
+    assert all(n <= slices.ROWS and (size <= 1000 or n == 1) for n, size in seen) and len(seen) > 40
+    assert run(pa.array(texts).slice(1990, 14)).to_pylist() == [None if t is None else t.upper() for t in texts[1990:]]
+    assert run(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_chunks_are_made_of_few_texts_at_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    from tomewright.functions import slices
+    from tomewright.operators import chunking
+
+    texts = pa.array([None, "", *[f"text {k} " * 40 for k in range(300)]])
+    made = []
+    array = pa.array
+    run = chunking.greedy("tokens", 8).func
+    monkeypatch.setattr(pa, "array", lambda values, *more: made.append(len(values)) or array(values, *more))
+    assert len(run(texts)) == 302 and max(made) <= slices.ROWS
+
+
+def test_parsers_are_given_their_own_files_only(spark, monkeypatch):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from tomewright.sources import parsers
+
+    def strict(contents: pa.Array) -> pa.Array:
+        assert b"other" not in contents.to_pylist()
+        return pa.array(["own" if c is not None else None for c in contents.to_pylist()], pa.string())
+
+    monkeypatch.setattr(parsers, "PARSERS", [parsers.Parser("strict", frozenset({".strict"}), frozenset(), lambda c: F.arrow_udf(strict, "string")(c)), *parsers.PARSERS])
+    files = spark.createDataFrame([("a.strict", bytearray(b"x")), ("b.txt", bytearray(b"other"))], "path string, content binary")
+    assert {r.path: r.raw_text for r in parsers.parse(files).collect()} == {"a.strict": "own", "b.txt": "other"}

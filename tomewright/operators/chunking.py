@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import frontmatter, ids, text
+from ..functions.slices import by_slices
 
 Span = tuple[int, int]
 _KIND = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))
@@ -187,11 +188,7 @@ def greedy(name: str, size: int, overlap_tokens: int = 0) -> Callable[[Column],
         found = splitter(value, size)
         return overlapping(value, found, overlap_tokens) if overlap_tokens else found
 
-    @F.arrow_udf(_DDL)
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([_stripped(t, spans(t)) if t else [] for t in texts.to_pylist()], _KIND)
-
-    return run
+    return F.arrow_udf(by_slices(lambda texts: [_stripped(t, spans(t)) if t else [] for t in texts], _KIND), _DDL)
 
 
 def chunks(docs: DataFrame, spans: Column, document_id: str = "document_id") -> DataFrame:
