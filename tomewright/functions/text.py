@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .slices import by_slices
+
 #: Zero-width and formatting characters, and controls other than tab, line feed and return.
 REMOVED = r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}-\x{9f}\x{200b}-\x{200f}\x{feff}\x{ad}\x{2060}]"
 CHARS_PER_TOKEN = 4.0
@@ -33,8 +35,7 @@ def collapse_blanks(c: Column) -> Column:
     return strip(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
 
 
-def _nfkc(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string())
+_nfkc = by_slices(lambda texts: [None if t is None else unicodedata.normalize("NFKC", t) for t in texts], pa.string())
 
 
 def nfkc(c: Column) -> Column:
