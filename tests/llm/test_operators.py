@@ -183,6 +183,16 @@ def test_shards_are_packed_to_the_bound(spark):
     assert len(filled) <= 2 - (-sum(r[3] for r in rows) // 1024)
 
 
+def test_base_scores_learn_no_pieces(docs, monkeypatch):
+    from tomewright.llm import lm_score
+
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"]
+    want = Counter(tuple(r) for r in lm_score.score_documents(docs, rounds=1).select(*columns).collect())
+    monkeypatch.setattr(lm_score, "learn_pieces", None)
+    found = lm_score.score_documents(docs, lattice_score=False)
+    assert found.columns == columns and Counter(tuple(r) for r in found.collect()) == want
+
+
 def test_search_of_a_shard_does_not_depend_on_how_many_there_are(spark, monkeypatch):
     from tomewright.llm import packing
 
