@@ -706,6 +706,25 @@ def test_lattice_sums_all_segmentations():
             assert math.isclose(slope, uses[i], rel_tol=1e-3, abs_tol=1e-6)
 
 
+def test_lattices_hold_the_pieces_of_their_words_and_no_more(monkeypatch):
+    from tomewright.llm.lm_score import Lattice
+
+    rng = random.Random(4)
+    pieces = ["", "<0x61>", *sorted({"".join(rng.choices("abcdé", k=rng.randint(1, 6))) for _ in range(300)})]
+    words = ["".join(rng.choices("abcdé😀", k=rng.randint(0, 30))) for _ in range(200)]
+    want = Counter(p for w in words for i in range(len(w)) for p in pieces if p and w.startswith(p, i))
+    bare = sum(c not in pieces for w in words for c in w)
+    logs = np.log(np.arange(1, len(pieces) + 1) / 1e5)
+    scores = Lattice(pieces).read(words).log_probabilities(logs)
+    for bits in (20, 2):
+        # With four places of the hash table, almost all edges share theirs.
+        monkeypatch.setattr(Lattice, "BITS", bits)
+        read = Lattice(pieces).read(words)
+        found = np.concatenate([piece for _, _, piece in read.arcs])
+        assert Counter(pieces[i] for i in found[found < len(pieces)].tolist()) == want and (found >= len(pieces)).sum() == bare
+        assert (read.log_probabilities(logs) == scores).all()
+
+
 def _lattice_score(counts, tokens_of_rows, ends, rounds=12, tolerance=0.01):
     """log10 probabilities by plain loops: expectation-maximisation over whole words, then the forward sum."""
     from tomewright.llm.lm_score import default_vocabulary, read_pieces
