@@ -824,6 +824,49 @@ def test_edit_similarity():
         assert edit_similar(a, b) == (distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9))
 
 
+def test_pairs_of_lines_are_compared_many_at_once(monkeypatch):
+    from tomewright.llm import line_dedup as m
+
+    rng = random.Random(9)
+    lines = []
+    for n in (5, 9, 63, 64, 65, 127, 128, 129, 200, 300):
+        for _ in range(60):
+            a = [rng.randrange(40) for _ in range(n)]
+            share = rng.choice((0.03, 0.08, 0.1, 0.15))
+            b = [x if rng.random() > share else rng.randrange(40) for x in a if rng.random() > share] + [rng.randrange(40) for _ in range(rng.randrange(3))]
+            lines += sorted((a, b), key=len)
+    sizes = np.array([len(x) for x in lines])
+    flat, start = np.array(list(itertools.chain(*lines))), np.cumsum(sizes) - sizes
+    at = np.arange(0, len(lines), 2)
+    want = [m.edit_similar(lines[i], lines[i + 1]) for i in at]
+    assert 100 < sum(want) < len(want) - 100
+    alone = []
+    monkeypatch.setattr(m, "edit_similar", lambda a, b, own=m.edit_similar: alone.append(1) or own(a, b))
+    for cells in (1 << 20, 64 * 40):
+        monkeypatch.setattr(m, "CELLS", cells)
+        assert m.similar_pairs(flat, start, sizes, at, at + 1).tolist() == want
+    # Only pairs of lines so long that sixty are few are compared one by one.
+    monkeypatch.setattr(m, "CELLS", 1 << 20)
+    alone.clear()
+    m.similar_pairs(flat, start, sizes, at, at + 1)
+    assert len(alone) <= sum(sizes[at] > 128)
+
+
+def test_links_of_a_unit_span_what_is_similar():
+    from tomewright.llm import line_dedup as m
+
+    rng = random.Random(10)
+    for n in (2, 7, 40):
+        group = [rng.randrange(3) for _ in range(n)]
+        pairs = sorted((j, i) for i, j in itertools.combinations(range(n), 2))
+        a, b = np.array([i for _, i in pairs]), np.array([j for j, _ in pairs])
+        seen = []
+        links = m.forest(a, b, n, lambda x, y: seen.append(len(x)) or np.array([group[i] == group[j] for i, j in zip(x, y, strict=True)]))
+        assert len(links) == n - len(set(group)) and all(group[i] == group[j] for i, j in links)
+        # All pairs that are unlike, few of the others.
+        assert sum(seen) <= sum(group[i] != group[j] for i, j in zip(a, b, strict=True)) + 2 * n and len(seen) < 8
+
+
 def _groups(lines, m):
     """Component number per line by brute force: equal, or similar by edit distance alone."""
     root = list(range(len(lines)))

@@ -20,8 +20,9 @@ occurrence counts. Equal lines are told by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain
 from operator import xor
 
 import numpy as np
@@ -39,8 +40,8 @@ SIMILARITY = 0.8
 WIDTH, POSTED, FEW_LETTERS = 3, 6, 16
 #: Lines of a posting, or of each of two parts of a longer one, that are compared in one task.
 BLOCK = 512
-#: From so many lines on, a posting is compared by arrays.
-MANY = 16
+#: Pairs per 64 words below which they are compared one by one, words of such pairs in an array, and pairs looked at together.
+FEW_PAIRS, CELLS, PAIRS = 16, 1 << 20, 500_000
 _NONE = np.uint64(2**64 - 1)
 _TABLE = bytes(10 if c == 10 else 48 if 48 <= c < 58 else c + 32 if 65 <= c < 91 else c if c == 95 or 97 <= c < 123 or c >= 128 else 32 for c in range(256))
 
@@ -153,8 +154,9 @@ def line_table(docs: DataFrame, min_words: int, min_chars: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            # Few texts at once, so that their arrays stay in a core's cache.
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
                 text, line, key, n, odd, blocks = lines_of(part.column("text").to_pylist(), min_words, min_chars)
                 own = part.take(pa.array(text))
                 yield frame(schema, own.column("digest"), own.column("doc_id"), line, key.view(np.int64), n, *odd.view(np.int64).T, *blocks.view(np.int64).T)
@@ -206,68 +208,150 @@ def candidates(distinct: DataFrame) -> DataFrame:
     return by_unit(met, ["block"]).mapInArrow(run, "block long, key long, part int, left int, right int")
 
 
-def posting_links(part: list[int], lines: list[list[bytes]], blocks: list[frozenset], block: int) -> list[tuple[int, int]]:
-    """Links (places) of a spanning forest of what is similar, from lines in order of their number of words.
+def similar_pairs(flat: np.ndarray, start: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``edit_similar`` of many pairs of lines (places), a's lines the shorter ones, from hashes of words and where each line has them.
 
-    Lines of one part meet only where all are of one; a pair is compared under the least of its common blocks.
+    Pairs of like length are gone through at once, a word of each per step, in blocks of 64 words (Myers' recurrence).
     """
-    n = len(lines)
-    cross = len(set(part)) > 1
+    allowed = ((1 - SIMILARITY) * sizes[b] + 1e-9).astype(np.int64)
+    out = np.zeros(len(a), bool)
+    blocks = (sizes[a] + 63) // 64
+    for deep in np.unique(blocks).tolist():
+        ours = np.flatnonzero(blocks == deep)
+        ours = ours[np.argsort(-sizes[b[ours]], kind="stable")]
+        most = max(1, CELLS // (64 * deep))
+        for some in (ours[k : k + most] for k in range(0, len(ours), most)):
+            if len(some) < FEW_PAIRS * deep:
+                for k in some.tolist():
+                    x, y = (flat[start[i] : start[i] + sizes[i]].tolist() for i in (a[k], b[k]))
+                    out[k] = edit_similar(x, y)
+            else:
+                out[some] = _distances(flat, start, sizes, a[some], b[some], deep) <= allowed[some]
+    return out
+
+
+def _distances(flat: np.ndarray, start: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, deep: int) -> np.ndarray:
+    """Word edit distances of pairs in descending order of b's words, whose a's have up to 64 * deep."""
+    one = np.uint64(1)
+    n, m = sizes[a], sizes[b]
+    left = np.full((len(a), 64 * deep), -1)
+    left[np.arange(64 * deep) < n[:, None]] = flat[np.repeat(start[a] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    # How many pairs have a j-th word in b.
+    active = np.searchsorted(-m, -np.arange(int(m[0])), side="left").tolist()
+    up = [np.full(len(a), _NONE) for _ in range(deep)]
+    down = [np.zeros(len(a), np.uint64) for _ in range(deep)]
+    last, top = (n - 1) // 64, ((n - 1) % 64).astype(np.uint64)
+    distance = n.copy()
+    for j, k in enumerate(active):
+        same = np.packbits(left[:k] == flat[start[b[:k]] + j][:, None], axis=1, bitorder="little").view(np.uint64)
+        gained_in, lost_in = one, np.uint64(0)
+        for d in range(deep):
+            pv, mv, eq = up[d][:k], down[d][:k], same[:, d]
+            vertical = eq | mv
+            eq = eq | lost_in
+            diagonal = (((eq & pv) + pv) ^ pv) | eq
+            gained = mv | ~(diagonal | pv)
+            lost = pv & diagonal
+            ends = last[:k] == d
+            distance[:k] += ends * ((gained >> top[:k] & one).astype(np.int64) - (lost >> top[:k] & one).astype(np.int64))
+            gained_out, lost_out = gained >> np.uint64(63), lost >> np.uint64(63)
+            gained, lost = gained << one | gained_in, lost << one | lost_in
+            up[d][:k] = lost | ~(vertical | gained)
+            down[d][:k] = gained & vertical
+            gained_in, lost_in = gained_out, lost_out
+    return distance
+
+
+def near_pairs(upto: np.ndarray, sizes: np.ndarray, part: np.ndarray, cross: np.ndarray, bits: np.ndarray, posted: list[np.ndarray], block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of lines of one unit, from lines in order of their number of words, that may be similar and meet there first; by the second."""
+    a, b = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    at, step = np.flatnonzero(np.arange(len(sizes)) + 1 < upto), 1
+    while len(at):
+        other = at + step
+        near = (sizes[at] >= SIMILARITY * sizes[other] - 1e-6) & (~cross[at] | (part[at] != part[other]))
+        x, y = at[near], other[near]
+        allowed = ((1 - SIMILARITY) * sizes[y] + 1e-9).astype(np.int64)
+        close = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= 2 * allowed
+        x, y = x[close], y[close]
+        first = first_posting(posted, x, y, block)
+        a.append(x[first].astype(np.int32))
+        b.append(y[first].astype(np.int32))
+        step += 1
+        at = at[at + step < upto[at]]
+    a, b = np.concatenate(a), np.concatenate(b)
+    order = np.lexsort((a, b))
+    return a[order], b[order]
+
+
+def forest(a: np.ndarray, b: np.ndarray, n: int, similar: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the pairs, in order of ``b``, that are similar; of ``n`` places each is compared with 1, 2, 4, ... others at once."""
     comp = np.arange(n)
-    sizes = [len(w) for w in lines]
     out = []
-    many = n > MANY
-    if many:
-        bits = np.frombuffer(b"".join(map(parity, lines)), "<u8").reshape(-1, 8)
-        counts, sides = np.array(sizes), np.array(part)
-        limit = np.searchsorted(counts, counts / SIMILARITY + 1e-6, side="right").tolist()
-    sets: dict[int, set] = {}
-
-    def words(i: int) -> set:
-        if i not in sets:
-            sets[i] = set(lines[i])
-        return sets[i]
-
-    for i in range(n - 1):
-        if many:
-            rest = slice(i + 1, limit[i])
-            open_ = comp[rest] != comp[i]
-            if cross:
-                open_ &= sides[rest] != part[i]
-            near = np.flatnonzero(open_) + i + 1
-            allowed = (1 - SIMILARITY) * counts[near] + 1e-9
-            near = near[np.bitwise_count(bits[near] ^ bits[i]).sum(axis=1, dtype=np.int64) <= 2 * allowed.astype(np.int64)].tolist()
-        else:
-            near = [j for j in range(i + 1, n) if sizes[i] >= SIMILARITY * sizes[j] - 1e-6 and (not cross or part[i] != part[j])]
-        for j in near:
-            if comp[i] == comp[j] or len(words(i) ^ words(j)) > 2 * int((1 - SIMILARITY) * sizes[j] + 1e-9):
-                continue
-            if min(blocks[i] & blocks[j]) == block and edit_similar(lines[i], lines[j]):
+    most = 1
+    while len(a):
+        heads = np.append(0, np.flatnonzero(np.diff(b)) + 1)
+        now = np.arange(len(b)) - np.repeat(heads, np.diff(np.append(heads, len(b)))) < most
+        x, y = a[now], b[now]
+        found = similar(x, y)
+        for i, j in zip(x[found].tolist(), y[found].tolist(), strict=True):
+            if comp[i] != comp[j]:
                 comp[comp == comp[j]] = comp[i]
                 out.append((i, j))
+        a, b = a[~now], b[~now]
+        apart = comp[a] != comp[b]
+        a, b = a[apart], b[apart]
+        most *= 2
     return out
 
 
+def unit_links(table: pa.Table, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): keys of the links of a spanning forest of what is similar in each unit of ``table``.
+
+    Lines of one part meet only where all are of one; a pair is compared under the least of its common blocks.
+    """
+    words = [w.split() for w in table.column("words").to_pylist()]
+    keys = table.column("key").to_numpy()
+    sizes = np.array([len(w) for w in words], np.int64)
+    order = np.lexsort((keys, sizes, upto))
+    # Words are told by 64-bit hashes, none of which is -1.
+    flat = np.fromiter(map(hash, chain.from_iterable(words[i] for i in order.tolist())), np.int64, sizes.sum())
+    del words
+    keys, sizes = keys[order], sizes[order]
+    start = np.cumsum(sizes) - sizes
+    # 512 bits: whether the words of each bit are odd in number. An edit changes two of them at most.
+    bit = np.uint64(1) << (flat & 63).astype(np.uint64)
+    bits = np.stack([np.bitwise_xor.reduceat(np.where(flat >> 6 & 7 == k, bit, np.uint64(0)), start) for k in range(8)], axis=1)
+    part = table.column("part").to_numpy()[order]
+    least, most = (np.empty(len(part), np.int64) for _ in range(2))
+    for i, j in spans(upto):
+        least[i:j], most[i:j] = part[i:j].min(), part[i:j].max()
+    posted = list(np.frombuffer(b"".join(table.column("blocks").to_pylist()), "<i8").reshape(-1, POSTED)[order].T)
+    a, b = near_pairs(upto, sizes, part, least != most, bits, posted, table.column("block").to_numpy()[order])
+    links = np.array(forest(a, b, len(keys), lambda x, y: similar_pairs(flat, start, sizes, x, y)), np.int64).reshape(-1, 2)
+    return keys[links[:, 0]], keys[links[:, 1]]
+
+
+def few_pairs(table: pa.Table, upto: np.ndarray) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """The same units, so many at once that they have at most PAIRS pairs, or one that has more."""
+    first = pairs = 0
+    for start, stop in spans(upto):
+        own = (stop - start) * (stop - start - 1) // 2
+        if start > first and pairs + own > PAIRS:
+            yield table.slice(first, start - first), upto[first:start] - first
+            first, pairs = start, 0
+        pairs += own
+    yield table.slice(first), upto[first:] - first
+
+
 def verified_links(members: DataFrame) -> DataFrame:
     """(a, b) links of keys from (block, left, right, part, key, blocks, words): those of each unit of work."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
         # Words are held as lists here, so few rows at once.
-        for table, upto in read_units(batches, ["block"], 8_000):
-            keys, part, block, blocks = (table.column(c).to_pylist() for c in ("key", "part", "block", "blocks"))
-            words = [w.split() for w in table.column("words").to_pylist()]
-            sets = [frozenset(x) - {-1} for x in np.frombuffer(b"".join(blocks), "<i8").reshape(-1, POSTED).tolist()]
-            for start, stop in spans(upto):
-                order = sorted(range(start, stop), key=lambda i: (len(words[i]), keys[i]))
-                for i, j in posting_links([part[i] for i in order], [words[i] for i in order], [sets[i] for i in order], block[start]):
-                    a.append(keys[order[i]])
-                    b.append(keys[order[j]])
-            if len(a) > 20_000:
-                yield frame(schema, a, b)
-                a, b = [], []
-        yield frame(schema, a, b)
+        for whole, ends in read_units(batches, ["block"], 8_000):
+            for table, upto in few_pairs(whole, ends):
+                yield frame(schema, *unit_links(table, upto))
 
     return by_unit(members, ["block"]).mapInArrow(run, "a long, b long").distinct()
 
