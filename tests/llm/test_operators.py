@@ -852,6 +852,62 @@ def test_pairs_of_lines_are_compared_many_at_once(monkeypatch):
     assert len(alone) <= sum(sizes[at] > 128)
 
 
+def test_pairs_that_their_words_decide_need_no_recurrence(monkeypatch):
+    from tomewright.llm import line_dedup as m
+
+    rng = random.Random(11)
+    lines = []
+    for n in (5, 12, 64, 200, 700):
+        for kind in range(3):
+            for _ in range(20):
+                a = [rng.randrange(-n // 3, n // 3) for _ in range(n)]
+                b = list(a)
+                if kind == 0:  # a tenth replaced in place, or not, but never more than a fifth
+                    for at in rng.sample(range(n), n // 10):
+                        b[at] = 10**6 + at
+                elif kind == 1:  # half of the words are others
+                    for at in rng.sample(range(n), n // 2):
+                        b[at] = 10**6 + at
+                else:  # the same words elsewhere
+                    rng.shuffle(b)
+                lines += [a, b]
+    sizes = np.array([len(x) for x in lines])
+    flat, start = np.array(list(itertools.chain(*lines))), np.cumsum(sizes) - sizes
+    at = np.arange(0, len(lines), 2)
+    want = [m.edit_similar(lines[i], lines[i + 1]) for i in at]
+    compared = []
+    monkeypatch.setattr(m, "edit_similar", lambda a, b, own=m.edit_similar: compared.append(1) or own(a, b))
+    monkeypatch.setattr(m, "_distances", lambda flat, start, sizes, a, b, deep, own=m._distances: compared.extend(a) or own(flat, start, sizes, a, b, deep))
+    for cells in (1 << 20, 300):
+        monkeypatch.setattr(m, "CELLS", cells)
+        compared.clear()
+        assert m.similar_pairs(flat, start, sizes, at, at + 1).tolist() == want
+        # Only those with the same words elsewhere.
+        assert len(compared) <= len(want) / 3
+        x, y = np.array([0, *at]), np.array([len(lines) - 1, *at + 1])
+        both = [sum((Counter(lines[i]) & Counter(lines[j])).values()) for i, j in zip(x, y, strict=True)]
+        assert m.common_words(flat, start, sizes, x, y).tolist() == both
+    assert 50 < sum(want) < len(want) - 50
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3, 1000])
+def test_postings_of_one_line_go_in_any_batches(spark, rows):
+    from tomewright.llm import line_dedup as m
+
+    rng = random.Random(12)
+    lines = [(key, *[rng.randrange(120) if rng.random() < 0.9 else -1 for _ in m.BLOCKS]) for key in range(40)]
+    often = Counter(b for x in lines for b in set(x[1:]) - {-1})
+    lines = [(x[0], *[b if b not in x[1 : k + 1] else -1 for k, b in enumerate(x[1:])]) for x in lines]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        found = m.shared_blocks(spark.createDataFrame(lines, "`key` long, " + ", ".join(f"{b} long" for b in m.BLOCKS))).collect()
+        none = m.shared_blocks(spark.createDataFrame([], "`key` long, " + ", ".join(f"{b} long" for b in m.BLOCKS))).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert not none and Counter(map(tuple, found)) == Counter((x[0], b) for x in lines for b in x[1:] if often[b] > 1)
+    assert 0 < len(found) < sum(b != -1 for x in lines for b in x[1:])
+
+
 def test_links_of_a_unit_span_what_is_similar():
     from tomewright.llm import line_dedup as m
 

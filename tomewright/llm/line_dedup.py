@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import Stretches, discard, frame, fresh, materialize, mixed, only_marked, slices
 from .components import connected_components
-from .postings import by_unit, read_units, spans, units
+from .postings import UNIT, by_unit, read_units, spans, units
 
 SIMILARITY = 0.8
 #: Words of a window, blocks that a line is posted under, letters below which a window ranks last.
@@ -145,6 +145,8 @@ def row_digest() -> Column:
 BLOCKS = [f"b{k}" for k in range(POSTED)]
 #: 128 bits: whether the words of each bit are odd in number.
 ODD = ["odd0", "odd1"]
+#: Where a line is.
+PLACE = ["doc_id", "digest", "line"]
 
 
 def line_table(docs: DataFrame, min_words: int, min_chars: int) -> DataFrame:
@@ -175,11 +177,34 @@ def first_posting(posted: list[np.ndarray], a: np.ndarray, b: np.ndarray, block:
     return out
 
 
-def candidates(distinct: DataFrame) -> DataFrame:
-    """(block, key, part, left, right): units of work, without the lines that nothing in their unit can be similar to and meets there first."""
+def shared_blocks(distinct: DataFrame) -> DataFrame:
+    """(key, block): the postings that two lines or more are in. Rows are told by those beside them, so a long posting is never held."""
+    schema = pa.schema([("key", pa.int64()), ("block", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last row of what came before waits for the first of what follows.
+        held = [np.zeros(0, np.int64)] * 2
+        again = False
+        for batch in chain(batches, [None]):
+            new = held if batch is None else [np.concatenate((x, batch.column(c).to_numpy())) for x, c in zip(held, schema.names, strict=True)]
+            if not len(new[1]):
+                continue
+            same = np.concatenate(([again], new[1][1:] == new[1][:-1], [False]))
+            upto = len(new[1]) if batch is None else -1
+            met = np.flatnonzero((same[:-1] | same[1:])[:upto])
+            if len(met):
+                yield frame(schema, *[x[met] for x in new])
+            held, again = [x[-1:] for x in new], same[-2]
+
     rows = distinct.select("key", F.explode(F.array(*BLOCKS)).alias("block")).where(F.col("block") != -1)
-    met = units(rows, ["block"], "key", BLOCK).join(distinct.select("key", "words", *ODD, *BLOCKS), "key")
-    schema = pa.schema([("block", pa.int64()), ("key", pa.int64()), ("part", pa.int32()), ("left", pa.int32()), ("right", pa.int32())])
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "key long, block long")
+
+
+def candidates(distinct: DataFrame) -> DataFrame:
+    """(block, key, part, left, right, n, doc_id, digest, line, b0, ...): units of work, without the lines that nothing in their unit can be similar to and meets there first."""
+    met = units(materialize(shared_blocks(distinct)), ["block"], "key", BLOCK).join(distinct, "key")
+    longs = ["n", "doc_id", "digest"]
+    schema = pa.schema([("block", pa.int64()), ("key", pa.int64()), *[(c, pa.int32()) for c in UNIT], *[(c, pa.int64()) for c in longs], ("line", pa.int32()), *[(b, pa.int64()) for b in BLOCKS]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, upto in read_units(batches, ["block"]):
@@ -205,19 +230,64 @@ def candidates(distinct: DataFrame) -> DataFrame:
             if keep.any():
                 yield from table.select(schema.names).filter(pa.array(keep)).cast(schema).combine_chunks().to_batches()
 
-    return by_unit(met, ["block"]).mapInArrow(run, "block long, key long, part int, left int, right int")
+    ddl = "block long, key long, part int, left int, right int, n long, doc_id long, digest long, line int, " + ", ".join(f"{b} long" for b in BLOCKS)
+    return by_unit(met, ["block"]).mapInArrow(run, ddl)
+
+
+def words_of(flat: np.ndarray, start: np.ndarray, sizes: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """The words of ``lines`` one after the other."""
+    n = sizes[lines]
+    return flat[np.arange(n.sum()) + np.repeat(start[lines] - (np.cumsum(n) - n), n)]
+
+
+def shares(pairs: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """``pairs`` in parts of about CELLS words."""
+    ends = np.cumsum(sizes[pairs])
+    return np.split(pairs, np.flatnonzero(np.diff(ends // CELLS)) + 1) if len(pairs) else []
+
+
+def unlike_in_place(flat: np.ndarray, start: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many words of pairs of equally long lines differ from that in the same place: the edit distance at most."""
+    unlike = words_of(flat, start, sizes, a) != words_of(flat, start, sizes, b)
+    return np.add.reduceat(unlike, np.cumsum(sizes[a]) - sizes[a], dtype=np.int64)
+
+
+def common_words(flat: np.ndarray, start: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many words pairs of lines have in common wherever they stand, repeats counted; all others of b are edits.
+
+    Words are told by 40 bits here, beside the number of their line or pair; words told as one only add to what is common.
+    """
+    bits = 40
+    low = (1 << bits) - 1
+    lines, own = np.unique(b, return_inverse=True)
+    there = np.sort(np.repeat(np.arange(len(lines)) << bits, sizes[lines]) | (words_of(flat, start, sizes, lines) & low))
+    n = sizes[a]
+    word = np.sort(np.repeat(np.arange(len(a)) << bits, n) | (words_of(flat, start, sizes, a) & low))
+    # Which of its equals in a line a word is: the second one needs a second one.
+    at = np.arange(len(word))
+    nth = at - np.maximum.accumulate(np.where(np.diff(word, prepend=-1) != 0, at, 0))
+    word = np.repeat(own << bits, n) | (word & low)
+    place = np.searchsorted(there, word) + nth
+    found = there[np.minimum(place, len(there) - 1)] == word
+    return np.add.reduceat(found & (place < len(there)), np.cumsum(n) - n, dtype=np.int64)
 
 
 def similar_pairs(flat: np.ndarray, start: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """``edit_similar`` of many pairs of lines (places), a's lines the shorter ones, from hashes of words and where each line has them.
 
-    Pairs of like length are gone through at once, a word of each per step, in blocks of 64 words (Myers' recurrence).
+    Pairs with few words unlike in place are similar, pairs with few words in common are not. Others of like length are
+    gone through at once, a word of each per step, in blocks of 64 words (Myers' recurrence).
     """
     allowed = ((1 - SIMILARITY) * sizes[b] + 1e-9).astype(np.int64)
     out = np.zeros(len(a), bool)
+    for some in shares(np.flatnonzero(sizes[a] == sizes[b]), sizes[a]):
+        out[some] = unlike_in_place(flat, start, sizes, a[some], b[some]) <= allowed[some]
+    open_ = ~out
+    for some in shares(np.flatnonzero(open_), sizes[a]):
+        open_[some] = sizes[b[some]] - common_words(flat, start, sizes, a[some], b[some]) <= allowed[some]
     blocks = (sizes[a] + 63) // 64
-    for deep in np.unique(blocks).tolist():
-        ours = np.flatnonzero(blocks == deep)
+    for deep in np.unique(blocks[open_]).tolist():
+        ours = np.flatnonzero(open_ & (blocks == deep))
         ours = ours[np.argsort(-sizes[b[ours]], kind="stable")]
         most = max(1, CELLS // (64 * deep))
         for some in (ours[k : k + most] for k in range(0, len(ours), most)):
@@ -378,21 +448,22 @@ def line_words(docs: DataFrame, places: DataFrame) -> DataFrame:
 
 def removed_lines(docs: DataFrame, min_words: int = 5, min_chars: int = 30) -> DataFrame:
     """(digest, lines): numbers of the lines that go, per row digest."""
-    lines = materialize(line_table(docs, min_words, min_chars))
-    place = ["last", "doc_id", "digest", "line"]
-    occurrence = F.struct(F.col("doc_id").isNull().alias("last"), *place[1:], "words", *ODD, *BLOCKS)
-    distinct = materialize(lines.groupBy("key").agg(F.min(occurrence).alias("first"), F.count(F.lit(1)).alias("n")).select("key", "n", "first.*"))
+    lines = materialize(line_table(docs, min_words, min_chars), dictionary=False)
+    # Of equal lines any place tells the words; their other columns are the same.
+    each = [F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in PLACE[1:]], *[F.min(c).alias(c) for c in ("words", *ODD, *BLOCKS)]]
+    distinct = materialize(lines.groupBy("key").agg(*each), dictionary=False)
     met = materialize(candidates(distinct))
-    places = distinct.join(met.select("key").distinct(), "key").select("key", "digest", "line", *BLOCKS)
-    links = verified_links(met.join(line_words(docs, places), "key"))
+    places = met.select("key", "n", *PLACE, *BLOCKS).dropDuplicates(["key"])
+    links = verified_links(met.select("block", *UNIT, "key").join(line_words(docs, places), "key"))
     groups = connected_components(links).select(F.col("node").alias("key"), F.col("component"))
     # A line that occurs once and is like no other neither goes nor lets one go.
-    keyed = distinct.select("key", "n", *place).join(groups, "key", "left").where("n > 1 OR component IS NOT NULL").select("key", "n", F.struct(*place).alias("first"), F.coalesce("component", "key").alias("root"))
-    firsts = keyed.groupBy("root").agg(F.min("first").alias("kept"))
-    losing = keyed.join(firsts, "root").select("key", F.col("kept.digest").alias("kept_digest"), F.col("kept.line").alias("kept_line"))
-    gone = lines.select("digest", "line", "key").join(losing, "key").where((F.col("digest") != F.col("kept_digest")) | (F.col("line") != F.col("kept_line")))
+    several = lines.select("key", *PLACE).join(distinct.where("n > 1").select("key"), "key").unionByName(places.where("n = 1").select("key", *PLACE))
+    rooted = materialize(several.join(groups, "key", "left").select(*PLACE, F.coalesce("component", "key").alias("root")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), *PLACE)).alias("kept")
+    firsts = rooted.groupBy("root").agg(first).select("root", F.col("kept.digest").alias("kept_digest"), F.col("kept.line").alias("kept_line"))
+    gone = rooted.join(firsts, "root").where((F.col("digest") != F.col("kept_digest")) | (F.col("line") != F.col("kept_line")))
     out = materialize(gone.groupBy("digest").agg(F.collect_set("line").alias("lines")))
-    for table in (lines, distinct, met):
+    for table in (lines, distinct, met, rooted):
         discard(table)
     return out
 
