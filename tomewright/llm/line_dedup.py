@@ -457,13 +457,16 @@ def removed_lines(docs: DataFrame, min_words: int = 5, min_chars: int = 30) -> D
     links = verified_links(met.select("block", *UNIT, "key").join(line_words(docs, places), "key"))
     groups = connected_components(links).select(F.col("node").alias("key"), F.col("component"))
     # A line that occurs once and is like no other neither goes nor lets one go.
+    # The joins of all occurrences are by key alone, with nothing behind them by key, so that Spark can split a frequent line's.
     several = lines.select("key", *PLACE).join(distinct.where("n > 1").select("key"), "key").unionByName(places.where("n = 1").select("key", *PLACE))
-    rooted = materialize(several.join(groups, "key", "left").select(*PLACE, F.coalesce("component", "key").alias("root")))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), *PLACE)).alias("kept")
-    firsts = rooted.groupBy("root").agg(first).select("root", F.col("kept.digest").alias("kept_digest"), F.col("kept.line").alias("kept_line"))
-    gone = rooted.join(firsts, "root").where((F.col("digest") != F.col("kept_digest")) | (F.col("line") != F.col("kept_line")))
+    several = materialize(several)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), *PLACE)).alias("first")
+    rooted = several.groupBy("key").agg(first).join(groups, "key", "left").select("key", "first", F.coalesce("component", "key").alias("root"))
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("kept"))
+    losing = rooted.join(firsts, "root").select("key", F.col("kept.digest").alias("kept_digest"), F.col("kept.line").alias("kept_line"))
+    gone = several.join(losing, "key").where((F.col("digest") != F.col("kept_digest")) | (F.col("line") != F.col("kept_line")))
     out = materialize(gone.groupBy("digest").agg(F.collect_set("line").alias("lines")))
-    for table in (lines, distinct, met, rooted):
+    for table in (lines, distinct, met, several):
         discard(table)
     return out
 
